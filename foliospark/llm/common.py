@@ -53,33 +53,53 @@ def shared_dir(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_BYTE = np.arange(256, dtype=np.uint8)
+_LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
+_SPACE = (_BYTE == 32) | ((_BYTE >= 9) & (_BYTE <= 13))
+#: Random values by position in a word and byte, for hashing by tabulation.
+_TABLE = np.random.default_rng(7).integers(0, 1 << 64, 64 * 256, dtype=np.uint64)
+
+
+def utf8(texts: pa.Array):
+    """The bytes of all texts of a batch and the row offsets; null texts are empty."""
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    off = np.frombuffer(offsets, wide)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[off[0]: off[-1]] if data is not None else np.empty(0, np.uint8)
+    return raw, off - off[0]
+
+
 def arrow_words(texts: pa.Array, lower: bool = True):
-    """Words of a batch: (codes, distinct words, row offsets).
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a batch: (bytes, starts, ends, row offsets).
 
-    ``codes`` index the distinct words, the words of row i are at
-    ``codes[offsets[i]:offsets[i + 1]]``; null texts have none.
+    The words of row i are ``starts[k]:ends[k]`` of the bytes, for k from
+    ``rows[i]`` to ``rows[i + 1]``; with ``lower`` the bytes A-Z are lower-cased.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    raw, off = utf8(texts)
     if lower:
-        texts = pc.ascii_lower(texts)
-    lists = pc.ascii_split_whitespace(texts)
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    flat = lists.values[offsets[0]: offsets[-1]] if len(offsets) else lists.values
-    full = pc.not_equal(flat, "")  # splitting leaves an empty word at either end
-    mask = full.to_numpy(zero_copy_only=False).astype(bool)
-    offsets = np.concatenate([[0], np.cumsum(mask)])[offsets - offsets[0]].astype(np.int64)
-    coded = flat.filter(full).dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, offsets
-
-
-def hash_words(words: pa.Array) -> np.ndarray:
-    """64-bit hashes of distinct words."""
-    import xxhash
-
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w) for w in words.to_pylist()), np.uint64, len(words))
+        raw = _LOWER[raw]
+    inside = ~_SPACE[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[off] = True
+    before, after = np.ones(len(raw), bool), np.ones(len(raw), bool)
+    before[1:] = ~inside[:-1]
+    after[:-1] = ~inside[1:]
+    starts = np.flatnonzero(inside & (before | edge[:-1]))
+    ends = np.flatnonzero(inside & (after | edge[1:])) + 1
+    return raw, starts, ends, np.searchsorted(starts, off)
+
+
+def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit tabulation hashes of words given as byte ranges in ascending order."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    size = ends - starts
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    byte = raw[np.repeat(starts, size) + at]
+    value = _TABLE[(at & 63) * 256 + byte] * (2 * (at >> 6) + 1).astype(np.uint64)
+    return mix64(np.add.reduceat(value, np.cumsum(size) - size) + size.astype(np.uint64))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
