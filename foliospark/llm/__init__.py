@@ -8,7 +8,7 @@ so only where the subpackage exists.
 from importlib import import_module
 
 _MODULES = (
-    "decontaminate", "mixing", "secrets", "quality_rules", "near_dup",
+    "decontaminate", "chat", "mixing", "secrets", "quality_rules", "token_counts", "near_dup",
 )
 
 
