@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("foliospark.plans.nodes",)
+_MODULES = ("foliospark.plans.nodes", "foliospark.plans.ordered")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
