@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("foliospark.plans.nodes", "foliospark.plans.ordered")
+_MODULES = ("foliospark.plans.nodes", "foliospark.plans.ordered", "foliospark.plans.relations", "foliospark.plans.review")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -1 +1 @@
-""""""
+"""Streaming jobs: additions beside the document operators."""
