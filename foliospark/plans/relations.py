@@ -129,8 +129,8 @@ s0 AS (SELECT DISTINCT 'order:' || o_orderkey AS node FROM orders WHERE o_orderd
 s1 AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM s0)), s2 AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM s1)),
 s3 AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM s2))
 SELECT node, min(step) AS step FROM (SELECT node, 1 AS step FROM s1 UNION ALL SELECT node, 2 FROM s2 UNION ALL SELECT node, 3 FROM s3) GROUP BY node""",
-    "inheritance_chain": """WITH RECURSIVE c AS (SELECT p_partkey AS node, p_partkey AS at, CAST(0 AS BIGINT) AS depth FROM part
-UNION ALL SELECT node, CAST(floor(at / 2) AS BIGINT), depth + 1 FROM c WHERE at > 1) SELECT node, min(at) AS root, max(depth) AS depth FROM c GROUP BY node""",
+    "inheritance_chain": """WITH RECURSIVE c AS (SELECT p_partkey AS node, p_partkey AS spot, CAST(0 AS BIGINT) AS depth FROM part
+UNION ALL SELECT node, CAST(floor(spot / 2) AS BIGINT), depth + 1 FROM c WHERE spot > 1) SELECT node, min(spot) AS root, max(depth) AS depth FROM c GROUP BY node""",
     "unresolved_refs": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "unique_key_citations": """WITH n AS (SELECT text, count(*) AS candidates FROM documents GROUP BY text)
 SELECT l.doc_id, candidates, CASE WHEN candidates = 1 THEN 'Resolved' ELSE 'Ambiguous' END AS status FROM labels l JOIN documents d USING (doc_id) JOIN n ON n.text = d.text""",
