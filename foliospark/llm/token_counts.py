@@ -17,12 +17,11 @@ tokens. Repeated rows are counted one by one.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, row_slices, table, utf8
+from .common import distinct, hash_words, row_slices, table, utf8
 
 LIMIT = 4096
 MODEL = "piece_bpe_32k.model"
@@ -79,8 +78,7 @@ def stretch_counts(model, texts: pa.Array):
         rows = np.searchsorted(starts, off)
     ends = np.append(starts[1:], len(raw))[: len(starts)]
     key = hash_words(raw, starts, ends) ^ (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    code, _ = pd.factorize(key.view(np.int64))
-    _, once = np.unique(code, return_index=True)
+    code, _, once = distinct(key.view(np.int64))
     data = raw.tobytes()
     tokens = _count(model, [data[starts[i]: ends[i]].decode("utf-8") for i in once], place[once])[code]
     return ends - starts, tokens, rows
