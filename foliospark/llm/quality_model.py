@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_words, bucket_of, hash_words, mix64, row_slices, shared_dir, table, utf8
+from .common import arrow_words, bucket_of, hash_words, mix64, row_slices, shared_dir, sum_vectors, table, utf8
 
 FEATURES, WIDTH, RIDGE, BINS = 384, 0.25, 3.0, 2000
 FOLDS, HELD_OUT, CALIBRATE = 4, 2, 3
@@ -119,7 +119,7 @@ class Cosines:
 
 
 def _equations(features):
-    """Per task: rows (i, sums) of the normal equations, z'z with z'y as the last column."""
+    """Per task: rows (part, v) of the normal equations, z'z with z'y as the last column."""
 
     def run(batches):
         total = np.zeros((FEATURES, FEATURES + 1))
@@ -128,19 +128,11 @@ def _equations(features):
             y = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
             total += z.T @ np.hstack([z, y[:, None]])
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(FEATURES)), pa.array([r.tobytes() for r in total])], names=["i", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(str, range(FEATURES))), pa.array([r.tobytes() for r in total])], names=["part", "v"])
 
     return run
 
 
-def _add(batches):
-    total: dict = {}
-    for batch in batches:
-        for i, v in zip(batch.column("i").to_pylist(), batch.column("v").to_pylist()):
-            total[i] = total.get(i, 0) + np.frombuffer(v)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["i", "v"])
-
-
 def pool(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Isotonic means of y with weights n, in the order given, by pooling adjacent violators."""
     blocks: list[list[float]] = []
@@ -163,14 +155,12 @@ def fit(stats: DataFrame, labels: DataFrame):
         return None
     features = Cosines([r["m"] for r in sums], [max(r["d"], 1e-6) for r in sums])
     train = learn.where(f"fold <> {CALIBRATE}")
-    parts = train.mapInArrow(_equations(features), "i long, v binary").withColumn("salt", F.spark_partition_id() % 32)
-    added = lambda t: pa.Table.from_batches(list(_add(t.to_batches())))
-    rows = parts.groupBy("i", "salt").applyInArrow(added, "i long, v binary").groupBy("i").applyInArrow(added, "i long, v binary").collect()
+    rows = sum_vectors(train.mapInArrow(_equations(features), "part string, v binary")).collect()
     if not rows:
         return None
     total = np.zeros((FEATURES, FEATURES + 1))
     for r in rows:
-        total[r["i"]] = np.frombuffer(r["v"])
+        total[int(r["part"])] = np.frombuffer(r["v"])
     ridge = RIDGE * np.eye(FEATURES)
     ridge[-1, -1] = 1e-6
     weights = np.linalg.solve(total[:, :-1] + ridge, total[:, -1])
