@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foliospark.operators import diff as d
 from foliospark.operators import protect as p
 from foliospark.operators import rules as r
+from foliospark.operators import semantic
 from foliospark.operators import template as t
 from foliospark.sources import table
 from foliospark.sources.projectors import document_nodes, page_nodes
@@ -84,6 +85,18 @@ def compare_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.compare_documents(docs.withColumn("revised", edited))
 
 
+def semantic_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences between every document and a copy with lines moved, changed, removed and added."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("base"))
+    lines = F.split("base", "\n")
+    edited = (
+        F.when(F.col("doc_id") % 4 == 0, F.array_join(F.concat(F.slice(lines, -1, 1), F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))), "\n"))
+        .when(F.col("doc_id") % 4 == 1, F.regexp_replace("base", "[.] ", "; ")).when(F.col("doc_id") % 4 == 2, F.regexp_replace("base", "\n[^\n]*$", ""))
+        .otherwise(F.concat("base", F.lit("\nA line that is new.")))
+    )
+    return semantic.semantic_diff(docs.withColumn("revised", edited))
+
+
 def compare_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clause alignment between conversations and their edited copies: each turn is a clause headed by its first words."""
     turns = table(spark, sf_dir, "conversations").select(
@@ -244,7 +257,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        entry_diff, three_way_merge, merge_resolved, patch_roundtrip, merge_review_rounds, tracked_changes, compare_documents, compare_contracts, moved_children,
+        entry_diff, three_way_merge, merge_resolved, patch_roundtrip, merge_review_rounds, tracked_changes, compare_documents, semantic_diff, compare_contracts, moved_children,
         first_line_similarity, equal_after_normalising, lint_findings, lint_rollup, analysis_signals, pii_entities, pii_spans, redact_text, page_stamps, template_tags,
         template_fill, binding_plan, skip_records, table_formulas, table_csv, package_fingerprint, event_windows,
     )

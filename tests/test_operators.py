@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import numerals
-from foliospark.operators import diff, graph, ordered, protect, query, template
+from foliospark.operators import diff, graph, ordered, protect, query, semantic, template
 
 
 def test_outline_parent_is_stack_parent(spark):
@@ -125,3 +125,23 @@ def test_merge_islands(spark):
     cells = spark.createDataFrame([(1, r, s) for r, s in [(0, True), (1, False), (2, True), (5, False)]], "t int, row int, restart boolean")
     got = sorted((r.first_row, r.last_row, r.status) for r in ordered.merge_islands(cells, ["t"], "row", "restart").collect())
     assert got == [(0, 1, "CHAIN"), (2, 2, "CHAIN"), (5, 5, "ORPHAN_CONTINUATION")]
+
+
+def test_semantic_differences():
+    base = ["alpha one", "beta two", "gamma three here", "eps five", "delta four", "x"]
+    revised = ["delta four", "alpha one", "gamma three there", "eps five", "new line entirely", "x"]
+    got = [(k, a, b) for k, a, b, *_ in semantic.differences(base, revised)]
+    assert got == [("Removed", 1, None), ("TextChanged", 2, 2), ("Moved", 4, 0), ("Added", None, 4)]
+    assert semantic.differences(base, base) == [] and semantic.differences([], ["a"]) == [("Added", None, 0, None, "Exact")]
+    random.seed(5)
+    for _ in range(100):
+        a = [random.choice("abcdefgh") * random.randint(1, 4) for _ in range(random.randint(0, 8))]
+        b = [x for x in a if random.random() < 0.7] + [random.choice("xyz")]
+        random.shuffle(b)
+        rows = semantic.differences(a, b)
+        assert sum(k == "Added" for k, *_ in rows) - sum(k == "Removed" for k, *_ in rows) == len(b) - len(a)
+
+
+def test_semantic_diff_of_null_texts(spark):
+    rows = semantic.semantic_diff(spark.createDataFrame([(1, None, "a\nb"), (2, "a", None), (3, None, None)], "doc_id long, base string, revised string")).collect()
+    assert sorted((r.doc_id, r.kind) for r in rows) == [(1, "Added"), (1, "Added"), (2, "Removed")]
