@@ -39,6 +39,15 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def hashed_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """The rows whose key's hash is below most / rows: ``most`` of them in expectation, all where there are no more.
+
+    Unlike an ordered limit, no task sends its own ``most`` rows to the driver. Reruns agree.
+    """
+    n = df.count()
+    return df if n <= most else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int((1 << 30) * most / n)))
+
+
 def shared_dir(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint in the folder that all executors share.
 
