@@ -3,12 +3,12 @@
 The model. A text is its lower-cased words and one end. Each word is known to the
 attention by the mean embedding of its subword ids (public 32k pieces, never
 trained here). From the words before, masked self-attention gives the weights
-of ``TOPICS`` components; each predicts the next word, as a whole if it is among
-the ``HEAD`` most frequent ones (at most), and piece by piece otherwise:
+of ``TOPICS`` components; each predicts the next word, as a whole if training
+documents have it, and piece by piece:
 
     P(w | before) = sum_k weight_k * (whole_k(w) + spelled_k * first_k(piece_1) * prod bigram(piece_j | piece_j-1))
 
-whole_k is a component's own count for the ``TOP`` most frequent words; other head words
+whole_k is a component's own count for the ``TOP`` most frequent words; all other words seen
 share their count with their class, the component that their subword ids suit best.
 All counts are discounted, and spelled_k is what that leaves for words never seen.
 
@@ -22,8 +22,9 @@ any random one). The attention's weights are learned by Adam inside every task,
 ``EVERY``-th window of all training documents, and averaged by windows.
 
 Sizes. What every task gets is bounded: ``HEAD`` words, ``MOST_BIGRAMS`` transitions and
-arrays by piece. Counts of rarer words, which grow with the input, stay in Spark:
-the scored rows carry their rare words, which are joined with the counts.
+arrays by piece. Counts of rarer ones, which grow with the input, stay in Spark: rows name
+those of their words and transitions that no task has, and are joined with the counts
+before they are scored. So both bounds say where a count comes from, never whether it counts.
 
 Null texts are empty (one end token). A null id counts as the empty text.
 Repeated rows are learned and scored one by one. Without training documents the
@@ -122,27 +123,37 @@ def _count_rows(shared):
     return run
 
 
+NO_COUNTS = np.empty(0, np.int64), np.empty(0, np.int64)
+
+
+def find(keys, counts, wanted) -> np.ndarray:
+    """The count of each wanted key among sorted ones, 0 for others."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, counts[at], 0).astype(np.float64)
+
+
 class Spelling:
     """log P of the pieces of a word after its first, and of its stop."""
 
     def __init__(self, top, out_of, into):
-        self.keys, order = np.sort(top[:, 0]), np.argsort(top[:, 0])
-        total = np.zeros(PIECES)
-        total[out_of[:, 0]] = out_of[:, 1]
+        """``top``: (transition, count) of frequent ones; ``out_of``: (piece, count, distinct transitions), ``into``: (next, count) of all."""
+        order = np.argsort(top[:, 0])
+        self.keys, self.counts = top[order, 0], top[order, 1]
+        self.total, seen = np.ones(PIECES), np.zeros(PIECES)
+        self.total[out_of[:, 0]], seen[out_of[:, 0]] = out_of[:, 1], out_of[:, 2]
         self.back = np.full(PIECES + 1, 0.01)
         self.back[into[:, 0]] += into[:, 1]
         self.back /= self.back.sum()
-        p = self.keys // (PIECES + 1)
-        self.kept = (top[order, 1] - 0.5) / total[p] if len(p) else np.empty(0)
-        self.rest = 1 - np.bincount(p, self.kept, PIECES)  # what discounts and rare pairs leave
+        self.rest = np.where(seen > 0, 0.5 * seen / self.total, 1)  # what discounts leave
 
-    def __call__(self, w: Words) -> np.ndarray:
+    def __call__(self, w: Words, more=NO_COUNTS) -> np.ndarray:
+        """``more``: sorted keys and counts of transitions that are not in ``keys``."""
         p, q, word = w.transitions()
         key = p * (PIECES + 1) + q
-        prob = self.rest[p] * self.back[q]
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            prob = prob + np.where(self.keys[at] == key, self.kept[at], 0)
+        n = find(self.keys, self.counts, key) + find(*more, key)
+        prob = self.rest[p] * self.back[q] + np.where(n > 0, (n - 0.5) / self.total[p], 0)
         return np.bincount(word, np.log(prob), len(w.first))
 
 
@@ -271,24 +282,29 @@ def seed_topics(texts: list[str]):
 
 
 class Setup:
-    """What tasks need to learn the components: head words (key, n, class), seeds, attention at its start."""
-
-    def __init__(self, head, logs, share):
-        self.keys, self.counts, self.classes = head[:, 0], head[:, 1].astype(np.float64), head[:, 2]
-        self.number = TOP + self.classes
-        top = np.argsort(-self.counts, kind="stable")[:TOP]
-        self.number[top] = np.arange(len(top))
+    """What tasks need to learn the components: head words (key, n, class), classes (class, n, words) of all words, seeds, attention at its start."""
+
+    def __init__(self, head, classes, logs, share):
+        self.keys, self.counts = head[:, 0], head[:, 1]
+        top = np.sort(np.argsort(-self.counts, kind="stable")[:TOP])
+        self.top_keys = self.keys[top]
+        # by number, of a top word or a class: how often its words occur, and how many there are
+        self.size, self.used = np.zeros(UNSEEN + 1), np.zeros(UNSEEN + 1)
+        self.size[: len(top)], self.used[: len(top)] = self.counts[top], 1
+        self.size[TOP + classes[:, 0]], self.used[TOP + classes[:, 0]] = classes[:, 1], classes[:, 2]
+        self.size[TOP:] -= np.bincount(head[top, 2], self.counts[top], TOPICS + 1)
+        self.used[TOP:] -= np.bincount(head[top, 2], minlength=TOPICS + 1)
         self.logs, self.logs32, self.share = logs, np.ascontiguousarray(logs.T, np.float32), share
         self.emb = np.clip(logs - logs.mean(0), -3, 3).T.astype(np.float32)
         self.start = Attention(share)
 
-    def look_up(self, hashes):
-        """(numbers, counts) of words by hash; UNSEEN and 0 for words that are no head words."""
-        if not len(self.keys):
-            return np.full(len(hashes), UNSEEN), np.zeros(len(hashes))
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        ok = self.keys[at] == hashes
-        return np.where(ok, self.number[at], UNSEEN), np.where(ok, self.counts[at], 0)
+    def numbers(self, w: Words, known=True):
+        """Numbers of words: their own for top words, that of the class for other known ones, else UNSEEN."""
+        number = np.where(known, TOP + word_classes(w, self.logs32), UNSEEN)
+        if len(self.top_keys):
+            at = np.minimum(np.searchsorted(self.top_keys, w.hashes), len(self.top_keys) - 1)
+            number = np.where(self.top_keys[at] == w.hashes, at, number)
+        return number
 
 
 def _learn_rows(setup):
@@ -310,7 +326,7 @@ def _learn_rows(setup):
                 like = np.add.reduceat(s.logs32[w.pieces], w.piece_at[:-1])
                 best = (np.add.reduceat(like[w.seq], starts) + np.log(s.share)).argmax(1)
                 topic = np.repeat(best, np.minimum(starts + SPAN, hi) - starts)
-                number = s.look_up(w.hashes)[0][w.seq]
+                number = s.numbers(w)[w.seq]
                 head += np.bincount(topic * (UNSEEN + 1) + number, minlength=head.size).reshape(head.shape)
                 rare = number >= TOP
                 first += np.bincount(topic[rare] * PIECES + w.first[w.seq[rare]], minlength=first.size).reshape(first.shape)
@@ -357,10 +373,9 @@ class Model:
             return (1 - BACK) * (x + 100 * plain) / (x.sum(1, keepdims=True) + 100) + BACK * plain
 
         # numbers that no word has get nothing
-        used = np.bincount(setup.number, minlength=UNSEEN + 1)
+        size, used = setup.size, setup.used.copy()
         used[UNSEEN] = 1
         whole = smooth(head, 1e-6 * (used > 0))
-        size = np.bincount(setup.number, setup.counts, UNSEEN + 1)  # of a top word or a class
         lost = np.where(size > 0, np.minimum(1, self.discount * used / np.maximum(size, 1)), 0)
         lost[UNSEEN] = 1
         self.spelled = np.log(whole @ lost)
@@ -368,27 +383,72 @@ class Model:
         self.size = size
         self.first = np.log(smooth(first, np.full(PIECES, 0.01))).T
 
-    def given(self, w: Words):
-        """Per distinct word: component likelihoods over their maximum, the log of that, head counts, and which are head words."""
-        number, counts = self.setup.look_up(w.hashes)
+    def given(self, w: Words, words=NO_COUNTS, transitions=NO_COUNTS):
+        """Per distinct word: component likelihoods over their maximum, the log of that, and its count in the training documents.
+
+        ``words`` and ``transitions``: sorted keys and counts of those that are not in the head.
+        """
+        counts = find(self.setup.keys, self.setup.counts, w.hashes) + find(*words, w.hashes)
         known = counts > 0
-        logs = self.spelled + self.first[w.first] + self.spelling(w)[:, None]
+        number = self.setup.numbers(w, known)
+        logs = self.spelled + self.first[w.first] + self.spelling(w, transitions)[:, None]
         logs[-1] = -700 if known[-1] else logs[-1]  # a known end has no spelling
         inside = np.log(np.maximum(counts - self.discount, 1e-9) / np.maximum(self.size[number], 1))[:, None]
         logs[known] = np.logaddexp(logs[known], (self.whole[number] + inside)[known])
         top = logs.max(1)
-        return np.exp(logs - top[:, None]).astype(np.float32), top, counts, known
+        return np.exp(logs - top[:, None]).astype(np.float32), top, counts
+
+
+def _rare_rows(shared):
+    """Per row: its text, and the kinds and keys of its words and transitions that are not in the head."""
+
+    def run(batches):
+        heads, pieces = shared.value, _pieces_model()
+        for batch in batches:
+            for part in row_slices(batch, "text", SLICE):
+                w = Words(part.column("text"), pieces)
+                n = len(w.at) - 1
+                pair = np.unique(w.row * len(w.hashes) + w.seq)
+                row, word = pair // len(w.hashes), pair % len(w.hashes)
+                p, q, of = w.transitions()
+                key = p * (PIECES + 1) + q
+                rare = find(heads[BIGRAM], np.ones(len(heads[BIGRAM])), key) == 0
+                key, of = key[rare], of[rare]
+                size = np.bincount(of, minlength=len(w.hashes))
+                begin = (np.cumsum(size) - size)[word]
+                size = size[word]
+                at = np.repeat(begin, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                keep = find(heads[WORD], np.ones(len(heads[WORD])), w.hashes)[word] == 0
+                r = np.concatenate([row[keep], np.repeat(row, size)])
+                kind = np.repeat(np.array([WORD, BIGRAM], np.int8), [int(keep.sum()), len(at)])
+                order = np.argsort(r, kind="stable")
+                ends = pa.array(np.searchsorted(r[order], np.arange(n + 1)).astype(np.int32))
+                keys = np.concatenate([w.hashes[word[keep]], key[at]])
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (kind, keys)]
+                names = ["doc_id", "held_out", "text"]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *lists], names=[*names, "kinds", "keys"])
+
+    return run
+
+
+def _sorted_counts(kind, keys, counts, wanted):
+    """Sorted keys and counts of one kind, each key once."""
+    own = kind == wanted
+    key, at = np.unique(keys[own], return_index=True)
+    return key, counts[own][at]
 
 
 def _score_rows(shared):
-    """Per row: tokens, known head tokens, base of head tokens, model score, and rare words with their counts."""
+    """Per row: tokens, known tokens, base score, model score."""
 
     def run(batches):
         model, pieces = shared.value, _pieces_model()
         for batch in batches:
             for part in row_slices(batch, "text", SLICE):
                 w = Words(part.column("text"), pieces)
-                given, top, counts, known = model.given(w)
+                own = part.column("counts").flatten()
+                own = [own.field(c).to_numpy() for c in ("kind", "key", "n")]
+                given, top, counts = model.given(w, _sorted_counts(*own, WORD), _sorted_counts(*own, BIGRAM))
                 starts, lo, hi = _windows(w)
                 emb = w.mean(model.setup.emb)
                 score = np.zeros(len(w.seq))
@@ -401,16 +461,12 @@ def _score_rows(shared):
                     word = w.seq[np.minimum(t, len(w.seq) - 1)]
                     prob = np.einsum("wtk,wtk->wt", pi, given[word]).astype(np.float64)
                     score[t[valid]] = (np.log(np.maximum(prob, 1e-35)) + top[word])[valid]
-                base = np.where(known, np.log10((counts + 0.1) / model.norm), 0)
+                base = np.log10((counts + 0.1) / model.norm)
                 n = len(w.at) - 1
                 sums = lambda x: np.bincount(w.row, x, n)
-                rare = ~known[w.seq]
-                pair, times = np.unique(w.row[rare] * len(w.hashes) + w.seq[rare], return_counts=True)
-                ends = np.searchsorted(pair // len(w.hashes), np.arange(n + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (w.hashes[pair % len(w.hashes)], times.astype(np.int64))]
-                new = [pa.array(np.diff(w.at)), pa.array(sums((counts > 0)[w.seq]).astype(np.int64)), pa.array(sums(base[w.seq])), pa.array(sums(score) / np.log(10)), *lists]
-                names = ["n_tokens", "n_head", "base_head", "score", "rare", "times"]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *new], names=["doc_id", "held_out", *names])
+                new = [np.diff(w.at), sums((counts > 0)[w.seq]).astype(np.int64), sums(base[w.seq]), sums(score) / np.log(10)]
+                names = ["n_tokens", "n_known", "base_score", "score"]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *map(pa.array, new)], names=["doc_id", "held_out", *names])
 
     return run
 
@@ -447,38 +503,35 @@ def score_texts(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     seed = hashed_sample(train, F.col("doc_id"), SEED_DOCS).select("text").collect()
     logs, share = seed_topics(sorted(r["text"] or "" for r in seed))
     rows = train.select("text").mapInArrow(_count_rows(spark.sparkContext.broadcast(np.ascontiguousarray(logs.T, np.float32))), "kind byte, key long, cls byte, n long")
-    counts = shared_dir(rows.groupBy("kind", "key", "cls").agg(F.sum("n").alias("n")))
+    counts = shared_dir(rows.groupBy("kind", "key").agg(F.min("cls").alias("cls"), F.sum("n").alias("n")))
     words, pairs = counts.where(f"kind = {WORD}").select("key", "n", "cls"), counts.where(f"kind = {BIGRAM}").select("key", "n", "cls")
     total, distinct_words, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     head = most_frequent(words, HEAD)
+    classes = _numbers(words.groupBy("cls").agg(F.sum("n"), F.count("*")))
+    frequent = most_frequent(pairs, MOST_BIGRAMS)
     spelling = Spelling(
-        most_frequent(pairs, MOST_BIGRAMS)[:, :2],
-        _numbers(pairs.groupBy(F.floor(F.col("key") / (PIECES + 1)).alias("p")).agg(F.sum("n"))),
+        frequent[:, :2],
+        _numbers(pairs.groupBy(F.floor(F.col("key") / (PIECES + 1)).alias("p")).agg(F.sum("n"), F.count("*"))),
         _numbers(pairs.groupBy((F.col("key") % (PIECES + 1)).alias("q")).agg(F.sum("n"))),
     )
-    setup = Setup(head, logs, share)
+    setup = Setup(head, classes, logs, share)
     learn = _learn_rows(spark.sparkContext.broadcast(setup))
     learned = sum_vectors(train.select("text").mapInArrow(learn, "part string, v binary")).collect()
     model = Model(setup, total, distinct_words, once, twice, {r["part"]: np.frombuffer(r["v"]) for r in learned}, spelling)
-    shared = spark.sparkContext.broadcast(model)
     kind = own.schema["doc_id"].dataType.simpleString()
-    scored = own.mapInArrow(
-        _score_rows(shared), f"doc_id {kind}, held_out boolean, n_tokens long, n_head long, base_head double, score double, rare array<long>, times array<long>"
-    )
-    scored = shared_dir(scored.withColumn("rid", F.monotonically_increasing_id()))
-    base = lambda c: F.log10((c + 0.1) / F.lit(float(model.norm)))
-    rare = (
-        scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("r"))
-        .select("rid", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
-        .join(words.select("key", "n"), "key", "left")
-        .groupBy("rid")
-        .agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_rare"), F.sum(F.col("times") * base(F.coalesce("n", F.lit(0)))).alias("base_rare"))
+    heads = spark.sparkContext.broadcast({WORD: setup.keys, BIGRAM: spelling.keys})
+    rows = own.mapInArrow(_rare_rows(heads), f"doc_id {kind}, held_out boolean, text string, kinds array<byte>, keys array<long>")
+    rows = shared_dir(rows.withColumn("rid", F.monotonically_increasing_id()))
+    found = (
+        rows.select("rid", F.explode(F.arrays_zip("kinds", "keys")).alias("r"))
+        .select("rid", F.col("r.kinds").alias("kind"), F.col("r.keys").alias("key")).distinct()
+        .join(counts.select("kind", "key", "n"), ["kind", "key"])
+        .groupBy("rid").agg(F.collect_list(F.struct("kind", "key", "n")).alias("counts"))
     )
-    zero = F.lit(0)
-    return scored.join(rare, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", zero)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_head") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"), "score",
+    scored = rows.select("rid", "doc_id", "held_out", "text").join(found, "rid", "left").select("doc_id", "held_out", "text", "counts").mapInArrow(
+        _score_rows(spark.sparkContext.broadcast(model)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,6 +262,24 @@ def test_language_model(spark, odd_docs, no_docs):
     assert lm.score_texts(no_docs).count() == 0
 
 
+def test_counts_beyond_the_head_score_alike(spark, monkeypatch):
+    """The bounds of what tasks get in advance don't change any score."""
+    docs, start = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), lm.Setup.__init__
+
+    def few(self, head, *more):  # the same 50 top words with any bound
+        start(self, head[np.sort(np.argsort(-head[:, 1], kind="stable")[:50])], *more)
+        self.keys, self.counts = head[:, 0], head[:, 1]
+
+    monkeypatch.setattr(lm.Setup, "__init__", few)
+    scores = lambda: lm.score_texts(docs).toPandas().sort_values("doc_id")
+    whole = scores()
+    monkeypatch.setattr(lm, "HEAD", 300)
+    monkeypatch.setattr(lm, "MOST_BIGRAMS", 100)
+    cut = scores()
+    for c in ("n_known", "base_score", "score"):
+        assert np.allclose(whole[c], cut[c], rtol=1e-5)
+
+
 def test_attention_gradients_by_differences():
     rng = np.random.default_rng(9)
     k = lm.TOPICS
