@@ -16,10 +16,11 @@ Windows of ``CONTEXT + SPAN`` words overlap by ``CONTEXT``; each word is scored
 once, in the window where it is among the last ``SPAN``, in batches.
 
 Learning. Words, piece transitions and, per component, words and first
-pieces are counted over all training documents, in Spark. Embeddings start from a
-mixture of unigrams fitted on about ``SEED_DOCS`` documents (a bounded start, as for
-any random one). The attention's weights are learned by Adam inside every task, on every
-``EVERY``-th window of all training documents, and averaged by windows.
+pieces are counted over all training documents, in Spark. Embeddings come from a
+mixture of unigrams. It starts from about ``SEED_DOCS`` documents and is estimated again
+over all training documents in ``ROUNDS`` rounds of EM, whose sums are added in a tree.
+The attention's weights are learned by Adam inside every task, on every window of all
+training documents, and averaged by windows.
 
 Sizes. What every task gets is bounded: ``HEAD`` words, ``MOST_BIGRAMS`` transitions and
 arrays by piece. Counts of rarer ones, which grow with the input, stay in Spark: rows name
@@ -41,13 +42,14 @@ from pyspark.sql import functions as F
 from .common import arrow_words, bucket_of, distinct, hash_words, hashed_sample, row_slices, shared_dir, sum_vectors, table
 
 TOPICS, CONTEXT, SPAN, HEADS_WIDTH = 12, 16, 32, 8
-HEAD, TOP, MOST_BIGRAMS, SEED_DOCS, EVERY = 1 << 19, 1 << 15, 1 << 19, 1024, 8
+HEAD, TOP, MOST_BIGRAMS, SEED_DOCS, ROUNDS = 1 << 19, 1 << 15, 1 << 19, 1024, 3
 UNSEEN = TOP + TOPICS  # numbers: the top words, the classes of other head words, all others
 FOLDS, HELD_OUT = 10, 0
 PIECES, END_PIECE = 32_000, 2
 STOP = PIECES  # what follows the last piece of a word
 END_HASH = 4_542_532
-BLOCK, BATCH, SLICE = 96, 256, 4 << 20
+BLOCK, BATCH, PART, SLICE = 96, 256, 64, 4 << 20
+STRIP = 4096
 BACK = 0.2  # share of the plain counts in each component
 MODEL = "piece_bpe_32k.model"
 
@@ -281,6 +283,64 @@ def seed_topics(texts: list[str]):
     return logs, share
 
 
+def strips(name: str, array) -> dict:
+    """A matrix with a row for each component, as vectors by name and first column."""
+    return {f"{name}{a}": array[:, a: a + STRIP].ravel() for a in range(0, array.shape[1], STRIP)}
+
+
+def put_strip(array, part: str, v) -> None:
+    """Put a vector of ``strips`` in its place."""
+    block = v.reshape(TOPICS, -1)
+    array[:, int(part[1:]): int(part[1:]) + block.shape[1]] = block
+
+
+def _mix(sums, docs):
+    """Log piece probabilities by component, and component shares, from the expected counts of one round."""
+    base = sums.sum(0) + 0.01
+    base /= base.sum()
+    return np.log((sums + 200 * base) / (sums.sum(1, keepdims=True) + 200)), (docs + 1) / (docs.sum() + TOPICS)
+
+
+def _topic_rows(shared):
+    """Per task: expected counts of pieces by component in strips, and of documents."""
+
+    def run(batches):
+        (logs, share), pieces = shared.value, _pieces_model()
+        by_piece, sums, docs = np.ascontiguousarray(logs.T), np.zeros((TOPICS, PIECES)), np.zeros(TOPICS)
+        for batch in batches:
+            for part in row_slices(batch, "text", SLICE):
+                w = Words(part.column("text"), pieces)
+                size = np.add.reduceat(np.diff(w.piece_at)[w.seq], w.at[:-1])
+                like = np.add.reduceat(np.add.reduceat(by_piece[w.pieces], w.piece_at[:-1])[w.seq], w.at[:-1])
+                resp = _softmax(like * np.minimum(1, 200 / size)[:, None] + np.log(share))
+                docs += resp.sum(0)
+                of = np.repeat(np.arange(len(w.first)), np.diff(w.piece_at))
+                for k in range(TOPICS):
+                    n = np.bincount(w.seq, resp[w.row, k], len(w.first))
+                    sums[k] += np.bincount(w.pieces, n[of], PIECES)
+        if docs.any():
+            out = {"d": docs} | strips("t", sums)
+            yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([v.tobytes() for v in out.values()], pa.binary())], names=["part", "v"])
+
+    return run
+
+
+def all_topics(train: DataFrame, logs, share):
+    """The mixture of unigrams after ``ROUNDS`` rounds of EM over all training documents."""
+    for _ in range(ROUNDS):
+        shared = train.sparkSession.sparkContext.broadcast((logs, share))
+        rows = sum_vectors(train.select("text").mapInArrow(_topic_rows(shared), "part string, v binary")).collect()
+        sums, docs = np.zeros((TOPICS, PIECES)), np.zeros(TOPICS)
+        for part, v in ((r["part"], np.frombuffer(r["v"])) for r in rows):
+            if part == "d":
+                docs = v
+            else:
+                put_strip(sums, part, v)
+        if docs.sum() >= TOPICS - 1e-6:  # with fewer documents than components the start stays flat
+            logs, share = _mix(sums, docs)
+    return logs, share
+
+
 class Setup:
     """What tasks need to learn the components: head words (key, n, class), classes (class, n, words) of all words, seeds, attention at its start."""
 
@@ -309,7 +369,6 @@ class Setup:
 
 def _learn_rows(setup):
     """Per task: component counts of head words and first pieces in strips, and attention weights times their windows."""
-    strip = 4096
 
     def run(batches):
         s, pieces = setup.value, _pieces_model()
@@ -332,19 +391,22 @@ def _learn_rows(setup):
                 first += np.bincount(topic[rare] * PIECES + w.first[w.seq[rare]], minlength=first.size).reshape(first.shape)
                 emb = w.mean(s.emb)
                 given = np.exp(s.logs.T[w.first] - s.logs.T[w.first].max(1, keepdims=True)).astype(np.float32)
-                pick = np.arange((-seen) % EVERY, len(starts), EVERY)
                 seen += len(starts)
-                for a in range(0, len(pick), BATCH):
-                    i = pick[a: a + BATCH]
-                    x, inside = model.inputs(w, emb, starts[i], lo[i])
-                    t = starts[i][:, None] + np.arange(SPAN)
-                    valid = t < hi[i][:, None]
-                    adam.climb(model.gradients(x, inside, given[w.seq[np.minimum(t, len(w.seq) - 1)]], valid))
+                for a in range(0, len(starts), BATCH):
+                    targets = int((np.minimum(starts[a: a + BATCH] + SPAN, hi[a: a + BATCH]) - starts[a: a + BATCH]).sum())
+                    grads: dict = {}
+                    for b in range(a, min(a + BATCH, len(starts)), PART):  # parts that stay in the processor's cache
+                        i = slice(b, min(b + PART, a + BATCH))
+                        x, inside = model.inputs(w, emb, starts[i], lo[i])
+                        t = starts[i][:, None] + np.arange(SPAN)
+                        valid = t < hi[i][:, None]
+                        for n, g in model.gradients(x, inside, given[w.seq[np.minimum(t, len(w.seq) - 1)]], valid).items():
+                            grads[n] = grads.get(n, 0) + g * np.float32(valid.sum() / targets)
+                    adam.climb(grads)
         if seen:
             out = {"m": np.append(model.vector().astype(np.float64) * seen, seen)}
             for name, array in (("h", head), ("p", first)):
-                for a in range(0, array.shape[1], strip):
-                    out[f"{name}{a}"] = array[:, a: a + strip].ravel()
+                out |= strips(name, array)
             yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([v.tobytes() for v in out.values()], pa.binary())], names=["part", "v"])
 
     return run
@@ -364,9 +426,7 @@ class Model:
             if part == "m":
                 self.attention.load(v[:-1] / v[-1])
             else:
-                array, a = (head if part[0] == "h" else first), int(part[1:])
-                block = v.reshape(TOPICS, -1)
-                array[:, a: a + block.shape[1]] = block
+                put_strip(head if part[0] == "h" else first, part, v)
 
         def smooth(x, e):
             plain = (x.sum(0) + e) / (x.sum() + e.sum())
@@ -501,7 +561,7 @@ def score_texts(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     own = docs.select(F.col(doc_id).alias("doc_id"), (bucket_of(F.col(doc_id), FOLDS) == HELD_OUT).alias("held_out"), F.col(text).alias("text"))
     train = own.where(~F.col("held_out")).select("doc_id", "text")
     seed = hashed_sample(train, F.col("doc_id"), SEED_DOCS).select("text").collect()
-    logs, share = seed_topics(sorted(r["text"] or "" for r in seed))
+    logs, share = all_topics(train, *seed_topics(sorted(r["text"] or "" for r in seed)))
     rows = train.select("text").mapInArrow(_count_rows(spark.sparkContext.broadcast(np.ascontiguousarray(logs.T, np.float32))), "kind byte, key long, cls byte, n long")
     counts = shared_dir(rows.groupBy("kind", "key").agg(F.min("cls").alias("cls"), F.sum("n").alias("n")))
     words, pairs = counts.where(f"kind = {WORD}").select("key", "n", "cls"), counts.where(f"kind = {BIGRAM}").select("key", "n", "cls")

@@ -280,6 +280,42 @@ def test_counts_beyond_the_head_score_alike(spark, monkeypatch):
         assert np.allclose(whole[c], cut[c], rtol=1e-5)
 
 
+def test_topics_are_estimated_over_all_documents(spark, monkeypatch):
+    """One round over all documents is the round in plain Python, whichever documents were the start."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    texts, pieces = [r.text for r in docs.collect()], lm._pieces_model()
+    logs, share = lm.seed_topics(texts[:40])
+    sums, n = np.zeros((lm.TOPICS, lm.PIECES)), np.zeros(lm.TOPICS)
+    for t in texts:
+        ids = np.array([p for w in WORD.findall((t or "").translate(LOWER)) for p in pieces.encode(w)] + [lm.END_PIECE])
+        z = logs[:, ids].sum(1) * min(1, 200 / len(ids)) + np.log(share)
+        r = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        n += r
+        sums += r[:, None] * np.bincount(ids, minlength=lm.PIECES)
+    monkeypatch.setattr(lm, "ROUNDS", 1)
+    got_logs, got_share = lm.all_topics(docs, logs, share)
+    base = (sums.sum(0) + 0.01) / (sums.sum() + 0.01 * lm.PIECES)
+    assert np.allclose(got_logs, np.log((sums + 200 * base) / (sums.sum(1, keepdims=True) + 200)))
+    assert np.allclose(got_share, (n + 1) / (len(texts) + lm.TOPICS)) and not np.allclose(got_logs, logs)
+
+
+def test_every_window_trains_the_attention(monkeypatch):
+    """A task takes one step for each batch of all its windows."""
+    import types
+
+    import pyarrow as pa
+
+    steps = []
+    climb = lm.Adam.climb
+    monkeypatch.setattr(lm.Adam, "climb", lambda self, g: (steps.append(1), climb(self, g)))
+    texts = pa.array(["the dog runs over the hill and " * 100] * 40)
+    logs, share = np.full((lm.TOPICS, lm.PIECES), -np.log(lm.PIECES)), np.full(lm.TOPICS, 1 / lm.TOPICS)
+    setup = lm.Setup(np.empty((0, 3), np.int64), np.empty((0, 3), np.int64), logs, share)
+    out = list(lm._learn_rows(types.SimpleNamespace(value=setup))([pa.RecordBatch.from_arrays([texts], names=["text"])]))
+    windows = 40 * -(-701 // lm.SPAN)
+    assert np.frombuffer(out[0].column("v")[0].as_py())[-1] == windows and len(steps) == -(-windows // lm.BATCH)
+
+
 def test_attention_gradients_by_differences():
     rng = np.random.default_rng(9)
     k = lm.TOPICS
