@@ -3,8 +3,9 @@
 Each text is scanned for the three base kinds. Then its encoded stretches
 (percent escapes, Unicode escapes and numeric character references, base64, and what
 compressed data base64 holds) are unwrapped, each layer is scanned and unwrapped
-in turn until nothing new appears; layers already seen are not visited again,
-so layers that decode to each other end. A hit in a layer is mapped back to
+in turn until nothing new appears; layers already seen at the same place are not
+visited again, so layers that decode to each other end. The same encoded stretch at two
+places is mapped to both. A hit in a layer is mapped back to
 the text: through escapes character by character, through base64 and
 compression to the whole encoded stretch.
 
@@ -139,10 +140,28 @@ def _base64_layers(text):
             yield m.start(), m.end(), plain
 
 
+UNWRAPS = (("%", _unpercent), ("\\", _unescape), ("&#", _unescape))
+
+
+def _kinds(text: str) -> set[int]:
+    """Kinds of the secrets of a decoded text at any layer; all of them lie in one encoded stretch of the document."""
+    out, seen, work = set(), {text}, [text]
+    while work:
+        layer = work.pop()
+        out |= {k for _, k, _ in scan(layer)}
+        inner = [got[0] for sign, unwrap in UNWRAPS if sign in layer and (got := unwrap(layer, lambda a, b: [(0, 0)] * (b - a)))]
+        for more in inner + [plain for _, _, plain in _base64_layers(layer)]:
+            if more not in seen:
+                seen.add(more)
+                work.append(more)
+    return out
+
+
 def scan_layers(text: str) -> tuple[list, list]:
     """Base secrets and all secrets of a text, as sorted (start, kind, end)."""
     base = sorted(scan(text))
-    found, seen = set(base), {text}
+    found, known = set(base), {}
+    seen = {text: [None]}  # the places of each layer reached through escapes
     # a layer: its text, and a function that gives (start, end) in the document for a range of its characters
     work = [(text, lambda a, b: [(i, i + 1) for i in range(a, b)], True)]
     while work:
@@ -151,16 +170,16 @@ def scan_layers(text: str) -> tuple[list, list]:
             for a, kind, b in scan(layer):
                 span = places(a, b)
                 found.add((span[0][0], kind, span[-1][1]))
-        for sign, unwrap in (("%", _unpercent), ("\\", _unescape), ("&#", _unescape)):
-            if sign in layer and (got := unwrap(layer, places)) is not None and got[0] not in seen:
-                seen.add(got[0])
+        for sign, unwrap in UNWRAPS:
+            if sign in layer and (got := unwrap(layer, places)) is not None and got[1] not in seen.setdefault(got[0], []):
+                seen[got[0]].append(got[1])
                 work.append((got[0], lambda a, b, w=got[1]: w[a:b], False))
         for a, b, plain in _base64_layers(layer):
-            if plain not in seen:
-                seen.add(plain)
+            if plain not in known:
+                known[plain] = _kinds(plain)
+            if known[plain]:
                 span = places(a, b)
-                whole = (span[0][0], span[-1][1])
-                work.append((plain, lambda a, b, w=whole: [w] * (b - a), False))
+                found |= {(span[0][0], kind, span[-1][1]) for kind in known[plain]}
     return base, sorted(found)
 
 

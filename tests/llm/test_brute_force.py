@@ -118,6 +118,19 @@ def test_nested_layers_are_unwrapped_and_mapped(depth):
         assert all(9 <= a < b <= 9 + len(inner) for a, k, b in found if k < 2 and (a, k, b) not in base)
 
 
+def test_every_copy_of_an_encoded_secret_is_mapped(spark):
+    plain = "password=Sup3rS3cretValue1"
+    one, two = base64.b64encode(plain.encode()).decode(), base64.b64encode(gzip.compress(plain.encode(), mtime=0)).decode()
+    nested = base64.b64encode(f"x {one} y".encode()).decode()
+    places, text = [], "a"
+    for blob in (one, two, one, nested, two, nested):
+        places.append((len(text) + 1, 0, len(text) + 1 + len(blob)))
+        text += f" {blob} z%20"
+    assert secrets.scan_layers(text)[1] == places
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.redact_secrets(docs).first().text == "a" + f" {secrets.MASK} z%20" * 6
+
+
 def test_percent_spans_are_exact_and_cycles_end():
     text = "x " + urllib.parse.quote('token="abcdefghijkl"') + " y"
     (start, kind, end), = [s for s in secrets.scan_layers(text)[1] if s[1] == 0]
