@@ -10,8 +10,9 @@ the text: through escapes character by character, through base64 and
 compression to the whole encoded stretch.
 
 Decoding one text needs that text alone, so the work is spread by rows and
-any lost task is simply run again. A compressed layer is unpacked up to
-``MOST_BYTES``; a larger one is left packed, as a guard against bombs.
+any lost task is simply run again. Compressed layers are unpacked in a stream and scanned
+in overlapping blocks of ``BLOCK`` bytes, whatever their size. Decoded bytes are scanned even
+where they are no clean text; base64 that is wrapped over lines is also read as one stretch.
 
 Null texts are empty and have no secrets. Repeated rows are scanned one by one.
 """
@@ -20,26 +21,29 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import re
 import zlib
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import row_slices, table
 
 KINDS = ("assign", "access", "hex")
-MOST_BYTES = 64 << 20
+BLOCK, OVERLAP = 16 << 20, 1 << 16
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so shorter ones can be left out at once
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
+_BAD = re.compile("[\udc80-\udcff]")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]++)+={0,2}")
+_LINE = re.compile(r"(?:\\r)?\\n|[A-Za-z0-9+/_-]+={0,2}")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -58,19 +62,16 @@ def _unpercent(text, places):
     """The text without percent escapes, and per character its (start, end) before."""
     out, where, last = [], [], 0
     for m in _PERCENT.finditer(text):
-        raw = bytes.fromhex(m[0].replace("%", ""))
-        try:
-            plain = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
+        # a byte that is no UTF-8 becomes a character of its own
+        plain = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
         out.append(text[last: m.start()])
         where += places(last, m.start())
         at = m.start()
         for ch in plain:
-            to = at + 3 * len(ch.encode("utf-8"))
+            to = at + 3 * len(ch.encode("utf-8", "surrogateescape"))
             where.append((places(at, at + 1)[0][0], places(to - 1, to)[0][1]))
             at = to
-        out.append(plain)
+        out.append(_BAD.sub("\ufffd", plain))
         last = m.end()
     return None if not last else ("".join(out) + text[last:], where + places(last, len(text)))
 
@@ -97,63 +98,140 @@ def _unescape(text, places):
     return None if not last else ("".join(out) + text[last:], where + places(last, len(text)))
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """What gzip, zlib or zstd data holds, if it is whole and not too large."""
+def _decoder(head: bytes):
+    """A decoder for gzip, zlib or zstd data that begins so, else None."""
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78":
+        return zlib.decompressobj(47)
+    return zstandard.ZstdDecompressor().decompressobj() if head[:4] == b"\x28\xb5\x2f\xfd" else None
+
+
+def _inflate(chunks):
+    """What compressed data holds, up to its end or first fault; small inputs at a time keep the outputs small."""
+    d, left = None, b""
+    for chunk in chunks:
+        for a in range(0, len(chunk), 1024):
+            data, left = left + chunk[a: a + 1024], b""
+            while data:
+                if d is None:
+                    if len(data) < 4:
+                        left = data
+                        break
+                    if (d := _decoder(data)) is None:
+                        return
+                try:
+                    out = d.decompress(data)
+                except (zlib.error, zstandard.ZstdError):
+                    return
+                if out:
+                    yield out
+                data, d = (d.unused_data, None) if d.eof else (b"", d)
+
+
+def _unpack(chunks, heads=()):
+    """Chunks of bytes, inflated again and again; data that holds itself ends."""
+    chunks = iter(chunks)
+    first = next(chunks, b"")
+    rest = [first]
+    if (head := first[:OVERLAP]) not in heads and _decoder(first) is not None:
+
+        def noted():
+            yield first
+            for more in chunks:
+                rest.append(more)
+                yield more
+
+        inner = _unpack(_inflate(noted()), (*heads, head))
+        if begin := next(inner, b""):
+            rest.clear()
+            yield begin
+            for more in inner:
+                rest.clear()
+                yield more
+            return
+    yield from rest
+    yield from chunks
+
+
+def _blocks(raw: bytes):
+    """(block, whether it is the last) of unpacked data, all but the last of ``BLOCK`` bytes."""
+    held = bytearray()
+    for chunk in _unpack([raw]):
+        held += chunk
+        while len(held) > BLOCK:
+            yield bytes(held[:BLOCK]), False
+            del held[:BLOCK]
+    yield bytes(held), True
+
+
+def _tail(text: str) -> str:
+    """The end of a block that is scanned again with the next one: from the last blank within a line, so no stretch is cut."""
+    at = text.rfind(" ", 0, max(0, len(text) - OVERLAP))
+    while at > 0 and text[at - 1] in " \t\r\n":
+        at = text.rfind(" ", 0, at)
+    return text[max(at, 0):]
+
+
+def _texts(raw: bytes):
+    """The texts that decoded bytes may be, in overlapping blocks."""
+    tails: dict = {}
+    for block, last in _blocks(raw):
+        wide = ("utf-16-le", "utf-16-be", "utf-32-le", "utf-32-be") if b"\0" in block else ()
+        for name in ("utf-8", *wide):
+            text = tails.pop(name, "") + block.decode(name, "replace")
+            if not last:
+                tails[name] = _tail(text)
+            yield text
+
+
+def _unbase64(body: str) -> bytes | None:
+    body = body.rstrip("=").replace("-", "+").replace("_", "/")
+    body = body[: len(body) - (len(body) % 4 == 1)]
     try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-            d = zlib.decompressobj(47)
-            plain = d.decompress(raw, MOST_BYTES)
-            return plain if d.eof else None
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            plain = zstandard.ZstdDecompressor().decompress(raw, max_output_size=MOST_BYTES)
-            return plain
-    except Exception:  # noqa: BLE001  any fault of a decoder means: not compressed after all
+        return base64.b64decode(body + "=" * (-len(body) % 4))
+    except (binascii.Error, ValueError):
         return None
-    return None
-
-
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
 def _base64_layers(text):
-    """(start, end, text) of stretches whose base64 holds text, plain or compressed again and again."""
+    """(start, end, bytes) of stretches of base64, and of lines of it that belong together."""
     for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1 or ("+" in body or "/" in body) and ("-" in body or "_" in body):
-            continue
-        try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        seen = set()
-        while (more := _inflate(raw)) is not None and (h := hashlib.sha256(more).digest()) not in seen:
-            seen.add(h)
-            raw = more
-        if (plain := _readable(raw)) is not None:
-            yield m.start(), m.end(), plain
+        if (raw := _unbase64(m[0])) is not None:
+            yield m.start(), m.end(), raw
+    for m in _WRAPPED.finditer(text):
+        lines = [x for x in _LINE.finditer(text, m.start(), m.end()) if x[0][0] != "\\"]
+        size = [len(x[0]) for x in lines]
+        first = 0
+        while first < len(lines):  # lines of one length, with a shorter one after them
+            last = first
+            while last + 1 < len(lines) and size[last + 1] == size[first]:
+                last += 1
+            end = last + (last + 1 < len(lines) and size[last + 1] < size[first])
+            for begin in {first, max(0, first - 1)}:  # what stands before the first whole line may belong to it
+                if end > begin and (raw := _unbase64("".join(x[0] for x in lines[begin: end + 1]))) is not None:
+                    yield lines[begin].start(), lines[end].end(), raw
+            first = last + 1
 
 
 UNWRAPS = (("%", _unpercent), ("\\", _unescape), ("&#", _unescape))
 
 
-def _kinds(text: str) -> set[int]:
-    """Kinds of the secrets of a decoded text at any layer; all of them lie in one encoded stretch of the document."""
-    out, seen, work = set(), {text}, [text]
+def _kinds(raw: bytes) -> set[int]:
+    """Kinds of the secrets of decoded bytes at any layer; all of them lie in one encoded stretch of the document."""
+    out, seen, work = set(), {raw}, [raw]
     while work:
-        layer = work.pop()
-        out |= {k for _, k, _ in scan(layer)}
-        inner = [got[0] for sign, unwrap in UNWRAPS if sign in layer and (got := unwrap(layer, lambda a, b: [(0, 0)] * (b - a)))]
-        for more in inner + [plain for _, _, plain in _base64_layers(layer)]:
-            if more not in seen:
-                seen.add(more)
-                work.append(more)
+        for text in _texts(work.pop()):
+            layers, known = [text], {text}
+            while layers:
+                layer = layers.pop()
+                out |= {k for _, k, _ in scan(layer)}
+                for sign, unwrap in UNWRAPS:
+                    if sign in layer and (got := unwrap(layer, lambda a, b: [(0, 0)] * (b - a))) and got[0] not in known:
+                        known.add(got[0])
+                        layers.append(got[0])
+                for _, _, inner in _base64_layers(layer):
+                    if inner not in seen:
+                        seen.add(inner)
+                        work.append(inner)
     return out
 
 
@@ -174,12 +252,12 @@ def scan_layers(text: str) -> tuple[list, list]:
             if sign in layer and (got := unwrap(layer, places)) is not None and got[1] not in seen.setdefault(got[0], []):
                 seen[got[0]].append(got[1])
                 work.append((got[0], lambda a, b, w=got[1]: w[a:b], False))
-        for a, b, plain in _base64_layers(layer):
-            if plain not in known:
-                known[plain] = _kinds(plain)
-            if known[plain]:
+        for a, b, raw in _base64_layers(layer):
+            if raw not in known:
+                known[raw] = _kinds(raw)
+            if known[raw]:
                 span = places(a, b)
-                found |= {(span[0][0], kind, span[-1][1]) for kind in known[plain]}
+                found |= {(span[0][0], kind, span[-1][1]) for kind in known[raw]}
     return base, sorted(found)
 
 

@@ -131,6 +131,35 @@ def test_every_copy_of_an_encoded_secret_is_mapped(spark):
     assert secrets.redact_secrets(docs).first().text == "a" + f" {secrets.MASK} z%20" * 6
 
 
+def test_decoded_layers_are_scanned_whatever_they_hold(monkeypatch):
+    plain = "\ufeffa\u00a0b\u200b\x1b\x00 password=Sup3rS3cretValue1"
+    encode = lambda raw: base64.b64encode(raw).decode()
+    long = "some words of a long file " * 40 + "password=Sup3rS3cretValue1" + " and more words" * 40
+    wrap = lambda s, n, sep="\n": sep.join(s[i: i + n] for i in range(0, len(s), n))
+    packed = gzip.compress(random.Random(3).randbytes(900) + long.encode())
+    stretches = [
+        encode(plain.encode()), encode(b"\xff\xfe\x81 " + plain.encode()), *[encode(plain.encode(c)) for c in ("utf-16", "utf-16-be", "utf-32")],
+        *[wrap(encode(x), n, sep) for x in (long.encode(), packed) for n in (64, 76) for sep in ("\n", "\r\n  ", "\\n")],
+        encode(gzip.compress(b"one") + gzip.compress(plain.encode())), encode(gzip.compress(plain.encode() * 9)[:-8]),
+    ]
+    for blob in stretches:
+        text = f"é: {blob} after"
+        assert (3, 0, 3 + len(blob)) in secrets.scan_layers(text)[1], blob
+    bad = "%ff" + "".join(f"%{b:02X}" for b in b"password=Sup3rS3cretValue1")
+    assert secrets.scan_layers(bad)[1] == [(3, 0, len(bad))]
+    monkeypatch.setattr(secrets, "BLOCK", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    for n in range(900, 1010, 3):  # across the end of a block, plain and encoded again
+        for inner in ("password=Sup3rS3cretValue1", encode(b"x" * 300 + b" password=Sup3rS3cretValue1")):
+            blob = encode(zlib.compress(("word " * 400)[:n].encode() + b" " + inner.encode() + b" word" * 500))
+            assert secrets.scan_layers(blob)[1] == [(0, 0, len(blob))]
+
+
+def test_a_layer_above_64_mb_is_scanned():
+    blob = base64.b64encode(gzip.compress(b"word " * (14 << 20) + b"password=Sup3rS3cretValue1", 1)).decode()
+    assert (0, 0, len(blob)) in secrets.scan_layers(blob)[1]
+
+
 def test_percent_spans_are_exact_and_cycles_end():
     text = "x " + urllib.parse.quote('token="abcdefghijkl"') + " y"
     (start, kind, end), = [s for s in secrets.scan_layers(text)[1] if s[1] == 0]
