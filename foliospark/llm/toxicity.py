@@ -42,7 +42,7 @@ LEET = {
 }
 SEPARATORS = set(".-_*~'`^:,/\\|&%#\"")
 _PUNCT = "!\"#$%&'()*+,-./:;<=>?[\\]^_`{|}~"
-_ODD = re.compile(r"[0-9@$!|+(€£]|[a-z][.\-_*~'`^:,/\\&%#]+[a-z]|([a-z])\1\1|^(?:([a-z])\2){3,}$")
+_ODD = re.compile(r"[0-9@$!|+(€£]|[^\W\d_][.\-_*~'`^:,/\\&%#]+[^\W\d_]|([^\W\d_])\1\1|^(?:([a-z])\2){3,}$")
 _LETTER = re.compile(r"[^\W\d_]")
 N_SIGNS = 28  # a-z, the edge of a word, any other character
 _EDGE, _OTHER = 26, 27
@@ -98,7 +98,7 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         run = run + 1 if ch == last else 1
         last = ch
         here = []
-        if "a" <= ch <= "z":
+        if _LETTER.match(ch):  # letters beyond a-z stand for themselves, as other characters of the model
             here.append((ch, _KEEP if run < 3 else _LOST))
             if run > 1:
                 here.append(("", _DROP))
@@ -112,29 +112,42 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def _signs(letter: str) -> list[int]:
+    """The signs of the model for a letter: one for a-z, one for each byte of any other, none for no letter."""
+    return [ord(letter) - 97] if "a" <= letter <= "z" else [_OTHER] * len(letter.encode("utf-8"))
+
+
 def decode(word: str, model: CharModel) -> str:
     """The cheapest letters for a word by Viterbi decoding; a state is the last three letters."""
-    best = {(_EDGE, _EDGE, _EDGE): (0.0, "")}
+    best: dict = {(_EDGE, _EDGE, _EDGE): (0.0, None)}  # cost and (letters before, letter)
     for choices in lattice(word):
         step: dict = {}
-        for (a, b, c), (cost, text) in best.items():
+        for (a, b, c), (cost, before) in best.items():
             for letter, extra in choices:
-                if letter:
-                    d = ord(letter) - 97
-                    key, total, got = (b, c, d), cost + extra + model.after(a, b, c, d), text + letter
-                else:
-                    key, total, got = (a, b, c), cost + extra, text
+                key, total = (a, b, c), cost + extra
+                for d in _signs(letter):
+                    total += model.after(*key, d)
+                    key = (*key[1:], d)
                 if key not in step or total < step[key][0]:
-                    step[key] = (total, got)
+                    step[key] = (total, (before, letter) if letter else before)
         best = step
-    return min((cost + model.after(a, b, c, _EDGE), text) for (a, b, c), (cost, text) in best.items())[1]
+    ends = [(cost + model.after(a, b, c, _EDGE), before) for (a, b, c), (cost, before) in best.items()]
+    least = min(cost for cost, _ in ends)
+    texts = []
+    for _, at in (x for x in ends if x[0] == least):
+        letters = []
+        while at:
+            at, letter = at
+            letters.append(letter)
+        texts.append("".join(reversed(letters)))
+    return min(texts)
 
 
 def restore(word: str, model: CharModel) -> str:
     """A lower-case word without the punctuation around it, decoded if it looks disguised."""
     core = word.strip(_PUNCT)
     odd = word.rstrip(_PUNCT.replace("$", "").replace("@", "").replace("!", "").replace("|", "")) if re.match(r"[@$!][a-z0-9]", word) else core
-    if len(odd) > 2 and _ODD.search(odd) and _LETTER.search(odd) and odd.isascii() and len(odd) <= 64:
+    if len(odd) > 2 and _ODD.search(odd) and _LETTER.search(odd):
         return decode(odd, model)
     return core
 
@@ -157,6 +170,32 @@ def _spaced(raw, starts, ends, rows):
     return out
 
 
+def _short(word: str) -> str | None:
+    """What a word of a spaced-out run adds to it: two signs at most without the punctuation around them; None for longer words."""
+    core = word if len(word) == 1 else word.strip(_PUNCT)
+    return core if len(core) <= 2 else None
+
+
+def _uneven(code, shorts, rows):
+    """(row, letters) of runs of three or more short words, of which two at least have one sign."""
+    size = np.fromiter((-1 if x is None else len(x) for x in shorts), np.int64, len(shorts))[code] if len(code) else np.empty(0, np.int64)
+    edge = np.zeros(len(code) + 1, bool)
+    edge[rows] = True
+    out, k = [], np.flatnonzero(size >= 0)
+    if not len(k):
+        return out
+    new = np.ones(len(k), bool)
+    new[1:] = (np.diff(k) > 1) | edge[k[1:]]
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(k)))
+    singles = np.add.reduceat((size[k] == 1).astype(np.int64), first)
+    pick = (n > 2) & (singles > 1)
+    for f, m in zip(first[pick], n[pick]):
+        at = k[f: f + m]
+        out.append((int(np.searchsorted(rows, at[0], "right") - 1), "".join(shorts[code[i]] for i in at)))
+    return out
+
+
 def _names(core: str) -> list[str]:
     """Features of a restored word: itself, and how it begins."""
     return [] if len(core) < 3 else [core, *[f"{core[:n]}~" for n in PREFIXES if len(core) >= n]]
@@ -166,11 +205,14 @@ def _features(texts: pa.Array, model: CharModel, known=None):
     """(rows, feature names or numbers), each pair once. ``known`` maps names to numbers, others are left out."""
     raw, starts, ends, rows = arrow_words(texts)
     code, _, once = distinct(hash_words(raw, starts, ends).view(np.int64))
-    data = raw.tobytes()
+    code_all, data = code, raw.tobytes()
     names: dict = {} if known is None else known
-    lists = []
+    longest = None if known is None else max(map(len, known), default=0)
+    lists, shorts = [], []
     for i in once:
-        fs = _names(restore(data[starts[i]: ends[i]].decode("utf-8"), model))
+        word = data[starts[i]: ends[i]].decode("utf-8")
+        shorts.append(_short(word))
+        fs = _names(restore(word, model))
         lists.append([names.setdefault(f, len(names)) for f in fs] if known is None else [known[f] for f in fs if f in known])
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     size = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -182,10 +224,10 @@ def _features(texts: pa.Array, model: CharModel, known=None):
     at = np.repeat(begin[code], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     pairs = np.stack([np.repeat(row, n), flat[at] if len(flat) else np.empty(0, np.int64)], axis=1)
     more = []
-    for r, letters in _spaced(raw, starts, ends, rows):
+    for r, letters in sorted({*_spaced(raw, starts, ends, rows), *_uneven(code_all, shorts, rows)}):
         word = restore(letters, model) if _ODD.search(letters) else letters
         for a in range(len(word)):  # a run of letters may hold a word anywhere
-            for f in _names(word[a:]):
+            for f in _names(word[a: None if longest is None else a + max(longest, max(PREFIXES)) + 1]):
                 number = names.setdefault(f, len(names)) if known is None else known.get(f)
                 if number is not None:
                     more.append((r, number))

@@ -274,6 +274,22 @@ def test_disguised_words_are_restored():
         assert toxicity.restore(word, model) == want
 
 
+def test_disguised_words_of_any_letters_length_and_spacing():
+    import pyarrow as pa
+
+    counts = np.zeros(toxicity.N_SIGNS**4, np.int64)
+    for w in ("idiot", "moron", "loser", "stone", "débile", "abruti"):
+        s = [26, 26, 26, *(x for c in w for x in toxicity._signs(c)), 26]
+        for a, b, c, d in zip(s, s[1:], s[2:], s[3:]):
+            counts[((a * 28 + b) * 28 + c) * 28 + d] += 50
+    model = toxicity.CharModel(counts)
+    for word, want in {"déb1l3": "débile", "l0s€r": "loser", "i" * 80 + "diot": "idiot", "-----".join("l0ser"): "loser", "m." + "o" * 70 + ".r.o.n": "moron", ("-" * 20).join("l0ser"): "loser"}.items():
+        assert toxicity.restore(word, model) == want
+    known = {"idiot": 0, "loser": 1, "moron": 2}
+    for text, want in {"you i d io t": [0], "l. o. s. e. r.": [1], "a m o r o n": [2], "x " * 70 + "l 0 s 3 r": [1], "an old stone": []}.items():
+        assert toxicity._features(pa.array([text]), model, known)[0][:, 1].tolist() == want if want else not len(toxicity._features(pa.array([text]), model, known)[0])
+
+
 @pytest.mark.parametrize("score", [quality_model.score_quality, toxicity.score_toxicity])
 def test_classifiers_on_odd_rows(spark, odd_docs, no_docs, score):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (6, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
