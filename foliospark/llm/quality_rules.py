@@ -44,8 +44,8 @@ RULES = (
 )
 BIT = {r.name: 1 << i for i, r in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_windows"]
-#: Policies by version: documents with any of these bits go.
-POLICIES = {"base": BASE, "v1": sum(BIT.values())}
+#: Policies by version: documents with any of these bits go. In v2 many_words is only measured, as length alone is no fault.
+POLICIES = {"base": BASE, "v1": sum(BIT.values()), "v2": sum(BIT.values()) & ~BIT["many_words"]}
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaim")
 
 
@@ -153,9 +153,11 @@ SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^ 	
-]+') AS ws,
+
+]+') AS ws,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	
-]')) AS lines
+
+]')) AS lines
   FROM documents),
 win AS (
   SELECT rid, unnest(range(1, len(ws) - 1)) AS i, ws FROM d WHERE len(ws) >= 3),

@@ -239,6 +239,13 @@ def test_policies_and_ablation(spark, odd_docs, no_docs):
         assert r.n_kept_without == sum(1 for b in bits if b & ~bit == 0)
 
 
+def test_length_alone_rejects_no_document(spark):
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 1000001), i -> concat('word', i)))").alias("text"))
+    assert quality_rules.ledger(docs).first().fail_bits == quality_rules.BIT["many_words"]
+    pipeline = pytest.importorskip("corpus_pipeline")
+    assert pipeline.quality_rules(spark, docs, "").count() == 1
+
+
 # --- classifiers --------------------------------------------------------------------------
 
 
