@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,17 +53,37 @@ def hashed_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
 def shared_dir(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset,
-    as in tests, one below the warehouse is set.
+    The folder is that of ``shared_folder``.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        sc.setCheckpointDir(path)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or, in local mode only, one below the warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
+
+def written(df: DataFrame, name: str):
+    """(path, table): ``df`` as Parquet in the shared folder, read again, so a lost executor costs no recomputation."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a table of ``written`` that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 _BYTE = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
 _SPACE = (_BYTE == 32) | ((_BYTE >= 9) & (_BYTE <= 13))
@@ -147,20 +169,20 @@ def row_slices(batch: pa.RecordBatch, text: str = "text", most_bytes: int = 8 <<
             yield batch.slice(a, b - a)
 
 
-def _add_vectors(rows: pa.Table) -> pa.Table:
-    total = 0
-    for v in rows.column("v"):
-        total = total + np.frombuffer(v.as_py())
-    return pa.table({"part": rows.column("part")[:1], "at": rows.column("at")[:1], "v": pa.array([total.tobytes()], pa.binary())})
-
-
-def sum_vectors(rows: DataFrame, levels: int = 3, width: int = 128) -> DataFrame:
-    """(part, v): the sums by part of vectors of doubles (part string, v binary) that tasks give.
+def sum_vectors(rows: DataFrame, levels: int = 3, width: int = 128, kind=np.float64) -> DataFrame:
+    """(part, v): the sums by part of vectors of one ``kind`` (part string, v binary) that tasks give.
 
     A tree by task number: ``width`` vectors at most are added in one place, so ``levels``
     of 3 serve two million tasks.
     """
+
+    def add(group: pa.Table) -> pa.Table:
+        total = 0
+        for v in group.column("v"):
+            total = total + np.frombuffer(v.as_py(), kind).astype(np.float64)
+        return pa.table({"part": group.column("part")[:1], "at": group.column("at")[:1], "v": pa.array([total.astype(kind).tobytes()], pa.binary())})
+
     rows = rows.withColumn("at", F.spark_partition_id().cast("long"))
     for _ in range(levels):
-        rows = rows.withColumn("at", F.floor(F.col("at") / width)).groupBy("part", "at").applyInArrow(_add_vectors, "part string, at long, v binary")
+        rows = rows.withColumn("at", F.floor(F.col("at") / width)).groupBy("part", "at").applyInArrow(add, "part string, at long, v binary")
     return rows.select("part", "v")

@@ -1,57 +1,55 @@
 """Language-model scoring: causal self-attention over subword ids, trained in numpy.
 
-The model. A text is its lower-cased words and one end. Each word is known to the
-attention by the mean embedding of its subword ids (public 32k pieces, never
-trained here). From the words before, masked self-attention gives the weights
-of ``TOPICS`` components; each predicts the next word, as a whole if training
-documents have it, and piece by piece:
-
-    P(w | before) = sum_k weight_k * (whole_k(w) + spelled_k * first_k(piece_1) * prod bigram(piece_j | piece_j-1))
-
-whole_k is a component's own count for the ``TOP`` most frequent words; all other words seen
-share their count with their class, the component that their subword ids suit best.
-All counts are discounted, and spelled_k is what that leaves for words never seen.
-
-Windows of ``CONTEXT + SPAN`` words overlap by ``CONTEXT``; each word is scored
-once, in the window where it is among the last ``SPAN``, in batches.
-
-Learning. Words, piece transitions and, per component, words and first
-pieces are counted over all training documents, in Spark. Embeddings come from a
-mixture of unigrams. It starts from about ``SEED_DOCS`` documents and is estimated again
-over all training documents in ``ROUNDS`` rounds of EM, whose sums are added in a tree.
-The attention's weights are learned by Adam inside every task, on every window of all
-training documents, and averaged by windows.
-
-Sizes. What every task gets is bounded: ``HEAD`` words, ``MOST_BIGRAMS`` transitions and
-arrays by piece. Counts of rarer ones, which grow with the input, stay in Spark: rows name
-those of their words and transitions that no task has, and are joined with the counts
-before they are scored. So both bounds say where a count comes from, never whether it counts.
-
-Null texts are empty (one end token). A null id counts as the empty text.
-Repeated rows are learned and scored one by one. Without training documents the
-model is uniform over pieces.
+A text is its lower-cased words and one end, as subword ids (public 32k pieces, never trained
+here; each word is split by itself). ``lm_net.Net`` predicts every id from those before it.
+Windows of ``CONTEXT + SPAN`` ids overlap by ``CONTEXT``; each id is scored once, in the window
+where it is among the last ``SPAN``, in batches.
+
+Beside the network the model knows the phrases that training documents repeat. A text is cut
+into phrases where a hash of the three words before says so, at every eighth word or so. Where
+one begins, the model writes a repeated phrase whole with probability ``WHOLE``, by its count:
+
+    P(phrase | before) = (1 - WHOLE) * prod P_net(id | before) + WHOLE * (count - DISCOUNT) / phrases
+
+with no second term for a phrase seen less than twice. ``net_score`` has no such term.
+
+Learning. Words and phrases are counted over all training documents in Spark. One pass encodes
+every text; ids, their pairs and their classes are counted from it, and the network learns from
+every window of all training documents, in ``ROUNDS`` rounds with a part of the documents
+each. In a round documents are dealt by a hash to shards of about ``SHARD`` ids; each shard
+learns from the same start, in an order set by the hash, and the results are averaged. So the
+result doesn't depend on how Spark splits the input, and more documents mean more shards, not larger ones.
+
+Sizes. Tasks get the ``HEAD`` most frequent words for the base score; counts of all others, and
+of phrases, are joined to the rows. So the bound says where a count comes from, never whether it counts.
+
+Null texts are empty (one end token). A null id counts as the empty text. Extra columns are
+not looked at, whatever their names. Repeated rows are learned and scored one by one; equal rows
+get equal scores. Without training documents the network is uniform over pieces.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_words, bucket_of, distinct, hash_words, hashed_sample, row_slices, shared_dir, sum_vectors, table
+from . import lm_net
+from .common import arrow_words, bucket_of, distinct, drop_table, hash_words, mix64, row_slices, shared_dir, sum_vectors, table, written
+from .lm_net import BEGIN, BUCKETS, CLASSES, END, NAMES, PIECES, WIDTH, Net
 
-TOPICS, CONTEXT, SPAN, HEADS_WIDTH = 12, 16, 32, 8
-HEAD, TOP, MOST_BIGRAMS, SEED_DOCS, ROUNDS = 1 << 19, 1 << 15, 1 << 19, 1024, 3
-UNSEEN = TOP + TOPICS  # numbers: the top words, the classes of other head words, all others
+HEAD, ROUNDS, SHARD, STRETCH = 1 << 19, 2, 1 << 22, 1 << 16
 FOLDS, HELD_OUT = 10, 0
-PIECES, END_PIECE = 32_000, 2
-STOP = PIECES  # what follows the last piece of a word
+EVERY, ORDER = 8, 3  # a phrase begins where the hash of ORDER words is a multiple of EVERY
+WHOLE, DISCOUNT = 0.1, 0.75
 END_HASH = 4_542_532
-BLOCK, BATCH, PART, SLICE = 96, 256, 64, 4 << 20
-STRIP = 4096
-BACK = 0.2  # share of the plain counts in each component
+SLICE = 4 << 20
+STRIP = 4000  # ids in one vector of embeddings
 MODEL = "piece_bpe_32k.model"
+WORD, PHRASE = 0, 1
 
 
 def _pieces_model(path=None):
@@ -64,481 +62,247 @@ def _pieces_model(path=None):
 class Words:
     """The words of a batch of texts: ``seq`` indexes distinct words, row i is at ``at[i]:at[i + 1]``, its end included."""
 
-    def __init__(self, texts: pa.Array, pieces):
-        raw, starts, ends, rows = arrow_words(texts)
-        code, hashes, once = distinct(hash_words(raw, starts, ends).view(np.int64))
-        data = raw.tobytes()
-        lists = pieces.encode([data[starts[i]: ends[i]].decode("utf-8") for i in once], num_threads=1) if len(once) else []
-        lists.append([END_PIECE])
+    def __init__(self, texts: pa.Array):
+        self.raw, self.starts, self.ends, rows = arrow_words(texts)
+        code, hashes, self.once = distinct(hash_words(self.raw, self.starts, self.ends).view(np.int64))
         self.hashes = np.append(hashes, END_HASH).astype(np.int64)
         n = len(rows) - 1
         self.at = rows + np.arange(n + 1)
-        self.seq = np.full(len(code) + n, len(once), np.int64)
+        self.seq = np.full(len(code) + n, len(hashes), np.int64)
         words = np.ones(len(self.seq), bool)
         words[self.at[1:] - 1] = False
         self.seq[words] = code
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.piece_at = np.concatenate([[0], np.cumsum(size)])
-        self.pieces = np.fromiter((p for x in lists for p in x), np.int64, int(size.sum()))
-        self.first = self.pieces[self.piece_at[:-1]]
         self.row = np.repeat(np.arange(n), np.diff(self.at))
 
-    def transitions(self):
-        """(piece, next piece or STOP, distinct word) of all words but the end."""
-        following = np.append(self.pieces[1:], STOP)
-        following[self.piece_at[1:] - 1] = STOP
-        word = np.repeat(np.arange(len(self.first)), np.diff(self.piece_at))
-        keep = word < len(self.first) - 1
-        return self.pieces[keep], following[keep], word[keep]
+    def encode(self, pieces):
+        """Subword ids of all words in order, and how many each word has."""
+        data = self.raw.tobytes()
+        lists = pieces.encode([data[self.starts[i]: self.ends[i]].decode("utf-8") for i in self.once], num_threads=1) if len(self.once) else []
+        lists.append([END])
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.array([p for x in lists for p in x], np.uint16)
+        begin = np.cumsum(size) - size
+        n = size[self.seq]
+        return flat[np.repeat(begin[self.seq], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)], n
+
+    def phrases(self):
+        """(where each phrase begins among the words, its key)."""
+        h = self.hashes[self.seq].view(np.uint64)
+        before = np.zeros(len(h), np.uint64)
+        for k in range(1, ORDER + 1):
+            before[ORDER:] += mix64(h[ORDER - k: len(h) - k] + np.uint64(k))
+        first = self.at[:-1]
+        cut = (mix64(before) % np.uint64(EVERY) == 0) & (np.arange(len(h)) - first[self.row] >= ORDER)
+        cut[first] = True
+        begin = np.flatnonzero(cut)
+        place = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
+        sums = np.add.reduceat(mix64(h + mix64(place.astype(np.uint64))), begin) if len(begin) else np.empty(0, np.uint64)
+        return begin, mix64(sums).view(np.int64)
 
-    def mean(self, table):
-        """The mean row of ``table`` over the pieces of each distinct word."""
-        return np.add.reduceat(table[self.pieces], self.piece_at[:-1]) / np.diff(self.piece_at)[:, None].astype(table.dtype)
 
+def find(keys, counts, wanted) -> np.ndarray:
+    """The count of each wanted key among sorted ones, 0 for others."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, counts[at], 0)
+
+
+def _lists(at, values) -> pa.ListArray:
+    """Arrow lists of values that are cut at ``at``."""
+    return pa.ListArray.from_arrays(pa.array(np.asarray(at, np.int32)), pa.array(values))
 
-# --- counting ------------------------------------------------------------------------
 
-WORD, BIGRAM = 0, 1
+def _blobs(at, values: np.ndarray) -> pa.Array:
+    """Arrow binaries of fixed-width values that are cut at ``at``."""
+    ends = (np.asarray(at, np.int64) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
-def word_classes(w: Words, logs32: np.ndarray) -> np.ndarray:
-    """The component that suits each distinct word's pieces best."""
-    return np.add.reduceat(logs32[w.pieces], w.piece_at[:-1]).argmax(1)
+# --- counting and encoding ---------------------------------------------------------------
 
 
-def _count_rows(shared):
-    """Per slice: words with their classes and counts, and transitions between pieces, once for each distinct word."""
+def _count_rows(batches):
+    """Per slice: words and phrases with their counts."""
+    for batch in batches:
+        for part in row_slices(batch, "text", 2 * SLICE):
+            w = Words(part.column("text"))
+            if not len(w.seq):
+                continue
+            keys, n = np.unique(w.phrases()[1], return_counts=True)
+            kind = np.repeat(np.array([WORD, PHRASE], np.int8), [len(w.hashes), len(keys)])
+            cols = [kind, np.concatenate([w.hashes, keys]), np.concatenate([np.bincount(w.seq, minlength=len(w.hashes)), n])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "key", "n"])
+
+
+def _encode_rows(shared):
+    """Per row: its ids, phrases (key, last id) and tokens; how many are known and the base score by the head alone, and the other words."""
 
     def run(batches):
-        pieces, logs32 = _pieces_model(), shared.value
+        (keys, counts, norm), pieces = shared.value, _pieces_model()
         for batch in batches:
             for part in row_slices(batch, "text", SLICE):
-                w = Words(part.column("text"), pieces)
-                n = np.bincount(w.seq, minlength=len(w.hashes))
-                p, q, _ = w.transitions()
-                keys, sums = np.unique(p * (PIECES + 1) + q, return_counts=True)
-                kind = np.repeat(np.array([WORD, BIGRAM], np.int8), [len(n), len(keys)])
-                cls = np.concatenate([word_classes(w, logs32), np.zeros(len(keys), np.int64)]).astype(np.int8)
-                cols = [kind, np.concatenate([w.hashes, keys]), cls, np.concatenate([n, sums])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "key", "cls", "n"])
+                w = Words(part.column("text"))
+                n = len(w.at) - 1
+                ids, size = w.encode(pieces)
+                end = np.concatenate([[0], np.cumsum(size)])
+                begin, phrase = w.phrases()
+                of = np.searchsorted(begin, w.at)
+                until = end[np.append(begin[1:], len(w.seq))] - end[w.at[:-1]][w.row[begin]] if len(begin) else np.empty(0, np.int64)
+                c = find(keys, counts, w.hashes)
+                base = np.log10((c + 0.1) / norm)
+                rare = np.flatnonzero((c == 0)[w.seq])
+                pair, often = np.unique(w.row[rare] * len(w.hashes) + w.seq[rare], return_counts=True)
+                at = np.searchsorted(pair // len(w.hashes), np.arange(n + 1))
+                cols = [
+                    part.column("doc_id"), part.column("held_out"), _blobs(end[w.at], ids), _lists(of, phrase), _lists(of, until),
+                    np.diff(w.at), np.bincount(w.row, (c > 0)[w.seq], n).astype(np.int64), np.bincount(w.row, base[w.seq], n),
+                    _lists(at, w.hashes[pair % len(w.hashes)]), _lists(at, often.astype(np.int64)),
+                ]
+                names = ["doc_id", "held_out", "ids", "phrase", "until", "n_tokens", "n_known", "base", "rare", "often"]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=names)
 
     return run
 
 
-NO_COUNTS = np.empty(0, np.int64), np.empty(0, np.int64)
+ENCODED = "held_out boolean, ids binary, phrase array<long>, until array<long>, n_tokens long, n_known long, base double, rare array<long>, often array<long>"
 
 
-def find(keys, counts, wanted) -> np.ndarray:
-    """The count of each wanted key among sorted ones, 0 for others."""
-    if not len(keys):
-        return np.zeros(len(wanted))
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, counts[at], 0).astype(np.float64)
-
-
-class Spelling:
-    """log P of the pieces of a word after its first, and of its stop."""
-
-    def __init__(self, top, out_of, into):
-        """``top``: (transition, count) of frequent ones; ``out_of``: (piece, count, distinct transitions), ``into``: (next, count) of all."""
-        order = np.argsort(top[:, 0])
-        self.keys, self.counts = top[order, 0], top[order, 1]
-        self.total, seen = np.ones(PIECES), np.zeros(PIECES)
-        self.total[out_of[:, 0]], seen[out_of[:, 0]] = out_of[:, 1], out_of[:, 2]
-        self.back = np.full(PIECES + 1, 0.01)
-        self.back[into[:, 0]] += into[:, 1]
-        self.back /= self.back.sum()
-        self.rest = np.where(seen > 0, 0.5 * seen / self.total, 1)  # what discounts leave
-
-    def __call__(self, w: Words, more=NO_COUNTS) -> np.ndarray:
-        """``more``: sorted keys and counts of transitions that are not in ``keys``."""
-        p, q, word = w.transitions()
-        key = p * (PIECES + 1) + q
-        n = find(self.keys, self.counts, key) + find(*more, key)
-        prob = self.rest[p] * self.back[q] + np.where(n > 0, (n - 0.5) / self.total[p], 0)
-        return np.bincount(word, np.log(prob), len(w.first))
-
-
-# --- attention -----------------------------------------------------------------------
-
-
-def _softmax(x):
-    x = np.exp(x - x.max(-1, keepdims=True))
-    return x / x.sum(-1, keepdims=True)
-
-
-class Attention:
-    """Masked self-attention over word embeddings that gives component weights."""
-
-    NAMES = ("wq", "wk", "wv", "wo", "bias", "place", "begin")
-
-    def __init__(self, prior):
-        draw, k = np.random.default_rng(5), TOPICS
-        self.wq = draw.normal(0, 0.1, (k, HEADS_WIDTH)).astype(np.float32)
-        self.wk = draw.normal(0, 0.1, (k, HEADS_WIDTH)).astype(np.float32)
-        self.wv, self.wo = np.eye(k, dtype=np.float32), 8 * np.eye(k, dtype=np.float32)
-        self.bias = np.log(prior).astype(np.float32)
-        self.place = np.zeros(CONTEXT + SPAN, np.float32)  # by distance
-        self.begin = np.zeros(k, np.float32)
-
-    DISTANCE = CONTEXT + np.arange(SPAN)[:, None] - np.arange(CONTEXT + SPAN)[None, :]
-
-    def inputs(self, w: Words, emb, starts, first):
-        """Embeddings (windows, CONTEXT + SPAN, topics) before each target, and which are inside the text."""
-        p = starts[:, None] + np.arange(-CONTEXT - 1, SPAN - 1)
-        x = emb[w.seq[np.clip(p, 0, len(w.seq) - 1)]]
-        x[p == first[:, None] - 1] = self.begin
-        return x, p >= first[:, None] - 1
-
-    def forward(self, x, inside):
-        q, k, v = x[:, CONTEXT:] @ self.wq, x @ self.wk, x @ self.wv
-        a = (q * np.float32(HEADS_WIDTH**-0.5)) @ k.transpose(0, 2, 1)
-        a += np.where(self.DISTANCE >= 0, self.place[np.maximum(self.DISTANCE, 0)], np.float32(-1e9))
-        if not inside.all():
-            a += np.where(inside, np.float32(0), np.float32(-1e9))[:, None, :]
-        np.minimum(a, 60, out=a)
-        np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        h = a @ v
-        return _softmax(h @ self.wo + self.bias), (q, k, v, a, h)
-
-    def gradients(self, x, inside, given, valid):
-        """Gradients of the mean log score for component likelihoods ``given`` of the targets."""
-        pi, (q, k, v, a, h) = self.forward(x, inside)
-        post = pi * given
-        post /= np.maximum(post.sum(-1, keepdims=True), 1e-30)
-        dz = (post - pi) * (valid / max(valid.sum(), 1))[..., None].astype(np.float32)
-        dh = dz @ self.wo.T
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (a * da).sum(-1, keepdims=True))
-        scale = np.float32(HEADS_WIDTH**-0.5)
-        dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale, a.transpose(0, 2, 1) @ dh
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        near = self.DISTANCE >= 0
-        return {
-            "wo": flat(h).T @ flat(dz), "bias": flat(dz).sum(0), "wv": flat(x).T @ flat(dv), "wq": flat(x[:, CONTEXT:]).T @ flat(dq),
-            "wk": flat(x).T @ flat(dk), "place": np.bincount(self.DISTANCE[near], ds.sum(0)[near], CONTEXT + SPAN).astype(np.float32),
-        }
-
-    def vector(self):
-        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
-
-    def load(self, vector):
-        at = 0
-        for n in self.NAMES:
-            old = getattr(self, n)
-            setattr(self, n, vector[at: at + old.size].reshape(old.shape).astype(np.float32))
-            at += old.size
-        return self
-
-
-class Adam:
-    def __init__(self, model, rate=0.01):
-        self.model, self.rate, self.t, self.m, self.v = model, rate, 0, {}, {}
-
-    def climb(self, grads):
-        self.t += 1
-        for n, g in grads.items():
-            m = self.m[n] = 0.9 * self.m.get(n, 0) + 0.1 * g
-            v = self.v[n] = 0.99 * self.v.get(n, 0) + 0.01 * g * g
-            step = self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
-            setattr(self.model, n, (getattr(self.model, n) + step).astype(np.float32))
-
-
-def _windows(w: Words):
-    """Per window: its first target, and the first and last place of its text."""
-    size = np.diff(w.at)
-    n = -(-size // SPAN)
-    row = np.repeat(np.arange(len(size)), n)
-    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return w.at[row] + SPAN * k, w.at[row], w.at[row + 1]
-
-
-# --- learning ------------------------------------------------------------------------
-
-
-def seed_topics(texts: list[str]):
-    """Log piece probabilities by component, and component shares, by EM on a mixture of unigrams."""
-    w = Words(pa.array(texts, pa.string()), _pieces_model())
-    n = len(texts)
-    share, logs = np.full(TOPICS, 1 / TOPICS), np.full((TOPICS, PIECES), -np.log(PIECES))
-    if n >= TOPICS:
-        pair, count = np.unique(w.row * len(w.first) + w.seq, return_counts=True)
-        doc, dist = pair // len(w.first), pair % len(w.first)
-        of = np.diff(w.piece_at)[dist]
-        d, c = np.repeat(doc, of), np.repeat(count, of)
-        p = w.pieces[np.repeat(w.piece_at[dist], of) + np.arange(int(of.sum())) - np.repeat(np.cumsum(of) - of, of)]
-        size = np.bincount(d, c, n)
-        resp = np.random.default_rng(3).dirichlet(np.full(TOPICS, 0.3), n)
-        for step in range(25):
-            all_p = np.bincount(p, c, PIECES) + 0.01
-            base = all_p / all_p.sum()
-            for k in range(TOPICS):
-                sums = np.bincount(p, c * resp[d, k], PIECES)
-                logs[k] = np.log((sums + 200 * base) / (sums.sum() + 200))
-            share = (resp.sum(0) + 1) / (n + TOPICS)
-            like = np.stack([np.bincount(d, c * logs[k][p], n) for k in range(TOPICS)], 1)
-            heat = min(1.0, 0.05 * (step + 1))  # softened at first, so components can part
-            resp = _softmax(like * heat * np.minimum(1, 200 / np.maximum(size, 1))[:, None] + np.log(share))
-    return logs, share
-
-
-def strips(name: str, array) -> dict:
-    """A matrix with a row for each component, as vectors by name and first column."""
-    return {f"{name}{a}": array[:, a: a + STRIP].ravel() for a in range(0, array.shape[1], STRIP)}
-
-
-def put_strip(array, part: str, v) -> None:
-    """Put a vector of ``strips`` in its place."""
-    block = v.reshape(TOPICS, -1)
-    array[:, int(part[1:]): int(part[1:]) + block.shape[1]] = block
-
-
-def _mix(sums, docs):
-    """Log piece probabilities by component, and component shares, from the expected counts of one round."""
-    base = sums.sum(0) + 0.01
-    base /= base.sum()
-    return np.log((sums + 200 * base) / (sums.sum(1, keepdims=True) + 200)), (docs + 1) / (docs.sum() + TOPICS)
-
-
-def _topic_rows(shared):
-    """Per task: expected counts of pieces by component in strips, and of documents."""
+def _joined(column: pa.Array):
+    """All ids of a column of blobs as one array, and where each row's ids end."""
+    blobs = column.to_pylist()
+    return np.frombuffer(b"".join(blobs), np.uint16), np.cumsum([len(b) // 2 for b in blobs], dtype=np.int64)
 
-    def run(batches):
-        (logs, share), pieces = shared.value, _pieces_model()
-        by_piece, sums, docs = np.ascontiguousarray(logs.T), np.zeros((TOPICS, PIECES)), np.zeros(TOPICS)
-        for batch in batches:
-            for part in row_slices(batch, "text", SLICE):
-                w = Words(part.column("text"), pieces)
-                size = np.add.reduceat(np.diff(w.piece_at)[w.seq], w.at[:-1])
-                like = np.add.reduceat(np.add.reduceat(by_piece[w.pieces], w.piece_at[:-1])[w.seq], w.at[:-1])
-                resp = _softmax(like * np.minimum(1, 200 / size)[:, None] + np.log(share))
-                docs += resp.sum(0)
-                of = np.repeat(np.arange(len(w.first)), np.diff(w.piece_at))
-                for k in range(TOPICS):
-                    n = np.bincount(w.seq, resp[w.row, k], len(w.first))
-                    sums[k] += np.bincount(w.pieces, n[of], PIECES)
-        if docs.any():
-            out = {"d": docs} | strips("t", sums)
-            yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([v.tobytes() for v in out.values()], pa.binary())], names=["part", "v"])
 
-    return run
+def _before(ids, ends):
+    """The id before each, or the begin."""
+    prev = np.concatenate([[BEGIN], ids[:-1]]).astype(np.int64)
+    prev[ends[:-1]] = BEGIN
+    return prev
 
 
-def all_topics(train: DataFrame, logs, share):
-    """The mixture of unigrams after ``ROUNDS`` rounds of EM over all training documents."""
-    for _ in range(ROUNDS):
-        shared = train.sparkSession.sparkContext.broadcast((logs, share))
-        rows = sum_vectors(train.select("text").mapInArrow(_topic_rows(shared), "part string, v binary")).collect()
-        sums, docs = np.zeros((TOPICS, PIECES)), np.zeros(TOPICS)
-        for part, v in ((r["part"], np.frombuffer(r["v"])) for r in rows):
-            if part == "d":
-                docs = v
-            else:
-                put_strip(sums, part, v)
-        if docs.sum() >= TOPICS - 1e-6:  # with fewer documents than components the start stays flat
-            logs, share = _mix(sums, docs)
-    return logs, share
-
-
-class Setup:
-    """What tasks need to learn the components: head words (key, n, class), classes (class, n, words) of all words, seeds, attention at its start."""
-
-    def __init__(self, head, classes, logs, share):
-        self.keys, self.counts = head[:, 0], head[:, 1]
-        top = np.sort(np.argsort(-self.counts, kind="stable")[:TOP])
-        self.top_keys = self.keys[top]
-        # by number, of a top word or a class: how often its words occur, and how many there are
-        self.size, self.used = np.zeros(UNSEEN + 1), np.zeros(UNSEEN + 1)
-        self.size[: len(top)], self.used[: len(top)] = self.counts[top], 1
-        self.size[TOP + classes[:, 0]], self.used[TOP + classes[:, 0]] = classes[:, 1], classes[:, 2]
-        self.size[TOP:] -= np.bincount(head[top, 2], self.counts[top], TOPICS + 1)
-        self.used[TOP:] -= np.bincount(head[top, 2], minlength=TOPICS + 1)
-        self.logs, self.logs32, self.share = logs, np.ascontiguousarray(logs.T, np.float32), share
-        self.emb = np.clip(logs - logs.mean(0), -3, 3).T.astype(np.float32)
-        self.start = Attention(share)
-
-    def numbers(self, w: Words, known=True):
-        """Numbers of words: their own for top words, that of the class for other known ones, else UNSEEN."""
-        number = np.where(known, TOP + word_classes(w, self.logs32), UNSEEN)
-        if len(self.top_keys):
-            at = np.minimum(np.searchsorted(self.top_keys, w.hashes), len(self.top_keys) - 1)
-            number = np.where(self.top_keys[at] == w.hashes, at, number)
-        return number
-
-
-def _learn_rows(setup):
-    """Per task: component counts of head words and first pieces in strips, and attention weights times their windows."""
+def _pair_rows(batches):
+    """Per batch: pairs of an id and the next one, with counts."""
+    for batch in batches:
+        ids, ends = _joined(batch.column("ids"))
+        if len(ids):
+            code, pairs, _ = distinct(_before(ids, ends) * PIECES + ids)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs // PIECES), pa.array(pairs % PIECES), pa.array(np.bincount(code))], names=["p", "q", "n"])
 
-    def run(batches):
-        s, pieces = setup.value, _pieces_model()
-        head, first = np.zeros((TOPICS, UNSEEN + 1)), np.zeros((TOPICS, PIECES))
-        model = Attention(s.share)
-        adam, seen = Adam(model), 0
-        for batch in batches:
-            for part in row_slices(batch, "text", SLICE):
-                w = Words(part.column("text"), pieces)
-                starts, lo, hi = _windows(w)
-                if not len(starts):
-                    continue
-                # the likeliest component of each window, by its own pieces
-                like = np.add.reduceat(s.logs32[w.pieces], w.piece_at[:-1])
-                best = (np.add.reduceat(like[w.seq], starts) + np.log(s.share)).argmax(1)
-                topic = np.repeat(best, np.minimum(starts + SPAN, hi) - starts)
-                number = s.numbers(w)[w.seq]
-                head += np.bincount(topic * (UNSEEN + 1) + number, minlength=head.size).reshape(head.shape)
-                rare = number >= TOP
-                first += np.bincount(topic[rare] * PIECES + w.first[w.seq[rare]], minlength=first.size).reshape(first.shape)
-                emb = w.mean(s.emb)
-                given = np.exp(s.logs.T[w.first] - s.logs.T[w.first].max(1, keepdims=True)).astype(np.float32)
-                seen += len(starts)
-                for a in range(0, len(starts), BATCH):
-                    targets = int((np.minimum(starts[a: a + BATCH] + SPAN, hi[a: a + BATCH]) - starts[a: a + BATCH]).sum())
-                    grads: dict = {}
-                    for b in range(a, min(a + BATCH, len(starts)), PART):  # parts that stay in the processor's cache
-                        i = slice(b, min(b + PART, a + BATCH))
-                        x, inside = model.inputs(w, emb, starts[i], lo[i])
-                        t = starts[i][:, None] + np.arange(SPAN)
-                        valid = t < hi[i][:, None]
-                        for n, g in model.gradients(x, inside, given[w.seq[np.minimum(t, len(w.seq) - 1)]], valid).items():
-                            grads[n] = grads.get(n, 0) + g * np.float32(valid.sum() / targets)
-                    adam.climb(grads)
-        if seen:
-            out = {"m": np.append(model.vector().astype(np.float64) * seen, seen)}
-            for name, array in (("h", head), ("p", first)):
-                out |= strips(name, array)
-            yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([v.tobytes() for v in out.values()], pa.binary())], names=["part", "v"])
 
-    return run
+def _matrix(df: DataFrame, shape) -> np.ndarray:
+    """(row, column, n) as a matrix; its size is fixed, whatever the corpus."""
+    t = df.toArrow()
+    out = np.zeros(shape)
+    out[t.column(0).to_numpy(), t.column(1).to_numpy()] = t.column(2).to_numpy()
+    return out
 
 
-class Model:
-    """The learned model: base counts, components, spelling, attention."""
-
-    def __init__(self, setup, total, distinct_words, once, twice, learned, spelling):
-        self.setup, self.spelling = setup, spelling
-        self.norm = total + 0.1 * (distinct_words + 1)
-        # absolute discounting: what seen words give up is what unseen words need
-        self.discount = once / (once + 2 * twice) if once and twice else 0.5
-        head, first = np.zeros((TOPICS, UNSEEN + 1)), np.zeros((TOPICS, PIECES))
-        self.attention = Attention(setup.share)
-        for part, v in learned.items():
-            if part == "m":
-                self.attention.load(v[:-1] / v[-1])
-            else:
-                put_strip(head if part[0] == "h" else first, part, v)
-
-        def smooth(x, e):
-            plain = (x.sum(0) + e) / (x.sum() + e.sum())
-            return (1 - BACK) * (x + 100 * plain) / (x.sum(1, keepdims=True) + 100) + BACK * plain
-
-        # numbers that no word has get nothing
-        size, used = setup.size, setup.used.copy()
-        used[UNSEEN] = 1
-        whole = smooth(head, 1e-6 * (used > 0))
-        lost = np.where(size > 0, np.minimum(1, self.discount * used / np.maximum(size, 1)), 0)
-        lost[UNSEEN] = 1
-        self.spelled = np.log(whole @ lost)
-        self.whole = np.log(np.maximum(whole, 1e-300)).T
-        self.size = size
-        self.first = np.log(smooth(first, np.full(PIECES, 0.01))).T
-
-    def given(self, w: Words, words=NO_COUNTS, transitions=NO_COUNTS):
-        """Per distinct word: component likelihoods over their maximum, the log of that, and its count in the training documents.
-
-        ``words`` and ``transitions``: sorted keys and counts of those that are not in the head.
-        """
-        counts = find(self.setup.keys, self.setup.counts, w.hashes) + find(*words, w.hashes)
-        known = counts > 0
-        number = self.setup.numbers(w, known)
-        logs = self.spelled + self.first[w.first] + self.spelling(w, transitions)[:, None]
-        logs[-1] = -700 if known[-1] else logs[-1]  # a known end has no spelling
-        inside = np.log(np.maximum(counts - self.discount, 1e-9) / np.maximum(self.size[number], 1))[:, None]
-        logs[known] = np.logaddexp(logs[known], (self.whole[number] + inside)[known])
-        top = logs.max(1)
-        return np.exp(logs - top[:, None]).astype(np.float32), top, counts
-
-
-def _rare_rows(shared):
-    """Per row: its text, and the kinds and keys of its words and transitions that are not in the head."""
+def start_net(pairs: DataFrame) -> Net:
+    """The network before it has learned: classes, counted tables and embeddings from pairs (p, q, n) of ids."""
+    spark = pairs.sparkSession
+    total = lambda *by: pairs.groupBy(*by).agg(F.sum("n").alias("n"))
+    near = lambda c: F.pmod(F.shiftright(F.col(c) * 2_654_435_761, 7), F.lit(BUCKETS))
+    profile = np.concatenate([_matrix(total("p", near("q").alias("b")), (PIECES, BUCKETS)), _matrix(total("q", near("p").alias("b")), (PIECES, BUCKETS))], 1)
+    classes, emb = lm_net.classes_and_places(profile)
+    of = spark.createDataFrame(pa.table({"id": np.arange(PIECES), "c": classes}))  # 32,000 rows at any corpus
+    after = _matrix(pairs.join(F.broadcast(of), F.col("q") == F.col("id")).groupBy("p", "c").agg(F.sum("n").alias("n")), (PIECES, CLASSES))
+    into = _matrix(pairs.join(F.broadcast(of), F.col("p") == F.col("id")).groupBy("c", "q").agg(F.sum("n").alias("n")), (CLASSES, PIECES))
+    return Net(classes, *lm_net.tables(classes, into.sum(0), after, into), emb)
 
-    def run(batches):
-        heads, pieces = shared.value, _pieces_model()
-        for batch in batches:
-            for part in row_slices(batch, "text", SLICE):
-                w = Words(part.column("text"), pieces)
-                n = len(w.at) - 1
-                pair = np.unique(w.row * len(w.hashes) + w.seq)
-                row, word = pair // len(w.hashes), pair % len(w.hashes)
-                p, q, of = w.transitions()
-                key = p * (PIECES + 1) + q
-                rare = find(heads[BIGRAM], np.ones(len(heads[BIGRAM])), key) == 0
-                key, of = key[rare], of[rare]
-                size = np.bincount(of, minlength=len(w.hashes))
-                begin = (np.cumsum(size) - size)[word]
-                size = size[word]
-                at = np.repeat(begin, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                keep = find(heads[WORD], np.ones(len(heads[WORD])), w.hashes)[word] == 0
-                r = np.concatenate([row[keep], np.repeat(row, size)])
-                kind = np.repeat(np.array([WORD, BIGRAM], np.int8), [int(keep.sum()), len(at)])
-                order = np.argsort(r, kind="stable")
-                ends = pa.array(np.searchsorted(r[order], np.arange(n + 1)).astype(np.int32))
-                keys = np.concatenate([w.hashes[word[keep]], key[at]])
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (kind, keys)]
-                names = ["doc_id", "held_out", "text"]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *lists], names=[*names, "kinds", "keys"])
+
+# --- learning ----------------------------------------------------------------------------
+
+
+def _stretch_rows(batches):
+    """Per stretch of at most ``STRETCH`` ids of a text: a hash of it and of its place, and the ids."""
+    for batch in batches:
+        order, blobs = [], []
+        for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+            for k in range(0, len(ids), 2 * STRETCH):
+                blobs.append(ids[k: k + 2 * STRETCH])
+                order.append(int.from_bytes(hashlib.blake2b(b"%d %s " % (k, str(doc).encode()) + blobs[-1], digest_size=8).digest(), "big", signed=True))
+        yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(blobs, pa.binary())], names=["order", "ids"])
+
+
+def _learn_shard(shared):
+    """What one shard has learned: embeddings times how often each id was seen, in strips, and the small arrays times its ids."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        net = shared.value
+        rows = rows.sort_by("order")
+        ids, ends = _joined(rows.column("ids"))
+        own = Net.__new__(Net)
+        own.__dict__.update(net.__dict__)
+        own.emb = net.emb.copy()
+        learner = lm_net.learn(own, ids, ends)
+        out = {"s": np.append(np.concatenate([getattr(own, n).ravel() for n in NAMES]).astype(np.float64) * len(ids), len(ids))}
+        for a in range(0, PIECES, STRIP):
+            seen = learner.seen[a: a + STRIP, None]
+            if seen.any():
+                out[f"e{a}"] = np.concatenate([own.emb[a: a + STRIP] * seen, seen], 1).ravel()
+        return pa.table({"part": list(out), "v": pa.array([v.astype(np.float32).tobytes() for v in out.values()], pa.binary())})
 
     return run
 
 
-def _sorted_counts(kind, keys, counts, wanted):
-    """Sorted keys and counts of one kind, each key once."""
-    own = kind == wanted
-    key, at = np.unique(keys[own], return_index=True)
-    return key, counts[own][at]
+def averaged(net: Net, parts: dict) -> Net:
+    """The network with the mean of what shards have learned; an embedding weighs by how often its shard has seen it."""
+    new = Net.__new__(Net)
+    new.__dict__.update(net.__dict__)
+    new.emb = net.emb.copy()
+    for part, v in parts.items():
+        if part == "s":
+            at, mean = 0, v[:-1] / v[-1]
+            for n in NAMES:
+                old = getattr(net, n)
+                setattr(new, n, mean[at: at + old.size].reshape(old.shape).astype(np.float32))
+                at += old.size
+        else:
+            block = v.reshape(-1, WIDTH + 1)
+            used = block[:, WIDTH] > 0
+            new.emb[int(part[1:]): int(part[1:]) + len(block)][used] = (block[used, :WIDTH] / block[used, WIDTH:]).astype(np.float32)
+    return new
+
+
+def trained(net: Net, texts: DataFrame, n_ids: int) -> Net:
+    """The network after ``ROUNDS`` rounds over texts (doc_id, ids) of ``n_ids`` ids in all."""
+    sc = texts.sparkSession.sparkContext
+    stretches = texts.mapInArrow(_stretch_rows, "order long, ids binary")
+    for k in range(ROUNDS):
+        shards = max(1, round(n_ids / ROUNDS / SHARD))
+        mine = stretches.where(F.pmod("order", F.lit(ROUNDS)) == k).withColumn("shard", F.pmod(F.xxhash64("order"), F.lit(shards)))
+        rows = mine.groupBy("shard").applyInArrow(_learn_shard(sc.broadcast(net)), "part string, v binary")
+        net = averaged(net, {r["part"]: np.frombuffer(r["v"], np.float32).astype(np.float64) for r in sum_vectors(rows, kind=np.float32).collect()})
+    return net
+
+
+# --- scoring -----------------------------------------------------------------------------
 
 
 def _score_rows(shared):
-    """Per row: tokens, known tokens, base score, model score."""
+    """Per row: the network's score, and of each phrase its key and natural score."""
 
     def run(batches):
-        model, pieces = shared.value, _pieces_model()
+        net = shared.value
         for batch in batches:
-            for part in row_slices(batch, "text", SLICE):
-                w = Words(part.column("text"), pieces)
-                own = part.column("counts").flatten()
-                own = [own.field(c).to_numpy() for c in ("kind", "key", "n")]
-                given, top, counts = model.given(w, _sorted_counts(*own, WORD), _sorted_counts(*own, BIGRAM))
-                starts, lo, hi = _windows(w)
-                emb = w.mean(model.setup.emb)
-                score = np.zeros(len(w.seq))
-                for a in range(0, len(starts), BLOCK):
-                    s, f, e = starts[a: a + BLOCK], lo[a: a + BLOCK], hi[a: a + BLOCK]
-                    x, inside = model.attention.inputs(w, emb, s, f)
-                    pi, _ = model.attention.forward(x, inside)
-                    t = s[:, None] + np.arange(SPAN)
-                    valid = t < e[:, None]
-                    word = w.seq[np.minimum(t, len(w.seq) - 1)]
-                    prob = np.einsum("wtk,wtk->wt", pi, given[word]).astype(np.float64)
-                    score[t[valid]] = (np.log(np.maximum(prob, 1e-35)) + top[word])[valid]
-                base = np.log10((counts + 0.1) / model.norm)
-                n = len(w.at) - 1
-                sums = lambda x: np.bincount(w.row, x, n)
-                new = [np.diff(w.at), sums((counts > 0)[w.seq]).astype(np.int64), sums(base[w.seq]), sums(score) / np.log(10)]
-                names = ["n_tokens", "n_known", "base_score", "score"]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *map(pa.array, new)], names=["doc_id", "held_out", *names])
+            ids, ends = _joined(batch.column("ids"))
+            total = np.concatenate([[0], np.cumsum(net.log_scores(ids, ends))])
+            begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            until = batch.column("until")
+            row = np.repeat(np.arange(len(ends)), np.diff(until.offsets.to_numpy()))
+            last = until.flatten().to_numpy() + begins[row]
+            first = np.concatenate([[0], last[:-1]])
+            own = total[ends] - total[begins]
+            lists = pa.ListArray.from_arrays(pa.array((until.offsets.to_numpy() - until.offsets[0].as_py()).astype(np.int32)), pa.array(total[last] - total[first]))
+            keep = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "rare", "often", "phrase"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists, pa.array(own)], names=[*keep, "logs", "own"])
 
     return run
 
 
-def _numbers(df: DataFrame) -> np.ndarray:
-    """Columns of whole numbers as one matrix."""
-    table = df.toArrow()
-    return np.stack([c.to_numpy().astype(np.int64) for c in table.columns], axis=1).reshape(-1, table.num_columns)
-
-
-def most_frequent(counts: DataFrame, most: int) -> np.ndarray:
-    """(key, n, cls) of at most ``most`` keys, by key: all whose count reaches the least bin of counts that still fits.
+def most_frequent(counts: DataFrame, most: int):
+    """Sorted keys and counts of at most ``most`` words: all whose count reaches the least bin of counts that still fits.
 
     The bins are sixteenths of a doubling, about a thousand at any size; so what
     reaches the driver is bounded by ``most``, however many tasks there are.
@@ -551,47 +315,52 @@ def most_frequent(counts: DataFrame, most: int) -> np.ndarray:
         if room < 0:
             break
         least = b["bin"]
-    top = _numbers(counts.where(F.lit(False) if least is None else of >= least).select("key", "n", "cls"))
-    return top[np.argsort(top[:, 0])]
+    t = counts.where(F.lit(False) if least is None else of >= least).select("key", "n").toArrow()
+    key, n = (t.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(key)
+    return key[order], n[order]
 
 
 def score_texts(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """One row per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+    """One row per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, net_score (of the network alone)."""
+    sc = docs.sparkSession.sparkContext
     own = docs.select(F.col(doc_id).alias("doc_id"), (bucket_of(F.col(doc_id), FOLDS) == HELD_OUT).alias("held_out"), F.col(text).alias("text"))
-    train = own.where(~F.col("held_out")).select("doc_id", "text")
-    seed = hashed_sample(train, F.col("doc_id"), SEED_DOCS).select("text").collect()
-    logs, share = all_topics(train, *seed_topics(sorted(r["text"] or "" for r in seed)))
-    rows = train.select("text").mapInArrow(_count_rows(spark.sparkContext.broadcast(np.ascontiguousarray(logs.T, np.float32))), "kind byte, key long, cls byte, n long")
-    counts = shared_dir(rows.groupBy("kind", "key").agg(F.min("cls").alias("cls"), F.sum("n").alias("n")))
-    words, pairs = counts.where(f"kind = {WORD}").select("key", "n", "cls"), counts.where(f"kind = {BIGRAM}").select("key", "n", "cls")
-    total, distinct_words, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    head = most_frequent(words, HEAD)
-    classes = _numbers(words.groupBy("cls").agg(F.sum("n"), F.count("*")))
-    frequent = most_frequent(pairs, MOST_BIGRAMS)
-    spelling = Spelling(
-        frequent[:, :2],
-        _numbers(pairs.groupBy(F.floor(F.col("key") / (PIECES + 1)).alias("p")).agg(F.sum("n"), F.count("*"))),
-        _numbers(pairs.groupBy((F.col("key") % (PIECES + 1)).alias("q")).agg(F.sum("n"))),
-    )
-    setup = Setup(head, classes, logs, share)
-    learn = _learn_rows(spark.sparkContext.broadcast(setup))
-    learned = sum_vectors(train.select("text").mapInArrow(learn, "part string, v binary")).collect()
-    model = Model(setup, total, distinct_words, once, twice, {r["part"]: np.frombuffer(r["v"]) for r in learned}, spelling)
+    counts = own.where(~F.col("held_out")).select("text").mapInArrow(_count_rows, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counts = shared_dir(counts.where(f"kind = {WORD} or n > 1"))
+    words = counts.where(f"kind = {WORD}")
+    tokens, known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    norm = tokens + 0.1 * (known + 1)
     kind = own.schema["doc_id"].dataType.simpleString()
-    heads = spark.sparkContext.broadcast({WORD: setup.keys, BIGRAM: spelling.keys})
-    rows = own.mapInArrow(_rare_rows(heads), f"doc_id {kind}, held_out boolean, text string, kinds array<byte>, keys array<long>")
-    rows = shared_dir(rows.withColumn("rid", F.monotonically_increasing_id()))
-    found = (
-        rows.select("rid", F.explode(F.arrays_zip("kinds", "keys")).alias("r"))
-        .select("rid", F.col("r.kinds").alias("kind"), F.col("r.keys").alias("key")).distinct()
-        .join(counts.select("kind", "key", "n"), ["kind", "key"])
-        .groupBy("rid").agg(F.collect_list(F.struct("kind", "key", "n")).alias("counts"))
+    encode = _encode_rows(sc.broadcast((*most_frequent(words, HEAD), norm)))
+    place, rows = written(own.mapInArrow(encode, f"doc_id {kind}, {ENCODED}").withColumn("rid", F.monotonically_increasing_id()), "lm")
+    train = rows.where(~F.col("held_out"))
+    n_ids, phrases = train.agg(F.coalesce(F.sum(F.length("ids")) / 2, F.lit(0)), F.coalesce(F.sum(F.size("phrase")), F.lit(0))).first()
+    pairs = shared_dir(train.select("ids").mapInArrow(_pair_rows, "p long, q long, n long").groupBy("p", "q").agg(F.sum("n").alias("n")))
+    net = start_net(pairs)
+    if n_ids:
+        net = trained(net, train.select("doc_id", "ids"), int(n_ids))
+    scored = shared_dir(rows.mapInArrow(
+        _score_rows(sc.broadcast(net)),
+        f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, rare array<long>, often array<long>, phrase array<long>, logs array<double>, own double",
+    ))
+    drop_table(docs.sparkSession, place)
+    units = scored.select("rid", F.explode(F.concat(
+        F.transform(F.arrays_zip("rare", "often"), lambda x: F.struct(F.lit(WORD).cast("byte").alias("kind"), x["rare"].alias("key"), x["often"].cast("double").alias("x"))),
+        F.transform(F.arrays_zip("phrase", "logs"), lambda x: F.struct(F.lit(PHRASE).cast("byte").alias("kind"), x["phrase"].alias("key"), x["logs"].alias("x"))),
+    )).alias("u")).select("rid", "u.*")
+    is_word = F.col("kind") == WORD
+    gain = F.log(F.lit(WHOLE / (1 - WHOLE)) * (F.col("n") - DISCOUNT) / max(phrases, 1)) - F.col("x")
+    found = units.join(counts, ["kind", "key"]).groupBy("rid").agg(
+        F.sum(F.when(is_word, F.col("x"))).cast("long").alias("more_known"),
+        F.sum(F.when(is_word, F.col("x") * F.log10((F.col("n") + 0.1) / 0.1))).alias("more_base"),
+        F.sum(F.when(~is_word, F.when(gain > 30, gain).otherwise(F.log1p(F.exp(F.least(gain, F.lit(30.0))))))).alias("more"),
     )
-    scored = rows.select("rid", "doc_id", "held_out", "text").join(found, "rid", "left").select("doc_id", "held_out", "text", "counts").mapInArrow(
-        _score_rows(spark.sparkContext.broadcast(model)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    whole = F.col("own") + F.size("phrase") * float(np.log(1 - WHOLE)) + none("more")
+    return scored.join(found, "rid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + none("more_known")).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + none("more_base")).alias("base_score"), (whole / float(np.log(10))).alias("score"), (F.col("own") / float(np.log(10))).alias("net_score"),
     )
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

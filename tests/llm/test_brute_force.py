@@ -1,9 +1,7 @@
 """Operators without SQL, against plain Python, exact round trips or held-out accuracy; and defined results for odd rows."""
 
 import base64
-import collections
 import gzip
-import math
 import random
 import re
 import urllib.parse
@@ -15,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("foliospark.llm")
-from foliospark.llm import chat, components, lm, near_dup, quality_model, quality_rules, secrets, token_counts, toxicity  # noqa: E402
+from foliospark.llm import chat, components, near_dup, quality_model, quality_rules, secrets, token_counts, toxicity  # noqa: E402
 from foliospark.llm.common import bucket_of  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -306,104 +304,6 @@ def test_classifiers_on_odd_rows(spark, odd_docs, no_docs, score):
     assert score(no_docs, labels).count() == 0
 
 
-# --- language model -----------------------------------------------------------------------
-
-
-def test_language_model(spark, odd_docs, no_docs):
-    path = "/root/testdata/sf0.01"
-    got = lm.op4_lm_score(spark, path).toPandas().sort_values("doc_id")
-    docs = pd.read_parquet(f"{path}/documents.parquet").sort_values("doc_id")
-    words = [[*WORD.findall((t or "").translate(LOWER)), None] for t in docs.text]
-    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in docs.doc_id]
-    c = collections.Counter(w for ws, h in zip(words, held) if not h for w in ws)
-    n, v = sum(c.values()), len(c)
-    base = [sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws) for ws in words]
-    assert got.held_out.tolist() == held and got.n_tokens.tolist() == [len(w) for w in words]
-    assert got.n_known.tolist() == [sum(c[w] > 0 for w in ws) for ws in words] and set(got.train_tokens) == {n}
-    assert np.allclose(got.base_score, base, rtol=1e-9)
-    assert got[got.held_out].score.sum() > got[got.held_out].base_score.sum()
-    rows = lm.score_texts(odd_docs).collect()
-    assert len(rows) == 10 and all(math.isfinite(r.score) and r.score <= 1e-6 for r in rows)
-    assert lm.score_texts(no_docs).count() == 0
-
-
-def test_counts_beyond_the_head_score_alike(spark, monkeypatch):
-    """The bounds of what tasks get in advance don't change any score."""
-    docs, start = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), lm.Setup.__init__
-
-    def few(self, head, *more):  # the same 50 top words with any bound
-        start(self, head[np.sort(np.argsort(-head[:, 1], kind="stable")[:50])], *more)
-        self.keys, self.counts = head[:, 0], head[:, 1]
-
-    monkeypatch.setattr(lm.Setup, "__init__", few)
-    scores = lambda: lm.score_texts(docs).toPandas().sort_values("doc_id")
-    whole = scores()
-    monkeypatch.setattr(lm, "HEAD", 300)
-    monkeypatch.setattr(lm, "MOST_BIGRAMS", 100)
-    cut = scores()
-    for c in ("n_known", "base_score", "score"):
-        assert np.allclose(whole[c], cut[c], rtol=1e-5)
-
-
-def test_topics_are_estimated_over_all_documents(spark, monkeypatch):
-    """One round over all documents is the round in plain Python, whichever documents were the start."""
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
-    texts, pieces = [r.text for r in docs.collect()], lm._pieces_model()
-    logs, share = lm.seed_topics(texts[:40])
-    sums, n = np.zeros((lm.TOPICS, lm.PIECES)), np.zeros(lm.TOPICS)
-    for t in texts:
-        ids = np.array([p for w in WORD.findall((t or "").translate(LOWER)) for p in pieces.encode(w)] + [lm.END_PIECE])
-        z = logs[:, ids].sum(1) * min(1, 200 / len(ids)) + np.log(share)
-        r = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-        n += r
-        sums += r[:, None] * np.bincount(ids, minlength=lm.PIECES)
-    monkeypatch.setattr(lm, "ROUNDS", 1)
-    got_logs, got_share = lm.all_topics(docs, logs, share)
-    base = (sums.sum(0) + 0.01) / (sums.sum() + 0.01 * lm.PIECES)
-    assert np.allclose(got_logs, np.log((sums + 200 * base) / (sums.sum(1, keepdims=True) + 200)))
-    assert np.allclose(got_share, (n + 1) / (len(texts) + lm.TOPICS)) and not np.allclose(got_logs, logs)
-
-
-def test_every_window_trains_the_attention(monkeypatch):
-    """A task takes one step for each batch of all its windows."""
-    import types
-
-    import pyarrow as pa
-
-    steps = []
-    climb = lm.Adam.climb
-    monkeypatch.setattr(lm.Adam, "climb", lambda self, g: (steps.append(1), climb(self, g)))
-    texts = pa.array(["the dog runs over the hill and " * 100] * 40)
-    logs, share = np.full((lm.TOPICS, lm.PIECES), -np.log(lm.PIECES)), np.full(lm.TOPICS, 1 / lm.TOPICS)
-    setup = lm.Setup(np.empty((0, 3), np.int64), np.empty((0, 3), np.int64), logs, share)
-    out = list(lm._learn_rows(types.SimpleNamespace(value=setup))([pa.RecordBatch.from_arrays([texts], names=["text"])]))
-    windows = 40 * -(-701 // lm.SPAN)
-    assert np.frombuffer(out[0].column("v")[0].as_py())[-1] == windows and len(steps) == -(-windows // lm.BATCH)
-
-
-def test_attention_gradients_by_differences():
-    rng = np.random.default_rng(9)
-    k = lm.TOPICS
-    model = lm.Attention(np.full(k, 1 / k))
-    for n in ("wq", "wk", "wv", "wo", "bias", "place"):
-        setattr(model, n, (getattr(model, n) + rng.normal(0, 0.1, getattr(model, n).shape)).astype(np.float64))
-    x = rng.normal(0, 1, (2, lm.CONTEXT + lm.SPAN, k))
-    inside = np.ones(x.shape[:2], bool)
-    inside[0, :10] = False
-    given, valid = rng.random((2, lm.SPAN, k)), np.ones((2, lm.SPAN), bool)
-    value = lambda: np.log((model.forward(x, inside)[0] * given).sum(-1)).mean()
-    grads = model.gradients(x, inside, given, valid)
-    for n, g in grads.items():
-        w = getattr(model, n)
-        i = tuple(rng.integers(0, s) for s in w.shape)
-        w[i] += 1e-5
-        up = value()
-        w[i] -= 2e-5
-        down = value()
-        w[i] += 1e-5
-        assert abs((up - down) / 2e-5 - g[i]) < 1e-4 * max(1, abs(g[i])) + 2e-6
-
-
 def test_fold_is_crc32(spark):
     got = spark.sql("select explode(array(0L, 7L, 123456789L, null)) as i").select("i", bucket_of(F.col("i"), 10).alias("b")).collect()
     assert [r.b for r in got] == [zlib.crc32(("" if r.i is None else str(r.i)).encode()) % 10 for r in got]
