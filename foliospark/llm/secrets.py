@@ -19,11 +19,12 @@ Null texts are empty and have no secrets. Repeated rows are scanned one by one.
 
 from __future__ import annotations
 
-import base64
 import binascii
+import hashlib
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -32,18 +33,26 @@ from pyspark.sql import functions as F
 from .common import row_slices, table
 
 KINDS = ("assign", "access", "hex")
-BLOCK, OVERLAP = 16 << 20, 1 << 16
+BLOCK, OVERLAP, STEP = 16 << 20, 1 << 16, 64
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so shorter ones can be left out at once
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
 _BAD = re.compile("[\udc80-\udcff]")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+# An escape of its own first sign (%2525...41) is undone to the end at once, so chains of them take one pass.
+_PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+_ONE_PERCENT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+_ESCAPE = re.compile(
+    r"\\(?:u005[cC])*(?:u([dD][89abAB][0-9A-Fa-f]{2})\\(?:u005[cC])*u([dD][c-fC-F][0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))"
+    r"|&(?:#38;)*(?:#([0-9]{1,7});|#[xX]([0-9A-Fa-f]{1,6});)"
+)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]++)+={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]++)+(?:(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n)?=){0,2}")
 _LINE = re.compile(r"(?:\\r)?\\n|[A-Za-z0-9+/_-]+={0,2}")
+# How compressed data begins, and what decoded bytes must hold to be worth a scan.
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd")
+_WORTH = re.compile(rb"(?i)passw|secret|token|api|AKIA|[0-9a-f]{16}|[A-Za-z0-9+/_-]{16}|[%\\\0]|&#")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -58,44 +67,57 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _unpercent(text, places):
-    """The text without percent escapes, and per character its (start, end) before."""
-    out, where, last = [], [], 0
+class Layer:
+    """A text that a document unwraps to, and where each of its characters begins and ends in the document."""
+
+    def __init__(self, text: str, begin=None, end=None):
+        self.text = text
+        self.begin, self.end = (np.arange(len(text)), np.arange(1, len(text) + 1)) if begin is None else (begin, end)
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """The stretch of the document behind some characters."""
+        return int(self.begin[a]), int(self.end[b - 1])
+
+    def mark(self) -> bytes:
+        """A digest of the text and its places."""
+        return hashlib.blake2b(self.text.encode("utf-8", "surrogatepass") + self.begin.tobytes() + self.end.tobytes(), digest_size=16).digest()
+
+    def replaced(self, parts):
+        """The layer with stretches replaced: parts are (plain, cuts), where cuts are each plain character's (from, to) here; None without parts."""
+        texts, begins, ends, last = [], [], [], 0
+        for plain, cuts in parts:
+            a = cuts[0][0]
+            texts += [self.text[last:a], plain]
+            begins += [self.begin[last:a], self.begin[[x for x, _ in cuts]]]
+            ends += [self.end[last:a], self.end[[y - 1 for _, y in cuts]]]
+            last = cuts[-1][1]
+        if not last:
+            return None
+        return Layer("".join(texts) + self.text[last:], np.concatenate([*begins, self.begin[last:]]), np.concatenate([*ends, self.end[last:]]))
+
+
+def _percents(text):
+    """Runs of percent escapes as UTF-8; a byte that is none becomes a character of its own."""
     for m in _PERCENT.finditer(text):
-        # a byte that is no UTF-8 becomes a character of its own
-        plain = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
-        out.append(text[last: m.start()])
-        where += places(last, m.start())
-        at = m.start()
+        signs = list(_ONE_PERCENT.finditer(text, m.start(), m.end()))
+        plain = bytes(int(x[1], 16) for x in signs).decode("utf-8", "surrogateescape")
+        cuts, at = [], 0
         for ch in plain:
-            to = at + 3 * len(ch.encode("utf-8", "surrogateescape"))
-            where.append((places(at, at + 1)[0][0], places(to - 1, to)[0][1]))
-            at = to
-        out.append(_BAD.sub("\ufffd", plain))
-        last = m.end()
-    return None if not last else ("".join(out) + text[last:], where + places(last, len(text)))
+            n = len(ch.encode("utf-8", "surrogateescape"))
+            cuts.append((signs[at].start(), signs[at + n - 1].end()))
+            at += n
+        yield _BAD.sub("\ufffd", plain), cuts
 
 
-def _unescape(text, places):
-    """The text without Unicode escapes and numeric references; pairs of surrogates become one character."""
-    out, where, last = [], [], 0
+def _escapes(text):
+    """Unicode escapes and numeric references; a pair of surrogates is one character."""
     for m in _ESCAPE.finditer(text):
-        code = int(m[4]) if m[4] else int(next(g for g in m.groups() if g), 16)
-        if code > 0x10FFFF:
-            continue
-        out.append(text[last: m.start()])
-        where += places(last, m.start())
-        span = (places(m.start(), m.start() + 1)[0][0], places(m.end() - 1, m.end())[0][1])
-        if 0xDC00 <= code < 0xE000 and last == m.start() and len(out) > 1 and "\ud800" <= out[-2][-1:] < "\udc00":
-            high = ord(out[-2])
-            out[-2] = chr(0x10000 + ((high - 0xD800) << 10) + code - 0xDC00)
-            where[-1] = (where[-1][0], span[1])
-            out.pop()
+        if m[1]:
+            code = 0x10000 + ((int(m[1], 16) - 0xD800) << 10) + int(m[2], 16) - 0xDC00
         else:
-            out.append(chr(code))
-            where.append(span)
-        last = m.end()
-    return None if not last else ("".join(out) + text[last:], where + places(last, len(text)))
+            code = int(m[6]) if m[6] else int(next(g for g in m.groups() if g), 16)
+        if code <= 0x10FFFF:
+            yield chr(code), [m.span()]
 
 
 def _decoder(head: bytes):
@@ -106,11 +128,11 @@ def _decoder(head: bytes):
 
 
 def _inflate(chunks):
-    """What compressed data holds, up to its end or first fault; small inputs at a time keep the outputs small."""
+    """What compressed data holds, up to its end or first fault; ``STEP`` bytes at a time keep the outputs to some MB."""
     d, left = None, b""
     for chunk in chunks:
-        for a in range(0, len(chunk), 1024):
-            data, left = left + chunk[a: a + 1024], b""
+        for a in range(0, len(chunk), STEP):
+            data, left = left + chunk[a: a + STEP], b""
             while data:
                 if d is None:
                     if len(data) < 4:
@@ -172,30 +194,38 @@ def _tail(text: str) -> str:
 
 
 def _texts(raw: bytes):
-    """The texts that decoded bytes may be, in overlapping blocks."""
-    tails: dict = {}
-    for block, last in _blocks(raw):
-        wide = ("utf-16-le", "utf-16-be", "utf-32-le", "utf-32-be") if b"\0" in block else ()
-        for name in ("utf-8", *wide):
-            text = tails.pop(name, "") + block.decode(name, "replace")
-            if not last:
-                tails[name] = _tail(text)
-            yield text
-
-
-def _unbase64(body: str) -> bytes | None:
+    """The texts that decoded bytes may be, in overlapping blocks: as they are, and unpacked from wherever compressed data begins."""
+    starts = [m.start() for m in _PACKED.finditer(raw)]
+    for at in ([] if starts[:1] == [0] else [0]) + starts:
+        tails: dict = {}
+        for block, last in _blocks(raw[at:]):
+            if not tails and not _WORTH.search(block):
+                if not last:  # what begins in it may end in the next
+                    tails["utf-8"] = _tail(block.decode("utf-8", "replace"))
+                continue
+            wide = ("utf-16-le", "utf-16-be", "utf-32-le", "utf-32-be") if b"\0" in block else ()
+            for name in ("utf-8", *wide):
+                text = tails.pop(name, "") + block.decode(name, "replace")
+                if not last:
+                    tails[name] = _tail(text)
+                yield text
+
+
+def _unbase64(body: str):
+    """The bytes that a stretch of base64 may hold: it may begin at any of its first four signs, as after a path."""
     body = body.rstrip("=").replace("-", "+").replace("_", "/")
-    body = body[: len(body) - (len(body) % 4 == 1)]
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
+    for skip in range(4):
+        part = body[skip:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+        if _WORTH.search(raw) or _PACKED.search(raw):
+            yield raw
 
 
 def _base64_layers(text):
     """(start, end, bytes) of stretches of base64, and of lines of it that belong together."""
     for m in _BASE64.finditer(text):
-        if (raw := _unbase64(m[0])) is not None:
+        for raw in _unbase64(m[0]):
             yield m.start(), m.end(), raw
     for m in _WRAPPED.finditer(text):
         lines = [x for x in _LINE.finditer(text, m.start(), m.end()) if x[0][0] != "\\"]
@@ -207,12 +237,22 @@ def _base64_layers(text):
                 last += 1
             end = last + (last + 1 < len(lines) and size[last + 1] < size[first])
             for begin in {first, max(0, first - 1)}:  # what stands before the first whole line may belong to it
-                if end > begin and (raw := _unbase64("".join(x[0] for x in lines[begin: end + 1]))) is not None:
-                    yield lines[begin].start(), lines[end].end(), raw
+                if end > begin:
+                    for raw in _unbase64("".join(x[0] for x in lines[begin: end + 1])):
+                        yield lines[begin].start(), lines[end].end() if end + 1 < len(lines) else m.end(), raw
             first = last + 1
 
 
-UNWRAPS = (("%", _unpercent), ("\\", _unescape), ("&#", _unescape))
+UNWRAPS = (("%", _percents), ("\\", _escapes), ("&#", _escapes))
+
+
+def _plain(text: str, parts) -> str | None:
+    """A text with stretches replaced, without their places."""
+    out, last = [], 0
+    for plain, cuts in parts:
+        out += [text[last: cuts[0][0]], plain]
+        last = cuts[-1][1]
+    return "".join(out) + text[last:] if last else None
 
 
 def _kinds(raw: bytes) -> set[int]:
@@ -220,14 +260,14 @@ def _kinds(raw: bytes) -> set[int]:
     out, seen, work = set(), {raw}, [raw]
     while work:
         for text in _texts(work.pop()):
-            layers, known = [text], {text}
+            layers, known = [text], {hash(text)}
             while layers:
                 layer = layers.pop()
                 out |= {k for _, k, _ in scan(layer)}
                 for sign, unwrap in UNWRAPS:
-                    if sign in layer and (got := unwrap(layer, lambda a, b: [(0, 0)] * (b - a))) and got[0] not in known:
-                        known.add(got[0])
-                        layers.append(got[0])
+                    if sign in layer and (got := _plain(layer, unwrap(layer))) is not None and hash(got) not in known:
+                        known.add(hash(got))
+                        layers.append(got)
                 for _, _, inner in _base64_layers(layer):
                     if inner not in seen:
                         seen.add(inner)
@@ -238,26 +278,24 @@ def _kinds(raw: bytes) -> set[int]:
 def scan_layers(text: str) -> tuple[list, list]:
     """Base secrets and all secrets of a text, as sorted (start, kind, end)."""
     base = sorted(scan(text))
-    found, known = set(base), {}
-    seen = {text: [None]}  # the places of each layer reached through escapes
-    # a layer: its text, and a function that gives (start, end) in the document for a range of its characters
-    work = [(text, lambda a, b: [(i, i + 1) for i in range(a, b)], True)]
+    found, kinds, seen = set(base), {}, set()
+    work = [Layer(text)]
     while work:
-        layer, places, is_base = work.pop()
-        if not is_base:
-            for a, kind, b in scan(layer):
-                span = places(a, b)
-                found.add((span[0][0], kind, span[-1][1]))
+        layer = work.pop()
+        for a, kind, b in scan(layer.text) if seen else ():
+            start, end = layer.span(a, b)
+            found.add((start, kind, end))
+        seen.add(layer.mark() if seen or "%" in text or "\\" in text or "&#" in text else b"")
         for sign, unwrap in UNWRAPS:
-            if sign in layer and (got := unwrap(layer, places)) is not None and got[1] not in seen.setdefault(got[0], []):
-                seen[got[0]].append(got[1])
-                work.append((got[0], lambda a, b, w=got[1]: w[a:b], False))
-        for a, b, raw in _base64_layers(layer):
-            if raw not in known:
-                known[raw] = _kinds(raw)
-            if known[raw]:
-                span = places(a, b)
-                found |= {(span[0][0], kind, span[-1][1]) for kind in known[raw]}
+            if sign in layer.text and (got := layer.replaced(unwrap(layer.text))) is not None and (mark := got.mark()) not in seen:
+                seen.add(mark)
+                work.append(got)
+        for a, b, raw in _base64_layers(layer.text):
+            if raw not in kinds:
+                kinds[raw] = _kinds(raw)
+            if kinds[raw]:
+                start, end = layer.span(a, b)
+                found |= {(start, kind, end) for kind in kinds[raw]}
     return base, sorted(found)
 
 
