@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body`` as a variable."""
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
@@ -41,6 +49,14 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast what is proven small, for narrow rows; else leave it to a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def hashed_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
     """The rows whose key's hash is below most / rows: ``most`` of them in expectation, all where there are no more.
 
