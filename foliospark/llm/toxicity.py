@@ -11,10 +11,14 @@ regression.
 The classifier is fitted on a bounded sample: ``MOST_LABELLED`` labelled rows of the
 training folds in expectation, chosen by a hash of their id (all of them where there are
 fewer). Nothing else is bounded by rows: the language model covers every document,
-and every whole text is scored. Ids, labels, languages and sources are not inputs.
+and every whole text is scored. Every feature of the sample that ``LEAST_DOCS`` toxic texts have, more often than
+chance by ``LEAST_Z`` deviations, gets a weight, so their number is bounded by the sample alone.
+Ids, labels, languages and sources are not inputs.
 
 Null texts are empty; a text without any known feature gets the score of the
-intercept. Rows without a label are scored only; repeated rows are scored one by one.
+intercept. Rows without a label are scored only; repeated rows are scored one by one; a document labelled both ways
+is learned both ways, and labels that repeat count once. Where several decodings cost the same, the first in the
+order of letters is taken. Other columns are not looked at, whatever their names.
 Without labels of both classes all scores are the share of label 1 (0.5 without labels).
 """
 
@@ -28,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_words, bucket_of, distinct, hash_words, hashed_sample, row_slices, shared_dir, table, utf8
+from .common import arrow_words, bucket_of, distinct, hash_words, hashed_sample, row_slices, shared_dir, small, table, utf8
 
 MOST_LABELLED = 20_000
-MOST_FEATURES = 4096
+LEAST_DOCS, LEAST_Z = 4, 4.5
 FOLDS, HELD_OUT = 3, 1
 PREFIXES = (4, 5, 6)
 
@@ -256,9 +260,9 @@ def _logistic(x_rows, x_cols, y, n_features, penalty=0.05, rounds=1500):
 def fit(docs: DataFrame, labels: DataFrame, model):
     """(feature numbers by name, weights, intercept) from docs (doc_id, fold, text) and labels (doc_id, label)."""
     fold = bucket_of(F.col("doc_id"), FOLDS)
-    learn = labels.where(F.col("label").isNotNull() & (fold != HELD_OUT)).select("doc_id", F.col("label").cast("int").alias("label"))
+    learn = labels.where(F.col("label").isNotNull() & (fold != HELD_OUT)).select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     sample = shared_dir(hashed_sample(shared_dir(learn), F.col("doc_id"), MOST_LABELLED))
-    texts = shared_dir(docs.join(F.broadcast(sample), "doc_id").select("label", "text"))
+    texts = shared_dir(docs.join(small(sample), "doc_id").select("label", "text"))
     n1, n = texts.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     if not n or n1 in (0, n):
         return {}, np.zeros(0), (math.log(n1 / (n - n1)) if 0 < n1 < n else (0.0 if not n else 20.0 if n1 else -20.0))
@@ -277,10 +281,9 @@ def fit(docs: DataFrame, labels: DataFrame, model):
     rate = n1 / n
     picked = (
         texts.mapInArrow(counts, "f string, n1 long, n long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
-        .where("n1 >= 4")
+        .where(F.col("n1") >= LEAST_DOCS)
         .withColumn("z", (F.col("n1") - rate * F.col("n")) / F.sqrt(F.col("n") * rate * (1 - rate)))
-        .where("z >= 4.5")
-        .orderBy(F.desc("z"), "f").limit(MOST_FEATURES)
+        .where(F.col("z") >= LEAST_Z)
     )
     known = {r["f"]: i for i, r in enumerate(sorted(picked.select("f").collect()))}
 
