@@ -6,7 +6,7 @@ Windows of ``CONTEXT + SPAN`` ids overlap by ``CONTEXT``; each id is scored once
 where it is among the last ``SPAN``, in batches.
 
 Beside the network the model knows the phrases that training documents repeat. A text is cut
-into phrases where a hash of the three words before says so, at every eighth word or so. Where
+into phrases where a hash of the three words before says so, at every sixteenth word or so. Where
 one begins, the model writes a repeated phrase whole with probability ``WHOLE``, by its count:
 
     P(phrase | before) = (1 - WHOLE) * prod P_net(id | before) + WHOLE * (count - DISCOUNT) / phrases
@@ -34,6 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +42,9 @@ from . import lm_net
 from .common import arrow_words, bucket_of, distinct, drop_table, hash_words, mix64, row_slices, shared_dir, sum_vectors, table, written
 from .lm_net import BEGIN, BUCKETS, CLASSES, END, NAMES, PIECES, WIDTH, Net
 
-HEAD, ROUNDS, SHARD, STRETCH = 1 << 19, 2, 1 << 22, 1 << 16
+HEAD, ROUNDS, SHARD, STRETCH = 1 << 21, 2, 1 << 21, 1 << 16
 FOLDS, HELD_OUT = 10, 0
-EVERY, ORDER = 8, 3  # a phrase begins where the hash of ORDER words is a multiple of EVERY
+EVERY, ORDER = 16, 3  # a phrase begins where the hash of ORDER words is a multiple of EVERY
 WHOLE, DISCOUNT = 0.1, 0.75
 END_HASH = 4_542_532
 SLICE = 4 << 20
@@ -215,13 +216,15 @@ def start_net(pairs: DataFrame) -> Net:
 
 
 def _stretch_rows(batches):
-    """Per stretch of at most ``STRETCH`` ids of a text: a hash of it and of its place, and the ids."""
+    """Per stretch of at most ``STRETCH`` ids of a text: a hash of it and of its place, and the ids, packed for the shuffle."""
+    pack = zstandard.ZstdCompressor(1)
     for batch in batches:
         order, blobs = [], []
         for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
             for k in range(0, len(ids), 2 * STRETCH):
-                blobs.append(ids[k: k + 2 * STRETCH])
-                order.append(int.from_bytes(hashlib.blake2b(b"%d %s " % (k, str(doc).encode()) + blobs[-1], digest_size=8).digest(), "big", signed=True))
+                own = ids[k: k + 2 * STRETCH]
+                blobs.append(pack.compress(own))
+                order.append(int.from_bytes(hashlib.blake2b(b"%d %s " % (k, str(doc).encode()) + own, digest_size=8).digest(), "big", signed=True))
         yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(blobs, pa.binary())], names=["order", "ids"])
 
 
@@ -230,8 +233,8 @@ def _learn_shard(shared):
 
     def run(rows: pa.Table) -> pa.Table:
         net = shared.value
-        rows = rows.sort_by("order")
-        ids, ends = _joined(rows.column("ids"))
+        unpack = zstandard.ZstdDecompressor()
+        ids, ends = _joined(pa.array([unpack.decompress(b) for b in rows.sort_by("order").column("ids").to_pylist()], pa.binary()))
         own = Net.__new__(Net)
         own.__dict__.update(net.__dict__)
         own.emb = net.emb.copy()
@@ -294,7 +297,7 @@ def _score_rows(shared):
             last = until.flatten().to_numpy() + begins[row]
             first = np.concatenate([[0], last[:-1]])
             own = total[ends] - total[begins]
-            lists = pa.ListArray.from_arrays(pa.array((until.offsets.to_numpy() - until.offsets[0].as_py()).astype(np.int32)), pa.array(total[last] - total[first]))
+            lists = pa.ListArray.from_arrays(pa.array((until.offsets.to_numpy() - until.offsets[0].as_py()).astype(np.int32)), pa.array((total[last] - total[first]).astype(np.float32)))
             keep = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "rare", "often", "phrase"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists, pa.array(own)], names=[*keep, "logs", "own"])
 
@@ -339,14 +342,14 @@ def score_texts(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     net = start_net(pairs)
     if n_ids:
         net = trained(net, train.select("doc_id", "ids"), int(n_ids))
-    scored = shared_dir(rows.mapInArrow(
+    _, scored = written(rows.mapInArrow(
         _score_rows(sc.broadcast(net)),
-        f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, rare array<long>, often array<long>, phrase array<long>, logs array<double>, own double",
-    ))
+        f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, rare array<long>, often array<long>, phrase array<long>, logs array<float>, own double",
+    ), "lm-scored")
     drop_table(docs.sparkSession, place)
     units = scored.select("rid", F.explode(F.concat(
         F.transform(F.arrays_zip("rare", "often"), lambda x: F.struct(F.lit(WORD).cast("byte").alias("kind"), x["rare"].alias("key"), x["often"].cast("double").alias("x"))),
-        F.transform(F.arrays_zip("phrase", "logs"), lambda x: F.struct(F.lit(PHRASE).cast("byte").alias("kind"), x["phrase"].alias("key"), x["logs"].alias("x"))),
+        F.transform(F.arrays_zip("phrase", "logs"), lambda x: F.struct(F.lit(PHRASE).cast("byte").alias("kind"), x["phrase"].alias("key"), x["logs"].cast("double").alias("x"))),
     )).alias("u")).select("rid", "u.*")
     is_word = F.col("kind") == WORD
     gain = F.log(F.lit(WHOLE / (1 - WHOLE)) * (F.col("n") - DISCOUNT) / max(phrases, 1)) - F.col("x")
@@ -356,8 +359,9 @@ def score_texts(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
         F.sum(F.when(~is_word, F.when(gain > 30, gain).otherwise(F.log1p(F.exp(F.least(gain, F.lit(30.0))))))).alias("more"),
     )
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
-    whole = F.col("own") + F.size("phrase") * float(np.log(1 - WHOLE)) + none("more")
-    return scored.join(found, "rid", "left").select(
+    whole = F.col("own") + F.col("n_phrases") * float(np.log(1 - WHOLE)) + none("more")
+    slim = scored.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "own", F.size("phrase").alias("n_phrases"))
+    return slim.join(found, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + none("more_known")).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + none("more_base")).alias("base_score"), (whole / float(np.log(10))).alias("score"), (F.col("own") / float(np.log(10))).alias("net_score"),
     )
