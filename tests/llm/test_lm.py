@@ -162,7 +162,7 @@ def test_phrases_in_plain_python():
     assert set(w.at[:-1]) <= set(begin) and len(key) == len(begin)
     of = np.searchsorted(begin, w.at)
     assert key[of[3]: of[4]].tolist() == key[of[4]: of[5]].tolist() and (begin[of[4]: of[5]] - w.at[4]).tolist() == (begin[of[3]: of[4]] - w.at[3]).tolist()
-    assert 10 < of[4] - of[3] < 60
+    assert 5 < of[4] - of[3] < 40
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
