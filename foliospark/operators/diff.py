@@ -1,18 +1,21 @@
 """Diff, merge, patch and review operators.
 
-Keyed comparisons are full outer joins; sequence comparisons, which need one
-document pair at a time in order, are grouped pandas functions over pairs.
+Keyed comparisons are full outer joins. Sequence comparisons match lines by grouped counts and joins;
+what is left between matches is aligned in Python, one gap at a time.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def entry_diff(before: DataFrame, after: DataFrame, key: str, content: str) -> DataFrame:
@@ -71,10 +74,20 @@ def apply_patch(rows: DataFrame, patch: DataFrame, key: str, value: str) -> Data
     return out.where(F.col(value).isNotNull()).select(key, value, "failed")
 
 
-def accept_changes(changes: DataFrame, order: list[str], accept: bool = True) -> DataFrame:
-    """Text pieces (kind keep, ins or del) after accepting or rejecting all changes."""
-    gone = "del" if accept else "ins"
-    return changes.where(F.col("kind") != gone).withColumn("kind", F.lit("keep"))
+def stays(kind: Column, accept: bool = True, author: Column | None = None, authors: list[str] | None = None) -> Column:
+    """Whether a piece (kind keep, ins or del) is in the text once changes are accepted, or rejected.
+
+    With ``authors`` only their changes are decided; of all others, insertions and deletions stay as they are.
+    """
+    gone = kind == ("del" if accept else "ins")
+    return ~(gone if authors is None else gone & author.isin(authors))
+
+
+def accept_changes(changes: DataFrame, accept: bool = True, authors: list[str] | None = None) -> DataFrame:
+    """Text pieces (kind keep, ins or del, and author) after accepting or rejecting all changes, or those of some authors."""
+    mine = F.lit(True) if authors is None else F.col("author").isin(authors)
+    rows = changes.where(stays(F.col("kind"), accept, F.col("author") if authors else None, authors))
+    return rows.withColumn("kind", F.when(mine, "keep").otherwise(F.col("kind")))
 
 
 def merge_reviews(changes: DataFrame) -> DataFrame:
@@ -83,20 +96,22 @@ def merge_reviews(changes: DataFrame) -> DataFrame:
     A repeated (kind, first 40 characters before, text) is Skipped; another text at the
     same place is a Conflict with the first, which wins.
     """
-    place = F.substring("preceding", 1, 40)
-    same = W.partitionBy("kind", "place", "text").orderBy("reviewer", "ord")
-    first = F.first("text").over(W.partitionBy("kind", "place").orderBy("reviewer", "ord"))
-    rows = changes.withColumn("place", place).withColumn("nth", F.row_number().over(same)).withColumn("first_text", first)
-    return rows.withColumn("outcome", F.when(F.col("nth") > 1, "Skipped").when(F.col("text") != F.col("first_text"), "Conflict").otherwise("Applied")).drop("nth", "first_text")
+    rows = changes.withColumn("place", F.substring("preceding", 1, 40)).withColumn("turn", F.struct("reviewer", "ord"))
+    # the first of each text and of each place are grouped minima, so a busy place is no single task
+    texts = rows.groupBy("kind", "place", "text").agg(F.min("turn").alias("first_turn"))
+    places = texts.groupBy("kind", "place").agg(F.min_by("text", "first_turn").alias("first_text"))
+    rows = rows.join(texts, ["kind", "place", "text"]).join(places, ["kind", "place"])
+    outcome = F.when(F.col("turn") != F.col("first_turn"), "Skipped").when(F.col("text") != F.col("first_text"), "Conflict").otherwise("Applied")
+    return rows.withColumn("outcome", outcome).drop("turn", "first_turn", "first_text")
 
 
 def shingle_dice(pairs: DataFrame, a: str, b: str, n: int = 3):
     """Dice similarity of the distinct n-character shingles of two text columns, in column expressions."""
-    grams = lambda t: F.array_distinct(
-        F.when(F.length(t) < n, F.filter(F.split(t, ""), lambda x: x != "")).otherwise(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - (n - 1))), lambda i: F.substr(t, i, F.lit(n)))
-        )
-    )
+    def grams(t):
+        signs = F.filter(F.split(t, ""), lambda x: x != "")  # cells of an array are reached at once, places in a text are not
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(signs) - (n - 1))), lambda i: F.array_join(F.slice(signs, i, n), ""))
+        return F.array_distinct(F.when(F.size(signs) < n, signs).otherwise(runs))
+
     ga, gb = grams(F.col(a)), grams(F.col(b))
     return pairs.withColumn("dice", F.when(F.size(ga) + F.size(gb) == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(ga, gb)) / (F.size(ga) + F.size(gb))))
 
@@ -107,87 +122,20 @@ def normalise(text, ignore_case=True, collapse=True):
     return F.lower(out) if ignore_case else out
 
 
-# --- sequence comparisons, one document pair at a time ------------------------------------
+# --- sequence comparisons -------------------------------------------------------------------
+#
+# Lines are rows. Lines that occur once on both sides are matched by a grouped count, those of them that keep
+# their order are anchors, and only what lies between two anchors on both sides is aligned in Python.
 
 _TOKENS = re.compile(r"(\s+)")
 
 
-def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    base, revised = ([] if s is None else s.split("\n") for s in pdf.iloc[0][["base", "revised"]])
-    out = []
-    for tag, a0, a1, b0, b1 in difflib.SequenceMatcher(None, base, revised, autojunk=False).get_opcodes():
-        if tag == "replace" and a1 - a0 == 1 and b1 - b0 == 1:
-            x, y = _TOKENS.split(base[a0]), _TOKENS.split(revised[b0])
-            n = sum(t != "equal" for t, *_ in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes())
-            out.append(("modified", a0, b0, n))
-        else:
-            if tag in ("delete", "replace"):
-                out += [("deleted", i, None, 1) for i in range(a0, a1)]
-            if tag in ("insert", "replace"):
-                out += [("inserted", None, j, 1) for j in range(b0, b1)]
-    return pd.DataFrame([(pdf.iloc[0]["doc_id"], *r) for r in out], columns=["doc_id", "change", "base_ord", "revised_ord", "n_spans"]).astype(
-        {"base_ord": "Int64", "revised_ord": "Int64"}
-    )
-
-
-def compare_documents(pairs: DataFrame) -> DataFrame:
-    """Paragraph changes of (doc_id, base, revised): one-for-one replacements are word diffs, others deletions and insertions."""
-
-    def run(frames):
-        for frame in frames:
-            parts = [_compare(frame.iloc[[i]]) for i in range(len(frame))]
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["doc_id", "change", "base_ord", "revised_ord", "n_spans"])
-
-    return pairs.select("doc_id", "base", "revised").mapInPandas(run, "doc_id long, change string, base_ord long, revised_ord long, n_spans long")
-
-
-def align_clauses(ours: list[tuple[str, str]], theirs: list[tuple[str, str]]) -> list[tuple]:
-    """Greedy alignment of (heading, body) clauses by heading ratio of 0.7 or more; the earliest best wins."""
-    used, out, furthest = set(), [], -1
-    for heading, body in ours:
-        best, at = 0.0, None
-        for j, (other, _) in enumerate(theirs):
-            if j in used:
-                continue
-            ratio = 1.0 if not heading and not other else 0.0 if not heading or not other else difflib.SequenceMatcher(None, heading, other).ratio()
-            if ratio >= 0.7 and ratio > best:
-                best, at = ratio, j
-        if at is None:
-            out.append(("DELETED", heading, None, None, False))
-            continue
-        used.add(at)
-        kind = "RENAMED" if best < 1 else "MATCHED" if body == theirs[at][1] else "CHANGED"
-        out.append((kind, heading, theirs[at][0], best, at <= furthest))
-        furthest = max(furthest, at)
-    return out + [("ADDED", None, theirs[j][0], None, False) for j in range(len(theirs)) if j not in used]
-
-
-def compare_clauses(pairs: DataFrame) -> DataFrame:
-    """Clause alignment of (doc_id, ours, theirs), both arrays of (heading, body)."""
-
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for doc, ours, theirs in zip(frame["doc_id"], frame["ours"], frame["theirs"]):
-                as_pairs = lambda cs: [(c["heading"], c["body"]) for c in cs]
-                rows += [(doc, i, *r) for i, r in enumerate(align_clauses(as_pairs(ours), as_pairs(theirs)))]
-            yield pd.DataFrame(rows, columns=["doc_id", "i", "kind", "heading", "other_heading", "ratio", "reordered"])
-
-    return pairs.mapInPandas(run, "doc_id long, i long, kind string, heading string, other_heading string, ratio double, reordered boolean")
-
-
 def longest_increasing(values: list[int]) -> list[int]:
     """Positions of a longest strictly increasing subsequence, by patience sorting."""
-    from bisect import bisect_left
-
     tops, at, back = [], [], [-1] * len(values)
     for i, v in enumerate(values):
         k = bisect_left(tops, v)
-        if k == len(tops):
-            tops.append(v)
-            at.append(i)
-        else:
-            tops[k], at[k] = v, i
+        tops[k:k + 1], at[k:k + 1] = [v], [i]
         back[i] = at[k - 1] if k else -1
     out, i = [], at[-1] if at else -1
     while i >= 0:
@@ -196,16 +144,161 @@ def longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def common_sequence(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence: an increasing run through the places in b, last first, of each element of a."""
+    where: dict = {}
+    for j, x in enumerate(b):
+        where.setdefault(x, []).append(j)
+    hits = [(i, j) for i, x in enumerate(a) for j in reversed(where.get(x, ()))]
+    return [hits[k] for k in longest_increasing([j for _, j in hits])]
+
+
+def blocks(a: list, b: list) -> list[tuple[int, int, int, int]]:
+    """What a longest common subsequence leaves between its elements: (from, to) in a and in b."""
+    edges = [(-1, -1), *common_sequence(a, b), (len(a), len(b))]
+    return [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:]) if (i + 1, j + 1) != (k, m)]
+
+
+def changed_spans(a: str, b: str) -> int:
+    """In how many places the words of two lines differ."""
+    return len(blocks(_TOKENS.split(a), _TOKENS.split(b)))
+
+
+def side_lines(pairs: DataFrame) -> DataFrame:
+    """(doc_id, revised, ord, line) of both texts of (doc_id, base, revised); a null text has no lines."""
+    side = lambda c, flag: pairs.select("doc_id", F.lit(flag).alias("revised"), F.posexplode(F.split(c, "\n")).alias("ord", "line"))
+    return side("base", False).unionByName(side("revised", True)).withColumn("ord", F.col("ord").cast("long"))
+
+
+def single_lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, a, b, kept): lines that occur once on each side, and whether they belong to the longest run that keeps its order."""
+    n = lambda flag: F.count_if(F.col("revised") == flag)
+    at = lambda flag: F.max(F.when(F.col("revised") == flag, F.col("ord")))
+    once = lines.groupBy("doc_id", "line").agg(n(False).alias("na"), n(True).alias("nb"), at(False).alias("a"), at(True).alias("b")).where("na = 1 and nb = 1")
+    ordered = once.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ab"))
+
+    def run(batches):
+        for batch in batches:
+            docs, ab = batch.column("doc_id").to_pylist(), batch.column("ab").to_pylist()
+            rows = [(doc, x["a"], x["b"], i in kept) for doc, xs in zip(docs, ab) for kept in [set(longest_increasing([x["b"] for x in xs]))] for i, x in enumerate(xs)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["doc_id", "a", "b", "kept"])
+
+    return ordered.mapInArrow(run, "doc_id long, a long, b long, kept boolean")
+
+
+def gaps(lines: DataFrame, anchors: DataFrame, used: DataFrame) -> DataFrame:
+    """(doc_id, gap, base, revised): the lines between anchors (doc_id, a, b), as arrays of (ord, line), without the used ones (doc_id, revised, ord)."""
+    marks = anchors.select("doc_id", F.lit(False).alias("revised"), F.col("a").alias("ord")).unionByName(anchors.select("doc_id", F.lit(True).alias("revised"), F.col("b").alias("ord")))
+    marked = lines.join(marks.withColumn("mark", F.lit(1)), ["doc_id", "revised", "ord"], "left")
+    gap = F.count("mark").over(W.partitionBy("doc_id", "revised").orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
+    rest = marked.withColumn("gap", gap).join(used, ["doc_id", "revised", "ord"], "left_anti")
+    side = lambda flag: F.sort_array(F.collect_list(F.when(F.col("revised") == flag, F.struct("ord", "line"))))
+    return rest.groupBy("doc_id", "gap").agg(side(False).alias("base"), side(True).alias("revised"))
+
+
+def _changes(base: list, revised: list):
+    """(change, base place, revised place, spans) of one gap: a block of one line on each side is modified, others are deleted and inserted."""
+    for a0, a1, b0, b1 in blocks([x["line"] for x in base], [x["line"] for x in revised]):
+        if a1 - a0 == b1 - b0 == 1:
+            yield "modified", base[a0]["ord"], revised[b0]["ord"], changed_spans(base[a0]["line"], revised[b0]["line"])
+            continue
+        yield from (("deleted", x["ord"], None, 1) for x in base[a0:a1])
+        yield from (("inserted", None, x["ord"], 1) for x in revised[b0:b1])
+
+
+def compare_documents(pairs: DataFrame) -> DataFrame:
+    """Paragraph changes of (doc_id, base, revised): one-for-one replacements are word diffs, others deletions and insertions."""
+    lines = side_lines(pairs)
+    anchors = single_lines(lines).where("kept").select("doc_id", "a", "b")
+    used = anchors.select("doc_id", F.lit(False).alias("revised"), F.col("a").alias("ord")).unionByName(anchors.select("doc_id", F.lit(True).alias("revised"), F.col("b").alias("ord")))
+    between = gaps(lines, anchors, used)
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    names = ["doc_id", "change", "base_ord", "revised_ord", "n_spans"]
+
+    def run(batches):
+        for batch in batches:
+            doc, base, revised = (batch.column(c).to_pylist() for c in ("doc_id", "base", "revised"))
+            rows = [(d, *r) for d, x, y in zip(doc, base, revised) for r in _changes(x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+    one_sided = lambda mine, other, change: between.where((F.size(mine) > 0) & (F.size(other) == 0)).select(
+        "doc_id", F.lit(change).alias("change"), F.explode(mine).alias("x")
+    )
+    ord_or = lambda change: F.when(F.col("change") == change, F.col("x.ord"))
+    alone = one_sided("base", "revised", "deleted").unionByName(one_sided("revised", "base", "inserted")).select(
+        "doc_id", "change", ord_or("deleted").alias("base_ord"), ord_or("inserted").alias("revised_ord"), F.lit(1).cast("long").alias("n_spans")
+    )
+    both = between.where((F.size("base") > 0) & (F.size("revised") > 0)).select("doc_id", "base", "revised")
+    return alone.unionByName(both.mapInArrow(run, "doc_id long, change string, base_ord long, revised_ord long, n_spans long"))
+
+
+def diff_text(changes: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, text): the changes of each document as a numbered list, in order of place, deletions before insertions."""
+    line = lambda flag, c: lines.where(F.col("revised") == flag).select("doc_id", F.col("ord").alias(c), F.col("line").alias(f"{c}_line"))
+    rows = changes.join(line(False, "base_ord"), ["doc_id", "base_ord"], "left").join(line(True, "revised_ord"), ["doc_id", "revised_ord"], "left")
+    place = F.coalesce("revised_ord", "base_ord")
+    n = F.row_number().over(W.partitionBy("doc_id").orderBy(place, F.col("change"), "base_ord"))
+    said = (
+        F.when(F.col("change") == "deleted", F.concat(F.lit("DELETION: "), F.col("base_ord_line")))
+        .when(F.col("change") == "inserted", F.concat(F.lit("INSERTION: "), F.col("revised_ord_line")))
+        .otherwise(F.concat(F.lit("REPLACEMENT: "), F.col("base_ord_line"), F.lit(" -> "), F.col("revised_ord_line")))
+    )
+    numbered = rows.select("doc_id", n.alias("n"), said.alias("said"))
+    entry = F.concat(F.col("n").cast("string"), F.lit(". "), F.col("said"))
+    return numbered.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", entry.alias("e")))).alias("es")).select(
+        "doc_id", F.array_join(F.transform("es", lambda e: e["e"]), "\n").alias("text")
+    )
+
+
+LEAST_RATIO = 0.7  # fixed value: headings less alike than this are never the same clause
+
+
+@F.pandas_udf(DoubleType())
+def heading_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How alike two headings are: twice the characters in matching blocks over all characters; both empty 1, one empty 0."""
+    return pd.Series([float(x == y) if not x or not y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def compare_clauses(pairs: DataFrame) -> DataFrame:
+    """Clause alignment of (doc_id, ours, theirs), both arrays of (heading, body) in order.
+
+    All pairs of headings that can be alike enough are rated; a document's ratings, sorted by our place, then the best, then
+    their place, are taken in turn where both places are still free. So each of our clauses gets the best that its
+    predecessors left, the earliest among equals.
+    """
+    side = lambda c, i: pairs.select("doc_id", F.posexplode(c).alias(i, "x")).select(
+        "doc_id", F.col(i).cast("long").alias(i), F.coalesce("x.heading", F.lit("")).alias(f"h{i}"), F.col("x.body").alias(f"b{i}")
+    )
+    ours, theirs = side("ours", "i"), side("theirs", "j")
+    n, m = F.length("hi"), F.length("hj")
+    can = (2 * F.least(n, m) >= LEAST_RATIO * (n + m))  # no more characters than the shorter has can match
+    rated = ours.join(theirs, "doc_id").where(can).withColumn("ratio", F.when(F.col("hi") == F.col("hj"), 1.0).otherwise(heading_ratio("hi", "hj"))).where(F.col("ratio") >= LEAST_RATIO)
+    turn = F.sort_array(F.collect_list(F.struct("i", (-F.col("ratio")).alias("worse"), "j")))
+    free = lambda acc, x: ~F.exists(acc, lambda y: (y["i"] == x["i"]) | (y["j"] == x["j"]))
+    none = F.array().cast("array<struct<i:bigint,worse:double,j:bigint>>")
+    taken = rated.groupBy("doc_id").agg(F.aggregate(turn, none, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc)).alias("t"))
+    taken = taken.select("doc_id", F.inline("t")).select("doc_id", "i", "j", (-F.col("worse")).alias("ratio"))
+    mine = ours.join(taken, ["doc_id", "i"], "left").join(theirs, ["doc_id", "j"], "left")
+    kind = F.when(F.col("j").isNull(), "DELETED").when(F.col("ratio") < 1, "RENAMED").when(F.col("bi").eqNullSafe(F.col("bj")), "MATCHED").otherwise("CHANGED")
+    furthest = F.max("j").over(W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1))
+    mine = mine.select("doc_id", "i", kind.alias("kind"), F.col("hi").alias("heading"), F.col("hj").alias("other_heading"), "ratio", F.coalesce(F.col("j") <= furthest, F.lit(False)).alias("reordered"))
+    added = theirs.join(taken.select("doc_id", "j"), ["doc_id", "j"], "left_anti").select(
+        "doc_id", F.lit(None).cast("long").alias("i"), F.lit("ADDED").alias("kind"), F.lit(None).cast("string").alias("heading"), F.col("hj").alias("other_heading"),
+        F.lit(None).cast("double").alias("ratio"), F.lit(False).alias("reordered"),
+    )
+    return mine.unionByName(added)
+
+
 def moved_children(children: DataFrame, parent: str, before: str, after: str) -> DataFrame:
     """Children (with places before and after) outside the longest run that kept its order: the moved ones."""
     grouped = children.groupBy(parent).agg(F.sort_array(F.collect_list(F.struct(before, after))).alias("cs"))
 
-    def run(frames):
-        for frame in frames:
+    def run(batches):
+        for batch in batches:
             rows = []
-            for p, cs in zip(frame[parent], frame["cs"]):
+            for p, cs in zip(batch.column(parent).to_pylist(), batch.column("cs").to_pylist()):
                 kept = set(longest_increasing([c[after] for c in cs]))
                 rows += [(p, c[before], c[after]) for i, c in enumerate(cs) if i not in kept]
-            yield pd.DataFrame(rows, columns=[parent, before, after])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=[parent, before, after])
 
-    return grouped.mapInPandas(run, f"{parent} long, {before} long, {after} long")
+    return grouped.mapInArrow(run, f"{parent} long, {before} long, {after} long")

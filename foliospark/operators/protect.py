@@ -26,17 +26,23 @@ def _tagged(text: str, kind: str, pattern: str) -> Column:
 
 
 def occurrences(text: Column, value: Column) -> Column:
-    """Starts (from 1) of all occurrences of a string in a text, those that overlap included."""
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.length(value) + 1))
-    return F.filter(places, lambda i: F.substr(text, i, F.length(value)) == value)
-
-
-def spans(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Spans of every occurrence, in its text, of each string detected there: key, start (from 1), end (exclusive)."""
-    found = detect(rows, key, text).select(*key, "value").distinct()
-    both = rows.select(*key, text).join(found, key)
-    starts = both.select(*key, F.length("value").alias("n"), F.explode(occurrences(F.lower(text), F.lower("value"))).alias("start"))
-    return starts.select(*key, F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("end")).distinct()
+    """Starts (from 1) of all occurrences of a string in a text, those that overlap included, in one pass over the text."""
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    parts = F.split(text, quoted)  # cut before each occurrence, so all but the first part begin with one
+    cut = F.aggregate(
+        parts, F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+    )["starts"]
+    starts = F.when(F.startswith(text, value), cut).otherwise(F.slice(cut, 2, F.size(parts)))
+    return F.when((F.length(value) > 0) & F.contains(text, value), starts)
+
+
+def spans(rows: DataFrame, doc: str, order: str, text: str = "text") -> DataFrame:
+    """Spans of every occurrence, in all paragraphs of its document, of each string detected there: doc, order, start (from 1), end (exclusive)."""
+    found = detect(rows, [doc], text).select(doc, F.lower("value").alias("value")).distinct()
+    both = rows.select(doc, order, F.lower(text).alias("_text")).join(found, doc).where(F.contains("_text", "value"))
+    starts = both.select(doc, order, F.length("value").alias("n"), F.explode(occurrences(F.col("_text"), F.col("value"))).alias("start"))
+    return starts.select(doc, order, F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("end")).distinct()
 
 
 def merge_spans(rows: DataFrame, key: list[str]) -> DataFrame:

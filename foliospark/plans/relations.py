@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.operators import graph as g
@@ -40,16 +41,30 @@ def impact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes reached from the orders of the first day of a year, and in how many steps."""
+    """Everything reached from the orders of the first day of a year, and in how many steps, without a bound."""
     start = table(spark, sf_dir, "orders").where("o_orderdate >= '1995-01-01' and o_orderdate < '1995-01-02'").select(_node("order", "o_orderkey").alias("node"))
-    return g.impact(_edges(spark, sf_dir), start, "outgoing", 4).groupBy(F.col("dst").alias("node")).agg(F.min("step").alias("step"))
+    return g.closure(_edges(spark, sf_dir), start).where("step > 0")
 
 
 def inheritance_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roots and depths of chains: each part is based on the part with half its key."""
     key = F.col("p_partkey")
     links = table(spark, sf_dir, "part").select(key.alias("style"), F.when(key > 1, F.floor(key / 2)).alias("based_on"))
-    return g.chain(links, "style", "based_on", rounds=6)
+    return g.chain(links, "style", "based_on")
+
+
+def style_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains over suppliers that end at a root, at a parent without a row, or never."""
+    suppliers = table(spark, sf_dir, "supplier")
+    key, n = F.col("s_suppkey"), suppliers.agg((F.max("s_suppkey") + 1).alias("n"))
+    up = F.when(key % 5 == 0, F.lit(None)).when(key % 7 == 0, key + 100_000).otherwise((key * 3 + 1) % F.col("n"))
+    return g.chain(suppliers.join(F.broadcast(n)).select(key.alias("style"), up.alias("based_on")), "style", "based_on")
+
+
+def adjacency_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second to fourth of each node's incoming edges, sorted, and how many there are."""
+    turned = _edges(spark, sf_dir).select("kind", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return g.adjacency(turned, offset=1, limit=3)
 
 
 def unresolved_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,17 +81,17 @@ def unique_key_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def note_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes and their references in both directions: documents and labels, matched or missing on either side."""
-    a = table(spark, sf_dir, "documents").where("lang <> 'en'").select(F.col("doc_id").alias("note"))
-    b = table(spark, sf_dir, "labels").where("toxic = 0").select(F.col("doc_id").alias("ref"))
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note"))
+    b = table(spark, sf_dir, "labels").select((F.col("doc_id") + 50).alias("ref"))
     both = a.join(b, F.col("note") == F.col("ref"), "full")
     status = F.when(F.col("ref").isNull(), "Unreferenced").when(F.col("note").isNull(), "Dangling").otherwise("Complete")
     return both.select("note", "ref", status.alias("status"))
 
 
 def unused_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that no line of an order uses."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return parts.join(table(spark, sf_dir, "lineitem").where("l_quantity > 45"), F.col("p_partkey") == F.col("l_partkey"), "left_anti")
+    """Customers that no order is placed by."""
+    owners = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return owners.join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 def comment_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,14 +103,21 @@ def comment_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def figure_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors (figures) and the purchases (captions) of the same user within two events: after scores over before, ties are ambiguous."""
+    """Errors (figures) and the purchases and sign-ups (captions) of the same user within two events, with scores and status.
+
+    A caption has a style where its value is over 50 and a sequence where its id isn't divisible by 4; sign-ups say figure.
+    Candidates are looked up by user and exact place, so a busy user costs no more than four pairs a figure.
+    """
     events = table(spark, sf_dir, "events")
-    numbered = events.selectExpr("user_id", "event_id", "event_type", "row_number() over (partition by user_id order by event_id) as place")
-    figures = numbered.where("event_type = 'error'").select("user_id", F.col("event_id").alias("figure"), F.col("place").alias("at"))
-    captions = numbered.where("event_type = 'purchase'").select(F.col("user_id").alias("u"), F.col("event_id").alias("caption"), F.col("place").alias("cat"))
-    d = F.col("cat") - F.col("at")
-    score = F.when(d == 1, 90).when(d == -1, 85).when(d > 1, 68).otherwise(63)
-    return g.associate(figures, captions, score, (F.col("user_id") == F.col("u")) & (F.abs(d) <= 2), "figure", "caption")
+    numbered = events.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")))
+    figures = numbered.where("event_type = 'error'").select("user_id", F.col("event_id").alias("figure"), F.explode(F.array(*map(F.lit, (-2, -1, 1, 2)))).alias("distance"), "place")
+    figures = figures.withColumn("place", F.col("place") + F.col("distance"))
+    captions = numbered.where("event_type in ('purchase', 'signup')").select(
+        "user_id", "place", F.col("event_id").alias("caption"), (F.col("value") > 50).alias("style"), (F.col("event_id") % 4 != 0).alias("sequence"), (F.col("event_type") == "signup").alias("says")
+    )
+    score = g.figure_score(F.col("distance"), F.col("style"), F.col("sequence"), F.col("says"))
+    pairs = figures.join(captions, ["user_id", "place"]).select("figure", "caption", "distance", score.alias("score"))
+    return g.associate(pairs, "figure", "caption", "score")
 
 
 def external_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +136,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         edge_kind_counts, node_degree, impact_edges, reachability, inheritance_chain, unresolved_refs, unique_key_citations, note_full_outer,
-        unused_relationships, comment_threads, figure_captions, external_links,
+        unused_relationships, comment_threads, figure_captions, external_links, style_cycles, adjacency_page,
     )
 }
 ORACLES = {
@@ -130,22 +152,31 @@ s1 AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM s0)), s
 s3 AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM s2))
 SELECT node, min(step) AS step FROM (SELECT node, 1 AS step FROM s1 UNION ALL SELECT node, 2 FROM s2 UNION ALL SELECT node, 3 FROM s3) GROUP BY node""",
     "inheritance_chain": """WITH RECURSIVE c AS (SELECT p_partkey AS node, p_partkey AS spot, CAST(0 AS BIGINT) AS depth FROM part
-UNION ALL SELECT node, CAST(floor(spot / 2) AS BIGINT), depth + 1 FROM c WHERE spot > 1) SELECT node, min(spot) AS root, max(depth) AS depth FROM c GROUP BY node""",
+UNION ALL SELECT node, CAST(floor(spot / 2) AS BIGINT), depth + 1 FROM c WHERE spot > 1) SELECT node, min(spot) AS root, max(depth) AS depth, 'Resolved' AS status FROM c GROUP BY node""",
+    "style_cycles": """WITH RECURSIVE l AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 7 = 0 THEN s_suppkey + 100000 ELSE (s_suppkey * 3 + 1) % (SELECT max(s_suppkey) + 1 FROM supplier) END AS up FROM supplier),
+c AS (SELECT node, node AS spot, CAST(0 AS BIGINT) AS depth FROM l UNION ALL SELECT c.node, l.up, c.depth + 1 FROM c JOIN l ON l.node = c.spot WHERE l.up IS NOT NULL AND c.depth < 1500),
+e AS (SELECT node, max_by(spot, depth) AS spot, max(depth) AS depth FROM c GROUP BY node)
+SELECT e.node, CASE WHEN depth < 1500 THEN spot END AS root, CASE WHEN depth < 1500 THEN depth END AS depth,
+       CASE WHEN depth >= 1500 THEN 'Cycle' WHEN t.node IS NULL THEN 'Missing' ELSE 'Resolved' END AS status FROM e LEFT JOIN l t ON t.node = e.spot""",
+    "adjacency_page": f"""WITH {_E}, p AS (SELECT src AS node, count(*) OVER (PARTITION BY src) AS outgoing, row_number() OVER (PARTITION BY src ORDER BY kind, dst) - 1 AS place, kind, dst
+FROM (SELECT kind, dst AS src, src AS dst FROM e)) SELECT * FROM p WHERE place BETWEEN 1 AND 3""",
     "unresolved_refs": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "unique_key_citations": """WITH n AS (SELECT text, count(*) AS candidates FROM documents GROUP BY text)
 SELECT l.doc_id, candidates, CASE WHEN candidates = 1 THEN 'Resolved' ELSE 'Ambiguous' END AS status FROM labels l JOIN documents d USING (doc_id) JOIN n ON n.text = d.text""",
-    "note_full_outer": """WITH a AS (SELECT doc_id AS note FROM documents WHERE lang <> 'en'), b AS (SELECT doc_id AS ref FROM labels WHERE toxic = 0)
+    "note_full_outer": """WITH a AS (SELECT doc_id AS note FROM documents), b AS (SELECT doc_id + 50 AS ref FROM labels)
 SELECT note, ref, CASE WHEN ref IS NULL THEN 'Unreferenced' WHEN note IS NULL THEN 'Dangling' ELSE 'Complete' END AS status FROM a FULL JOIN b ON note = ref""",
-    "unused_relationships": "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",
+    "unused_relationships": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "comment_threads": """WITH r AS (SELECT conv_id, turn AS root FROM conversations WHERE role = 'user'), p AS (SELECT conv_id, turn - 1 AS root, turn AS reply FROM conversations WHERE role = 'assistant')
 SELECT conv_id, count(*) AS threads, count(reply) AS replies FROM r LEFT JOIN p USING (conv_id, root) GROUP BY conv_id""",
-    "figure_captions": """WITH n AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events),
-p AS (SELECT f.event_id AS figure, c.event_id AS caption, c.place - f.place AS d FROM n f JOIN n c ON f.user_id = c.user_id AND abs(c.place - f.place) <= 2
-      WHERE f.event_type = 'error' AND c.event_type = 'purchase'),
-s AS (SELECT *, CASE WHEN d = 1 THEN 90 WHEN d = -1 THEN 85 WHEN d > 1 THEN 68 ELSE 63 END AS score FROM p),
-b AS (SELECT *, max(score) OVER (PARTITION BY figure) AS best FROM s)
-SELECT figure, best, CASE WHEN count(*) = 1 THEN 'Selected' ELSE 'Ambiguous' END AS status, CASE WHEN count(*) = 1 THEN min(caption) END AS caption
-FROM b WHERE score = best GROUP BY figure, best""",
+    "figure_captions": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events),
+p AS (SELECT f.event_id AS figure, c.event_id AS caption, c.place - f.place AS d, c.value > 50 AS style, c.event_id % 4 <> 0 AS seq, c.event_type = 'signup' AS says
+      FROM n f JOIN n c ON f.user_id = c.user_id AND c.place - f.place IN (-2, -1, 1, 2) WHERE f.event_type = 'error' AND c.event_type IN ('purchase', 'signup')),
+s AS (SELECT figure, caption, CAST(d AS INTEGER) AS distance, greatest(0, least(100, CASE d WHEN 1 THEN 90 WHEN -1 THEN 85 WHEN 2 THEN 68 ELSE 63 END
+        + CASE WHEN style AND seq THEN 5 WHEN NOT seq THEN -15 ELSE 0 END + CASE WHEN says THEN 3 ELSE 0 END)) AS score FROM p),
+b AS (SELECT *, max(score) OVER (PARTITION BY figure) AS bf, max(score) OVER (PARTITION BY caption) AS bc FROM s),
+t AS (SELECT *, sum(CASE WHEN score = bf THEN 1 ELSE 0 END) OVER (PARTITION BY figure) AS tf, sum(CASE WHEN score = bc THEN 1 ELSE 0 END) OVER (PARTITION BY caption) AS tc FROM b)
+SELECT figure, caption, distance, score, CASE WHEN score = bf AND tf = 1 AND score = bc AND tc = 1 AND score >= 70 THEN 'Selected'
+  WHEN (score = bf AND tf > 1) OR (score = bc AND tc > 1) THEN 'Ambiguous' ELSE 'Candidate' END AS status FROM t""",
     "external_links": """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages)
 SELECT href, CASE WHEN href = '' THEN 'Invalid' WHEN regexp_matches(href, '^[a-z]+:') THEN 'External' ELSE 'Internal' END AS mode,
        count(*) AS links, count(DISTINCT page_id) AS pages FROM a GROUP BY href""",

@@ -62,7 +62,7 @@ def patch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_review_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of three reviewers (by order priority) merged: applied, skipped or in conflict."""
+    """Changes of three reviewers, from events, merged: applied, skipped or in conflict."""
     rows = table(spark, sf_dir, "events").select(
         (F.col("event_id") % 3).alias("reviewer"), F.col("event_id").alias("ord"), F.when(F.col("event_type") == "error", "del").otherwise("ins").alias("kind"),
         F.concat(F.lit("paragraph "), (F.col("user_id") % 500).cast("string")).alias("preceding"), F.concat(F.col("event_type"), (F.col("event_id") % 4).cast("string")).alias("text"),
@@ -74,8 +74,8 @@ def tracked_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of conversations with system turns as deletions and assistant turns as insertions: accepted and rejected."""
     kind = F.when(F.col("role") == "system", "del").when(F.col("role") == "assistant", "ins").otherwise("keep")
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), kind.alias("kind"), "text")
-    n = lambda accept, name: d.accept_changes(rows, ["ord"], accept).groupBy("conv_id").agg(F.sum(F.length("text")).cast("long").alias(name))
-    return n(True, "accepted").join(n(False, "rejected"), "conv_id", "full")
+    n = lambda accept, name: F.sum(F.when(d.stays(F.col("kind"), accept), F.length("text"))).cast("long").alias(name)
+    return rows.groupBy("conv_id").agg(n(True, "accepted"), n(False, "rejected"))
 
 
 def compare_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +140,8 @@ def _findings(spark, sf_dir):
     lines = document_nodes(docs).where("kind = 'paragraph'")
     pages = page_nodes(table(spark, sf_dir, "pages"))
     at = F.col("ord")
-    copies = docs.select("doc_id", F.count("*").over(W.partitionBy(F.sha2("text", 256))).alias("n"))
+    digests = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
+    copies = digests.join(digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "digest")
     tagged = F.element_at("props", F.lit("tag"))
     return r.union_findings(
         r.finding(lines, "CORE_ARTIFACT", "Core", "Warning", at, F.regexp_like("text", F.lit("DRAFT|TODO|FIXME|XXX"))),
@@ -177,9 +178,9 @@ def pii_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged spans of every occurrence of every detected string, in its paragraph."""
+    """Merged spans of every occurrence of every detected string, anywhere in its document."""
     lines = document_nodes(table(spark, sf_dir, "documents")).where("kind = 'paragraph'")
-    return p.merge_spans(p.spans(lines, ["doc_id", "ord"]), ["doc_id", "ord"])
+    return p.merge_spans(p.spans(lines, "doc_id", "ord"), ["doc_id", "ord"])
 
 
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,15 +198,15 @@ def page_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags (parts used by large lines) without data (parts in stock) and the reverse."""
-    tags = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("tag"))
-    return t.validate_tags(tags, table(spark, sf_dir, "part").where("p_size < 25").select(F.col("p_partkey").alias("tag")))
+    """Tags (customers that order) without data (customers by key and a half) and the reverse."""
+    tags = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("tag"))
+    return t.validate_tags(tags, table(spark, sf_dir, "customer").select((F.col("c_custkey") + F.floor(F.col("c_custkey") / 2)).alias("tag")))
 
 
 def template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Controls of orders filled with the lines' flags: the first in place, others cloned."""
-    controls = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.lit(1).alias("doc_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("tag"), F.col("o_orderpriority").alias("text"))
-    data = table(spark, sf_dir, "lineitem").where("l_quantity > 40").groupBy(F.col("l_orderkey").alias("tag"), F.col("l_returnflag").alias("value")).agg(F.count("*").alias("n"))
+    controls = table(spark, sf_dir, "orders").select(F.lit(1).alias("doc_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("tag"), F.col("o_orderpriority").alias("text"))
+    data = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("tag"), F.col("l_returnflag").alias("value")).agg(F.count("*").alias("n"))
     data = data.withColumn("i", (F.row_number().over(W.partitionBy("tag").orderBy("value")) - 1).cast("long")).select("tag", "i", "value")
     return t.fill(controls, data).select("ord", F.col("clone").cast("long").alias("clone"), "text", "filled")
 
@@ -235,16 +236,21 @@ def table_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as CSV lines, read back."""
+    """Suppliers as CSV lines, read back."""
     lines = table(spark, sf_dir, "supplier").select("s_suppkey", t.to_csv_line(["s_suppkey", "s_name", "s_nationkey"]).alias("line"))
     back = F.from_csv("line", F.lit("k long, name string, nation int"))
     return lines.select("s_suppkey", "line", back["k"].alias("k"), back["name"].alias("name"), back["nation"].alias("nation"))
 
 
 def package_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fingerprint per source that doesn't depend on the order of its entries: sums of digests, added up before the shuffle."""
-    digest = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.length("text").cast("string"), F.sha2("text", 256)), 256), 1, 12), 16, 10).cast("long")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("entries"), F.sum(digest).alias("fingerprint"))
+    """A fingerprint per source that doesn't depend on the order of its entries: the digest of sums of the entries' digests, by words of 60 bits.
+
+    The sums are added up before the shuffle and can't overflow: 38 digits hold more than 10**19 entries.
+    """
+    digest = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.length("text").cast("string"), F.sha2("text", 256)), 256)
+    words = [F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)").alias(f"w{k}") for k in range(4)]
+    sums = table(spark, sf_dir, "documents").select("source", *words).groupBy("source").agg(F.count("*").alias("entries"), *[F.sum(f"w{k}").cast("string").alias(f"w{k}") for k in range(4)])
+    return sums.select("source", "entries", F.sha2(F.concat_ws("|", "w0", "w1", "w2", "w3"), 256).alias("fingerprint"))
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +329,8 @@ SELECT key, count(*) AS n, min(doc_id) AS first_doc FROM k GROUP BY key HAVING c
     "analysis_signals": f"""WITH {_P}, {_F} SELECT rule, severity, count(*) AS n FROM s GROUP BY rule, severity
 ORDER BY CASE severity WHEN 'Fatal' THEN 3 WHEN 'Error' THEN 2 WHEN 'Warning' THEN 1 ELSE 0 END DESC, rule LIMIT 3""",
     "pii_entities": f"WITH d AS ({_D}) SELECT doc_id, kind, value, count(*) AS n FROM d GROUP BY ALL",
-    "pii_spans": f"""WITH {_P}, d AS (SELECT DISTINCT doc_id, ord, text, value FROM ({_DX})),
+    "pii_spans": f"""WITH {_P}, v AS (SELECT DISTINCT doc_id, lower(value) AS value FROM ({_DX})),
+d AS (SELECT x.doc_id, x.ord, x.text, v.value FROM x JOIN v ON v.doc_id = x.doc_id AND contains(lower(x.text), v.value)),
 o AS (SELECT doc_id, ord, length(value) AS n, lower(text) AS t, lower(value) AS v, unnest(range(1, length(text) - length(value) + 2)) AS s FROM d),
 sp AS (SELECT DISTINCT doc_id, ord, s, s + n AS e FROM o WHERE substring(t, s, n) = v),
 i AS (SELECT *, CASE WHEN max(e) OVER (PARTITION BY doc_id, ord ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= s THEN 0 ELSE 1 END AS n FROM sp),
@@ -331,11 +338,11 @@ g AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, ord ORDER BY s, e ROWS UNBOUND
 SELECT doc_id, ord, min(s) AS start, max(e) AS "end" FROM g GROUP BY doc_id, ord, island""",
     "redact_text": f"SELECT doc_id, sha256({_CLEAN}) AS clean_sha256, CAST(length({_CLEAN}) AS BIGINT) AS chars FROM documents WHERE {_CLEAN} <> text",
     "page_stamps": "SELECT page_id, 'AB' || CASE WHEN page_id + 995 > 999 THEN CAST(page_id + 995 AS VARCHAR) ELSE lpad(CAST(page_id + 995 AS VARCHAR), 4, '0') END AS stamp FROM pages",
-    "template_tags": """WITH t AS (SELECT DISTINCT l_partkey AS tag FROM lineitem WHERE l_quantity >= 49), k AS (SELECT p_partkey AS tag FROM part WHERE p_size < 25)
+    "template_tags": """WITH t AS (SELECT DISTINCT o_custkey AS tag FROM orders), k AS (SELECT c_custkey + c_custkey // 2 AS tag FROM customer)
 SELECT tag, 'missing' AS status FROM t WHERE tag NOT IN (SELECT tag FROM k) UNION ALL SELECT tag, 'extra' FROM k WHERE tag NOT IN (SELECT tag FROM t)""",
-    "template_fill": """WITH v AS (SELECT DISTINCT l_orderkey AS tag, l_returnflag AS value FROM lineitem WHERE l_quantity > 40),
+    "template_fill": """WITH v AS (SELECT DISTINCT l_orderkey AS tag, l_returnflag AS value FROM lineitem),
 d AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY value) - 1 AS i FROM v)
-SELECT o_orderkey AS ord, coalesce(i, 0) AS clone, coalesce(value, o_orderpriority) AS text, value IS NOT NULL AS filled FROM orders LEFT JOIN d ON tag = o_orderkey WHERE o_orderstatus = 'F'""",
+SELECT o_orderkey AS ord, coalesce(i, 0) AS clone, coalesce(value, o_orderpriority) AS text, value IS NOT NULL AS filled FROM orders LEFT JOIN d ON tag = o_orderkey""",
     "binding_plan": """WITH f AS (SELECT c_mktsegment AS field FROM customer UNION SELECT lower(o_orderpriority) FROM orders),
 c AS (SELECT DISTINCT o_orderpriority AS name FROM orders UNION ALL SELECT DISTINCT c_mktsegment FROM customer),
 x AS (SELECT field, (SELECT count(*) FROM c WHERE name = field) AS ne, (SELECT count(*) FROM c WHERE lower(name) = lower(field)) AS nl, (SELECT min(name) FROM c WHERE lower(name) = lower(field)) AS one FROM f)
@@ -347,6 +354,7 @@ SELECT l_orderkey, ord, round(sum(l_quantity) OVER a, 4) AS sum_above, round(avg
        max(l_quantity) OVER a AS max_above, min(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS min_below
 FROM l WINDOW a AS (PARTITION BY l_orderkey ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "table_csv": "SELECT s_suppkey, s_suppkey || ',' || s_name || ',' || s_nationkey AS line, s_suppkey AS k, s_name AS name, s_nationkey AS nation FROM supplier",
-    "package_fingerprint": """SELECT source, count(*) AS entries, CAST(sum(CAST('0x' || substring(sha256(doc_id || '|' || length(text) || '|' || sha256(text)), 1, 12) AS BIGINT)) AS BIGINT) AS fingerprint FROM documents GROUP BY source""",
+    "package_fingerprint": f"""WITH d AS (SELECT source, sha256(doc_id || '|' || length(text) || '|' || sha256(text)) AS h FROM documents)
+SELECT source, count(*) AS entries, sha256({" || '|' || ".join(f"CAST(sum(CAST(CAST('0x' || substring(h, {1 + 15 * k}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for k in range(4))}) AS fingerprint FROM d GROUP BY source""",
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
 }
