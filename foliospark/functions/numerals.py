@@ -24,12 +24,11 @@ def roman(n: Column) -> Column:
 def letters(n: Column) -> Column:
     """Bijective base 26 (1 is A, 26 is Z, 27 is AA) of 1 to 1,000,000, else null."""
     n = n.cast("long")
-    out, rest = F.lit(""), n
-    for _ in range(5):
-        here = F.chr((65 + F.pmod(rest - 1, F.lit(26))).cast("long"))
-        out = F.when(rest > 0, F.concat(here, out)).otherwise(out)
-        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(F.lit(0).cast("long"))
-    return F.when(n.between(1, 1_000_000), out)
+    step = lambda acc, _: F.when(
+        acc["rest"] > 0, F.struct(F.concat(F.chr(65 + F.pmod(acc["rest"] - 1, F.lit(26))), acc["out"]).alias("out"), F.floor((acc["rest"] - 1) / 26).alias("rest"))
+    ).otherwise(acc)
+    digits = F.aggregate(F.sequence(F.lit(1), F.lit(5)), F.struct(F.lit("").alias("out"), n.alias("rest")), step)
+    return F.when(n.between(1, 1_000_000), digits["out"])
 
 
 def counter(n: Column, form: str) -> Column:

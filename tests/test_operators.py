@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import numerals
-from foliospark.operators import diff, graph, ordered, protect, query, semantic, template
+from foliospark.operators import diff, graph, numbering, ordered, protect, query, semantic, template
 
 
 def test_outline_parent_is_stack_parent(spark):
@@ -35,6 +35,53 @@ def test_list_counters_are_the_state_machine(spark):
             assert got[d, i] == counts[level]
 
 
+def _machine(rows, lists):
+    """Counters by a state of nine levels per list, in order of the rows."""
+    state, section, out = {}, 0, {}
+    for ord_, num, level, is_break in rows:
+        if is_break:
+            for n, s in state.items():
+                if lists[n]["by_section"]:
+                    s.clear()
+        s, d = state.setdefault(num, {}), lists[num]
+        start, rule = d["starts"][level], d["restarts"][level]
+        exact = start is not None and start >= 0 and (rule is None or rule == 0 or (1 <= rule <= 7 and rule <= level))
+        if exact:
+            s[level] = s[level] + 1 if level in s else start
+        out[ord_] = s.get(level) if exact else None
+        for deeper in range(level + 1, 9):
+            rule = d["restarts"][deeper]
+            if rule != 0 and level <= (deeper - 1 if rule is None else min(rule, deeper) - 1):
+                s.pop(deeper, None)
+    return out
+
+
+def test_numbering_is_the_state_machine(spark):
+    random.seed(18)
+    pick = lambda *xs: [random.choice(xs) for _ in range(9)]
+    lists = {n: {"starts": pick(1, 1, 0, 5, None, -2), "restarts": pick(None, None, 0, 1, 2, 9), "by_section": n % 2 == 0} for n in range(6)}
+    rows = [(i, random.randrange(6), random.randrange(9), random.random() < 0.1) for i in range(600)]
+    defs = spark.createDataFrame(
+        [(n, d["starts"], d["restarts"], ["decimal"] * 9, ["%1"] * 9, [False] * 9, d["by_section"]) for n, d in lists.items()],
+        "num_id int, starts array<int>, restarts array<int>, formats array<string>, texts array<string>, legal array<boolean>, by_section boolean",
+    )
+    items = spark.createDataFrame([(0, *r) for r in rows], "doc_id int, ord int, num_id int, level int, is_break boolean")
+    assert {r.ord: r.counter for r in numbering.numbered(items, defs).collect()} == _machine(rows, lists)
+
+
+def test_labels_of_levels(spark):
+    texts = ["%1", "%1.%2", "%3", "Legal %1.%2.%3.%4", "%9", None, "", "x" * 32, "%1"]
+    defs = spark.createDataFrame(
+        [(0, [1] * 9, [None] * 9, ["upperRoman", "lowerLetter", "none", "decimalZero", "chicago", *["decimal"] * 4], texts, [False, False, False, True, *[False] * 5], False)],
+        "num_id int, starts array<int>, restarts array<int>, formats array<string>, texts array<string>, legal array<boolean>, by_section boolean",
+    )
+    items = spark.createDataFrame([(0, i, 0, k, False) for i, k in enumerate([0, 1, 1, 2, 3, 4, 5, 6, 7, 8])], "doc_id int, ord int, num_id int, level int, is_break boolean")
+    got = [(r.label, r.label_status) for r in numbering.numbered(items, defs).orderBy("ord").collect()]
+    assert got == [
+        ("I", "Exact"), ("I.a", "Exact"), ("I.b", "Exact"), ("", "Exact"), ("Legal 1.2.1.1", "Exact"), (None, "InvalidLevelText"), (None, "MissingLevelText"), ("", "Hidden"), (None, "LengthLimitExceeded"), ("I", "Exact"),
+    ]
+
+
 @pytest.mark.parametrize(("n", "roman", "letters"), [(1, "I", "A"), (4, "IV", "D"), (26, "XXVI", "Z"), (27, "XXVII", "AA"), (702, "DCCII", "ZZ"), (703, "DCCIII", "AAA"), (3999, "MMMCMXCIX", "EWU"), (4000, None, "EWV")])
 def test_numerals(spark, n, roman, letters):
     row = spark.range(1).select(numerals.roman(F.lit(n)).alias("r"), numerals.letters(F.lit(n)).alias("l")).first()
