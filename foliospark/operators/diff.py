@@ -53,6 +53,31 @@ def three_way_merge(ancestor: DataFrame, left: DataFrame, right: DataFrame, key:
     return rows.withColumn("merged", F.when(settled, chosen).otherwise(merged)).withColumn("outcome", F.when(settled, "Resolved").otherwise(F.col("outcome"))).drop("choice")
 
 
+def merge_texts(ancestor: Column, left: Column, right: Column) -> Column:
+    """A struct (outcome, text) of three versions of a text of lines, none of them null.
+
+    Where all three have equally many lines, each line is merged by itself; the outcome is TextMerged if no line was changed
+    differently on both sides, else Conflict. With other numbers of lines it is StructureConflict. Conflicts have no text.
+    """
+    a, l, r = (F.split(c, "\n") for c in (ancestor, left, right))
+    three = F.arrays_zip(a.alias("a"), l.alias("l"), r.alias("r"))
+    line = lambda x: F.when(x["l"] == x["r"], x["l"]).when(x["a"] == x["l"], x["r"]).when(x["a"] == x["r"], x["l"])
+    merged = F.transform(three, line)
+    same = (F.size(a) == F.size(l)) & (F.size(a) == F.size(r))
+    clash = F.exists(merged, lambda x: x.isNull())
+    outcome = F.when(~same, "StructureConflict").when(clash, "Conflict").otherwise("TextMerged")
+    return F.struct(outcome.alias("outcome"), F.when(same & ~clash, F.array_join(merged, "\n")).alias("text"))
+
+
+def map_changes(before: Column, after: Column) -> Column:
+    """Sorted structs (name, change, old, new) of what differs between two maps: Added, Removed or Changed."""
+    names = F.array_sort(F.array_union(F.map_keys(before), F.map_keys(after)))
+    old, new = lambda k: F.try_element_at(before, k), lambda k: F.try_element_at(after, k)
+    change = lambda k: F.when(~F.map_contains_key(before, k), "Added").when(~F.map_contains_key(after, k), "Removed").when(~old(k).eqNullSafe(new(k)), "Changed")
+    rows = F.transform(names, lambda k: F.struct(k.alias("name"), change(k).alias("change"), old(k).alias("old"), new(k).alias("new")))
+    return F.filter(rows, lambda x: x["change"].isNotNull())
+
+
 def create_patch(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """Operations Add, Replace and Delete with the values before and after, so a patch has an exact inverse."""
     rows = before.select(key, F.col(value).alias("old")).join(after.select(key, F.col(value).alias("new")), key, "full")

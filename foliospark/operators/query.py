@@ -51,9 +51,28 @@ def has_descendant(nodes: DataFrame, descendants: DataFrame) -> DataFrame:
     return _related(nodes, descendants, inside=False)
 
 
-def within_node(nodes: DataFrame, doc_id: int, first: int, last: int) -> DataFrame:
-    """A node's subtree, the node itself included."""
-    return nodes.where((F.col("doc_id") == doc_id) & F.col("ord").between(first, last))
+def within_node(nodes: DataFrame, doc_id, ord_: int) -> DataFrame:
+    """A node's subtree, the node itself included; an unknown node is an error."""
+    top = nodes.where((F.col("doc_id") == doc_id) & (F.col("ord") == ord_)).select("subtree_end").first()
+    if top is None:
+        raise ValueError(f"document {doc_id} has no node {ord_}")
+    return nodes.where((F.col("doc_id") == doc_id) & F.col("ord").between(ord_, top["subtree_end"]))
+
+
+def with_parents(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``parent_ord``, the nearest node that encloses them (null for none), and ``depth``, how many do."""
+    outer = nodes.select("doc_id", F.col("ord").alias("_o"), F.col("subtree_end").alias("_e"))
+    inside = (F.col("_o") < F.col("ord")) & (F.col("ord") <= F.col("_e"))
+    found = nodes.select("doc_id", "ord").join(outer, "doc_id").where(inside).groupBy("doc_id", "ord").agg(F.max("_o").alias("parent_ord"), F.count("*").alias("depth"))
+    return nodes.drop("parent_ord", "depth").join(found, ["doc_id", "ord"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+
+
+def node_texts(nodes: DataFrame, tops: DataFrame) -> DataFrame:
+    """(doc_id, ord, text) of each top node: the texts of its subtree in order, those without any left out, with line feeds between."""
+    outer = tops.select("doc_id", F.col("ord").alias("_o"), F.col("subtree_end").alias("_e"))
+    pieces = nodes.where("text is not null and text <> ''").join(outer, "doc_id").where((F.col("_o") <= F.col("ord")) & (F.col("ord") <= F.col("_e")))
+    rows = pieces.groupBy("doc_id", F.col("_o").alias("top")).agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("ts"))
+    return rows.select("doc_id", F.col("top").alias("ord"), F.array_join(F.transform("ts", lambda t: t["text"]), "\n").alias("text"))
 
 
 def text_matches(text: Column, value: str, mode: str = "contains", ignore_case: bool = True) -> Column:

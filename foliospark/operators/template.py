@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,9 +67,11 @@ FORMULAS = {
 
 
 def formula(name: str, value: Column, table: list[str], order: str, direction: str = "ABOVE") -> Column:
-    """SUM, AVERAGE, COUNT, MAX, MIN or PRODUCT of the cells ABOVE or BELOW in the same column."""
+    """SUM, AVERAGE, COUNT, MAX, MIN or PRODUCT of the cells ABOVE or BELOW in the same column (``table`` names it), or LEFT or RIGHT in the same row."""
+    if direction not in ("ABOVE", "BELOW", "LEFT", "RIGHT"):
+        raise ValueError(f"{direction!r} is no direction")
     by = W.partitionBy(*table).orderBy(order)
-    frame = by.rowsBetween(W.unboundedPreceding, -1) if direction == "ABOVE" else by.rowsBetween(1, W.unboundedFollowing)
+    frame = by.rowsBetween(W.unboundedPreceding, -1) if direction in ("ABOVE", "LEFT") else by.rowsBetween(1, W.unboundedFollowing)
     return FORMULAS[name](value).over(frame)
 
 
@@ -78,3 +82,29 @@ def to_csv_line(columns: list[str]) -> Column:
         return F.when(F.regexp_like(s, F.lit('[,"\n\r]')), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
 
     return F.concat_ws(",", *[field(c) for c in columns])
+
+
+_CELL = re.compile(r"([A-Z]{1,4})([1-9][0-9]{0,5})")
+
+
+def cell(ref: str) -> tuple[int, int]:
+    """(row, column), from 1, of a reference such as B3."""
+    if not (m := _CELL.fullmatch(ref)):
+        raise ValueError(f"{ref!r} is no cell")
+    column = 0
+    for ch in m[1]:
+        column = 26 * column + ord(ch) - 64
+    return int(m[2]), column
+
+
+def range_formula(cells: DataFrame, name: str, ref: str, table: str, row: str, column: str, value: str) -> DataFrame:
+    """(table, result) of SUM, AVERAGE, COUNT, MIN, MAX or PRODUCT over a range such as A1:B3, or one cell, of every table.
+
+    Cells without a number don't count; a range without any gives null, COUNT 0.
+    """
+    first, _, last = ref.partition(":")
+    (r0, c0), (r1, c1) = cell(first), cell(last or first)
+    inside = F.col(row).between(min(r0, r1), max(r0, r1)) & F.col(column).between(min(c0, c1), max(c0, c1))
+    if name not in FORMULAS:
+        raise ValueError(f"{name!r} is no formula")
+    return cells.groupBy(table).agg(FORMULAS[name](F.when(inside, F.col(value))).alias("result"))

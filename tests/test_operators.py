@@ -314,3 +314,49 @@ def test_large_gaps_align_as_small_ones():
 def test_semantic_diff_of_null_texts(spark):
     rows = semantic.semantic_diff(spark.createDataFrame([(1, None, "a\nb"), (2, "a", None), (3, None, None)], "doc_id long, base string, revised string")).collect()
     assert sorted((r.doc_id, r.kind) for r in rows) == [(1, "Added"), (1, "Added"), (2, "Removed")]
+
+
+def test_texts_merge_line_by_line(spark):
+    rows = [("a\nb\nc", "A\nb\nc", "a\nb\nC"), ("a\nb", "a\nx", "a\ny"), ("a", "a\nb", "a"), ("a", "z", "z"), ("", "", "")]
+    got = spark.createDataFrame(rows, "a string, l string, r string").select(diff.merge_texts(F.col("a"), F.col("l"), F.col("r")).alias("m")).collect()
+    assert [(r.m.outcome, r.m.text) for r in got] == [("TextMerged", "A\nb\nC"), ("Conflict", None), ("StructureConflict", None), ("TextMerged", "z"), ("TextMerged", "")]
+
+
+def test_map_changes(spark):
+    row = spark.sql("select map('a', '1', 'b', '2', 'n', cast(null as string)) as x, map('b', '3', 'c', '4', 'n', cast(null as string)) as y").select(diff.map_changes(F.col("x"), F.col("y")).alias("d")).first()
+    assert [tuple(x) for x in row.d] == [("a", "Removed", "1", None), ("b", "Changed", "2", "3"), ("c", "Added", None, "4")]
+
+
+def test_range_formulas(spark):
+    cells = spark.createDataFrame([(1, r, c, float(10 * r + c)) for r in (1, 2, 3) for c in (1, 2)] + [(2, 1, 1, None)], "t int, r int, c int, v double")
+    value = lambda name, ref: {x.t: x.result for x in template.range_formula(cells, name, ref, "t", "r", "c", "v").collect()}
+    assert value("SUM", "A1:B2") == {1: 66.0, 2: None} and value("MAX", "B3:A2") == {1: 32.0, 2: None} and value("COUNT", "A1") == {1: 1, 2: 0}
+    assert template.cell("AA10") == (10, 27)
+    for bad in ("1A", "A0", "a1", "A1:"):
+        with pytest.raises(ValueError):
+            template.range_formula(cells, "SUM", bad if bad != "A1:" else "A1:x", "t", "r", "c", "v")
+
+
+def test_subtrees_and_unknown_nodes(spark):
+    nodes = spark.createDataFrame([(1, 0, 5, "x"), (1, 1, 3, "a"), (1, 2, 2, None), (1, 3, 3, "b"), (1, 5, 5, "c"), (2, 0, 0, "z")], "doc_id int, ord int, subtree_end int, text string")
+    assert sorted(r.ord for r in query.within_node(nodes, 1, 1).collect()) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        query.within_node(nodes, 1, 4)
+    assert {(r.doc_id, r.ord): (r.parent_ord, r.depth) for r in query.with_parents(nodes).collect()} == {(1, 0): (None, 0), (1, 1): (0, 1), (1, 2): (1, 2), (1, 3): (1, 2), (1, 5): (0, 1), (2, 0): (None, 0)}
+    assert {(r.doc_id, r.ord): r.text for r in query.node_texts(nodes, nodes.where("ord < 2")).collect()} == {(1, 0): "x\na\nb\nc", (1, 1): "a\nb", (2, 0): "z"}
+
+
+def test_changes_of_some_authors_are_accepted(spark):
+    rows = spark.createDataFrame([("keep", None, "a"), ("ins", "x", "b"), ("del", "x", "c"), ("ins", "y", "d"), ("del", "y", "e")], "kind string, author string, text string")
+    texts = lambda *a: [(r.text, r.kind) for r in diff.accept_changes(rows, *a).collect()]
+    assert texts(True) == [("a", "keep"), ("b", "keep"), ("d", "keep")] and texts(False) == [("a", "keep"), ("c", "keep"), ("e", "keep")]
+    assert texts(True, ["x"]) == [("a", "keep"), ("b", "keep"), ("d", "ins"), ("e", "del")]
+
+
+def test_sections_are_written_as_folders(spark, tmp_path):
+    from foliospark.sources.markup import write_sections
+
+    rows = spark.createDataFrame([(1, 0, "intro", False), (1, 1, "Head", True), (1, 2, "text", False), (2, 0, "Head", True)], "doc_id int, ord int, text string, head boolean")
+    write_sections(rows, F.col("head"), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r.doc_id, r.section): r.n for r in back.groupBy("doc_id", "section").agg(F.count("*").alias("n")).collect()} == {(1, 0): 1, (1, 1): 2, (2, 1): 1}
