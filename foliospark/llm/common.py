@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.functions.lineage import checkpoint_folder, checkpointed
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space of the word rule ``[^\x20\x09-\x0D]+``, without the blank itself.
 WHITE = "\t\n\x0b\x0c\r"
@@ -67,29 +69,13 @@ def hashed_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
 
 
 def shared_dir(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the folder that all executors share.
-
-    The folder is that of ``shared_folder``.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or, in local mode only, one below the warehouse."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    """Cut the lineage by a checkpoint in the folder that all executors share."""
+    return checkpointed(df)
 
 
 def written(df: DataFrame, name: str):
     """(path, table): ``df`` as Parquet in the shared folder, read again, so a lost executor costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return path, df.sparkSession.read.schema(df.schema).parquet(path)
 

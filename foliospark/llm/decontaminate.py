@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, shared_dir, table
+from .common import ascii_lower, fresh_name, let, shared_dir, table
 
 WINDOW, GRAM, WINNOW = 13, 5, 9
 BROADCAST_ROWS = 500_000
@@ -144,8 +144,9 @@ def is_contaminated() -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` (with doc_id and text) that aren't contaminated, with their own columns."""
-    bad = contamination(docs, items).where(is_contaminated()).select(F.col("id").alias("_bid"), F.col("text_key").alias("_bkey")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bid")) & (F.xxhash64("text") == F.col("_bkey")), "left_anti")
+    i, key = fresh_name(docs, "_bid"), fresh_name(docs, "_bkey")
+    bad = contamination(docs, items).where(is_contaminated()).select(F.col("id").alias(i), F.col("text_key").alias(key)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(key)), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blank_words, shared_dir, table
+from .common import blank_words, fresh_name, shared_dir, table
 
 WEIGHTS = (3, 1, 2)
 EPOCHS = 2
@@ -110,12 +110,10 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
     Rows that repeat an id and a text all get the copies of the one taken most.
     """
-    plan = (
-        mix(docs).groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
-        .agg(F.max("copies").alias("_copies"), F.max("taken").alias("_taken")).where("_copies > 0")
-    )
-    out = docs.drop("copies", "taken").join(plan, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")))
-    return out.withColumnsRenamed({"_copies": "copies", "_taken": "taken"}).drop("_id", "_key")
+    i, key, copies, taken = (fresh_name(docs, c) for c in ("_id", "_key", "_copies", "_taken"))
+    plan = mix(docs).groupBy(F.col("id").alias(i), F.col("text_key").alias(key)).agg(F.max("copies").alias(copies), F.max("taken").alias(taken)).where(F.col(copies) > 0)
+    out = docs.drop("copies", "taken").join(plan, docs["doc_id"].eqNullSafe(F.col(i)) & F.xxhash64(docs["text"]).eqNullSafe(F.col(key)))
+    return out.withColumnsRenamed({copies: "copies", taken: "taken"}).drop(i, key)
 
 
 def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

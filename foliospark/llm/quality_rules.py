@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, WHITE, blank_words, let, table
+from .common import UPPER, WHITE, blank_words, fresh_name, let, table
 
 SYMBOLS = "#*$%&|<>"
 
@@ -79,23 +79,24 @@ def _repeat_words(words: Column, n: int = 3) -> Column:
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measurements and ``fail_bits`` of every rule."""
     t = F.coalesce(F.col(text), F.lit(""))
-    ws = F.col("_words")
+    words, rows = fresh_name(docs, "_words"), fresh_name(docs, "_lines")
+    ws = F.col(words)
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " " + WHITE, "")) > 0)
     out = (
         docs.drop(*[c for c in (*MEASURES, "fail_bits") if c != text and c in docs.columns])
-        .withColumn("_words", blank_words(F.col(text)))
-        .withColumn("_lines", lines)
+        .withColumn(words, blank_words(F.col(text)))
+        .withColumn(rows, lines)
         .withColumns({
             "n_words": F.size(ws).cast("long"),
             "word_chars": F.length(F.translate(t, " " + WHITE, "")).cast("long"),
             "n_symbols": _without(t, SYMBOLS),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct(F.col("_lines")))).cast("long"),
+            "n_lines": F.size(rows).cast("long"),
+            "n_dup_lines": (F.size(rows) - F.size(F.array_distinct(F.col(rows)))).cast("long"),
             "n_repeat_words": let(ws, _repeat_words),
             "n_upper": _without(t, UPPER),
             "n_exclaim": _without(t, "!"),
         })
-        .drop("_words", "_lines")
+        .drop(words, rows)
     )
     bits = F.lit(0).cast("long")
     for r in RULES:
@@ -133,10 +134,11 @@ def ablate(rows: DataFrame, policy: int | str = "v1") -> DataFrame:
 def keep_good(docs: DataFrame, policy: int | str = "v1", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass a policy, with their own columns."""
     clash = [c for c in (*MEASURES, "fail_bits") if c in docs.columns and c != text]
-    held = docs.withColumn("_own", F.struct(*[F.col(c) for c in clash])) if clash else docs
+    own = fresh_name(docs, "_own")
+    held = docs.withColumn(own, F.struct(*[F.col(c) for c in clash])) if clash else docs
     kept = ledger(held, text).where(verdict(policy))
     if clash:
-        kept = kept.withColumns({c: F.col(f"_own.{c}") for c in clash})
+        kept = kept.withColumns({c: F.col(f"{own}.{c}") for c in clash})
     return kept.select(*docs.columns)
 
 

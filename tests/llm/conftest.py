@@ -23,6 +23,15 @@ def odd_docs(spark):
     return df
 
 
+@pytest.fixture(scope="session")
+def clashing_docs(odd_docs):
+    """The odd rows with columns that carry the names which operators use themselves."""
+    df = odd_docs
+    for name in ("_id", "_key", "_copies", "_taken", "_bid", "_bkey", "_gone", "_words", "_lines", "_own", "_text", "id", "key", "row", "least", "h", "g", "rid", "tag", "size", "taken", "n_hit", "items", "spans", "KEPT"):
+        df = df.withColumn(name, F.lit("own"))
+    return df
+
+
 @pytest.fixture(scope="session")
 def no_docs(odd_docs):
     return odd_docs.where("doc_id = -1")

@@ -49,6 +49,15 @@ def test_stages(spark, sf, tmp_path):
         docs = out
 
 
+def test_stages_keep_columns_that_clash(spark, sf, clashing_docs):
+    """Each stage takes columns with the names that operators use themselves, and gives them back as they were."""
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, clashing_docs, sf)
+        assert out.columns == clashing_docs.columns and out.where("_id <> 'own' or id <> 'own' or _key <> 'own' or KEPT <> 'own'").count() == 0, name
+    mixed = pipeline.STAGES[-1][1](spark, clashing_docs, sf)
+    assert set(clashing_docs.columns) <= set(mixed.columns) and mixed.where("_copies <> 'own' or tag <> 'own'").count() == 0 and mixed.count() > 0
+
+
 def test_run_keeps_what_the_stages_keep(spark, sf):
     out = pipeline.run(spark, sf)
     assert out.count() > 0 and {"doc_id", "text", "copies", "taken"} <= set(out.columns)
