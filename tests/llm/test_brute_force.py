@@ -290,13 +290,34 @@ def test_prefixes_are_exact(spark):
     import pyarrow as pa
 
     model, rng = _model(), random.Random(6)
-    for _ in range(150):
-        t = "".join(rng.choice(["the ", "house", "  ", "\n", "é", "\t", "</s>", " \n ", "😀", "42"]) for _ in range(rng.randint(0, 20)))
+    bits = ["the ", "house", "  ", "\n", "é", "\t", "</s>", " \n ", "😀", "42", "日本語", "ﬁ", "unbelievable", "\u00a0", "x"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 20))) for _ in range(250)]
+    texts += ["日本語のテキストには空白がありません" * 3, "aVeryLongKeyWithoutAnyBlank0123456789" * 3, "é", " x", "\u2581 a b"]
+    for t in texts:
         lengths, tokens, _ = token_counts.stretch_counts(model, pa.array([t]))
         prefix = token_counts.pack(lengths, tokens)
+        raw = t.encode()
+        assert lengths.sum() == len(raw) and tokens.sum() == len(model.encode(t))
         for end, n in zip(*token_counts.unpack(prefix)):
-            assert n == len(model.encode(t.encode()[:end].decode()))
+            assert n == len(model.encode(raw[:end].decode())), (t, end)
             assert token_counts.tokens_upto(prefix, end) == n and token_counts.cut_at(prefix, n) >= end
+    lengths, _, _ = token_counts.stretch_counts(model, pa.array([texts[250]]))
+    assert len(lengths) > 30  # a text without blanks has an entry at every token
+
+
+def test_truncation_is_the_longest_stored_prefix(spark, monkeypatch):
+    """Against all token ends of the text: none that is longer fits the limit."""
+    model = _model()
+    monkeypatch.setattr(token_counts, "LIMIT", 4096)
+    texts = ["word " * 5000, "日本語" * 4000, "short", "a" * 30_000, "the house\n" * 3000]
+    rows = token_counts.prefix_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        raw, kept = r.text.encode(), r.text.encode()[: r.cut_bytes].decode()
+        assert len(model.encode(kept)) <= 4096
+        if r.n_tokens > 4096:
+            assert len(model.encode(kept)) > 4096 - 20 and len(model.encode(raw[: r.cut_bytes + 60].decode("utf-8", "ignore"))) > 4096
+        else:
+            assert r.cut_bytes == len(raw)
 
 
 # --- chats --------------------------------------------------------------------------------
