@@ -65,3 +65,24 @@ def bates(n: Column, prefix: str, digits: int) -> Column:
     """A page stamp: a prefix and a number padded with zeros, never cut."""
     s = n.cast("string")
     return F.concat(F.lit(prefix), F.when(F.length(s) >= digits, s).otherwise(F.lpad(s, digits, "0")))
+
+
+# What the third level of sanitising empties, and what it removes.
+_EMPTIED = ("creator", "description", "subject", "title", "lastModifiedBy", "revision", "keywords", "category", "Company")
+_REMOVED = ("attachedTemplate", "rsids")
+
+
+def sanitise(props: Column, level: int = 1, author: str = "Anonymous") -> Column:
+    """Properties of a document without traces of who made it.
+
+    Level 1 drops revision ids (rsid and what begins so), level 2 also names all authors alike, level 3 also empties
+    creators, titles, companies and the like, and drops the template.
+    """
+    if level not in (1, 2, 3):
+        raise ValueError("level is 1 to 3")
+    gone = lambda k: F.startswith(k, F.lit("rsid")) & (k != "rsids") | (k.isin(*_REMOVED) if level > 2 else F.lit(False))
+    kept = F.map_filter(props, lambda k, v: ~gone(k))
+    if level == 1:
+        return kept
+    value = lambda k, v: F.when(k == "author", F.lit(author)).when(k.isin(*_EMPTIED) if level > 2 else F.lit(False), F.lit("")).otherwise(v)
+    return F.transform_values(kept, value)

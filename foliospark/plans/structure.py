@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliospark.functions.fields import field_class, field_name, invokes_application, is_external
 from foliospark.operators import diff as d
 from foliospark.operators import query as q
 from foliospark.operators import styles as st
 from foliospark.operators import template as t
+from foliospark.operators.protect import sanitise
 from foliospark.sources import table
-from foliospark.sources.projectors import page_nodes
+from foliospark.sources.projectors import page_nodes, page_tokens
 
 
 def page_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +107,30 @@ def redundant_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.redundant_direct(props, key)
 
 
+def field_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field instructions by class, made from the tags of pages and the kinds of events."""
+    tags = page_tokens(table(spark, sf_dir, "pages")).where("not is_close")
+    names = F.create_map(*[F.lit(x) for pair in (("a", ' HYPERLINK "x"'), ("title", "title \\* upper"), ("li", "Seq item"), ("nav", "TOC \\o"), ("script", "MACROBUTTON go"), ("style", " link a b"), ("p", "")) for x in pair])
+    fields = tags.select(F.coalesce(F.try_element_at(names, F.col("tag")), F.col("tag")).alias("instruction")).unionByName(
+        table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "view", "PAGE").when(F.col("event_type") == "error", "DDEAUTO x").otherwise(F.col("event_type")).alias("instruction"))
+    )
+    name = fields.withColumn("name", field_name(F.col("instruction")))
+    return name.groupBy("name", field_class(F.col("name")).alias("kind"), is_external(F.col("name")).alias("external"), invokes_application(F.col("name")).alias("invokes")).agg(F.count("*").alias("n"))
+
+
+def sanitised_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of customers as documents after each level of sanitising."""
+    props = F.create_map(
+        F.lit("author"), "c_name", F.lit("rsidR"), F.col("c_custkey").cast("string"), F.lit("rsids"), F.lit("1 2"), F.lit("Company"), "c_mktsegment", F.lit("language"), F.lit("en"),
+    )
+    rows = table(spark, sf_dir, "customer").withColumn("props", props)
+    each = [rows.select("c_custkey", F.lit(k).alias("level"), F.explode(sanitise(F.col("props"), k)).alias("name", "value")) for k in (1, 2, 3)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (page_nesting, island_texts, labels_resolved, id_sets, duplicate_ids, property_changes, text_merge, range_formulas, row_formulas, redundant_formatting)
+    for f in (field_kinds, sanitised_properties, page_nesting, island_texts, labels_resolved, id_sets, duplicate_ids, property_changes, text_merge, range_formulas, row_formulas, redundant_formatting)
 }
 _NODES = r"""
 k AS (SELECT page_id AS doc_id, CAST(generate_subscripts(regexp_extract_all(html, '<[^>]+>[^<]*'), 1) AS BIGINT) AS ord, unnest(regexp_extract_all(html, '<[^>]+>[^<]*')) AS token FROM pages),
@@ -122,6 +145,17 @@ _CELLS = f"""r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY
 c AS (SELECT l_orderkey, row, unnest([1, 2, 3, 4]) AS "column", unnest([CAST(l_quantity AS DOUBLE), l_discount, l_tax, l_linenumber]) AS value FROM r)"""
 _EDIT = "list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1 + doc_id) % {n} = 0 THEN x || '{mark}' ELSE x END)"
 ORACLES = {
+    "field_kinds": r"""WITH g AS (SELECT unnest(regexp_extract_all(html, '<([A-Za-z0-9!]+)[^>]*>', 1)) AS tag FROM pages),
+f AS (SELECT CASE tag WHEN 'a' THEN 'HYPERLINK' WHEN 'title' THEN 'TITLE' WHEN 'li' THEN 'SEQ' WHEN 'nav' THEN 'TOC' WHEN 'script' THEN 'MACROBUTTON' WHEN 'style' THEN 'LINK' WHEN 'p' THEN '' ELSE upper(tag) END AS name FROM g
+UNION ALL SELECT CASE event_type WHEN 'view' THEN 'PAGE' WHEN 'error' THEN 'DDEAUTO' ELSE upper(event_type) END FROM events)
+SELECT name, CASE name WHEN 'HYPERLINK' THEN 'Hyperlink' WHEN 'TITLE' THEN 'DocumentMetadata' WHEN 'SEQ' THEN 'Sequence' WHEN 'TOC' THEN 'TableOfContents' WHEN 'MACROBUTTON' THEN 'Automation'
+  WHEN 'LINK' THEN 'ExternalContent' WHEN 'DDEAUTO' THEN 'ExternalContent' WHEN 'PAGE' THEN 'Layout' ELSE 'Unknown' END AS kind, name IN ('LINK', 'DDEAUTO') AS "external", name IN ('LINK', 'DDEAUTO', 'MACROBUTTON') AS invokes, count(*) AS n
+FROM f GROUP BY ALL""",
+    "sanitised_properties": """SELECT c_custkey, level, name, value FROM (
+SELECT c_custkey, level, 'author' AS name, CASE WHEN level > 1 THEN 'Anonymous' ELSE c_name END AS value FROM customer, (VALUES (1), (2), (3)) l(level)
+UNION ALL SELECT c_custkey, level, 'rsids', '1 2' FROM customer, (VALUES (1), (2)) l(level)
+UNION ALL SELECT c_custkey, level, 'Company', CASE WHEN level > 2 THEN '' ELSE c_mktsegment END FROM customer, (VALUES (1), (2), (3)) l(level)
+UNION ALL SELECT c_custkey, level, 'language', 'en' FROM customer, (VALUES (1), (2), (3)) l(level))""",
     "page_nesting": f"""WITH {_NODES} SELECT n.doc_id, n.ord, n.kind, max(o.ord) AS parent_ord, count(o.ord) AS depth
 FROM n LEFT JOIN n o ON o.doc_id = n.doc_id AND o.ord < n.ord AND n.ord <= o.last GROUP BY n.doc_id, n.ord, n.kind""",
     "island_texts": f"""WITH {_NODES}, s AS (SELECT o.doc_id, o.ord, string_agg(n.text, chr(10) ORDER BY n.ord) AS text FROM n o JOIN n ON n.doc_id = o.doc_id AND n.ord BETWEEN o.ord AND o.last
