@@ -92,10 +92,19 @@ def slug(title: Column, most: int = 40) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "_"), "^_|_$", ""), 1, most)
 
 
-def unique_names(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """File names made unique by _1, _2 and so on, in order."""
-    n = F.row_number().over(W.partitionBy(name).orderBy(*order)) - 1
-    return rows.withColumn("file_name", F.when(n == 0, F.col(name)).otherwise(F.concat(name, F.lit("_"), n.cast("string"))))
+def unique_names(rows: DataFrame, name: str, order: list[str], width: int = 4096) -> DataFrame:
+    """File names made unique by _1, _2 and so on, in order.
+
+    A name's rows are numbered inside blocks of ``width`` values of the first order column, and only the blocks' sizes are
+    added up by name, so a name that many rows share is no single task.
+    """
+    block = F.floor(F.col(order[0]) / width)
+    held = rows.withColumn("_block", block)
+    sizes = held.groupBy(name, "_block").agg(F.count("*").alias("_n"))
+    before = sizes.select(name, "_block", (F.sum("_n").over(W.partitionBy(name).orderBy("_block")) - F.col("_n")).alias("_before"))
+    placed = held.withColumn("_at", F.row_number().over(W.partitionBy(name, "_block").orderBy(*order)) - 1).join(before, [name, "_block"])
+    n = F.col("_at") + F.col("_before")
+    return placed.select(*[rows[c] for c in rows.columns], F.when(n == 0, F.col(name)).otherwise(F.concat(name, F.lit("_"), n.cast("string"))).alias("file_name"))
 
 
 def pair_changes(changes: DataFrame, doc: str, order: str, kind: str) -> DataFrame:

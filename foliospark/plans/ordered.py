@@ -103,9 +103,9 @@ def sections_running(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File names of split documents, from their first lines, made unique."""
-    rows = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", o.slug(F.col("text"), 12).alias("name"))
-    return o.unique_names(rows, "name", ["conv_id"])
+    """File names of turns as split documents, from their first two words, made unique."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", o.slug(F.substring_index("text", " ", 2)).alias("name"))
+    return o.unique_names(rows, "name", ["conv_id", "turn"])
 
 
 def change_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,9 +181,9 @@ SELECT user_id, event_type, CAST(island AS BIGINT) AS island, min(row) AS first_
 SELECT *, last_value(binding IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS effective FROM r""",
     "sections_running": """WITH s AS (SELECT conv_id AS doc_id, text, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section FROM conversations)
 SELECT doc_id, section, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM s GROUP BY doc_id, section""",
-    "unique_file_names": """WITH s AS (SELECT conv_id, substring(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g'), 1, 12) AS name FROM conversations WHERE turn = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY conv_id) - 1 AS n FROM s)
-SELECT conv_id, name, CASE WHEN n = 0 THEN name ELSE name || '_' || n END AS file_name FROM r""",
+    "unique_file_names": """WITH s AS (SELECT conv_id, turn, substring(regexp_replace(regexp_replace(lower(array_to_string(string_split(text, ' ')[1:2], ' ')), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g'), 1, 40) AS name FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY conv_id, turn) - 1 AS n FROM s)
+SELECT conv_id, turn, name, CASE WHEN n = 0 THEN name ELSE name || '_' || n END AS file_name FROM r""",
     "change_pairing": """WITH k AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'del' WHEN 'view' THEN 'ins' ELSE 'keep' END AS kind FROM events),
 n AS (SELECT *, lead(kind) OVER w AS nx, lag(kind) OVER w AS pv FROM k WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 c AS (SELECT user_id, CASE WHEN kind = 'del' AND nx = 'ins' THEN 'replacement' WHEN kind = 'ins' AND pv = 'del' THEN 'paired' ELSE kind END AS change FROM n)

@@ -68,8 +68,9 @@ def adjacency_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unresolved_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without an order in progress: references whose target is missing."""
-    return g.unresolved(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey"), "o_custkey")
+    """Orders whose customer, moved by twenty, doesn't exist: references whose target is missing."""
+    refs = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") + 20).alias("ref"))
+    return g.unresolved(refs, "ref", table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
 
 
 def unique_key_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +161,7 @@ SELECT e.node, CASE WHEN depth < 1500 THEN spot END AS root, CASE WHEN depth < 1
        CASE WHEN depth >= 1500 THEN 'Cycle' WHEN t.node IS NULL THEN 'Missing' ELSE 'Resolved' END AS status FROM e LEFT JOIN l t ON t.node = e.spot""",
     "adjacency_page": f"""WITH {_E}, p AS (SELECT src AS node, count(*) OVER (PARTITION BY src) AS outgoing, row_number() OVER (PARTITION BY src ORDER BY kind, dst) - 1 AS place, kind, dst
 FROM (SELECT kind, dst AS src, src AS dst FROM e)) SELECT * FROM p WHERE place BETWEEN 1 AND 3""",
-    "unresolved_refs": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
+    "unresolved_refs": "SELECT o_orderkey, o_custkey + 20 AS ref FROM orders WHERE o_custkey + 20 NOT IN (SELECT c_custkey FROM customer)",
     "unique_key_citations": """WITH n AS (SELECT text, count(*) AS candidates FROM documents GROUP BY text)
 SELECT l.doc_id, candidates, CASE WHEN candidates = 1 THEN 'Resolved' ELSE 'Ambiguous' END AS status FROM labels l JOIN documents d USING (doc_id) JOIN n ON n.text = d.text""",
     "note_full_outer": """WITH a AS (SELECT doc_id AS note FROM documents), b AS (SELECT doc_id + 50 AS ref FROM labels)
