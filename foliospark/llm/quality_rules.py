@@ -110,6 +110,13 @@ def verdict(policy: int | str = "v1") -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long")) == 0
 
 
+def sole_fault(policy: int | str = "v1") -> Column:
+    """The rule without which a policy would keep a row that it rejects; null for kept rows and for several faults."""
+    mask = POLICIES[policy] if isinstance(policy, str) else policy
+    hit = F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long"))
+    return F.when(F.bit_count(hit) == 1, F.element_at(F.create_map(*[x for r in RULES for x in (F.lit(BIT[r.name]).cast("long"), F.lit(r.name))]), hit))
+
+
 def ablate(rows: DataFrame, policy: int | str = "v1") -> DataFrame:
     """Per rule of a policy: documents that fail it, that fail it alone, and that stay without it.
 
@@ -143,11 +150,12 @@ def keep_good(docs: DataFrame, policy: int | str = "v1", text: str = "text") ->
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of all documents, the base verdict and the verdict of policy v1."""
+    """The ledger of all documents, the base verdict, the verdicts of both policies, and what each document alone fails by."""
     rows = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~verdict("base")).alias("base_failed"), verdict("v1").alias("kept"), "fail_bits",
+        verdict("v2").alias("kept_v2"), sole_fault("v1").alias("kept_without"),
     )
 
 
@@ -192,7 +200,9 @@ b AS (
     + CASE WHEN 10 * n_exclaim > 4 * n_words THEN 256 ELSE 0 END AS BIGINT) AS fail_bits
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       fail_bits % 4 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits
+       fail_bits % 4 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, fail_bits IN (0, 4) AS kept_v2,
+       CASE fail_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'many_words' WHEN 8 THEN 'short_words' WHEN 16 THEN 'long_words'
+                      WHEN 32 THEN 'symbols' WHEN 64 THEN 'repeated_lines' WHEN 128 THEN 'capitals' WHEN 256 THEN 'exclamations' END AS kept_without
 FROM b
 """
 
