@@ -183,9 +183,9 @@ def _before(ids, ends):
 
 
 def _pair_rows(batches):
-    """Per batch: pairs of an id and the next one, with counts."""
-    for batch in batches:
-        ids, ends = _joined(batch.column("ids"))
+    """Per slice: pairs of an id and the next one, with counts."""
+    for part in (p for batch in batches for p in row_slices(batch, "ids", 2 * SLICE)):
+        ids, ends = _joined(part.column("ids"))
         if len(ids):
             code, pairs, _ = distinct(_before(ids, ends) * PIECES + ids)
             yield pa.RecordBatch.from_arrays([pa.array(pairs // PIECES), pa.array(pairs % PIECES), pa.array(np.bincount(code))], names=["p", "q", "n"])
@@ -288,18 +288,18 @@ def _score_rows(shared):
 
     def run(batches):
         net = shared.value
-        for batch in batches:
-            ids, ends = _joined(batch.column("ids"))
+        for part in (p for batch in batches for p in row_slices(batch, "ids", 2 * SLICE)):
+            ids, ends = _joined(part.column("ids"))
             total = np.concatenate([[0], np.cumsum(net.log_scores(ids, ends))])
             begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            until = batch.column("until")
+            until = part.column("until")
             row = np.repeat(np.arange(len(ends)), np.diff(until.offsets.to_numpy()))
             last = until.flatten().to_numpy() + begins[row]
             first = np.concatenate([[0], last[:-1]])
             own = total[ends] - total[begins]
             lists = pa.ListArray.from_arrays(pa.array((until.offsets.to_numpy() - until.offsets[0].as_py()).astype(np.int32)), pa.array((total[last] - total[first]).astype(np.float32)))
             keep = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "rare", "often", "phrase"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists, pa.array(own)], names=[*keep, "logs", "own"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], lists, pa.array(own)], names=[*keep, "logs", "own"])
 
     return run
 
