@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliospark.functions.lineage import checkpointed
 from foliospark.operators import graph as g
 from foliospark.operators import numbering
 from foliospark.operators import ordered as o
@@ -61,14 +62,15 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.min_by("l_returnflag", "ord").alias("first"))
     same = parts.groupBy("p_brand", "p_size", "p_type").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1")
     chains = g.chain(parts.select("p_partkey", F.when(F.col("p_partkey") % 9 == 0, F.col("p_partkey") + 1_000_000).when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)).alias("up")), "p_partkey", "up")
-    items = numbering.numbered(_list_items(spark, sf_dir), spark.sql(f"SELECT * FROM {_LISTS}"))
+    # three rules read the numbers, which are computed once
+    items = checkpointed(numbering.numbered(_list_items(spark, sf_dir), spark.sql(f"SELECT * FROM {_LISTS}")).select("doc_id", "ord", "num_id", "status", "label_status"))
     always = F.lit(True)
     at = F.col("ord")
     some = lambda rows, rule, pack, severity, subject, when=always: r.finding(rows, rule, pack, severity, subject, when)
-    orphans = t("labels").join(t("documents"), "doc_id", "left_anti")
-    unknown = t("events").select(F.col("event_id").alias("doc_id"), "user_id").join(t("customer"), F.col("user_id") == F.col("c_custkey"), "left_anti")
-    unplaced = t("customer").select(F.col("c_custkey").alias("doc_id")).join(t("orders"), F.col("doc_id") == F.col("o_custkey"), "left_anti")
-    unbound = t("supplier").select(F.col("s_suppkey").alias("doc_id")).join(lines.select("l_suppkey"), F.col("doc_id") == F.col("l_suppkey"), "left_anti")
+    orphans = t("labels").withColumn("doc_id", F.col("doc_id") + 50).join(t("documents"), "doc_id", "left_anti")
+    unknown = t("events").select(F.col("event_id").alias("doc_id"), (F.col("user_id") * 11).alias("user_id")).join(t("customer"), F.col("user_id") == F.col("c_custkey"), "left_anti")
+    unplaced = t("customer").select((F.col("c_custkey") + 10).alias("doc_id")).join(t("orders"), F.col("doc_id") == F.col("o_custkey"), "left_anti")
+    unbound = t("supplier").select((F.col("s_suppkey") + 3).alias("doc_id")).join(lines.select("l_suppkey"), F.col("doc_id") == F.col("l_suppkey"), "left_anti")
     return r.union_findings(
         some(heads, "HEADING_ORDER", "Accessibility", "Warning", at, F.col("issue").isNotNull()),
         some(heads, "OUTLINE_DIAGNOSTIC", "Core", "Info", at, F.col("parent_ord").isNull() & (F.col("level") > 1)),
@@ -77,7 +79,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         some(tables, "TABLE_HEADER", "Accessibility", "Warning", F.lit("table"), (F.col("n") > 1) & (F.col("first") == "N")),
         some(nodes, "EXTERNAL_RELATIONSHIP", "Security", "Warning", at, (F.col("kind") == "hyperlink") & F.regexp_like(href, F.lit("^[a-z]+:"))),
         some(nodes, "HIDDEN_TEXT", "Security", "Warning", at, tagged.isin("script", "style") & (F.trim("text") != "")),
-        some(parts.join(lines.select("l_partkey"), F.col("p_partkey") == F.col("l_partkey"), "left_anti"), "STYLE_UNUSED", "Styles", "Info", F.col("p_name")),
+        some(parts.withColumn("doc_id", F.col("p_partkey") + 7).join(lines.select("l_partkey"), F.col("doc_id") == F.col("l_partkey"), "left_anti"), "STYLE_UNUSED", "Styles", "Info", F.col("p_name")),
         some(same, "EQUIVALENT_FORMATTING", "Styles", "Info", F.concat_ws("|", "p_brand", "p_size", "p_type")),
         some(chains.withColumnRenamed("node", "doc_id"), "STYLE_GRAPH", "Styles", "Error", F.col("status"), F.col("status") != "Resolved"),
         some(lines, "DIRECT_OVERRIDE", "Styles", "Info", at, (F.col("l_discount") > 0.05) & (F.col("l_tax") > 0.05)),
@@ -163,14 +165,14 @@ f0 AS (
   UNION ALL SELECT l_orderkey, 'TABLE_HEADER', 'Accessibility', 'Warning', 'table' FROM li GROUP BY l_orderkey HAVING count(*) > 1 AND arg_min(l_returnflag, ord) = 'N'
   UNION ALL SELECT doc_id, 'EXTERNAL_RELATIONSHIP', 'Security', 'Warning', CAST(ord AS VARCHAR) FROM tg WHERE tag = 'a' AND regexp_matches(href, '^[a-z]+:')
   UNION ALL SELECT doc_id, 'HIDDEN_TEXT', 'Security', 'Warning', CAST(ord AS VARCHAR) FROM tg WHERE tag IN ('script', 'style') AND trim(text) <> ''
-  UNION ALL SELECT p_partkey, 'STYLE_UNUSED', 'Styles', 'Info', p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)
+  UNION ALL SELECT p_partkey + 7, 'STYLE_UNUSED', 'Styles', 'Info', p_name FROM part WHERE p_partkey + 7 NOT IN (SELECT l_partkey FROM lineitem)
   UNION ALL SELECT min(p_partkey), 'EQUIVALENT_FORMATTING', 'Styles', 'Info', p_brand || '|' || p_size || '|' || p_type FROM part GROUP BY p_brand, p_size, p_type HAVING count(*) > 1
   UNION ALL SELECT node, 'STYLE_GRAPH', 'Styles', 'Error', 'Missing' FROM ch GROUP BY node HAVING bool_or(spot % 9 = 0)
   UNION ALL SELECT l_orderkey, 'DIRECT_OVERRIDE', 'Styles', 'Info', CAST(ord AS VARCHAR) FROM li WHERE l_discount > 0.05 AND l_tax > 0.05
-  UNION ALL SELECT c_custkey, 'RELATIONSHIP_UNUSED', 'Core', 'Info', 'customer' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-  UNION ALL SELECT doc_id, 'ORPHAN_PART', 'Core', 'Error', 'label' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
-  UNION ALL SELECT event_id, 'REFERENCE_GRAPH', 'Core', 'Error', CAST(user_id AS VARCHAR) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)
-  UNION ALL SELECT s_suppkey, 'UNBOUND_SECTION_STORY', 'Core', 'Warning', 'supplier' FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem)
+  UNION ALL SELECT c_custkey + 10, 'RELATIONSHIP_UNUSED', 'Core', 'Info', 'customer' FROM customer WHERE c_custkey + 10 NOT IN (SELECT o_custkey FROM orders)
+  UNION ALL SELECT doc_id + 50, 'ORPHAN_PART', 'Core', 'Error', 'label' FROM labels WHERE doc_id + 50 NOT IN (SELECT doc_id FROM documents)
+  UNION ALL SELECT event_id, 'REFERENCE_GRAPH', 'Core', 'Error', CAST(user_id * 11 AS VARCHAR) FROM events WHERE user_id * 11 NOT IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT s_suppkey + 3, 'UNBOUND_SECTION_STORY', 'Core', 'Warning', 'supplier' FROM supplier WHERE s_suppkey + 3 NOT IN (SELECT l_suppkey FROM lineitem)
   UNION ALL SELECT doc_id, 'NUMBERING_COUNTER_UNRESOLVED', 'Core', 'Warning', CAST(ord AS VARCHAR) FROM nu WHERE status <> 'Exact'
   UNION ALL SELECT doc_id, 'NUMBERING_LABEL_INVALID', 'Core', 'Warning', CAST(ord AS VARCHAR) FROM nu WHERE label_status IN ('InvalidLevelText', 'UnsupportedNumberFormat', 'LengthLimitExceeded')
   UNION ALL SELECT DISTINCT doc_id, 'NUMBERING_GRAPH', 'Core', 'Error', CAST(num_id AS VARCHAR) FROM nu WHERE status = 'MissingDefinition'),

@@ -90,9 +90,9 @@ def note_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unused_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers that no order is placed by."""
-    owners = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return owners.join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    """Customers, moved by ten, that no order is placed by."""
+    owners = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 10).alias("owner"), "c_name")
+    return owners.join(table(spark, sf_dir, "orders"), F.col("owner") == F.col("o_custkey"), "left_anti")
 
 
 def comment_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ FROM (SELECT kind, dst AS src, src AS dst FROM e)) SELECT * FROM p WHERE place B
 SELECT l.doc_id, candidates, CASE WHEN candidates = 1 THEN 'Resolved' ELSE 'Ambiguous' END AS status FROM labels l JOIN documents d USING (doc_id) JOIN n ON n.text = d.text""",
     "note_full_outer": """WITH a AS (SELECT doc_id AS note FROM documents), b AS (SELECT doc_id + 50 AS ref FROM labels)
 SELECT note, ref, CASE WHEN ref IS NULL THEN 'Unreferenced' WHEN note IS NULL THEN 'Dangling' ELSE 'Complete' END AS status FROM a FULL JOIN b ON note = ref""",
-    "unused_relationships": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "unused_relationships": "SELECT c_custkey + 10 AS owner, c_name FROM customer WHERE c_custkey + 10 NOT IN (SELECT o_custkey FROM orders)",
     "comment_threads": """WITH r AS (SELECT conv_id, turn AS root FROM conversations WHERE role = 'user'), p AS (SELECT conv_id, turn - 1 AS root, turn AS reply FROM conversations WHERE role = 'assistant')
 SELECT conv_id, count(*) AS threads, count(reply) AS replies FROM r LEFT JOIN p USING (conv_id, root) GROUP BY conv_id""",
     "figure_captions": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events),

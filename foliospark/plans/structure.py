@@ -74,7 +74,7 @@ def text_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cells(spark, sf_dir):
     """Orders as tables: a row per line in order, four columns of numbers."""
     ties = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
-    lines = table(spark, sf_dir, "lineitem").withColumn("row", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ties)))
+    lines = table(spark, sf_dir, "lineitem").withColumn("row", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ties)).cast("long"))
     values = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax")], F.col("l_linenumber").cast("double"))
     return lines.select("l_orderkey", "row", F.posexplode(values).alias("i", "value")).select("l_orderkey", "row", (F.col("i") + 1).alias("column"), "value")
 
@@ -176,7 +176,7 @@ x AS (SELECT *, len(a) = len(r) AS same, list_bool_or(list_transform(a, lambda y
 SELECT doc_id, CASE WHEN NOT same THEN 'StructureConflict' WHEN clash THEN 'Conflict' ELSE 'TextMerged' END AS outcome, CASE WHEN same AND NOT clash THEN sha256(array_to_string(m, chr(10))) END AS text_sha256 FROM x""",
     "range_formulas": f"""WITH {_CELLS} SELECT l_orderkey, round(sum(value) FILTER (row BETWEEN 1 AND 3 AND "column" BETWEEN 1 AND 2), 6) AS sum_a1_b3, round(avg(value) FILTER (row BETWEEN 2 AND 4), 6) AS avg_a2_d4,
 count(value) FILTER (row BETWEEN 2 AND 9 AND "column" = 3) AS count_c2_c9, max(value) FILTER (row = 1 AND "column" = 4) AS max_d1 FROM c GROUP BY l_orderkey""",
-    "row_formulas": f"""WITH {_CELLS} SELECT l_orderkey, row, "column", round(sum(value) OVER (PARTITION BY l_orderkey, row ORDER BY "column" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS sum_left, 4 - "column" AS n_right FROM c""",
+    "row_formulas": f"""WITH {_CELLS} SELECT l_orderkey, row, "column", round(sum(value) OVER (PARTITION BY l_orderkey, row ORDER BY "column" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS sum_left, CAST(4 - "column" AS BIGINT) AS n_right FROM c""",
     "redundant_formatting": """WITH s AS (SELECT l_orderkey, max(l_returnflag) AS flag, min(l_linestatus) AS status FROM lineitem GROUP BY l_orderkey),
 d AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_returnflag, l_linestatus FROM lineitem)
 SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, l_linestatus, 'font' AS name, l_returnflag AS value FROM d JOIN s USING (l_orderkey) WHERE l_returnflag = flag
