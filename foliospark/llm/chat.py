@@ -12,7 +12,8 @@ are written as ``~`` and hexadecimal digits. So an output can be read back.
 
 Turns are ordered by turn, role and text; null turns come first, null texts
 and roles are empty, repeated rows are repeated turns. A null id is a
-conversation of its own. Conversations are the unit of work: one is gathered
+conversation of its own. Other columns are not looked at, whatever their names. An empty table
+gives no rows. Conversations are the unit of work: one is gathered
 into one row, as each of its examples needs all turns before.
 """
 

@@ -340,6 +340,18 @@ def test_each_assistant_turn_is_one_example(spark):
     assert got[1].formatted.startswith(got[0].formatted) and got[2].formatted.startswith(got[1].formatted)
 
 
+def test_chats_with_clashing_names_long_and_empty(spark):
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"text {k}") for k in range(400)] + [(2, 0, "user", "x" * 200_000), (2, 1, "assistant", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for c in ("t", "ts", "example", "formatted", "loss_start", "head"):
+        df = df.withColumn(c, F.lit("own"))
+    got = chat.format_chats(df).collect()
+    long = sorted((r for r in got if r.conv_id == 1), key=lambda r: r.example)
+    assert len(long) == 200 and [r.formatted[r.loss_start: r.loss_end] for r in long] == [f"text {k}" for k in range(1, 400, 2)]
+    assert [r.formatted[r.loss_start: r.loss_end] for r in got if r.conv_id == 2] == ["y"]
+    assert chat.format_chats(df.where("conv_id < 0")).count() == 0
+
+
 # --- quality rules ------------------------------------------------------------------------
 
 
