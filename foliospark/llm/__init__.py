@@ -8,7 +8,7 @@ so only where the subpackage exists.
 from importlib import import_module
 
 _MODULES = (
-    "decontaminate", "chat", "mixing", "lm", "toxicity", "quality_model", "secrets", "quality_rules", "token_counts", "near_dup", "manifest", "search",
+    "decontaminate", "chat", "mixing", "lm", "toxicity", "quality_model", "secrets", "quality_rules", "token_counts", "near_dup", "manifest", "search", "pii",
 )
 
 
