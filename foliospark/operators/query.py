@@ -6,8 +6,13 @@ chain of them and Catalyst sees one plan.
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Properties that a projection leaves out unless asked for.
 PRIVATE_PROPS = ("anchor", "author", "date", "guid", "initials", "instruction", "name")
@@ -15,6 +20,7 @@ CATEGORIES = {
     "document": "document", "body": "container", "paragraph": "block", "heading": "block", "list_paragraph": "block",
     "hyperlink": "reference", "island": "extension", "run": "inline", "break": "inline",
 }
+BLOCKS = tuple(k for k, c in CATEGORIES.items() if c == "block")
 
 
 def of_kinds(nodes: DataFrame, kinds: list[str] | None) -> DataFrame:
@@ -35,20 +41,27 @@ def with_props(nodes: DataFrame, props: dict[str, str]) -> DataFrame:
     return nodes
 
 
-def _related(nodes: DataFrame, others: DataFrame, inside: bool) -> DataFrame:
-    o = others.select(F.col("doc_id").alias("_d"), F.col("ord").alias("_o"), F.col("subtree_end").alias("_e"))
-    within = (F.col("_o") < F.col("ord")) & (F.col("ord") <= F.col("_e")) if inside else (F.col("ord") < F.col("_o")) & (F.col("_o") <= F.col("subtree_end"))
-    return nodes.join(o, (F.col("doc_id") == F.col("_d")) & within, "left_semi")
+def _marked(nodes: DataFrame, others: DataFrame, first: int) -> tuple[DataFrame, list[str]]:
+    """Nodes and, as rows of their own, the intervals of others; at equal places those come first (-1) or last (1)."""
+    marks = others.select(F.col("doc_id").alias("doc_id"), F.col("ord").alias("ord"), F.col("ord").alias("_o"), F.col("subtree_end").alias("_e"), F.lit(first).alias("_side"))
+    return nodes.withColumn("_side", F.lit(0)).unionByName(marks, allowMissingColumns=True), nodes.columns
 
 
 def has_ancestor(nodes: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """Nodes with a proper ancestor among ``ancestors``."""
-    return _related(nodes, ancestors, inside=True)
+    """Nodes with a proper ancestor among ``ancestors``: of those that begin before the node, one reaches it.
+
+    One sort by place and a running maximum, so the work follows the nodes and not their pairs.
+    """
+    rows, columns = _marked(nodes, ancestors, 1)
+    reach = F.max("_e").over(W.partitionBy("doc_id").orderBy("ord", "_side").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("_reach", reach).where("_side = 0 and _reach >= ord").select(*columns)
 
 
 def has_descendant(nodes: DataFrame, descendants: DataFrame) -> DataFrame:
-    """Nodes with a proper descendant among ``descendants``."""
-    return _related(nodes, descendants, inside=False)
+    """Nodes with a proper descendant among ``descendants``: the next one behind the node begins inside it."""
+    rows, columns = _marked(nodes, descendants, -1)
+    following = F.min("_o").over(W.partitionBy("doc_id").orderBy(F.desc("ord"), F.desc("_side")).rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("_next", following).where("_side = 0 and _next <= subtree_end").select(*columns)
 
 
 def within_node(nodes: DataFrame, doc_id, ord_: int) -> DataFrame:
@@ -59,20 +72,59 @@ def within_node(nodes: DataFrame, doc_id, ord_: int) -> DataFrame:
     return nodes.where((F.col("doc_id") == doc_id) & F.col("ord").between(ord_, top["subtree_end"]))
 
 
+def _fold(ords, ends):
+    """(parents, depths) of intervals in ascending order: a stack of those that are open, and how many have ended."""
+    parents, depths, stack, ended = [], [], [], []
+    for at, end in zip(ords, ends):
+        while stack and stack[-1][1] < at:
+            stack.pop()
+        while ended and ended[0] < at:
+            heapq.heappop(ended)
+        parents.append(stack[-1][0] if stack else None)
+        depths.append(len(ended))
+        if end > at:
+            stack.append((at, end))
+            heapq.heappush(ended, end)
+    return parents, depths
+
+
 def with_parents(nodes: DataFrame) -> DataFrame:
-    """Nodes with ``parent_ord``, the nearest node that encloses them (null for none), and ``depth``, how many do."""
-    outer = nodes.select("doc_id", F.col("ord").alias("_o"), F.col("subtree_end").alias("_e"))
-    inside = (F.col("_o") < F.col("ord")) & (F.col("ord") <= F.col("_e"))
-    found = nodes.select("doc_id", "ord").join(outer, "doc_id").where(inside).groupBy("doc_id", "ord").agg(F.max("_o").alias("parent_ord"), F.count("*").alias("depth"))
-    return nodes.drop("parent_ord", "depth").join(found, ["doc_id", "ord"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    """Nodes with ``parent_ord``, the nearest node that encloses them (null for none), and ``depth``, how many do.
+
+    One sort of a document's nodes and a fold over them; where elements overlap without nesting, the one that began last counts as nearest.
+    """
+    rows = nodes.drop("parent_ord", "depth")
+    schema = T.StructType([*rows.schema.fields, T.StructField("parent_ord", T.LongType()), T.StructField("depth", T.LongType())])
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("ord", "ascending")])
+        parents, depths = _fold(table.column("ord").to_pylist(), table.column("subtree_end").to_pylist())
+        return table.append_column("parent_ord", pa.array(parents, pa.int64())).append_column("depth", pa.array(depths, pa.int64()))
+
+    return rows.groupBy("doc_id").applyInArrow(fold, schema)
+
+
+def _block_break(kind: Column, before: Column) -> Column:
+    """A line feed before a block that has text before it."""
+    return F.when(kind.isin(*BLOCKS) & before, "\n").otherwise("")
 
 
 def node_texts(nodes: DataFrame, tops: DataFrame) -> DataFrame:
-    """(doc_id, ord, text) of each top node: the texts of its subtree in order, those without any left out, with line feeds between."""
-    outer = tops.select("doc_id", F.col("ord").alias("_o"), F.col("subtree_end").alias("_e"))
-    pieces = nodes.where("text is not null and text <> ''").join(outer, "doc_id").where((F.col("_o") <= F.col("ord")) & (F.col("ord") <= F.col("_e")))
-    rows = pieces.groupBy("doc_id", F.col("_o").alias("top")).agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("ts"))
-    return rows.select("doc_id", F.col("top").alias("ord"), F.array_join(F.transform("ts", lambda t: t["text"]), "\n").alias("text"))
+    """(doc_id, ord, text) of each top node: the texts of its subtree in order, with a line feed before each block that has text before it; tops without any are left out.
+
+    Every piece stands once in its document's whole text; a top's text is the stretch of it that its interval names.
+    """
+    pieces = nodes.where("text is not null and text <> ''").select("doc_id", "ord", F.concat(_block_break(F.col("kind"), F.lit(True)), "text").alias("piece"))
+    bounds = F.array(F.struct(F.col("ord").alias("at"), F.lit(-1).alias("side")), F.struct(F.col("subtree_end").alias("at"), F.lit(1).alias("side")))
+    marks = tops.select("doc_id", "ord", "subtree_end").distinct().select("doc_id", F.col("ord").alias("top"), F.inline(bounds))
+    sizes = pieces.select("doc_id", F.col("ord").alias("at"), F.lit(0).alias("side"), F.length("piece").alias("size"))
+    upto = F.sum("size").over(W.partitionBy("doc_id").orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0))
+    spots = sizes.unionByName(marks, allowMissingColumns=True).withColumn("upto", F.coalesce(upto, F.lit(0))).where("side <> 0")
+    spots = spots.groupBy("doc_id", "top").agg(F.min("upto").alias("a"), F.max("upto").alias("b")).where("b > a")
+    wanted = spots.groupBy("doc_id").agg(F.collect_list(F.struct("top", "a", "b")).alias("tops"))
+    whole = pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "piece"))), lambda x: x["piece"]), "").alias("whole"))
+    each = wanted.join(whole, "doc_id").select("doc_id", F.inline(F.transform("tops", lambda x: F.struct(x["top"].alias("ord"), F.substring("whole", x["a"].cast("int") + 1, (x["b"] - x["a"]).cast("int")).alias("text")))))
+    return each.withColumn("text", F.regexp_replace("text", "^\n", ""))
 
 
 def text_matches(text: Column, value: str, mode: str = "contains", ignore_case: bool = True) -> Column:

@@ -126,8 +126,8 @@ k AS (SELECT page_id AS doc_id, CAST(generate_subscripts(regexp_extract_all(html
 t AS (SELECT doc_id, ord, regexp_extract(token, '^</?([A-Za-z0-9!]+)', 1) AS tag, starts_with(token, '</') AS is_close,
              regexp_extract(token, '^<[^ >]+([^>]*)>', 1) AS attrs, regexp_extract(token, '^<[^>]+>([^<]*)$', 1) AS text FROM k)"""
 _PAGES = _TOKENS + """,
-e AS (SELECT *, min(CASE WHEN is_close THEN ord END) OVER (PARTITION BY doc_id, tag ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS "end"
-      FROM t WHERE tag IN ('article', 'h1', 'p', 'b', 'br', 'a', 'li', 'nav', 'footer', 'script', 'style')),
+bal AS (SELECT *, count(*) FILTER (NOT is_close) OVER w AS o, count(*) FILTER (is_close) OVER w AS c FROM t WHERE tag IN ('article', 'h1', 'p', 'b', 'br', 'a', 'li', 'nav', 'footer', 'script', 'style') WINDOW w AS (PARTITION BY doc_id, tag ORDER BY ord)),
+e AS (SELECT a.*, (SELECT min(b.ord) FROM bal b WHERE b.doc_id = a.doc_id AND b.tag = a.tag AND b.is_close AND b.ord > a.ord AND b.o - a.o = b.c - a.c - 1) AS "end" FROM bal a),
 n AS (SELECT doc_id, ord, coalesce("end", ord) AS subtree_end, tag, text, regexp_extract(attrs, 'href="([^"]*)"', 1) AS href,
              CASE tag WHEN 'article' THEN 'body' WHEN 'h1' THEN 'heading' WHEN 'p' THEN 'paragraph' WHEN 'b' THEN 'run' WHEN 'br' THEN 'break'
                       WHEN 'a' THEN 'hyperlink' WHEN 'li' THEN 'list_paragraph' ELSE 'island' END AS kind

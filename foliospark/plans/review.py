@@ -285,7 +285,8 @@ _F = r"""
 k AS (SELECT page_id AS doc_id, CAST(generate_subscripts(regexp_extract_all(html, '<[^>]+>[^<]*'), 1) AS BIGINT) AS ord,
              unnest(regexp_extract_all(html, '<[^>]+>[^<]*')) AS token FROM pages),
 t AS (SELECT doc_id, ord, regexp_extract(token, '^</?([A-Za-z0-9!]+)', 1) AS tag, starts_with(token, '</') AS is_close, regexp_extract(token, '^<[^>]+>([^<]*)$', 1) AS text FROM k),
-e AS (SELECT *, min(CASE WHEN is_close THEN ord END) OVER (PARTITION BY doc_id, tag ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ends FROM t),
+bal AS (SELECT *, count(*) FILTER (NOT is_close) OVER w AS o, count(*) FILTER (is_close) OVER w AS c FROM t WINDOW w AS (PARTITION BY doc_id, tag ORDER BY ord)),
+e AS (SELECT a.*, (SELECT min(b.ord) FROM bal b WHERE b.doc_id = a.doc_id AND b.tag = a.tag AND b.is_close AND b.ord > a.ord AND b.o - a.o = b.c - a.c - 1) AS ends FROM bal a),
 f AS (
   SELECT doc_id, 'CORE_ARTIFACT' AS rule, 'Core' AS pack, 'Warning' AS severity, CAST(ord AS VARCHAR) AS subject FROM x WHERE regexp_matches(text, 'DRAFT|TODO|FIXME|XXX')
   UNION ALL SELECT doc_id, 'CORE_EMPTY_PARAGRAPH', 'Core', 'Info', CAST(ord AS VARCHAR) FROM x WHERE trim(text) = ''

@@ -135,8 +135,8 @@ QUERIES = {
 _NODES = r"""
 k AS (SELECT page_id AS doc_id, CAST(generate_subscripts(regexp_extract_all(html, '<[^>]+>[^<]*'), 1) AS BIGINT) AS ord, unnest(regexp_extract_all(html, '<[^>]+>[^<]*')) AS token FROM pages),
 t AS (SELECT doc_id, ord, regexp_extract(token, '^</?([A-Za-z0-9!]+)', 1) AS tag, starts_with(token, '</') AS is_close, regexp_extract(token, '^<[^>]+>([^<]*)$', 1) AS text FROM k),
-e AS (SELECT *, min(CASE WHEN is_close THEN ord END) OVER (PARTITION BY doc_id, tag ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS fin
-      FROM t WHERE tag IN ('article', 'h1', 'p', 'b', 'br', 'a', 'li', 'nav', 'footer', 'script', 'style')),
+bal AS (SELECT *, count(*) FILTER (NOT is_close) OVER w AS o, count(*) FILTER (is_close) OVER w AS c FROM t WHERE tag IN ('article', 'h1', 'p', 'b', 'br', 'a', 'li', 'nav', 'footer', 'script', 'style') WINDOW w AS (PARTITION BY doc_id, tag ORDER BY ord)),
+e AS (SELECT a.*, (SELECT min(b.ord) FROM bal b WHERE b.doc_id = a.doc_id AND b.tag = a.tag AND b.is_close AND b.ord > a.ord AND b.o - a.o = b.c - a.c - 1) AS fin FROM bal a),
 n AS (SELECT doc_id, ord, coalesce(fin, ord) AS last, text,
              CASE tag WHEN 'article' THEN 'body' WHEN 'h1' THEN 'heading' WHEN 'p' THEN 'paragraph' WHEN 'b' THEN 'run' WHEN 'br' THEN 'break'
                       WHEN 'a' THEN 'hyperlink' WHEN 'li' THEN 'list_paragraph' ELSE 'island' END AS kind FROM e WHERE NOT is_close)"""
@@ -158,7 +158,7 @@ UNION ALL SELECT c_custkey, level, 'Company', CASE WHEN level > 2 THEN '' ELSE c
 UNION ALL SELECT c_custkey, level, 'language', 'en' FROM customer, (VALUES (1), (2), (3)) l(level))""",
     "page_nesting": f"""WITH {_NODES} SELECT n.doc_id, n.ord, n.kind, max(o.ord) AS parent_ord, count(o.ord) AS depth
 FROM n LEFT JOIN n o ON o.doc_id = n.doc_id AND o.ord < n.ord AND n.ord <= o.last GROUP BY n.doc_id, n.ord, n.kind""",
-    "island_texts": f"""WITH {_NODES}, s AS (SELECT o.doc_id, o.ord, string_agg(n.text, chr(10) ORDER BY n.ord) AS text FROM n o JOIN n ON n.doc_id = o.doc_id AND n.ord BETWEEN o.ord AND o.last
+    "island_texts": f"""WITH {_NODES}, s AS (SELECT o.doc_id, o.ord, ltrim(string_agg(CASE WHEN n.kind IN ('paragraph', 'heading', 'list_paragraph') THEN chr(10) ELSE '' END || n.text, '' ORDER BY n.ord), chr(10)) AS text FROM n o JOIN n ON n.doc_id = o.doc_id AND n.ord BETWEEN o.ord AND o.last
 WHERE o.kind IN ('body', 'island') AND n.text <> '' GROUP BY o.doc_id, o.ord) SELECT doc_id, ord, sha256(text) AS text_sha256, CAST(length(text) AS BIGINT) AS chars FROM s""",
     "labels_resolved": "SELECT l.doc_id + 50 AS ref, quality, d.doc_id IS NOT NULL AS resolved, source FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id + 50",
     "id_sets": """WITH a AS (SELECT DISTINCT o_custkey AS id FROM orders), b AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_acctbal > 0),

@@ -48,14 +48,23 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     )
 
 
+def balanced(tokens: DataFrame) -> DataFrame:
+    """Opening tags with ``end``: the place of the closing tag that balances them (null for none), and ``level``, how many tags of the name are open.
+
+    A tag's level is the running sum of its opens and closes. An open and its close stand next to each other among the tags of
+    one name and level, whatever was never opened or never closed before.
+    """
+    by_tag = W.partitionBy("doc_id", "tag").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    level = F.sum(F.when(F.col("is_close"), -1).otherwise(1)).over(by_tag) + F.col("is_close").cast("int")
+    ends = F.lead("ord").over(W.partitionBy("doc_id", "tag", "level").orderBy("ord"))
+    return tokens.withColumn("level", level).withColumn("end", ends).where(~F.col("is_close"))
+
+
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """Nodes of pages: elements of ``PAGE_KINDS``; an element ends at its next closing tag, or at its start where none follows."""
+    """Nodes of pages: elements of ``PAGE_KINDS``; an element ends at the closing tag that balances it, or at its start where none does."""
     tags = list(PAGE_KINDS)
     kinds = F.create_map(*[F.lit(x) for kv in PAGE_KINDS.items() for x in kv])
-    later = W.partitionBy("doc_id", "tag").orderBy("ord").rowsBetween(1, W.unboundedFollowing)
-    ends = F.min(F.when(F.col("is_close"), F.col("ord"))).over(later)
-    nodes = page_tokens(pages).where(F.col("tag").isin(tags)).withColumn("end", ends).where(~F.col("is_close"))
-    return nodes.select(
+    return balanced(page_tokens(pages).where(F.col("tag").isin(tags))).select(
         "doc_id", "ord", F.coalesce("end", "ord").alias("subtree_end"), F.element_at(kinds, F.col("tag")).alias("kind"), F.lit(0).cast("long").alias("parent_ord"),
         "text", F.create_map(F.lit("tag"), F.col("tag"), F.lit("href"), F.regexp_extract("attrs", 'href="([^"]*)"', 1)).alias("props"),
     )

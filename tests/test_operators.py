@@ -338,12 +338,13 @@ def test_range_formulas(spark):
 
 
 def test_subtrees_and_unknown_nodes(spark):
-    nodes = spark.createDataFrame([(1, 0, 5, "x"), (1, 1, 3, "a"), (1, 2, 2, None), (1, 3, 3, "b"), (1, 5, 5, "c"), (2, 0, 0, "z")], "doc_id int, ord int, subtree_end int, text string")
+    rows = [(1, 0, 5, "body", "x"), (1, 1, 3, "paragraph", "a"), (1, 2, 2, "run", None), (1, 3, 3, "run", "b"), (1, 5, 5, "heading", "c"), (2, 0, 0, "heading", "z")]
+    nodes = spark.createDataFrame(rows, "doc_id int, ord int, subtree_end int, kind string, text string")
     assert sorted(r.ord for r in query.within_node(nodes, 1, 1).collect()) == [1, 2, 3]
     with pytest.raises(ValueError):
         query.within_node(nodes, 1, 4)
     assert {(r.doc_id, r.ord): (r.parent_ord, r.depth) for r in query.with_parents(nodes).collect()} == {(1, 0): (None, 0), (1, 1): (0, 1), (1, 2): (1, 2), (1, 3): (1, 2), (1, 5): (0, 1), (2, 0): (None, 0)}
-    assert {(r.doc_id, r.ord): r.text for r in query.node_texts(nodes, nodes.where("ord < 2")).collect()} == {(1, 0): "x\na\nb\nc", (1, 1): "a\nb", (2, 0): "z"}
+    assert {(r.doc_id, r.ord): r.text for r in query.node_texts(nodes, nodes.where("ord < 2")).collect()} == {(1, 0): "x\nab\nc", (1, 1): "ab", (2, 0): "z"}
 
 
 def test_changes_of_some_authors_are_accepted(spark):
