@@ -70,9 +70,8 @@ def formula(name: str, value: Column, table: list[str], order: str, direction: s
     """SUM, AVERAGE, COUNT, MAX, MIN or PRODUCT of the cells ABOVE or BELOW in the same column (``table`` names it), or LEFT or RIGHT in the same row."""
     if direction not in ("ABOVE", "BELOW", "LEFT", "RIGHT"):
         raise ValueError(f"{direction!r} is no direction")
-    by = W.partitionBy(*table).orderBy(order)
-    frame = by.rowsBetween(W.unboundedPreceding, -1) if direction in ("ABOVE", "LEFT") else by.rowsBetween(1, W.unboundedFollowing)
-    return FORMULAS[name](value).over(frame)
+    way = F.asc(order) if direction in ("ABOVE", "LEFT") else F.desc(order)  # a running aggregate either way
+    return FORMULAS[name](value).over(W.partitionBy(*table).orderBy(way).rowsBetween(W.unboundedPreceding, -1))
 
 
 def to_csv_line(columns: list[str]) -> Column:

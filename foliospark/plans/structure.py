@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.fields import field_class, field_name, invokes_application, is_external
 from foliospark.operators import diff as d
+from foliospark.operators import formulas
 from foliospark.operators import query as q
 from foliospark.operators import styles as st
 from foliospark.operators import template as t
@@ -93,6 +94,24 @@ def row_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).select("l_orderkey", "row", "column", F.round(f("SUM", "LEFT"), 6).alias("sum_left"), f("COUNT", "RIGHT").alias("n_right"))
 
 
+#: Formulas by their cell, over the columns quantity, discount, tax and number of an order's lines.
+_FORMULAS = {
+    "A1": "=IF(AND(B1 > 0.02, D1 <= 4), ROUND(C1 * 100, 0) + SUM(A2:B4), -AVERAGE(BELOW, RIGHT))",
+    "B2": "= MOD(A2 + 7, D3 * 2) ^ 2 - 50% * INT(A1 / 3)",
+    "C1": "A1 / (D1 - D2 + 1)",
+    "D3": "IF(B1 = 0, A1 / B1, MAX(A1:A3, 20) + SIGN(B2 - C2) * COUNT(LEFT, ABOVE))",
+    "D4": "PRODUCT(D1:D3) - MIN(A1, A2, ABS(A3 - 40))",
+    "A5": "NOT(A1 > A2) + 2 * (OR(B1 < C1, B2 < C2) = TRUE)",
+    "B7": "(A1 - 25) ^ 0.5",
+}
+
+
+def formula_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of formulas in every order's table; tables that lack a cell, divisions by zero and roots of negatives have a status."""
+    out = formulas.evaluate(_cells(spark, sf_dir), _FORMULAS, "l_orderkey", "row", "column", "value", replace=True)
+    return out.withColumn("result", F.round("result", 6))
+
+
 def redundant_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct properties of lines that say what their order's style says already."""
     lines = table(spark, sf_dir, "lineitem")
@@ -130,7 +149,7 @@ def sanitised_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (field_kinds, sanitised_properties, page_nesting, island_texts, labels_resolved, id_sets, duplicate_ids, property_changes, text_merge, range_formulas, row_formulas, redundant_formatting)
+    for f in (field_kinds, sanitised_properties, page_nesting, island_texts, labels_resolved, id_sets, duplicate_ids, property_changes, text_merge, range_formulas, row_formulas, formula_expressions, redundant_formatting)
 }
 _NODES = r"""
 k AS (SELECT page_id AS doc_id, CAST(generate_subscripts(regexp_extract_all(html, '<[^>]+>[^<]*'), 1) AS BIGINT) AS ord, unnest(regexp_extract_all(html, '<[^>]+>[^<]*')) AS token FROM pages),
@@ -177,6 +196,19 @@ SELECT doc_id, CASE WHEN NOT same THEN 'StructureConflict' WHEN clash THEN 'Conf
     "range_formulas": f"""WITH {_CELLS} SELECT l_orderkey, round(sum(value) FILTER (row BETWEEN 1 AND 3 AND "column" BETWEEN 1 AND 2), 6) AS sum_a1_b3, round(avg(value) FILTER (row BETWEEN 2 AND 4), 6) AS avg_a2_d4,
 count(value) FILTER (row BETWEEN 2 AND 9 AND "column" = 3) AS count_c2_c9, max(value) FILTER (row = 1 AND "column" = 4) AS max_d1 FROM c GROUP BY l_orderkey""",
     "row_formulas": f"""WITH {_CELLS} SELECT l_orderkey, row, "column", round(sum(value) OVER (PARTITION BY l_orderkey, row ORDER BY "column" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS sum_left, CAST(4 - "column" AS BIGINT) AS n_right FROM c""",
+    "formula_expressions": f"""WITH {_CELLS},
+w AS (SELECT l_orderkey, row, l_quantity AS a, l_discount AS b, l_tax AS c, CAST(l_linenumber AS DOUBLE) AS d FROM r),
+g AS (SELECT l_orderkey, max(row) AS h, {", ".join(f"max({x}) FILTER (row = {i}) AS {x}{i}" for x in "abcd" for i in range(1, 8))}, sum(a + b) FILTER (row BETWEEN 2 AND 4) AS s,
+  count(*) - 1 AS below, coalesce(sum(a) FILTER (row > 1), 0) AS sum_below FROM w GROUP BY l_orderkey),
+f AS (
+  SELECT l_orderkey, 'A1' AS cell, 4 AS needs, CASE WHEN b1 > 0.02 AND d1 <= 4 THEN floor(c1 * 100 + 0.5) + coalesce(s, 0) ELSE -(sum_below + b1 + c1 + d1) / (below + 3) END AS x, NULL AS e, h FROM g
+  UNION ALL SELECT l_orderkey, 'B2', 3, CASE WHEN d3 <> 0 THEN power((a2 + 7) % (d3 * 2), 2) - 0.5 * trunc(a1 / 3) END, CASE WHEN d3 = 0 THEN 'DivisionByZero' END, h FROM g
+  UNION ALL SELECT l_orderkey, 'C1', 2, CASE WHEN d1 - d2 + 1 <> 0 THEN a1 / (d1 - d2 + 1) END, CASE WHEN d1 - d2 + 1 = 0 THEN 'DivisionByZero' END, h FROM g
+  UNION ALL SELECT l_orderkey, 'D3', 3, CASE WHEN b1 <> 0 THEN greatest(a1, a2, a3, 20) + sign(b2 - c2) * 5 END, CASE WHEN b1 = 0 THEN 'DivisionByZero' END, h FROM g
+  UNION ALL SELECT l_orderkey, 'D4', 4, d1 * d2 * d3 - least(a1, a2, abs(a3 - 40)), NULL, h FROM g
+  UNION ALL SELECT l_orderkey, 'A5', 5, CASE WHEN a1 > a2 THEN 0 ELSE 1 END + CASE WHEN b1 < c1 OR b2 < c2 THEN 2 ELSE 0 END, NULL, h FROM g
+  UNION ALL SELECT l_orderkey, 'B7', 7, CASE WHEN a1 >= 25 THEN sqrt(a1 - 25) END, CASE WHEN a1 < 25 THEN 'NotANumber' END, h FROM g)
+SELECT l_orderkey, cell, CASE WHEN h >= needs AND e IS NULL THEN round(x, 6) END AS result, CASE WHEN h < needs THEN 'OutsideTable' ELSE coalesce(e, 'Exact') END AS status FROM f""",
     "redundant_formatting": """WITH s AS (SELECT l_orderkey, max(l_returnflag) AS flag, min(l_linestatus) AS status FROM lineitem GROUP BY l_orderkey),
 d AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_returnflag, l_linestatus FROM lineitem)
 SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, l_linestatus, 'font' AS name, l_returnflag AS value FROM d JOIN s USING (l_orderkey) WHERE l_returnflag = flag
