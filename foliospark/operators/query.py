@@ -47,19 +47,19 @@ def _marked(nodes: DataFrame, others: DataFrame, first: int) -> tuple[DataFrame,
     return nodes.withColumn("_side", F.lit(0)).unionByName(marks, allowMissingColumns=True), nodes.columns
 
 
-def has_ancestor(nodes: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """Nodes with a proper ancestor among ``ancestors``: of those that begin before the node, one reaches it.
+def has_ancestor(nodes: DataFrame, ancestors: DataFrame, or_self: bool = False) -> DataFrame:
+    """Nodes with a proper ancestor among ``ancestors`` (with ``or_self``, or there themselves): of those that begin before the node, one reaches it.
 
     One sort by place and a running maximum, so the work follows the nodes and not their pairs.
     """
-    rows, columns = _marked(nodes, ancestors, 1)
+    rows, columns = _marked(nodes, ancestors, -1 if or_self else 1)
     reach = F.max("_e").over(W.partitionBy("doc_id").orderBy("ord", "_side").rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("_reach", reach).where("_side = 0 and _reach >= ord").select(*columns)
 
 
-def has_descendant(nodes: DataFrame, descendants: DataFrame) -> DataFrame:
-    """Nodes with a proper descendant among ``descendants``: the next one behind the node begins inside it."""
-    rows, columns = _marked(nodes, descendants, -1)
+def has_descendant(nodes: DataFrame, descendants: DataFrame, or_self: bool = False) -> DataFrame:
+    """Nodes with a proper descendant among ``descendants`` (with ``or_self``, or there themselves): the next one behind the node begins inside it."""
+    rows, columns = _marked(nodes, descendants, 1 if or_self else -1)
     following = F.min("_o").over(W.partitionBy("doc_id").orderBy(F.desc("ord"), F.desc("_side")).rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("_next", following).where("_side = 0 and _next <= subtree_end").select(*columns)
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliospark.operators.query import with_parents
+
 NODE_COLUMNS = ("doc_id", "ord", "subtree_end", "kind", "parent_ord", "text", "props")
 #: Elements of a page that become nodes, with their kinds.
 PAGE_KINDS = {
@@ -70,6 +72,25 @@ def page_nodes(pages: DataFrame) -> DataFrame:
     )
 
 
+_ATTRIBUTE = r"""([^\s=>"'/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def page_tree(pages: DataFrame) -> DataFrame:
+    """The whole element trees of pages: (doc_id, ord, subtree_end, tag, attrs, value, parent_ord, depth).
+
+    Elements have even places and attributes as (name, value) in order; the texts between tags are nodes of the tag ``#text`` at odd places, with
+    blank ones left out. Comments and declarations are no nodes.
+    """
+    tokens = page_tokens(pages).where(~F.startswith("tag", F.lit("!")) & (F.col("tag") != "")).withColumn("ord", 2 * F.col("ord")).withColumn("tag", F.lower("tag"))
+    pick = lambda k: F.regexp_extract_all("attrs", F.lit(_ATTRIBUTE), k)
+    attrs = F.zip_with(pick(1), pick(2), lambda n, v: F.struct(n.alias("name"), F.regexp_replace(v, "^[\"']|[\"']$", "").alias("value")))
+    end = F.coalesce("end", "ord").alias("subtree_end")
+    none = F.array().cast("array<struct<name:string,value:string>>").alias("attrs")
+    elements = balanced(tokens).select("doc_id", "ord", end, "tag", attrs.alias("attrs"), F.lit(None).cast("string").alias("value"))
+    texts = page_tokens(pages).where(F.trim(F.translate("text", "\t\r\n", "   ")) != "").select("doc_id", (2 * F.col("ord") + 1).alias("ord"), (2 * F.col("ord") + 1).alias("subtree_end"), F.lit("#text").alias("tag"), none, F.col("text").alias("value"))
+    return with_parents(elements.unionByName(texts))
+
+
 def conversation_nodes(chats: DataFrame) -> DataFrame:
     """One paragraph node per turn, with its role as a property."""
     return chats.select(
