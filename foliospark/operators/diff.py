@@ -10,6 +10,7 @@ import difflib
 import re
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -169,13 +170,69 @@ def longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _reach(a: list[int], codes: np.ndarray) -> np.ndarray:
+    """How long a common subsequence of ``a`` and each beginning of b is, of 0 to n elements; ``codes`` are b's n elements as numbers from 0.
+
+    One row of the table at a time, as the bits of a number: a bit that is 0 says that the length grows at that place.
+    """
+    n = len(codes)
+    order = np.argsort(codes, kind="stable")
+    key = codes[order] * (n // 8 + 1) + (order >> 3)
+    starts = np.flatnonzero(np.diff(key, prepend=-1))  # where a byte of an element's mask begins
+    byte, value = order[starts] >> 3, np.bitwise_or.reduceat((1 << (order & 7)).astype(np.uint8), starts)
+    first = np.searchsorted(codes[order][starts], np.arange(int(codes.max()) + 2)).tolist()
+    row = full = (1 << n) - 1
+    held: dict[int, int] = {}
+    for x in a:
+        if (mask := held.get(x)) is None:
+            bits = np.zeros(n // 8 + 1, np.uint8)
+            bits[byte[first[x]: first[x + 1]]] = value[first[x]: first[x + 1]]
+            mask = int.from_bytes(bits.tobytes(), "little")
+            if (first[x + 1] - first[x]) * 64 >= n:  # so at most 64 are held
+                held[x] = mask
+        both = row & mask
+        row = ((row + both) | (row - both)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _common(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, out: list) -> None:
+    """Add the places of a longest common subsequence: cut ``a`` in halves, and b where both halves together reach farthest."""
+    most = min(len(a), len(b))
+    differ = np.flatnonzero(a[:most] != b[:most])
+    head = int(differ[0]) if len(differ) else most
+    differ = np.flatnonzero(a[::-1][: most - head] != b[::-1][: most - head])
+    tail = int(differ[0]) if len(differ) else most - head
+    out += zip(at_a[:head].tolist(), at_b[:head].tolist())
+    end_a, end_b = len(a) - tail, len(b) - tail
+    ends = list(zip(at_a[end_a:].tolist(), at_b[end_b:].tolist()))
+    a, b, at_a, at_b = a[head:end_a], b[head:end_b], at_a[head:end_a], at_b[head:end_b]
+    keep_a, keep_b = np.isin(a, b), np.isin(b, a)
+    a, b, at_a, at_b = a[keep_a], b[keep_b], at_a[keep_a], at_b[keep_b]
+    if len(a) and len(b):
+        names, codes = np.unique(b, return_inverse=True)
+        mine = np.searchsorted(names, a).tolist()
+        if len(a) * len(b) <= 4096 or len(a) == 1:
+            where: dict[int, list[int]] = {}
+            for j, x in enumerate(codes.tolist()):
+                where.setdefault(x, []).append(j)
+            hits = [(i, j) for i, x in enumerate(mine) for j in reversed(where[x])]
+            out += [(int(at_a[i]), int(at_b[j])) for i, j in (hits[k] for k in longest_increasing([j for _, j in hits]))]
+        else:
+            half = len(a) // 2
+            cut = int(np.argmax(_reach(mine[:half], codes) + _reach(mine[half:][::-1], codes[::-1])[::-1]))
+            _common(a[:half], b[:cut], at_a[:half], at_b[:cut], out)
+            _common(a[half:], b[cut:], at_a[half:], at_b[cut:], out)
+    out += ends
+
+
 def common_sequence(a: list, b: list) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence: an increasing run through the places in b, last first, of each element of a."""
-    where: dict = {}
-    for j, x in enumerate(b):
-        where.setdefault(x, []).append(j)
-    hits = [(i, j) for i, x in enumerate(a) for j in reversed(where.get(x, ()))]
-    return [hits[k] for k in longest_increasing([j for _, j in hits])]
+    """Places of a longest common subsequence, in memory that grows with the sequences and not with their product."""
+    codes: dict = {}
+    x, y = (np.array([codes.setdefault(v, len(codes)) for v in side], np.int64) for side in (a, b))
+    out: list[tuple[int, int]] = []
+    _common(x, y, np.arange(len(x)), np.arange(len(y)), out)
+    return out
 
 
 def blocks(a: list, b: list) -> list[tuple[int, int, int, int]]:
