@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("foliospark.plans.nodes", "foliospark.plans.ordered", "foliospark.plans.relations", "foliospark.plans.review", "foliospark.plans.markup", "foliospark.plans.lint", "foliospark.plans.structure", "foliospark.plans.trees", "foliospark.plans.formatting")
+_MODULES = ("foliospark.plans.nodes", "foliospark.plans.ordered", "foliospark.plans.relations", "foliospark.plans.review", "foliospark.plans.markup", "foliospark.plans.lint", "foliospark.plans.structure", "foliospark.plans.trees", "foliospark.plans.formatting", "foliospark.plans.edits")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
