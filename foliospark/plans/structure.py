@@ -11,6 +11,7 @@ from foliospark.operators import diff as d
 from foliospark.operators import formulas
 from foliospark.operators import query as q
 from foliospark.operators import styles as st
+from foliospark.operators import tables
 from foliospark.operators import template as t
 from foliospark.operators.protect import sanitise
 from foliospark.sources import table
@@ -112,6 +113,31 @@ def formula_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("result", F.round("result", 6))
 
 
+def _tables(spark, sf_dir):
+    """Customers as tables: their orders are rows, lines are cells with spans, merges and now and then a fault."""
+    t = lambda name: table(spark, sf_dir, name)
+    orders = t("orders").select(F.col("o_custkey").alias("table"), "o_orderkey", (F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long").alias("row"))
+    key = F.col("o_orderkey")
+    rows = orders.select("table", "row", F.when(key % 29 == 0, -1).when(key % 7 == 0, 1).when(key % 61 == 0, 12).otherwise(0).alias("grid_before"), (key % 5).cast("int").alias("grid_after"), (key % 3 != 0).alias("header"))
+    ties = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+    lines = t("lineitem").withColumn("cell", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ties)).cast("long")).join(orders, F.col("l_orderkey") == key)
+    span = F.when(F.col("l_suppkey") % 37 == 0, 0).when(F.col("l_suppkey") % 41 == 0, 2).when(F.col("l_suppkey") % 43 == 0, F.lit(None)).otherwise(1 + F.col("cell") % 2).cast("long")
+    merge = F.when(F.col("l_partkey") % 4 == 0, "restart").when(F.col("l_partkey") % 4 < 3, "continue")
+    cells = lines.select("table", "row", "cell", span.alias("span"), merge.alias("merge"))
+    return t("customer").select(F.col("c_custkey").alias("table"), (5 + F.col("c_custkey") % 7).cast("int").alias("grid_columns")), rows, cells
+
+
+def merge_chain_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is wrong with the grids and vertical merges of customers' tables."""
+    return tables.issues(*_tables(spark, sf_dir))
+
+
+def merge_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vertical merges of customers' tables."""
+    _, rows, cells = _tables(spark, sf_dir)
+    return tables.chains(tables.merge_chains(tables.placed_cells(rows, cells)))
+
+
 def redundant_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct properties of lines that say what their order's style says already."""
     lines = table(spark, sf_dir, "lineitem")
@@ -149,7 +175,7 @@ def sanitised_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (field_kinds, sanitised_properties, page_nesting, island_texts, labels_resolved, id_sets, duplicate_ids, property_changes, text_merge, range_formulas, row_formulas, formula_expressions, redundant_formatting)
+    for f in (field_kinds, sanitised_properties, page_nesting, island_texts, labels_resolved, id_sets, duplicate_ids, property_changes, text_merge, range_formulas, row_formulas, formula_expressions, merge_chain_issues, merge_chains, redundant_formatting)
 }
 _NODES = r"""
 k AS (SELECT page_id AS doc_id, CAST(generate_subscripts(regexp_extract_all(html, '<[^>]+>[^<]*'), 1) AS BIGINT) AS ord, unnest(regexp_extract_all(html, '<[^>]+>[^<]*')) AS token FROM pages),
@@ -163,7 +189,24 @@ _TIES = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_disc
 _CELLS = f"""r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_TIES}) AS row FROM lineitem),
 c AS (SELECT l_orderkey, row, unnest([1, 2, 3, 4]) AS "column", unnest([CAST(l_quantity AS DOUBLE), l_discount, l_tax, l_linenumber]) AS value FROM r)"""
 _EDIT = "list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1 + doc_id) % {n} = 0 THEN x || '{mark}' ELSE x END)"
+_TABLES = f"""WITH RECURSIVE o AS (SELECT o_custkey AS tab, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS "row" FROM orders),
+rw AS (SELECT *, CASE WHEN k % 29 = 0 THEN -1 WHEN k % 7 = 0 THEN 1 WHEN k % 61 = 0 THEN 12 ELSE 0 END AS gb, k % 5 AS ga, k % 3 <> 0 AS header, 5 + tab % 7 AS grid FROM o),
+li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_TIES}) AS cell FROM lineitem),
+ce AS (SELECT rw.*, cell, l_partkey % 4 AS m, CASE WHEN l_suppkey % 37 = 0 THEN 0 WHEN l_suppkey % 41 = 0 THEN 2 WHEN l_suppkey % 43 = 0 THEN NULL ELSE 1 + cell % 2 END AS span FROM li JOIN rw ON l_orderkey = k),
+pl AS (SELECT *, greatest(gb, 0) + sum(CASE WHEN span >= 1 THEN span ELSE 1 END) OVER (PARTITION BY k ORDER BY cell) AS e FROM ce),
+pc AS (SELECT *, e - CASE WHEN span >= 1 THEN span ELSE 1 END AS s FROM pl),
+ch(tab, s, e, first_row, "row", cell) AS (SELECT tab, s, e, "row", "row", cell FROM pc WHERE m = 0
+  UNION ALL SELECT p.tab, p.s, p.e, ch.first_row, p."row", p.cell FROM ch JOIN pc p ON p.tab = ch.tab AND p.s = ch.s AND p.e = ch.e AND p."row" = ch."row" + 1 AND p.m IN (1, 2))"""
 ORACLES = {
+    "merge_chain_issues": _TABLES + """,
+al AS (SELECT p.* FROM pc p WHERE m IN (1, 2) AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.tab = p.tab AND ch."row" = p."row" AND ch.cell = p.cell)),
+w AS (SELECT rw.*, coalesce(x.e, greatest(gb, 0)) + ga AS cols FROM rw LEFT JOIN (SELECT k, max(e) AS e FROM pc GROUP BY k) x USING (k))
+SELECT tab AS "table", "row", cell, CASE WHEN EXISTS (SELECT 1 FROM ch WHERE ch.tab = al.tab AND ch."row" = al."row" - 1 AND ch.s < al.e AND al.s < ch.e) THEN 'VERTICAL_MERGE_SPAN_MISMATCH' ELSE 'VERTICAL_MERGE_ORPHAN_CONTINUATION' END AS issue FROM al
+UNION ALL SELECT tab, "row", cell, 'GRID_SPAN_INVALID' FROM ce WHERE span = 0 UNION ALL SELECT tab, "row", NULL, 'GRID_BEFORE_INVALID' FROM rw WHERE gb < 0
+UNION ALL SELECT tab, "row", NULL, 'ROW_GRID_OVERFLOW' FROM w WHERE cols > grid UNION ALL SELECT tab, "row", NULL, 'ROW_GRID_UNDERFLOW' FROM w WHERE cols < grid
+UNION ALL SELECT tab, "row", NULL, 'ROW_GRID_SKIP_OUT_OF_RANGE' FROM w WHERE gb > grid OR ga > grid
+UNION ALL SELECT tab, "row", NULL, 'HEADER_NOT_CONTIGUOUS' FROM rw r WHERE header AND EXISTS (SELECT 1 FROM rw x WHERE x.tab = r.tab AND x."row" < r."row" AND NOT x.header)""",
+    "merge_chains": _TABLES + """ SELECT tab AS "table", CAST(s AS BIGINT) AS start_col, CAST(e AS BIGINT) AS end_col, first_row, max("row") AS last_row, count(*) AS n_cells FROM ch GROUP BY ALL""",
     "field_kinds": r"""WITH g AS (SELECT unnest(regexp_extract_all(html, '<([A-Za-z0-9!]+)[^>]*>', 1)) AS tag FROM pages),
 f AS (SELECT CASE tag WHEN 'a' THEN 'HYPERLINK' WHEN 'title' THEN 'TITLE' WHEN 'li' THEN 'SEQ' WHEN 'nav' THEN 'TOC' WHEN 'script' THEN 'MACROBUTTON' WHEN 'style' THEN 'LINK' WHEN 'p' THEN '' ELSE upper(tag) END AS name FROM g
 UNION ALL SELECT CASE event_type WHEN 'view' THEN 'PAGE' WHEN 'error' THEN 'DDEAUTO' ELSE upper(event_type) END FROM events)
