@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators import styles as st
-from foliospark.sources import markup, table
+from foliospark.operators import template
+from foliospark.sources import inline, markup, table
 from foliospark.sources.projectors import document_nodes, page_nodes
 
 
@@ -116,13 +117,54 @@ b AS (SELECT *, CASE WHEN kind NOT IN ('heading', 'list') AND lag(kind) OVER (PA
 _NODES = r"""k AS (SELECT page_id AS doc_id, CAST(generate_subscripts(regexp_extract_all(html, '<[^>]+>[^<]*'), 1) AS BIGINT) AS ord, unnest(regexp_extract_all(html, '<[^>]+>[^<]*')) AS token FROM pages),
 t AS (SELECT doc_id, ord, regexp_extract(token, '^</?([A-Za-z0-9!]+)', 1) AS tag, regexp_extract(token, '^<[^>]+>([^<]*)$', 1) AS text FROM k WHERE NOT starts_with(token, '</'))"""
 
+def csv_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as CSV texts with commas, quotes and line ends inside their fields, read back: cells by digest."""
+    lines = document_nodes(table(spark, sf_dir, "documents")).where("kind = 'paragraph'")
+    odd = F.when(F.col("ord") % 4 == 0, F.concat("text", F.lit(',"x"\n'), "text")).when(F.col("ord") % 4 == 1, F.concat(F.lit('"'), "text")).when(F.col("ord") % 4 == 2, F.concat("text", F.lit("\r\nend"))).otherwise(F.col("text"))
+    rows = lines.select("doc_id", "ord", F.col("ord").cast("string").alias("n"), odd.alias("odd"), F.lit("").alias("none"))
+    rows = rows.select("doc_id", F.struct("ord", template.to_csv_line(["n", "odd", "none"]).alias("line")).alias("x"))
+    texts = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\r\n").alias("text"))
+    cells = markup.csv_cells(texts)
+    return cells.select("doc_id", "row", "column", F.length("value").cast("long").alias("chars"), F.sha2("value", 256).alias("value_sha256"))
+
+
+def markdown_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents with every other word marked as strong, emphasised, code, deleted or a link, read back: the plain text and the spans over it."""
+    lines = document_nodes(table(spark, sf_dir, "documents")).where("kind = 'paragraph'")
+    safe = lambda w: F.regexp_replace(w, r"([!-/:-@\[-`{-~])", r"\\$1")
+
+    def marked(w, i):
+        k = (i + 1) % 7
+        return (
+            F.when(k == 1, F.concat(F.lit("**"), safe(w), F.lit("**"))).when(k == 3, F.concat(F.lit("*"), safe(w), F.lit("*"))).when((k == 5) & ~F.contains(w, F.lit("`")), F.concat(F.lit("`"), w, F.lit("`")))
+            .when(k == 6, F.concat(F.lit("~~"), safe(w), F.lit("~~"))).when(k == 0, F.concat(F.lit("["), safe(w), F.lit("](http://x/"), (i + 1).cast("string"), F.lit(")"))).otherwise(safe(w))
+        )
+
+    words = F.regexp_extract_all("text", F.lit("[^ \t\r\n\f\x0B]+"), 0)
+    read = inline.inline_marks(lines.select("doc_id", "ord", F.array_join(F.transform(words, marked), " ").alias("text")))
+    said = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"), x["target"])), ",")
+    return read.select("doc_id", "ord", F.sha2("plain", 256).alias("plain_sha256"), F.size("spans").cast("long").alias("n_spans"), F.sha2(said, 256).alias("spans_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        markdown_blocks, export_markdown, export_html, csv_tables, effective_formatting, equivalent_styles, role_labels, table_overflow, theme_colours, recipient_identity, merge_documents, replace_first,
+        markdown_blocks, export_markdown, export_html, csv_tables, csv_quoted, markdown_inline, effective_formatting, equivalent_styles, role_labels, table_overflow, theme_colours, recipient_identity, merge_documents, replace_first,
     )
 }
+_LINES = "SELECT doc_id, CAST(generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS BIGINT) AS ord, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents"
 ORACLES = {
+    "csv_quoted": f"""WITH l AS ({_LINES}),
+c AS (SELECT doc_id, ord - 1 AS "row", CAST(ord AS VARCHAR) AS n, CASE ord % 4 WHEN 0 THEN text || ',"x"' || chr(10) || text WHEN 1 THEN '"' || text WHEN 2 THEN text || chr(13) || chr(10) || 'end' ELSE text END AS odd FROM l),
+v AS (SELECT doc_id, "row", CAST(0 AS BIGINT) AS "column", n AS value FROM c UNION ALL SELECT doc_id, "row", 1, odd FROM c UNION ALL SELECT doc_id, "row", 2, '' FROM c)
+SELECT doc_id, "row", "column", CAST(length(value) AS BIGINT) AS chars, sha256(value) AS value_sha256 FROM v""",
+    "markdown_inline": rf"""WITH l AS ({_LINES}), w AS (SELECT doc_id, ord, regexp_extract_all(text, '[^ \t\r\n\f\x0B]+') AS ws FROM l),
+e AS (SELECT doc_id, ord, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+p AS (SELECT *, CAST(sum(length(word) + 1) OVER (PARTITION BY doc_id, ord ORDER BY i) AS BIGINT) - 1 AS e FROM e),
+s AS (SELECT doc_id, ord, i, CASE i % 7 WHEN 1 THEN 'strong' WHEN 3 THEN 'emphasis' WHEN 5 THEN 'code' WHEN 6 THEN 'deleted' ELSE 'link' END || ':' || (e - length(word)) || ':' || e || CASE WHEN i % 7 = 0 THEN ':http://x/' || i ELSE '' END AS said
+  FROM p WHERE i % 7 NOT IN (2, 4) AND NOT (i % 7 = 5 AND contains(word, '`'))),
+g AS (SELECT doc_id, ord, count(*) AS n, string_agg(said, ',' ORDER BY i) AS said FROM s GROUP BY ALL)
+SELECT doc_id, ord, sha256(array_to_string(ws, ' ')) AS plain_sha256, coalesce(n, 0) AS n_spans, sha256(coalesce(said, '')) AS spans_sha256 FROM w LEFT JOIN g USING (doc_id, ord)""",
     "markdown_blocks": f"""WITH {_MD} SELECT doc_id, kind, CAST(sum(new) AS BIGINT) AS blocks, count(*) AS lines, CAST(sum(n) + count(*) - sum(new) AS BIGINT) AS chars FROM b GROUP BY doc_id, kind""",
     "export_markdown": f"""WITH {_NODES}, m AS (SELECT doc_id, string_agg(CASE tag WHEN 'h1' THEN '# ' WHEN 'li' THEN '- ' ELSE '' END || text, chr(10) ORDER BY ord) AS s FROM t WHERE tag IN ('h1', 'p', 'li') GROUP BY doc_id)
 SELECT doc_id, sha256(s) AS markdown_sha256, CAST(length(s) AS BIGINT) AS chars FROM m""",

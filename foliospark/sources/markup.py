@@ -68,13 +68,37 @@ def to_html(nodes: DataFrame) -> DataFrame:
 
 
 def csv_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of CSV texts without quoted line ends, padded to the widest row of their document."""
+    """Rows of CSV texts without quotes, one per line that isn't empty, padded to the widest row of their document."""
     rows = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("row", "line")).where("line <> ''")
     cells = rows.select("doc_id", F.col("row").cast("long").alias("row"), F.split("line", ",").alias("cells"))
     width = F.max(F.size("cells")).over(W.partitionBy("doc_id"))
     return cells.withColumn("width", width).withColumn("cells", F.concat("cells", F.array_repeat(F.lit(""), F.col("width") - F.size("cells"))))
 
 
+#: A separator and the field behind it; a field that begins with a quote ends at the quote that isn't doubled, whatever lies between.
+_FIELD = r"""(,|\r\n|\n|\r)("[^"]*+(?:""[^"]*+)*+(?:"[^,\r\n]*+)?|[^,\r\n]*+)"""
+_QUOTED = r"""(?s)^"([^"]*+(?:""[^"]*+)*+)(?:"(.*))?$"""
+
+
+def csv_cells(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, row, column, value) of CSV texts, from 0: quoted commas, quotes and line ends belong to their field.
+
+    Rows end with a line feed, a carriage return or both; one at the end opens no row. A quote inside a field that doesn't begin with one is a
+    character like others, what stands behind a closing quote is added as it is, and a quote that never closes reaches to the end. An
+    empty line is a row without cells, null and empty texts have no rows.
+    """
+    marked = F.concat(F.lit("\n"), F.col(text))
+    pick = lambda k: F.regexp_extract_all(marked, F.lit(_FIELD), k)
+    rows = docs.where(F.length(text) > 0).select("doc_id", F.posexplode(F.arrays_zip(pick(1).alias("mark"), pick(2).alias("raw"))).alias("i", "x"))
+    by = W.partitionBy("doc_id").orderBy("i")
+    rows = rows.select("doc_id", "i", F.col("x.mark").alias("mark"), F.col("x.raw").alias("raw")).withColumn("row", F.sum((F.col("mark") != ",").cast("long")).over(by) - 1)
+    alone = (F.col("mark") != ",") & F.coalesce(F.lead("mark").over(by) != ",", F.lit(True)) & (F.col("raw") == "")
+    quoted = F.startswith("raw", F.lit('"'))
+    value = F.when(quoted, F.concat(F.replace(F.regexp_extract("raw", _QUOTED, 1), F.lit('""'), F.lit('"')), F.regexp_extract("raw", _QUOTED, 2))).otherwise(F.col("raw"))
+    column = F.row_number().over(W.partitionBy("doc_id", "row").orderBy("i")) - 1
+    return rows.withColumns({"alone": alone, "value": value}).where(~F.col("alone")).select("doc_id", "row", column.cast("long").alias("column"), "value")
+
+
 def write_sections(rows: DataFrame, is_heading: Column, path: str) -> None:
     """Split documents at headings: one folder per document and section, text before the first heading as section 0."""
     ordered.sections(rows, is_heading).write.partitionBy("doc_id", "section").mode("overwrite").parquet(path)
