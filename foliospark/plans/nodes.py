@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators import query as q
+from foliospark.operators import ranking
 from foliospark.sources import table
 from foliospark.sources.projectors import conversation_nodes, document_nodes, page_nodes, page_tokens
 
@@ -117,6 +118,24 @@ def page_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_tokens(table(spark, sf_dir, "pages")).groupBy("tag").agg(F.count_if(~F.col("is_close")).alias("opened"), F.count_if("is_close").alias("closed"))
 
 
+def _catalogue(spark, sf_dir):
+    """Parts as named steps with descriptions, plan and apply steps among them, and queries over them: names, plurals, parts of words and steps."""
+    part = table(spark, sf_dir, "part")
+    base = F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey").cast("string"))
+    key = F.col("p_partkey")
+    names = F.filter(F.array(F.concat(F.lit("plan_"), base), F.when(key % 2 == 0, F.concat(F.lit("apply_"), base)), F.when(key % 5 == 0, F.concat(F.lit("plan_"), base, F.lit("_apply"))), F.when(key % 7 == 0, F.concat(base, F.lit(".info")))), lambda x: x.isNotNull())
+    entries = part.select(F.explode(names).alias("name"), F.concat_ws(" ", "p_type", "p_brand", F.when(key % 3 == 0, F.col("p_name")), F.concat(F.lit("size:"), F.col("p_size").cast("string"))).alias("description"))
+    first, last = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    texts = F.array(F.concat(F.lit("Apply "), "p_name", F.lit("s")), F.concat(F.lit("plan "), last), F.substring("p_name", 2, 3), F.concat(last, F.lit(" "), first), F.concat_ws(" ", F.col("p_name"), F.col("p_partkey").cast("string")), F.concat(last, F.lit("-small  brand#1")))
+    queries = part.groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey")).select("p_partkey", F.posexplode(texts).alias("k", "text"))
+    return entries, queries.select(F.concat_ws(":", F.col("p_partkey").cast("string"), F.col("k").cast("string")).alias("query"), "text")
+
+
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best twelve steps of every query, with the features that rank them."""
+    return ranking.ranked(*_catalogue(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
 _PARAGRAPHS = """
 p AS (SELECT doc_id, lang, source, CAST(generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS BIGINT) AS ord,
              unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents)"""
@@ -137,7 +156,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         query_paragraph_text, query_by_property, query_page, query_match_modes, query_subtree, query_public_props, has_ancestor_island,
-        has_descendant_paragraph, kind_counts, property_counts, doc_statistics, reading_time, search_text, search_regex, page_tag_counts,
+        has_descendant_paragraph, kind_counts, property_counts, doc_statistics, reading_time, search_text, search_regex, page_tag_counts, ranked_search,
     )
 }
 ORACLES = {
@@ -179,4 +198,22 @@ SELECT origin, doc_id, ord, substring(text, 1, 300) AS text FROM a WHERE trim(te
     "search_regex": f"""WITH {_PARAGRAPHS}, m AS (SELECT doc_id, ord, regexp_extract_all(text, '[a-z0-9]+@[a-z0-9]+[.][a-z.]+') AS f FROM p)
 SELECT doc_id, ord, CAST(generate_subscripts(f, 1) - 1 AS BIGINT) AS match_no, unnest(f) AS match FROM m""",
     "page_tag_counts": f"""WITH {_TOKENS} SELECT tag, count(*) FILTER (NOT is_close) AS opened, count(*) FILTER (is_close) AS closed FROM t GROUP BY tag""",
+    "ranked_search": r"""WITH b AS (SELECT *, replace(p_name, ' ', '_') || '_' || p_partkey AS base FROM part),
+en AS (SELECT unnest(list_filter(['plan_' || base, CASE WHEN p_partkey % 2 = 0 THEN 'apply_' || base END, CASE WHEN p_partkey % 5 = 0 THEN 'plan_' || base || '_apply' END, CASE WHEN p_partkey % 7 = 0 THEN base || '.info' END], lambda x: x IS NOT NULL)) AS name,
+              concat_ws(' ', p_type, p_brand, CASE WHEN p_partkey % 3 = 0 THEN p_name END, 'size:' || p_size) AS description FROM b),
+nm AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY p_name),
+qt AS (SELECT k, unnest(range(6)) AS i, unnest(['Apply ' || p_name || 's', 'plan ' || string_split(p_name, ' ')[-1], substring(p_name, 2, 3), string_split(p_name, ' ')[-1] || ' ' || string_split(p_name, ' ')[1], p_name || ' ' || k, string_split(p_name, ' ')[-1] || '-small  brand#1']) AS text FROM nm),
+q AS (SELECT k || ':' || i AS query, list_filter(regexp_split_to_array(lower(text), '[ \-_/.:]+'), lambda x: x <> '') AS ts FROM qt),
+e AS (SELECT name, list_filter(regexp_split_to_array(lower(name), '[ \-_/.:]+'), lambda x: x <> '') AS ns, lower(array_to_string(list_filter(regexp_split_to_array(description, '[ \-_/.:]+'), lambda x: x <> ''), ' ')) AS d,
+  starts_with(name, 'plan_') AND (('apply_' || substring(name, 6)) IN (SELECT name FROM en) OR (ends_with(name, '_apply') AND ('apply_' || substring(name, 6, length(name) - 11)) IN (SELECT name FROM en))) AS plans,
+  starts_with(name, 'apply_') AND (('plan_' || substring(name, 7)) IN (SELECT name FROM en) OR ('plan_' || substring(name, 7) || '_apply') IN (SELECT name FROM en)) AS applies FROM en),
+h AS (SELECT *, list_transform(ts, lambda t: list_transform(ns, lambda n: n = t OR n = t || 's' OR t = n || 's' OR (t LIKE '%y' AND n = left(t, -1) || 'ies') OR (n LIKE '%y' AND t = left(n, -1) || 'ies'))) AS m,
+      list_contains(ts, 'apply') AND NOT list_contains(ts, 'plan') AS ex FROM e CROSS JOIN q),
+p1 AS (SELECT *, coalesce(list_position(m[1], true), 0) AS a FROM h), p2 AS (SELECT *, CASE WHEN a > 0 AND len(ts) > 1 THEN coalesce(list_position(m[2][a + 1:], true), 0) + CASE WHEN list_position(m[2][a + 1:], true) > 0 THEN a ELSE 0 END ELSE 0 END AS b FROM p1),
+p3 AS (SELECT *, CASE WHEN b > 0 AND len(ts) > 2 THEN coalesce(list_position(m[3][b + 1:], true), 0) + CASE WHEN list_position(m[3][b + 1:], true) > 0 THEN b ELSE 0 END ELSE 0 END AS c FROM p2),
+f AS (SELECT query, name, CAST(array_to_string(ns, ' ') = array_to_string(ts, ' ') AS INTEGER) AS exact, CAST(ex AND applies AS INTEGER) AS explicit, CAST(contains(array_to_string(ns, ' '), array_to_string(ts, ' ')) AS INTEGER) AS phrase,
+  CAST(len(list_filter(m, lambda x: list_contains(x, true))) AS INTEGER) AS name_hits, CAST(NOT ex AND plans AS INTEGER) AS safety,
+  CAST(CASE WHEN (CASE WHEN a > 0 THEN 1 ELSE 0 END + CASE WHEN b > 0 THEN 1 ELSE 0 END + CASE WHEN c > 0 THEN 1 ELSE 0 END) < len(ts) THEN 10000 + len(ns) - (CASE WHEN a > 0 THEN 1 ELSE 0 END + CASE WHEN b > 0 THEN 1 ELSE 0 END + CASE WHEN c > 0 THEN 1 ELSE 0 END)
+       ELSE (greatest(a, b, c) - a + 1 - len(ts)) * 100 + abs(len(ns) - len(ts)) END AS INTEGER) AS distance, CAST(len(list_filter(ts, lambda t: contains(d, t))) AS INTEGER) AS description_hits FROM p3)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY exact DESC, explicit DESC, phrase DESC, name_hits DESC, safety DESC, distance, description_hits DESC, name) AS "rank" FROM f WHERE exact + phrase + name_hits + description_hits > 0) WHERE "rank" <= 12""",
 }
