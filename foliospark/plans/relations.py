@@ -67,6 +67,29 @@ def adjacency_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.adjacency(turned, offset=1, limit=3)
 
 
+def _graph(spark, sf_dir):
+    """The nodes of the foreign keys without every fiftieth customer, with nation 3 twice and parts that nothing refers to, and the edges."""
+    specs = [("region", "region", "r_regionkey"), ("nation", "nation", "n_nationkey"), ("customer", "customer", "c_custkey"), ("supplier", "supplier", "s_suppkey"), ("orders", "order", "o_orderkey"), ("part", "part", "p_partkey")]
+    nodes = g.union_edges(*[table(spark, sf_dir, t).select(_node(kind, key).alias("node"), F.lit(kind).alias("kind"), F.col(key).alias("key")) for t, kind, key in specs])
+    nodes = nodes.where("not (kind = 'customer' and key % 50 = 7)")
+    return nodes.unionByName(nodes.where("kind = 'nation' and key = 3")).drop("key"), _edges(spark, sf_dir)
+
+
+def dependency_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of every view of the graph, by kinds, by a node in both directions, of what isn't resolved, of an impact and of issues."""
+    nodes, edges = _graph(spark, sf_dir)
+    views = {
+        "nodes": g.view(nodes, edges, "nodes", node_kind="nation", offset=5, limit=10), "node": g.view(nodes, edges, "nodes", node="nation:3"), "incoming": g.view(nodes, edges, "edges", node="nation:3", direction="incoming", limit=20),
+        "outgoing": g.view(nodes, edges, "edges", node="nation:3", direction="outgoing"), "kind": g.view(nodes, edges, "edges", edge_kind="BasedIn", offset=3), "unresolved": g.view(nodes, edges, "unresolved", limit=100),
+        "missing": g.view(nodes, edges, "unresolved", node="order:1", direction="outgoing"), "impact": g.view(nodes, edges, "impact", node="nation:4", direction="both", depth=2, limit=50), "issues": g.view(nodes, edges, "issues", limit=40),
+        "customers": g.view(nodes, edges, "issues", node_kind="nation"),
+    }
+    none = lambda kind: F.lit(None).cast(kind)
+    wide = {"kind": "string", "node": "string", "src": "string", "dst": "string", "resolved": "boolean", "step": "int", "code": "string", "severity": "string", "n": "long"}
+    each = [v.select(F.lit(name).alias("view"), *[F.col(c) if c in v.columns else none(t).alias(c) for c, t in wide.items()], "matched", "next_offset") for name, v in views.items()]
+    return g.union_edges(*each)
+
+
 def unresolved_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose customer, moved by twenty, doesn't exist: references whose target is missing."""
     refs = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") + 20).alias("ref"))
@@ -137,7 +160,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         edge_kind_counts, node_degree, impact_edges, reachability, inheritance_chain, unresolved_refs, unique_key_citations, note_full_outer,
-        unused_relationships, comment_threads, figure_captions, external_links, style_cycles, adjacency_page,
+        unused_relationships, comment_threads, figure_captions, external_links, style_cycles, adjacency_page, dependency_views,
     )
 }
 ORACLES = {
@@ -181,4 +204,21 @@ SELECT figure, caption, distance, score, CASE WHEN score = bf AND tf = 1 AND sco
     "external_links": """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages)
 SELECT href, CASE WHEN href = '' THEN 'Invalid' WHEN regexp_matches(href, '^[a-z]+:') THEN 'External' ELSE 'Internal' END AS mode,
        count(*) AS links, count(DISTINCT page_id) AS pages FROM a GROUP BY href""",
+    "dependency_views": f"""WITH {_E},
+nk AS (SELECT 'region:' || r_regionkey AS node, 'region' AS kind FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'nation' FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'customer' FROM customer WHERE c_custkey % 50 <> 7
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier' FROM supplier UNION ALL SELECT 'order:' || o_orderkey, 'order' FROM orders UNION ALL SELECT 'part:' || p_partkey, 'part' FROM part),
+nd AS (SELECT * FROM nk UNION ALL SELECT * FROM nk WHERE node = 'nation:3'), re AS (SELECT e.*, dst IN (SELECT node FROM nd) AS resolved FROM e),
+n1 AS (SELECT src AS x FROM e WHERE dst = 'nation:4' UNION SELECT dst FROM e WHERE src = 'nation:4' UNION SELECT 'nation:4'),
+iss AS (SELECT 'DUPLICATE_NODE' AS code, 'Error' AS severity, node, count(*) AS n FROM nd GROUP BY node HAVING count(*) > 1 UNION ALL SELECT 'TARGET_MISSING', 'Warning', dst, count(*) FROM re WHERE NOT resolved GROUP BY dst
+  UNION ALL SELECT DISTINCT 'NODE_UNCONNECTED', 'Info', node, 1 FROM nd WHERE node NOT IN (SELECT src FROM e) AND node NOT IN (SELECT dst FROM e))
+SELECT * FROM (SELECT 'nodes' AS view, kind, node, CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS dst, CAST(NULL AS BOOLEAN) AS resolved, CAST(NULL AS INTEGER) AS step, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS BIGINT) AS n, count(*) OVER () AS matched, CASE WHEN 15 < count(*) OVER () THEN CAST(15 AS BIGINT) END AS next_offset FROM (SELECT * FROM nd WHERE kind = 'nation') ORDER BY kind, node LIMIT 10 OFFSET 5)
+UNION ALL SELECT * FROM (SELECT 'node' AS view, kind, node, CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS dst, CAST(NULL AS BOOLEAN) AS resolved, CAST(NULL AS INTEGER) AS step, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS BIGINT) AS n, count(*) OVER () AS matched, CASE WHEN 30 < count(*) OVER () THEN CAST(30 AS BIGINT) END AS next_offset FROM (SELECT * FROM nd WHERE node = 'nation:3') ORDER BY kind, node LIMIT 30 OFFSET 0)
+UNION ALL SELECT * FROM (SELECT 'incoming' AS view, kind, CAST(NULL AS VARCHAR) AS node, src, dst, resolved, CAST(NULL AS INTEGER) AS step, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS BIGINT) AS n, count(*) OVER () AS matched, CASE WHEN 20 < count(*) OVER () THEN CAST(20 AS BIGINT) END AS next_offset FROM (SELECT * FROM re WHERE dst = 'nation:3') ORDER BY kind, src, dst LIMIT 20 OFFSET 0)
+UNION ALL SELECT * FROM (SELECT 'outgoing' AS view, kind, CAST(NULL AS VARCHAR) AS node, src, dst, resolved, CAST(NULL AS INTEGER) AS step, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS BIGINT) AS n, count(*) OVER () AS matched, CASE WHEN 30 < count(*) OVER () THEN CAST(30 AS BIGINT) END AS next_offset FROM (SELECT * FROM re WHERE src = 'nation:3') ORDER BY kind, src, dst LIMIT 30 OFFSET 0)
+UNION ALL SELECT * FROM (SELECT 'kind' AS view, kind, CAST(NULL AS VARCHAR) AS node, src, dst, resolved, CAST(NULL AS INTEGER) AS step, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS BIGINT) AS n, count(*) OVER () AS matched, CASE WHEN 33 < count(*) OVER () THEN CAST(33 AS BIGINT) END AS next_offset FROM (SELECT * FROM re WHERE kind = 'BasedIn') ORDER BY kind, src, dst LIMIT 30 OFFSET 3)
+UNION ALL SELECT * FROM (SELECT 'unresolved' AS view, kind, CAST(NULL AS VARCHAR) AS node, src, dst, resolved, CAST(NULL AS INTEGER) AS step, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS BIGINT) AS n, count(*) OVER () AS matched, CASE WHEN 100 < count(*) OVER () THEN CAST(100 AS BIGINT) END AS next_offset FROM (SELECT * FROM re WHERE NOT resolved) ORDER BY kind, src, dst LIMIT 100 OFFSET 0)
+UNION ALL SELECT * FROM (SELECT 'missing' AS view, kind, CAST(NULL AS VARCHAR) AS node, src, dst, resolved, CAST(NULL AS INTEGER) AS step, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS BIGINT) AS n, count(*) OVER () AS matched, CASE WHEN 30 < count(*) OVER () THEN CAST(30 AS BIGINT) END AS next_offset FROM (SELECT * FROM re WHERE NOT resolved AND src = 'order:1') ORDER BY kind, src, dst LIMIT 30 OFFSET 0)
+UNION ALL SELECT * FROM (SELECT 'impact' AS view, kind, CAST(NULL AS VARCHAR) AS node, src, dst, CAST(NULL AS BOOLEAN) AS resolved, step, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS BIGINT) AS n, count(*) OVER () AS matched, CASE WHEN 50 < count(*) OVER () THEN CAST(50 AS BIGINT) END AS next_offset FROM (SELECT kind, src, dst, min(step) AS step FROM (SELECT *, 1 AS step FROM e WHERE src = 'nation:4' OR dst = 'nation:4' UNION ALL SELECT *, 2 FROM e WHERE src IN (SELECT x FROM n1) OR dst IN (SELECT x FROM n1)) GROUP BY ALL) ORDER BY step, kind, src, dst LIMIT 50 OFFSET 0)
+UNION ALL SELECT * FROM (SELECT 'issues' AS view, CAST(NULL AS VARCHAR) AS kind, node, CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS dst, CAST(NULL AS BOOLEAN) AS resolved, CAST(NULL AS INTEGER) AS step, code, severity, n, count(*) OVER () AS matched, CASE WHEN 40 < count(*) OVER () THEN CAST(40 AS BIGINT) END AS next_offset FROM (SELECT * FROM iss) ORDER BY code, node LIMIT 40 OFFSET 0)
+UNION ALL SELECT * FROM (SELECT 'customers' AS view, CAST(NULL AS VARCHAR) AS kind, node, CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS dst, CAST(NULL AS BOOLEAN) AS resolved, CAST(NULL AS INTEGER) AS step, code, severity, n, count(*) OVER () AS matched, CASE WHEN 30 < count(*) OVER () THEN CAST(30 AS BIGINT) END AS next_offset FROM (SELECT * FROM iss WHERE node LIKE 'nation:%') ORDER BY code, node LIMIT 30 OFFSET 0)""",
 }
