@@ -1,4 +1,4 @@
-"""Queries of bindings to data stores, and of edits that hold as a whole."""
+"""Queries of bindings to data stores, of edits that hold as a whole, and of mail-merge schemas."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.lineage import checkpointed
 from foliospark.operators import bindings as b
+from foliospark.operators import mailmerge as m
 from foliospark.operators import transactions as t
 from foliospark.sources import table
 from foliospark.sources.projectors import page_tree
@@ -72,7 +73,50 @@ def edit_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "outcome", "n_commands", "n_changed", "problems", F.sha2("whole", 256).alias("text_sha256"), (F.col("base") == F.col("restored")).alias("restored"))
 
 
-QUERIES = {f.__name__: f for f in (control_bindings, edit_transactions)}
+def _merge(spark, sf_dir):
+    """Nations as documents: columns from their customers, fields from their orders, four mappings each, and a configuration for most."""
+    customers, c = table(spark, sf_dir, "customer"), F.col
+    key = c("c_custkey")
+    name = F.when(key % 4 == 0, c("c_mktsegment")).when(key % 4 == 1, F.lower("c_mktsegment")).when(key % 4 == 2, c("c_name")).otherwise(F.concat(F.lit("Col"), (key % 7).cast("string")))
+    columns = customers.where("c_custkey % 5 < 2").select(c("c_nationkey").alias("doc_id"), key.alias("ordinal"), name.alias("name"))
+    orders = table(spark, sf_dir, "orders").join(customers.select(key.alias("o_custkey"), c("c_nationkey").alias("doc_id")), "o_custkey")
+    o = c("o_orderkey")
+    pick = lambda column, *values: F.get(F.array(*[F.lit(v) for v in values]), (column % len(values)).cast("int"))
+    target = F.when(o % 6 == 5, F.concat(F.lit("Name"), (c("o_custkey") % 5).cast("string"))).otherwise(pick(o % 6, "BUILDING", "machinerY", "Col3", "COL5", " ", ""))
+    fields = orders.select("doc_id", o.alias("field"), pick(F.floor(o / 6), "MERGEFIELD", "MERGEFIELD", "NEXTIF", "MERGEREC", "MERGEFIELD", "IF", "MERGEFIELD", "ADDRESSBLOCK", "MERGEBARCODE").alias("field_type"), target.alias("target"), (o % 31 != 0).alias("complete"), (o % 37 == 0).alias("deleted"), (o % 5 != 0).alias("control_ok"))
+    entry = lambda k, mapped, source: F.struct(F.lit(k).alias("mapping"), F.lit(mapped).alias("mapped_name"), F.lit(source).cast("string").alias("source_column"))
+    nations = table(spark, sf_dir, "nation").select(c("n_nationkey").alias("doc_id"))
+    mappings = nations.select("doc_id", F.inline(F.array(entry(1, "Name0", "BUILDING"), entry(2, "Name1", None), entry(3, "Name2", "Col3"), entry(4, "Name2", "Col4"), entry(5, "Name3", "machinery"))))
+    return fields, columns, mappings, nations.where("doc_id % 6 <> 1")
+
+
+def merge_schema_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source column of every field, or why it has none."""
+    fields, columns, mappings, _ = _merge(spark, sf_dir)
+    return m.bindings(fields, columns, mappings).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def merge_schema_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document's fields can be bound, what blocks it, and how many columns no field takes."""
+    fields, columns, mappings, configured = _merge(spark, sf_dir)
+    return m.plans(m.bindings(fields, columns, mappings), columns, configured)
+
+
+QUERIES = {f.__name__: f for f in (control_bindings, edit_transactions, merge_schema_bindings, merge_schema_plans)}
+_MERGE = """co AS (SELECT c_nationkey AS doc_id, c_custkey AS ordinal, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment WHEN 1 THEN lower(c_mktsegment) WHEN 2 THEN c_name ELSE 'Col' || (c_custkey % 7) END AS name FROM customer WHERE c_custkey % 5 < 2),
+fi AS (SELECT c_nationkey AS doc_id, o_orderkey AS field, ['MERGEFIELD', 'MERGEFIELD', 'NEXTIF', 'MERGEREC', 'MERGEFIELD', 'IF', 'MERGEFIELD', 'ADDRESSBLOCK', 'MERGEBARCODE'][(o_orderkey // 6) % 9 + 1] AS ty,
+  CASE o_orderkey % 6 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'machinerY' WHEN 2 THEN 'Col3' WHEN 3 THEN 'COL5' WHEN 4 THEN ' ' ELSE 'Name' || (o_custkey % 5) END AS target, o_orderkey % 31 <> 0 AS whole, o_orderkey % 37 = 0 AS gone, o_orderkey % 5 <> 0 AS ok
+  FROM orders JOIN customer ON c_custkey = o_custkey),
+rq AS (SELECT *, CASE target WHEN 'Name0' THEN 'BUILDING' WHEN 'Name3' THEN 'machinery' ELSE target END AS required FROM fi),
+ma AS (SELECT rq.*, (SELECT min(ordinal) FROM co WHERE co.doc_id = rq.doc_id AND co.name = required) AS ex, (SELECT count(*) FROM co WHERE co.doc_id = rq.doc_id AND lower(co.name) = lower(required)) AS n,
+  (SELECT min(ordinal) FROM co WHERE co.doc_id = rq.doc_id AND lower(co.name) = lower(required)) AS lo FROM rq),
+st AS (SELECT *, CASE WHEN ty IN ('MERGEREC', 'IF', 'ADDRESSBLOCK') THEN 'NotApplicable' WHEN ty = 'NEXTIF' AND NOT ok THEN 'Missing' WHEN target = 'Name2' THEN 'Ambiguous' WHEN trim(required) = '' THEN 'Missing' WHEN ex IS NOT NULL THEN 'ResolvedExact'
+    WHEN n = 1 THEN 'ResolvedCaseInsensitive' WHEN n > 1 THEN 'Ambiguous' ELSE 'Missing' END AS status,
+  CASE WHEN ty = 'MERGEREC' THEN CASE WHEN NOT ok THEN 'mail_merge_control_syntax_invalid' END WHEN ty = 'IF' THEN 'conditional_mail_merge_if_unmodeled' WHEN ty = 'ADDRESSBLOCK' THEN 'unsupported_mail_merge_control_fields'
+    WHEN ty = 'NEXTIF' AND NOT ok THEN 'mail_merge_control_syntax_invalid' WHEN target = 'Name2' THEN 'ambiguous_odso_mapping' WHEN trim(required) = '' THEN 'source_column_name_missing' WHEN ex IS NOT NULL OR n = 1 THEN NULL WHEN n > 1 THEN 'source_column_ambiguous' ELSE 'source_column_missing' END AS why FROM ma),
+bi AS (SELECT doc_id, field, ty AS field_type, CASE WHEN status <> 'NotApplicable' THEN required END AS required, CASE status WHEN 'ResolvedExact' THEN ex WHEN 'ResolvedCaseInsensitive' THEN lo END AS ordinal,
+  CASE status WHEN 'ResolvedExact' THEN required WHEN 'ResolvedCaseInsensitive' THEN (SELECT min(name) FROM co WHERE co.doc_id = st.doc_id AND co.ordinal = lo) END AS "column", status,
+  list_sort(list_filter([why, CASE WHEN NOT whole THEN 'incomplete_mail_merge_fields' END, CASE WHEN gone THEN 'deleted_mail_merge_fields' END], lambda x: x IS NOT NULL)) AS reasons FROM st)"""
 ORACLES = {
     "control_bindings": f"""WITH {TREE},
 below AS (SELECT c.*, p.tag AS above, row_number() OVER (PARTITION BY c.doc_id, c.par, c.tag ORDER BY c.ord) AS r FROM nd c LEFT JOIN nd p ON p.doc_id = c.doc_id AND p.ord = c.par WHERE c.tag <> '#text'),
@@ -97,4 +141,11 @@ o AS (SELECT *, CASE k WHEN 0 THEN CASE WHEN n = 1 THEN 'DuplicateTarget' ELSE '
 r AS (SELECT *, CASE WHEN problems <> '' THEN 'Refused' WHEN k = 6 THEN 'NoChange' ELSE 'Applied' END AS outcome FROM o)
 SELECT doc_id, outcome, CAST(n_commands AS BIGINT) AS n_commands, CAST(CASE WHEN outcome <> 'Applied' THEN 0 WHEN k = 0 AND z = '' THEN 1 ELSE 2 END AS BIGINT) AS n_changed, problems, true AS restored,
   sha256(array_to_string(CASE WHEN outcome <> 'Applied' THEN ls WHEN k = 0 THEN list_concat(['new ' || a], ls[2:n - 1], ['']) WHEN k = 3 THEN list_concat(['<b>all'], ls[2:n]) ELSE list_concat(['<b></b>tail'], ls[2:n]) END, chr(10))) AS text_sha256 FROM r""",
+    "merge_schema_bindings": f"""WITH {_MERGE} SELECT doc_id, field, field_type, required, ordinal, "column", status, len(reasons) > 0 AS blocking, array_to_string(reasons, ',') AS reasons FROM bi""",
+    "merge_schema_plans": f"""WITH {_MERGE},
+re AS (SELECT doc_id, unnest(reasons) AS reason FROM bi UNION ALL SELECT doc_id, 'source_schema_duplicate_column' FROM co GROUP BY doc_id, name HAVING count(*) > 1
+  UNION ALL SELECT doc_id, 'source_schema_case_collision' FROM co GROUP BY doc_id, lower(name) HAVING count(*) > 1 UNION ALL SELECT doc_id, 'mail_merge_configuration_missing' FROM bi WHERE doc_id % 6 = 1),
+g AS (SELECT doc_id, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM re GROUP BY doc_id),
+u AS (SELECT doc_id, count(*) AS n FROM co WHERE (doc_id, ordinal) NOT IN (SELECT (doc_id, ordinal) FROM bi WHERE ordinal IS NOT NULL) GROUP BY doc_id)
+SELECT b.doc_id, g.reasons IS NULL AS can_bind, coalesce(g.reasons, '') AS reasons, count(*) AS n_fields, count(ordinal) AS n_resolved, coalesce(any_value(u.n), 0) AS n_unused FROM bi b LEFT JOIN g USING (doc_id) LEFT JOIN u USING (doc_id) GROUP BY b.doc_id, g.reasons""",
 }
