@@ -30,10 +30,12 @@ def entry_diff(before: DataFrame, after: DataFrame, key: str, content: str) -> D
     return both.withColumn("difference", kind).where("difference is not null").select(key, "difference", "sha_a", "sha_b")
 
 
-def three_way_merge(ancestor: DataFrame, left: DataFrame, right: DataFrame, key: str, value: str, resolutions: DataFrame | None = None) -> DataFrame:
+def three_way_merge(ancestor: DataFrame, left: DataFrame, right: DataFrame, key: str, value: str, resolutions: DataFrame | None = None, texts: bool = False) -> DataFrame:
     """Outcome and merged value per key; a null value means that the key is absent.
 
-    ``resolutions`` (key, choice) settles conflicts by UseAncestor, UseLeft or UseRight.
+    ``resolutions`` (key, choice) settles conflicts by UseAncestor, UseLeft or UseRight. With ``texts``, values that both sides changed are
+    merged line by line first: TextMerged where that settles them, else the conflict says whether the lines themselves were changed
+    differently (ModifiedDifferently) or their number (StructureConflict).
     """
     side = lambda df, s: df.select(F.col(key), F.col(value).alias(s))
     rows = side(ancestor, "a").join(side(left, "l"), key, "full").join(side(right, "r"), key, "full")
@@ -46,12 +48,23 @@ def three_way_merge(ancestor: DataFrame, left: DataFrame, right: DataFrame, key:
     )
     rows = rows.withColumn("conflict", F.when(F.col("outcome") == "Conflict", conflict))
     merged = F.when(F.col("outcome").isin("Unchanged", "Shared", "Left"), F.col("l")).when(F.col("outcome") == "Right", F.col("r"))
+    if texts:
+        both = F.when(F.col("conflict") == "ModifiedDifferently", merge_texts(F.col("a"), F.col("l"), F.col("r")))
+        rows = rows.withColumn("_lines", both)
+        settled = F.coalesce(F.col("_lines.outcome") == "TextMerged", F.lit(False))
+        structure = F.col("_lines.outcome") == "StructureConflict"
+        rows = rows.withColumns({
+            "outcome": F.when(settled, "TextMerged").otherwise(F.col("outcome")), "conflict": F.when(structure, "StructureConflict").when(~settled, F.col("conflict")), "_text": F.col("_lines.text"),
+        }).drop("_lines")
+        merged = F.when(F.col("outcome") == "TextMerged", F.col("_text")).otherwise(merged)
+        rows = rows.withColumn("_merged", merged).drop("_text")
+        merged = F.col("_merged")
     if resolutions is None:
-        return rows.withColumn("merged", merged)
+        return rows.withColumn("merged", merged).drop("_merged")
     rows = rows.join(resolutions, key, "left")
     chosen = F.when(F.col("choice") == "UseAncestor", F.col("a")).when(F.col("choice") == "UseLeft", F.col("l")).when(F.col("choice") == "UseRight", F.col("r"))
     settled = (F.col("outcome") == "Conflict") & F.col("choice").isNotNull()
-    return rows.withColumn("merged", F.when(settled, chosen).otherwise(merged)).withColumn("outcome", F.when(settled, "Resolved").otherwise(F.col("outcome"))).drop("choice")
+    return rows.withColumn("merged", F.when(settled, chosen).otherwise(merged)).withColumn("outcome", F.when(settled, "Resolved").otherwise(F.col("outcome"))).drop("choice", "_merged")
 
 
 def merge_texts(ancestor: Column, left: Column, right: Column) -> Column:

@@ -73,6 +73,16 @@ def text_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("m", merged).select("doc_id", F.col("m.outcome").alias("outcome"), F.sha2("m.text", 256).alias("text_sha256"))
 
 
+def merge_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents merged from two edited copies, some added, removed or left alone by a side; texts that both changed are merged line by line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edit = lambda n, mark: F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when((i + F.col("doc_id")) % n == 0, F.concat(x, F.lit(mark))).otherwise(x)), "\n")
+    left = docs.where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 != 0, edit(3, " left")).otherwise(F.col("text")))
+    right = F.when(F.col("doc_id") % 7 == 0, F.concat(edit(4, " right"), F.lit("\nmore"))).when(F.col("doc_id") % 3 != 0, edit(4, " right")).otherwise(F.col("text"))
+    out = d.three_way_merge(docs.where("doc_id % 13 <> 0"), left, docs.where("doc_id % 17 <> 0").withColumn("text", right), "doc_id", "text", texts=True)
+    return out.select("doc_id", "outcome", "conflict", F.sha2("merged", 256).alias("merged_sha256"))
+
+
 def _cells(spark, sf_dir):
     """Orders as tables: a row per line in order, four columns of numbers."""
     ties = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
@@ -175,7 +185,7 @@ def sanitised_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (field_kinds, sanitised_properties, page_nesting, island_texts, labels_resolved, id_sets, duplicate_ids, property_changes, text_merge, range_formulas, row_formulas, formula_expressions, merge_chain_issues, merge_chains, redundant_formatting)
+    for f in (field_kinds, sanitised_properties, page_nesting, island_texts, labels_resolved, id_sets, duplicate_ids, property_changes, text_merge, merge_entries, range_formulas, row_formulas, formula_expressions, merge_chain_issues, merge_chains, redundant_formatting)
 }
 _NODES = r"""
 k AS (SELECT page_id AS doc_id, CAST(generate_subscripts(regexp_extract_all(html, '<[^>]+>[^<]*'), 1) AS BIGINT) AS ord, unnest(regexp_extract_all(html, '<[^>]+>[^<]*')) AS token FROM pages),
@@ -236,6 +246,14 @@ UNION ALL SELECT o_orderkey, 'priority', 'Changed', o_orderpriority, lower(o_ord
 x AS (SELECT *, len(a) = len(r) AS same, list_bool_or(list_transform(a, lambda y, i: l[i] <> a[i] AND r[i] <> a[i])) AS clash,
   list_transform(a, lambda y, i: CASE WHEN l[i] <> y THEN l[i] ELSE r[i] END) AS m FROM v)
 SELECT doc_id, CASE WHEN NOT same THEN 'StructureConflict' WHEN clash THEN 'Conflict' ELSE 'TextMerged' END AS outcome, CASE WHEN same AND NOT clash THEN sha256(array_to_string(m, chr(10))) END AS text_sha256 FROM x""",
+    "merge_entries": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN text END AS a, CASE WHEN doc_id % 11 <> 0 THEN CASE WHEN doc_id % 5 <> 0 THEN array_to_string({_EDIT.format(n=3, mark=" left")}, chr(10)) ELSE text END END AS l,
+  CASE WHEN doc_id % 17 <> 0 THEN CASE WHEN doc_id % 7 = 0 THEN array_to_string({_EDIT.format(n=4, mark=" right")}, chr(10)) || chr(10) || 'more' WHEN doc_id % 3 <> 0 THEN array_to_string({_EDIT.format(n=4, mark=" right")}, chr(10)) ELSE text END END AS r FROM documents),
+s AS (SELECT *, string_split(a, chr(10)) AS x, string_split(l, chr(10)) AS y, string_split(r, chr(10)) AS z FROM d WHERE a IS NOT NULL OR l IS NOT NULL OR r IS NOT NULL),
+t AS (SELECT *, len(x) = len(y) AND len(x) = len(z) AS even, list_bool_or(list_transform(x, lambda v, i: y[i] <> v AND z[i] <> v AND y[i] <> z[i])) AS clash, list_transform(x, lambda v, i: CASE WHEN y[i] <> v THEN y[i] ELSE z[i] END) AS m FROM s),
+o AS (SELECT *, CASE WHEN l IS NOT DISTINCT FROM r THEN CASE WHEN a IS NOT DISTINCT FROM l THEN 'Unchanged' ELSE 'Shared' END WHEN a IS NOT DISTINCT FROM l THEN 'Right' WHEN a IS NOT DISTINCT FROM r THEN 'Left'
+  WHEN a IS NULL OR l IS NULL OR r IS NULL OR NOT even OR clash THEN 'Conflict' ELSE 'TextMerged' END AS outcome FROM t)
+SELECT doc_id, outcome, CASE WHEN outcome = 'Conflict' THEN CASE WHEN a IS NULL THEN 'AddedDifferently' WHEN l IS NULL THEN 'DeletedOnLeftModifiedOnRight' WHEN r IS NULL THEN 'ModifiedOnLeftDeletedOnRight' WHEN NOT even THEN 'StructureConflict' ELSE 'ModifiedDifferently' END END AS conflict,
+  sha256(CASE WHEN outcome IN ('Unchanged', 'Shared', 'Left') THEN l WHEN outcome = 'Right' THEN r WHEN outcome = 'TextMerged' THEN array_to_string(m, chr(10)) END) AS merged_sha256 FROM o""",
     "range_formulas": f"""WITH {_CELLS} SELECT l_orderkey, round(sum(value) FILTER (row BETWEEN 1 AND 3 AND "column" BETWEEN 1 AND 2), 6) AS sum_a1_b3, round(avg(value) FILTER (row BETWEEN 2 AND 4), 6) AS avg_a2_d4,
 count(value) FILTER (row BETWEEN 2 AND 9 AND "column" = 3) AS count_c2_c9, max(value) FILTER (row = 1 AND "column" = 4) AS max_d1 FROM c GROUP BY l_orderkey""",
     "row_formulas": f"""WITH {_CELLS} SELECT l_orderkey, row, "column", round(sum(value) OVER (PARTITION BY l_orderkey, row ORDER BY "column" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS sum_left, CAST(4 - "column" AS BIGINT) AS n_right FROM c""",
