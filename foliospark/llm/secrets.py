@@ -2,7 +2,7 @@
 
 Each text is scanned for the three base kinds. Then its encoded stretches
 (percent escapes, Unicode escapes and numeric character references, base64, and what
-compressed data base64 holds) are unwrapped, each layer is scanned and unwrapped
+gzip, zlib, zstd, bzip2, xz and bare deflated data base64 holds) are unwrapped, each layer is scanned and unwrapped
 in turn until nothing new appears; layers already seen at the same place are not
 visited again, so layers that decode to each other end. The same encoded stretch at two
 places is mapped to both. A hit in a layer is mapped back to
@@ -14,13 +14,19 @@ any lost task is simply run again. Compressed layers are unpacked in a stream an
 in overlapping blocks of ``BLOCK`` bytes, whatever their size. Decoded bytes are scanned even
 where they are no clean text; base64 that is wrapped over lines is also read as one stretch.
 
-Null texts are empty and have no secrets. Repeated rows are scanned one by one.
+A place that only looks like the beginning of packed data is left at once, so the work follows the bytes. Of stretches without a blank that are longer than a
+block, a block and an overlap are in memory, unless they hold packed data in base64 themselves: that is kept whole until it ends.
+
+Null texts are empty and have no secrets. Repeated rows are scanned one by one; spans that two layers give are one. Equal starts stand by kind. Empty tables give
+empty results. Columns named ``base`` and ``found`` are replaced; all others are kept.
 """
 
 from __future__ import annotations
 
 import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
 
@@ -46,12 +52,13 @@ _ONE_PERCENT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
 _ESCAPE = re.compile(
     r"\\(?:u005[cC])*(?:u([dD][89abAB][0-9A-Fa-f]{2})\\(?:u005[cC])*u([dD][c-fC-F][0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))"
     r"|&(?:#38;)*(?:#([0-9]{1,7});|#[xX]([0-9A-Fa-f]{1,6});)"
+    r"|\\(?:u005[cC])*U([0-9A-Fa-f]{8})|%(?:25)*u([0-9A-Fa-f]{4})"
 )
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]++)+(?:(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n)?=){0,2}")
 _LINE = re.compile(r"(?:\\r)?\\n|[A-Za-z0-9+/_-]+={0,2}")
 # How compressed data begins, and what decoded bytes must hold to be worth a scan.
-_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd")
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9]|\xfd7zXZ\0")
 _WORTH = re.compile(rb"(?i)passw|secret|token|api|AKIA|[0-9a-f]{16}|[A-Za-z0-9+/_-]{16}|[%\\\0]|&#")
 
 
@@ -120,13 +127,73 @@ def _escapes(text):
             yield chr(code), [m.span()]
 
 
+_FAULTS = (zlib.error, zstandard.ZstdError, lzma.LZMAError, OSError, EOFError)
+
+
 def _decoder(head: bytes):
-    """A decoder for gzip, zlib or zstd data that begins so, else None."""
+    """A decoder for gzip, zlib, zstd, bzip2 or xz data that begins so, else None."""
     if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78":
         return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:4] == b"\xfd7zX":
+        return lzma.LZMADecompressor(lzma.FORMAT_XZ)
     return zstandard.ZstdDecompressor().decompressobj() if head[:4] == b"\x28\xb5\x2f\xfd" else None
 
 
+def _gzip_body(raw: bytes, at: int, zeros: np.ndarray) -> int:
+    """Where the deflated data behind a head of gzip begins; -1 where the head doesn't end. ``zeros`` are the places of zero bytes, which end names."""
+    flags, at = raw[at + 3] if at + 3 < len(raw) else 0xE0, at + 10
+    if flags & 0xE0:
+        return -1
+    if flags & 4:
+        at += 2 + int.from_bytes(raw[at: at + 2], "little")
+    for name in (8, 16):
+        if flags & name:
+            k = int(np.searchsorted(zeros, at))
+            if k == len(zeros):
+                return -1
+            at = int(zeros[k]) + 1
+    return at + (flags & 2)
+
+
+def _gives(raw: bytes, at: int, zeros: np.ndarray) -> bool:
+    """Whether what begins like compressed data at a place goes on like it, for as long as it takes to give a first byte."""
+    d = _decoder(raw[at: at + 4])
+    if raw[at: at + 2] == b"\x1f\x8b":
+        d, at = zlib.decompressobj(-15), _gzip_body(raw, at, zeros)
+    try:
+        while 0 <= at < len(raw):
+            if d.decompress(raw[at: at + STEP]) or d.eof:
+                return True
+            at += STEP
+    except _FAULTS:
+        pass
+    return False
+
+
+def _packed_starts(raw: bytes):
+    """Where compressed data begins in some bytes."""
+    zeros = None
+    for m in _PACKED.finditer(raw):
+        if zeros is None:
+            zeros = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0)
+        if _gives(raw, m.start(), zeros):
+            yield m.start()
+
+
+def _bare(raw: bytes) -> bool:
+    """Whether the bytes as a whole are deflated data without a head."""
+    d, at, got = zlib.decompressobj(-15), 0, False
+    try:
+        while at < len(raw) and not d.eof:
+            got |= bool(d.decompress(raw[at: at + STEP]))
+            at += STEP
+    except zlib.error:
+        return False
+    return got and d.eof and not d.unused_data and at >= len(raw)
+
+
 def _inflate(chunks):
     """What compressed data holds, up to its end or first fault; ``STEP`` bytes at a time keep the outputs to some MB."""
     d, left = None, b""
@@ -142,7 +209,7 @@ def _inflate(chunks):
                         return
                 try:
                     out = d.decompress(data)
-                except (zlib.error, zstandard.ZstdError):
+                except _FAULTS:
                     return
                 if out:
                     yield out
@@ -174,10 +241,10 @@ def _unpack(chunks, heads=()):
     yield from chunks
 
 
-def _blocks(raw: bytes):
-    """(block, whether it is the last) of unpacked data, all but the last of ``BLOCK`` bytes."""
+def _blocks(chunks):
+    """(block, whether it is the last) of data, all but the last of ``BLOCK`` bytes."""
     held = bytearray()
-    for chunk in _unpack([raw]):
+    for chunk in chunks:
         held += chunk
         while len(held) > BLOCK:
             yield bytes(held[:BLOCK]), False
@@ -185,20 +252,52 @@ def _blocks(raw: bytes):
     yield bytes(held), True
 
 
+def _holds_packed(text: str) -> bool:
+    """Whether base64 in a text holds data that can only be unpacked whole."""
+    return any(True for m in _BASE64.finditer(text) for raw in _unbase64(m[0]) for _ in _packed_starts(raw))
+
+
 def _tail(text: str) -> str:
-    """The end of a block that is scanned again with the next one: from the last blank within a line, so no stretch is cut."""
+    """The end of a block that is scanned again with the next one: from the last blank within a line, so no stretch is cut.
+
+    Of a stretch longer than a block the last ``OVERLAP`` characters are enough, unless there is packed data in it.
+    """
     at = text.rfind(" ", 0, max(0, len(text) - OVERLAP))
     while at > 0 and text[at - 1] in " \t\r\n":
         at = text.rfind(" ", 0, at)
-    return text[max(at, 0):]
+    at = max(at, 0)
+    if len(text) - at >= BLOCK and not _holds_packed(text[at:]):
+        at = len(text) - OVERLAP
+    return text[at:]
+
+
+def _inflate_bare(raw: bytes):
+    """What deflated data without a head holds."""
+    d = zlib.decompressobj(-15)
+    for at in range(0, len(raw), STEP):
+        if out := d.decompress(raw[at: at + STEP]):
+            yield out
+
+
+def _readings(raw: bytes):
+    """The streams that decoded bytes may be: as they are, unless they are packed from their first byte on, and unpacked from wherever compressed data begins.
+
+    What only looks like a beginning gives no stream, so bytes full of beginnings are read once.
+    """
+    good = list(_packed_starts(raw))
+    if good[:1] != [0]:
+        yield [raw]
+        if not good and _bare(raw):
+            yield _unpack(_inflate_bare(raw))
+    for at in good:
+        yield _unpack([raw[at:]])
 
 
 def _texts(raw: bytes):
-    """The texts that decoded bytes may be, in overlapping blocks: as they are, and unpacked from wherever compressed data begins."""
-    starts = [m.start() for m in _PACKED.finditer(raw)]
-    for at in ([] if starts[:1] == [0] else [0]) + starts:
+    """The texts that decoded bytes may be, in overlapping blocks."""
+    for stream in _readings(raw):
         tails: dict = {}
-        for block, last in _blocks(raw[at:]):
+        for block, last in _blocks(stream):
             if not tails and not _WORTH.search(block):
                 if not last:  # what begins in it may end in the next
                     tails["utf-8"] = _tail(block.decode("utf-8", "replace"))
@@ -218,7 +317,7 @@ def _unbase64(body: str):
         part = body[skip:]
         part = part[: len(part) - (len(part) % 4 == 1)]
         raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
-        if _WORTH.search(raw) or _PACKED.search(raw):
+        if _WORTH.search(raw) or _PACKED.search(raw) or _bare(raw):
             yield raw
 
 
@@ -243,7 +342,7 @@ def _base64_layers(text):
             first = last + 1
 
 
-UNWRAPS = (("%", _percents), ("\\", _escapes), ("&#", _escapes))
+UNWRAPS = (("%", _percents), ("\\", _escapes), ("&#", _escapes), ("%u", _escapes), ("%25", _escapes))
 
 
 def _plain(text: str, parts) -> str | None:
@@ -255,23 +354,27 @@ def _plain(text: str, parts) -> str | None:
     return "".join(out) + text[last:] if last else None
 
 
-def _kinds(raw: bytes) -> set[int]:
-    """Kinds of the secrets of decoded bytes at any layer; all of them lie in one encoded stretch of the document."""
-    out, seen, work = set(), {raw}, [raw]
-    while work:
-        for text in _texts(work.pop()):
-            layers, known = [text], {hash(text)}
-            while layers:
-                layer = layers.pop()
-                out |= {k for _, k, _ in scan(layer)}
-                for sign, unwrap in UNWRAPS:
-                    if sign in layer and (got := _plain(layer, unwrap(layer))) is not None and hash(got) not in known:
-                        known.add(hash(got))
-                        layers.append(got)
-                for _, _, inner in _base64_layers(layer):
-                    if inner not in seen:
-                        seen.add(inner)
-                        work.append(inner)
+def _kinds(raw: bytes, seen: set[bytes] | None = None) -> set[int]:
+    """Kinds of the secrets of decoded bytes at any layer; all of them lie in one encoded stretch of the document.
+
+    What a layer holds is followed at once, so one layer of each depth is in memory.
+    """
+    mark = lambda data: hashlib.blake2b(data, digest_size=16).digest()
+    seen = {mark(raw)} if seen is None else seen
+    out: set[int] = set()
+    for text in _texts(raw):
+        layers, known = [text], {hash(text)}
+        while layers:
+            layer = layers.pop()
+            out |= {k for _, k, _ in scan(layer)}
+            for sign, unwrap in UNWRAPS:
+                if sign in layer and (got := _plain(layer, unwrap(layer))) is not None and hash(got) not in known:
+                    known.add(hash(got))
+                    layers.append(got)
+            for _, _, inner in _base64_layers(layer):
+                if (key := mark(inner)) not in seen:
+                    seen.add(key)
+                    out |= _kinds(inner, seen)
     return out
 
 
