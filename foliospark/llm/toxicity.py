@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_words, bucket_of, distinct, hash_words, hashed_sample, row_slices, shared_dir, small, table, utf8
+from .common import arrow_words, ascii_lower, blank_words, bucket_of, distinct, hash_words, hashed_sample, row_slices, shared_dir, small, table, utf8
 
 MOST_LABELLED = 20_000
 LEAST_DOCS, LEAST_Z = 4, 4.5
@@ -205,13 +205,16 @@ def _names(core: str) -> list[str]:
     return [] if len(core) < 3 else [core, *[f"{core[:n]}~" for n in PREFIXES if len(core) >= n]]
 
 
-def _features(texts: pa.Array, model: CharModel, known=None):
-    """(rows, feature names or numbers), each pair once. ``known`` maps names to numbers, others are left out."""
+def _features(texts: pa.Array, model: CharModel, known=None, longest=None):
+    """(rows, feature names or numbers), each pair once. ``known`` maps names to numbers, others are left out.
+
+    A run of single letters may hold a word anywhere; its ends count as words up to ``longest`` letters (with ``known``, those of its longest name).
+    """
     raw, starts, ends, rows = arrow_words(texts)
     code, _, once = distinct(hash_words(raw, starts, ends).view(np.int64))
     code_all, data = code, raw.tobytes()
     names: dict = {} if known is None else known
-    longest = None if known is None else max(map(len, known), default=0)
+    longest = longest if known is None else max(map(len, known), default=0)
     lists, shorts = [], []
     for i in once:
         word = data[starts[i]: ends[i]].decode("utf-8")
@@ -227,16 +230,18 @@ def _features(texts: pa.Array, model: CharModel, known=None):
     n = size[code]
     at = np.repeat(begin[code], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     pairs = np.stack([np.repeat(row, n), flat[at] if len(flat) else np.empty(0, np.int64)], axis=1)
-    more = []
+    more = set()
     for r, letters in sorted({*_spaced(raw, starts, ends, rows), *_uneven(code_all, shorts, rows)}):
         word = restore(letters, model) if _ODD.search(letters) else letters
+        most = len(word) if longest is None else max(longest, max(PREFIXES))
         for a in range(len(word)):  # a run of letters may hold a word anywhere
-            for f in _names(word[a: None if longest is None else a + max(longest, max(PREFIXES)) + 1]):
+            piece = word[a: a + most + 1]
+            for f in _names(piece)[len(piece) > most:]:  # of a longer end only how it begins
                 number = names.setdefault(f, len(names)) if known is None else known.get(f)
                 if number is not None:
-                    more.append((r, number))
+                    more.add((r, number))
     if more:
-        pairs = np.concatenate([pairs, np.array(more, np.int64)])
+        pairs = np.concatenate([pairs, np.array(sorted(more), np.int64)])
     return np.unique(pairs, axis=0) if len(pairs) else pairs, names
 
 
@@ -267,10 +272,14 @@ def fit(docs: DataFrame, labels: DataFrame, model):
     if not n or n1 in (0, n):
         return {}, np.zeros(0), (math.log(n1 / (n - n1)) if 0 < n1 < n else (0.0 if not n else 20.0 if n1 else -20.0))
 
+    # no longer end of a run than the longest word that several texts share can be told from chance
+    words = texts.select(F.explode(F.array_distinct(blank_words(ascii_lower(F.col("text"))))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    longest = words.where(F.col("n") >= LEAST_DOCS).agg(F.coalesce(F.max(F.length("w")), F.lit(0))).first()[0]
+
     def counts(batches):
         for batch in batches:
             for part in row_slices(batch, "text"):
-                pairs, names = _features(part.column("text"), model.value)
+                pairs, names = _features(part.column("text"), model.value, longest=longest)
                 y = part.column("label").to_numpy(zero_copy_only=False)
                 if len(pairs):
                     ones = np.bincount(pairs[:, 1], y[pairs[:, 0]], len(names)).astype(np.int64)

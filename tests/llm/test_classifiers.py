@@ -82,3 +82,64 @@ def test_clashing_names_ties_and_long_texts(spark, odd_docs, score, label):
     rows = score(docs, labels.withColumn("text", F.lit("own"))).collect()
     assert len(rows) == 9 and all(0 <= r.score <= 1 for r in rows) and len({r.score for r in rows if r.doc_id == 1}) == 1
     assert [r.score for r in sorted(rows, key=str)] == [r.score for r in sorted(score(docs, labels).collect(), key=str)]
+
+
+def test_long_runs_of_single_letters_take_memory_by_their_length():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    model = toxicity.CharModel(np.random.default_rng(4).integers(0, 3, toxicity.N_SIGNS**4))
+    letters = "".join(chr(97 + x % 26) for x in np.cumsum(np.random.default_rng(5).integers(1, 26, 40_000)))  # none twice in a row, which would look disguised
+    tracemalloc.start()
+    pairs, names = toxicity._features(pa.array([" ".join(letters)]), model, longest=12)
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+    assert {f"{letters[7:11]}~", f"{letters[100:106]}~", letters[-12:], letters[-3:]} <= set(names) and letters[-13:] not in names and max(map(len, names)) == 12
+    known = {f"{letters[20:25]}~": 0, letters[-9:]: 1, letters[-11:-1]: 2}
+    assert toxicity._features(pa.array([" ".join(letters)]), model, known)[0][:, 1].tolist() == [0, 1]
+
+
+def plain_features(text, model, longest):
+    """The features of one text by its words, one by one."""
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ")
+    words = [w for w in words if w]
+    out = set()
+    for w in words:
+        out |= set(toxicity._names(toxicity.restore(w, model)))
+    runs = []
+    short = [toxicity._short(w) for w in words]
+    for test, least in ((lambda k: len(words[k].encode()) == 1, 0), (lambda k: short[k] is not None, 2)):
+        k = 0
+        while k < len(words):
+            end = k
+            while end < len(words) and test(end):
+                end += 1
+            if end - k > 2 and (not least or sum(len(short[i]) == 1 for i in range(k, end)) >= least):
+                runs.append("".join(words[i] if not least else short[i] for i in range(k, end)))
+            k = end + 1
+    for run in runs:
+        word = toxicity.restore(run, model) if toxicity._ODD.search(run) else run
+        for a in range(len(word)):
+            end = word[a:]
+            if len(end) >= 3:
+                out |= {f"{end[:n]}~" for n in toxicity.PREFIXES if len(end) >= n} | ({end} if len(end) <= max(longest, max(toxicity.PREFIXES)) else set())
+    return out
+
+
+def test_features_equal_plain_ones():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    model = toxicity.CharModel(np.random.default_rng(6).integers(0, 3, toxicity.N_SIGNS**4))
+    pieces = ["a", "b", "c", "d", "é", "1", "$", "ab", "b.", "word", "w0rd", "h.e.l.l.o", "UPPER", "looong", "x", "(c)", "!"]
+    texts = [rng.choice([" ", "  ", "\n"]).join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(300)] + [None, "", " a b c d e f g h i j k l m n o p q r s t "]
+    pairs, names = toxicity._features(pa.array(texts), model, longest=8)
+    by = {number: f for f, number in names.items()}
+    got = [set() for _ in texts]
+    for row, number in pairs.tolist():
+        got[row].add(by[number])
+    for text, mine in zip(texts, got):
+        assert mine == plain_features(text, model, 8), text
