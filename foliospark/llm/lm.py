@@ -30,7 +30,10 @@ get equal scores. Without training documents the network is uniform over pieces.
 
 from __future__ import annotations
 
+import copy
+import functools
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lm_net
-from .common import arrow_words, bucket_of, distinct, drop_table, hash_words, mix64, row_slices, shared_dir, sum_vectors, table, written
+from .common import arrow_words, bucket_of, distinct, drop_table, hash_words, lent, mix64, row_slices, sum_vectors, table, written
 from .lm_net import BEGIN, BUCKETS, CLASSES, END, NAMES, PIECES, WIDTH, Net
 
 HEAD, ROUNDS, SHARD, STRETCH = 1 << 21, 2, 1 << 21, 1 << 16
@@ -49,6 +52,7 @@ WHOLE, DISCOUNT = 0.1, 0.75
 END_HASH = 4_542_532
 SLICE = 4 << 20
 STRIP = 4000  # ids in one vector of embeddings
+KEPT = 1 << 19  # words whose ids a worker keeps
 MODEL = "piece_bpe_32k.model"
 WORD, PHRASE = 0, 1
 
@@ -60,6 +64,35 @@ def _pieces_model(path=None):
     return sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(MODEL))
 
 
+class Pieces:
+    """Subword ids by the words' hashes. A word is encoded once until more than ``KEPT`` are kept; then all but the last ones are let go."""
+
+    def __init__(self, model):
+        self.model = model
+        self.keys, self.begin, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint16)
+
+    def of(self, hashes, words):
+        """(ids, where those of each of the distinct ``hashes`` begin, how many they are); ``words`` gives the words at some places."""
+        if len(self.keys) + len(hashes) > KEPT:
+            self.__init__(self.model)
+        new = np.flatnonzero(find(self.keys, self.size + 1, hashes) == 0)  # a word may have no ids
+        if len(new):
+            lists = self.model.encode(words(new), num_threads=1)
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            order = np.argsort(keys := np.append(self.keys, hashes[new]), kind="stable")
+            self.keys, self.size = keys[order], np.append(self.size, size)[order]
+            self.begin = np.append(self.begin, len(self.flat) + np.cumsum(size) - size)[order]
+            self.flat = np.append(self.flat, np.fromiter(itertools.chain.from_iterable(lists), np.uint16, int(size.sum())))
+        at = np.searchsorted(self.keys, hashes)
+        return self.flat, self.begin[at], self.size[at]
+
+
+@functools.cache
+def _pieces() -> Pieces:
+    """The pieces of this worker."""
+    return Pieces(_pieces_model())
+
+
 class Words:
     """The words of a batch of texts: ``seq`` indexes distinct words, row i is at ``at[i]:at[i + 1]``, its end included."""
 
@@ -75,16 +108,17 @@ class Words:
         self.seq[words] = code
         self.row = np.repeat(np.arange(n), np.diff(self.at))
 
-    def encode(self, pieces):
+    def encode(self, pieces: Pieces):
         """Subword ids of all words in order, and how many each word has."""
         data = self.raw.tobytes()
-        lists = pieces.encode([data[self.starts[i]: self.ends[i]].decode("utf-8") for i in self.once], num_threads=1) if len(self.once) else []
-        lists.append([END])
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.array([p for x in lists for p in x], np.uint16)
-        begin = np.cumsum(size) - size
+
+        def words(which):
+            return [data[a:b].decode("utf-8") for a, b in zip(self.starts[self.once[which]].tolist(), self.ends[self.once[which]].tolist())]
+
+        flat, begin, size = pieces.of(self.hashes[:-1], words)
+        flat, begin, size = np.append(flat, np.uint16(END)), np.append(begin, len(flat)), np.append(size, 1)
         n = size[self.seq]
-        return flat[np.repeat(begin[self.seq], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)], n
+        return flat[np.repeat(begin[self.seq] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], n
 
     def phrases(self):
         """(where each phrase begins among the words, its key)."""
@@ -140,7 +174,7 @@ def _encode_rows(shared):
     """Per row: its ids, phrases (key, last id) and tokens; how many are known and the base score by the head alone, and the other words."""
 
     def run(batches):
-        (keys, counts, norm), pieces = shared.value, _pieces_model()
+        (keys, counts, norm), pieces = shared.value, _pieces()
         for batch in batches:
             for part in row_slices(batch, "text", SLICE):
                 w = Words(part.column("text"))
@@ -232,12 +266,9 @@ def _learn_shard(shared):
     """What one shard has learned: embeddings times how often each id was seen, in strips, and the small arrays times its ids."""
 
     def run(rows: pa.Table) -> pa.Table:
-        net = shared.value
         unpack = zstandard.ZstdDecompressor()
         ids, ends = _joined(pa.array([unpack.decompress(b) for b in rows.sort_by("order").column("ids").to_pylist()], pa.binary()))
-        own = Net.__new__(Net)
-        own.__dict__.update(net.__dict__)
-        own.emb = net.emb.copy()
+        own = shared.value.copy()
         learner = lm_net.learn(own, ids, ends)
         out = {"s": np.append(np.concatenate([getattr(own, n).ravel() for n in NAMES]).astype(np.float64) * len(ids), len(ids))}
         for a in range(0, PIECES, STRIP):
@@ -251,9 +282,7 @@ def _learn_shard(shared):
 
 def averaged(net: Net, parts: dict) -> Net:
     """The network with the mean of what shards have learned; an embedding weighs by how often its shard has seen it."""
-    new = Net.__new__(Net)
-    new.__dict__.update(net.__dict__)
-    new.emb = net.emb.copy()
+    new = net.copy()
     for part, v in parts.items():
         if part == "s":
             at, mean = 0, v[:-1] / v[-1]
@@ -275,8 +304,11 @@ def trained(net: Net, texts: DataFrame, n_ids: int) -> Net:
     for k in range(ROUNDS):
         shards = max(1, round(n_ids / ROUNDS / SHARD))
         mine = stretches.where(F.pmod("order", F.lit(ROUNDS)) == k).withColumn("shard", F.pmod(F.xxhash64("order"), F.lit(shards)))
-        rows = mine.groupBy("shard").applyInArrow(_learn_shard(sc.broadcast(net)), "part string, v binary")
-        net = averaged(net, {r["part"]: np.frombuffer(r["v"], np.float32).astype(np.float64) for r in sum_vectors(rows, kind=np.float32).collect()})
+        bare = copy.copy(net)
+        bare.inside = None  # learning doesn't look at it
+        with lent(sc, bare) as shared:
+            rows = mine.groupBy("shard").applyInArrow(_learn_shard(shared), "part string, v binary")
+            net = averaged(net, {r["part"]: np.frombuffer(r["v"], np.float32).astype(np.float64) for r in sum_vectors(rows, kind=np.float32).collect()})
     return net
 
 
@@ -329,23 +361,25 @@ def score_texts(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     sc = docs.sparkSession.sparkContext
     own = docs.select(F.col(doc_id).alias("doc_id"), (bucket_of(F.col(doc_id), FOLDS) == HELD_OUT).alias("held_out"), F.col(text).alias("text"))
     counts = own.where(~F.col("held_out")).select("text").mapInArrow(_count_rows, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = shared_dir(counts.where(f"kind = {WORD} or n > 1"))
+    _, counts = written(counts.where(f"kind = {WORD} or n > 1"), "lm-counts")
     words = counts.where(f"kind = {WORD}")
     tokens, known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     norm = tokens + 0.1 * (known + 1)
     kind = own.schema["doc_id"].dataType.simpleString()
-    encode = _encode_rows(sc.broadcast((*most_frequent(words, HEAD), norm)))
-    place, rows = written(own.mapInArrow(encode, f"doc_id {kind}, {ENCODED}").withColumn("rid", F.monotonically_increasing_id()), "lm")
+    with lent(sc, (*most_frequent(words, HEAD), norm)) as shared:
+        place, rows = written(own.mapInArrow(_encode_rows(shared), f"doc_id {kind}, {ENCODED}").withColumn("rid", F.monotonically_increasing_id()), "lm")
     train = rows.where(~F.col("held_out"))
     n_ids, phrases = train.agg(F.coalesce(F.sum(F.length("ids")) / 2, F.lit(0)), F.coalesce(F.sum(F.size("phrase")), F.lit(0))).first()
-    pairs = shared_dir(train.select("ids").mapInArrow(_pair_rows, "p long, q long, n long").groupBy("p", "q").agg(F.sum("n").alias("n")))
+    of_pairs, pairs = written(train.select("ids").mapInArrow(_pair_rows, "p long, q long, n long").groupBy("p", "q").agg(F.sum("n").alias("n")), "lm-pairs")
     net = start_net(pairs)
+    drop_table(docs.sparkSession, of_pairs)
     if n_ids:
         net = trained(net, train.select("doc_id", "ids"), int(n_ids))
-    _, scored = written(rows.mapInArrow(
-        _score_rows(sc.broadcast(net)),
-        f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, rare array<long>, often array<long>, phrase array<long>, logs array<float>, own double",
-    ), "lm-scored")
+    with lent(sc, net) as shared:
+        _, scored = written(rows.mapInArrow(
+            _score_rows(shared),
+            f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, rare array<long>, often array<long>, phrase array<long>, logs array<float>, own double",
+        ), "lm-scored")
     drop_table(docs.sparkSession, place)
     units = scored.select("rid", F.explode(F.concat(
         F.transform(F.arrays_zip("rare", "often"), lambda x: F.struct(F.lit(WORD).cast("byte").alias("kind"), x["rare"].alias("key"), x["often"].cast("double").alias("x"))),

@@ -13,17 +13,20 @@ by gradients. All arrays have fixed sizes, so a network weighs some 35 MB at any
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 
 PIECES, BEGIN, END = 32_000, 1, 2
 CLASSES, WIDTH, CONTEXT, SPAN = 128, 16, 16, 32
 BUCKETS = 64
-PART, BATCH = 32, 512  # windows in one piece of work, and in one step of learning
+PART, BATCH = 64, 512  # windows in one piece of work, and in one step of learning
 NAMES = ("wq", "wk", "wv", "place", "out", "bias")
-#: How far before each query a key stands.
+#: How far before each query a key stands; which keys aren't later, and their distances.
 DISTANCE = CONTEXT + np.arange(SPAN)[:, None] - np.arange(CONTEXT + SPAN)[None, :]
-_LATER = np.where(DISTANCE < 0, np.float32(-1e9), np.float32(0))
-_SCALE = np.float32(WIDTH**-0.5)
+_NEAR = np.flatnonzero(DISTANCE.ravel() >= 0)
+_NEAR_DISTANCE = DISTANCE.ravel()[_NEAR]
+_SCALE = WIDTH**-0.5
 
 
 def windows(ends: np.ndarray):
@@ -39,6 +42,44 @@ def _flat(m):
     return m.reshape(-1, m.shape[-1])
 
 
+class Room:
+    """Arrays that one piece of ``n`` windows after another is computed in; to allocate them for each takes longer than to fill them.
+
+    ``load`` takes the small arrays of a network, as products need them. Values and what attention gathers have a last
+    column of ones, which brings the sums of the attention along, and the bias.
+    """
+
+    def __init__(self, n: int, kind=np.float32):
+        length = CONTEXT + SPAN
+        room = lambda *shape: np.empty(shape, kind)
+        self.n, self.first = n, np.arange(n * SPAN) * CLASSES
+        self.e, self.kv, self.de, self.dkv = (room(n, length, w) for w in (WIDTH, 2 * WIDTH + 1, WIDTH, 2 * WIDTH))
+        self.k, self.v, self.dk, self.dv = self.kv[:, :, :WIDTH], self.kv[:, :, WIDTH:], self.dkv[:, :, :WIDTH], self.dkv[:, :, WIDTH:]
+        self.late, self.q, self.dq, self.dlate, self.gathered, self.back = (room(n, SPAN, w) for w in (*[WIDTH] * 4, WIDTH + 1, WIDTH + 1))
+        self.a, self.da = room(n, SPAN, length), room(n, SPAN, length)
+        self.h, self.dh = room(n * SPAN, WIDTH + 1), room(n * SPAN, WIDTH + 1)
+        self.z, self.follow = room(n * SPAN, CLASSES), room(n * SPAN, CLASSES)
+        self.ones = np.ones(CLASSES, kind)
+        self.v[:, :, WIDTH] = 1
+
+    def load(self, net) -> Room:
+        kind = self.z.dtype
+        self.wq = (net.wq * _SCALE).astype(kind)
+        self.wkv = np.hstack([net.wk, net.wv]).astype(kind)
+        self.near = np.where(DISTANCE < 0, -1e9, net.place[np.maximum(DISTANCE, 0)]).astype(kind)
+        self.out = np.vstack([net.out, net.bias]).astype(kind)
+        self.wqt, self.wkvt = np.ascontiguousarray(self.wq.T), np.ascontiguousarray(self.wkv.T)
+        self.outt = np.hstack([net.out.T, np.zeros((CLASSES, 1))]).astype(kind)
+        return self
+
+
+def _exp(m):
+    """The exponentials, in place; no exponent is above 60."""
+    if m.max() > 60:
+        np.minimum(m, 60, out=m)
+    return np.exp(m, out=m)
+
+
 class Net:
     """The network: counted tables, learned arrays, and the class of each id."""
 
@@ -51,70 +92,90 @@ class Net:
         self.place = np.zeros(CONTEXT + SPAN, np.float32)
         self.out, self.bias = np.zeros((d, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
 
+    def copy(self) -> Net:
+        """A network that can learn without changing this one."""
+        new = copy.copy(self)
+        new.emb = self.emb.copy()
+        return new
+
     def take(self, ids, starts, lo, hi):
         """Of some windows: input ids, which of them lie inside the text, target ids, their places, which targets count."""
-        p = starts[:, None] + np.arange(-CONTEXT - 1, SPAN - 1)
-        x = ids[np.clip(p, 0, len(ids) - 1)].astype(np.int64)
-        x[p == lo[:, None] - 1] = BEGIN
-        t = starts[:, None] + np.arange(SPAN)
-        return x, p >= lo[:, None] - 1, ids[np.minimum(t, len(ids) - 1)].astype(np.int64), t, t < hi[:, None]
+        places = starts[:, None] + np.arange(-CONTEXT - 1, SPAN)
+        own = ids.take(places, mode="clip").astype(np.int64)
+        x = own[:, :-1]
+        first = np.flatnonzero(starts - lo <= CONTEXT)
+        x[first, (lo - starts)[first] + CONTEXT] = BEGIN
+        t = places[:, CONTEXT + 1:]
+        return x, places[:, :-1] >= lo[:, None] - 1, ids.take(t, mode="clip").astype(np.int64), t, t < hi[:, None]
+
+    def room(self, n: int, room: Room | None = None) -> Room:
+        """``room``, if it is one for ``n`` windows, else a new one."""
+        return room if room is not None and room.n == n else Room(n, self.emb.dtype).load(self)
+
+    def odds(self, x, inside, room: Room):
+        """Odds of the classes of the next ids, and their sums; what the gradients need stays in ``room``."""
+        e = np.take(self.emb, x, axis=0, out=room.e, mode="clip")
+        room.late[:] = e[:, CONTEXT:]
+        np.matmul(_flat(room.late), room.wq, out=_flat(room.q))
+        np.matmul(_flat(e), room.wkv, out=_flat(room.kv)[:, : 2 * WIDTH])
+        a = np.matmul(room.q, room.k.transpose(0, 2, 1), out=room.a)
+        a += room.near
+        outside = np.flatnonzero(~inside[:, 0])
+        if len(outside):
+            a[outside] += np.where(inside[outside], 0, -1e9).astype(a.dtype)[:, None, :]
+        h = _flat(np.matmul(_exp(a), room.v, out=room.gathered))
+        np.multiply(h, 1 / h[:, WIDTH:], out=room.h)
+        z = np.matmul(room.h, room.out, out=room.z)
+        z += np.take(self.follow, x[:, CONTEXT:].ravel(), axis=0, out=room.follow, mode="clip")
+        _exp(z)
+        return z, z @ room.ones
 
     def forward(self, x, inside):
-        """Class probabilities of the next ids, and what the gradients need."""
-        n, length = x.shape
-        e = self.emb.take(x, axis=0)
-        q = (_flat(e[:, CONTEXT:]) @ (self.wq * _SCALE)).reshape(n, SPAN, WIDTH)
-        k, v = ((_flat(e) @ m).reshape(n, length, WIDTH) for m in (self.wk, self.wv))
-        a = q @ k.transpose(0, 2, 1)
-        a += self.place[np.maximum(DISTANCE, 0)] + _LATER
-        if not inside.all():
-            a += np.where(inside, np.float32(0), np.float32(-1e9))[:, None, :]
-        np.minimum(a, 60, out=a)
-        np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        h = _flat(a @ v)
-        z = h @ self.out
-        z += self.bias
-        z += self.follow.take(x[:, CONTEXT:].ravel(), axis=0)
-        np.minimum(z, 60, out=z)
-        np.exp(z, out=z)
-        z /= z.sum(-1, keepdims=True)
-        return z, (e, q, k, v, a, h)
-
-    def gradients(self, x, inside, targets, valid):
-        """Gradients of the log probability of the counted targets, summed; those of ``emb`` by input place."""
-        p, (e, q, k, v, a, h) = self.forward(x, inside)
-        dz = np.negative(p, out=p)
-        dz[np.arange(targets.size), self.classes[targets.ravel()]] += 1
-        if not valid.all():
-            dz *= valid.reshape(-1, 1)
-        dh = dz @ self.out.T
-        from_h = (dh * h).sum(-1).reshape(*targets.shape, 1)
-        dh = dh.reshape(*targets.shape, WIDTH)
-        ds = dh @ v.transpose(0, 2, 1)
-        ds -= from_h
-        ds *= a
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-        de = (_flat(dk) @ self.wk.T + _flat(dv) @ self.wv.T).reshape(e.shape)
-        de[:, CONTEXT:] += (_flat(dq) @ (self.wq.T * _SCALE)).reshape(dq.shape)
-        near = DISTANCE >= 0
+        """Class probabilities of the next ids, and the room in which they were computed."""
+        room = self.room(len(x))
+        z, total = self.odds(x, inside, room)
+        return z / total[:, None], room
+
+    def gradients(self, x, inside, targets, valid, room: Room | None = None):
+        """Gradients of the log probability of the counted targets, summed; those of ``emb`` by input place, until ``room`` is used again."""
+        room = self.room(len(x), room)
+        z, total = self.odds(x, inside, room)
+        share = (valid.ravel() / -total).astype(z.dtype)[:, None]
+        z.ravel()[room.first + self.classes[targets.ravel()]] -= total  # now z * share are the derivatives
+        h, back, a = room.h, _flat(room.back), room.a
+        out = (h * share).T @ z
+        np.multiply(np.matmul(z, room.outt, out=room.dh), share / _flat(room.gathered)[:, WIDTH:], out=back)
+        back[:, WIDTH] = (back * h) @ -room.ones[: WIDTH + 1]
+        da = np.matmul(room.back, room.v.transpose(0, 2, 1), out=room.da)
+        da *= a
+        np.matmul(da, room.k, out=room.dq)
+        np.matmul(da.transpose(0, 2, 1), room.q, out=room.dk)
+        np.matmul(a.transpose(0, 2, 1), room.back[:, :, :WIDTH], out=room.dv)
+        dq, dkv = _flat(room.dq), _flat(room.dkv)
+        np.matmul(dkv, room.wkvt, out=_flat(room.de))
+        np.matmul(dq, room.wqt, out=_flat(room.dlate))
+        room.de[:, CONTEXT:] += room.dlate
+        both = _flat(room.e).T @ dkv
         return {
-            "wq": _flat(e[:, CONTEXT:]).T @ _flat(dq) * _SCALE, "wk": _flat(e).T @ _flat(dk), "wv": _flat(e).T @ _flat(dv),
-            "place": np.bincount(DISTANCE[near], ds.sum(0)[near], CONTEXT + SPAN).astype(np.float32),
-            "out": h.T @ dz, "bias": dz.sum(0), "emb": de,
+            "wq": _flat(room.late).T @ dq * a.dtype.type(_SCALE), "wk": both[:, :WIDTH], "wv": both[:, WIDTH:],
+            "place": np.bincount(_NEAR_DISTANCE, da.reshape(room.n, -1).sum(0)[_NEAR], CONTEXT + SPAN).astype(np.float32),
+            "out": out[:WIDTH], "bias": out[WIDTH], "emb": room.de,
         }
 
     def log_scores(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Natural log probability of every id of some texts; each is scored once."""
         out = np.zeros(len(ids))
         starts, lo, hi = windows(ends)
+        room = None
         for b in range(0, len(starts), PART):
             s = slice(b, b + PART)
             x, inside, targets, t, valid = self.take(ids, starts[s], lo[s], hi[s])
-            p, _ = self.forward(x, inside)
-            own = p[np.arange(targets.size), self.classes[targets.ravel()]].reshape(targets.shape)
-            score = np.log(np.maximum(own, 1e-30)) + self.inside[self.classes[x[:, CONTEXT:]], targets]
-            out[t[valid]] = score[valid]
+            room = self.room(len(x), room)
+            z, total = self.odds(x, inside, room)
+            targets = targets.ravel()
+            own = z.ravel()[room.first + self.classes[targets]] / total
+            score = np.log(np.maximum(own, 1e-30)) + self.inside.ravel()[self.classes[x[:, CONTEXT:].ravel()] * PIECES + targets]
+            out[t[valid]] = score[valid.ravel()]
         return out
 
 
@@ -125,16 +186,20 @@ class Learner:
         self.net, self.rate, self.emb_rate, self.t, self.m, self.v = net, rate, emb_rate, 0, {}, {}
         self.emb_sq = np.full(PIECES, 1e-12, np.float32)
         self.seen = np.zeros(PIECES)
+        self.room = Room(PART, net.emb.dtype)
+        self.des = np.empty((BATCH, CONTEXT + SPAN, WIDTH), np.float32)
+        self.sorted = np.empty((self.des.size // WIDTH, WIDTH), np.float32)
 
     def step(self, ids, starts, lo, hi):
         """One step along the mean gradient of some windows."""
-        net, total, xs, des, n = self.net, {}, [], [], 0
+        net, total, n = self.net, {}, 0
+        xs, des = np.empty((len(starts), CONTEXT + SPAN), np.uint16), self.des[: len(starts)]
+        self.room.load(net)
         for b in range(0, len(starts), PART):
             s = slice(b, b + PART)
             x, inside, targets, _, valid = net.take(ids, starts[s], lo[s], hi[s])
-            grads = net.gradients(x, inside, targets, valid)
-            xs.append(x.ravel())
-            des.append(_flat(grads.pop("emb")))
+            grads = net.gradients(x, inside, targets, valid, self.room)
+            xs[s], des[s] = x, grads.pop("emb")
             n += int(valid.sum())
             for name, g in grads.items():
                 total[name] = total.get(name, 0) + g
@@ -145,13 +210,14 @@ class Learner:
             v = self.v[name] = 0.99 * self.v.get(name, 0) + 0.01 * g * g
             move = self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
             setattr(net, name, (getattr(net, name) + move).astype(np.float32))
-        x, de = np.concatenate(xs), np.concatenate(des)
-        count = np.bincount(x, minlength=PIECES)
-        used = np.flatnonzero(count)
-        g = np.stack([np.bincount(x, de[:, j], PIECES)[used] for j in range(WIDTH)], 1).astype(np.float32) / np.float32(n)
+        order = np.argsort(xs, axis=None, kind="stable")
+        x = xs.ravel()[order]
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        used = x[first]
+        g = np.add.reduceat(np.take(_flat(des), order, axis=0, out=self.sorted[: len(order)], mode="clip"), first, axis=0) / np.float32(n)
         self.emb_sq[used] += (g * g).mean(1)
         net.emb[used] += np.float32(self.emb_rate) * g / np.sqrt(self.emb_sq[used])[:, None]
-        self.seen += count
+        self.seen[used] += np.diff(np.append(first, len(x)))
 
 
 def learn(net: Net, ids: np.ndarray, ends: np.ndarray) -> Learner:

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import re
 import zlib
@@ -114,6 +115,60 @@ def test_every_window_is_learned_once(monkeypatch):
     assert before.log_scores(ids[:3200], np.array([3200])).sum() > value
 
 
+def test_pieces_of_work_leave_nothing_to_the_next(monkeypatch):
+    """Windows computed in arrays that held others before give what new arrays give."""
+    net, rng = _net(11), np.random.default_rng(12)
+    room = lm_net.Room(4).load(net)
+    for n in (128, 97, 128):
+        ids = rng.integers(3, lm_net.PIECES, n).astype(np.uint16)
+        x, inside, targets, _, valid = net.take(ids, *lm_net.windows(np.array([n])))
+        one, other = net.gradients(x, inside, targets, valid, room), net.gradients(x, inside, targets, valid)
+        assert len(x) == 4 and all(np.array_equal(one[k], other[k]) for k in other)
+    texts = [rng.integers(3, lm_net.PIECES, n).astype(np.uint16) for n in (700, 3, 90)]
+    ids, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+    whole = net.log_scores(ids, ends)
+    monkeypatch.setattr(lm_net, "PART", 3)
+    assert np.allclose(net.log_scores(ids, ends), whole, atol=1e-5)
+
+
+def test_kept_words_have_the_ids_of_the_model(monkeypatch):
+    """Ids that were kept, also after others were let go, are those that the model gives; words without ids too."""
+    rng, model = random.Random(13), lm._pieces_model()
+    calls = []
+
+    class Counting:
+        def encode(self, words, num_threads):
+            calls.extend(words)
+            return [[] if w == "empty" else model.encode(w) for w in words]
+
+    pieces = lm.Pieces(Counting())
+    for most in (1 << 19, 12):
+        monkeypatch.setattr(lm, "KEPT", most)
+        calls.clear()
+        for _ in range(5):
+            texts = [*(sentence(rng, n) for n in (0, 3, 40)), "empty x" + str(rng.randrange(9)), None]
+            ids, n = lm.Words(pa.array(texts)).encode(pieces)
+            want = [i for t in texts for w in [*(t or "").split(), None] for i in ([lm_net.END] if w is None else [] if w == "empty" else model.encode(w))]
+            assert ids.tolist() == want and n.sum() == len(want)
+        assert len(calls) == len(set(calls)) or most == 12
+
+
+def test_what_was_lent_or_written_for_a_step_is_removed(spark, monkeypatch):
+    """Broadcasts have a copy on the disks of the driver and of each executor: none outlives the step that reads it."""
+    from pyspark import SparkContext
+
+    made, broadcast = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: made.append(broadcast(self, value)) or made[-1])
+    written, dropped = [], []
+    monkeypatch.setattr(lm, "written", lambda df, name, f=lm.written: written.append(f(df, name)) or written[-1])
+    monkeypatch.setattr(lm, "drop_table", lambda spark, path, f=lm.drop_table: dropped.append(path) or f(spark, path))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = lm.score_texts(docs)
+    assert len(made) == 2 + lm.ROUNDS and not any(os.path.exists(b._path) for b in made)
+    kept = {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path, _ in written if path not in dropped}
+    assert kept == {"lm-counts", "lm-scored"} and rows.count() == docs.count()
+
+
 def test_base_score_is_counts_in_plain_python(spark):
     path = "/root/testdata/sf0.01"
     got = lm.op4_lm_score(spark, path).toPandas().sort_values("doc_id")
