@@ -20,7 +20,7 @@ import numpy as np
 PIECES, BEGIN, END = 32_000, 1, 2
 CLASSES, WIDTH, CONTEXT, SPAN = 128, 16, 16, 32
 BUCKETS = 64
-PART, BATCH = 64, 512  # windows in one piece of work, and in one step of learning
+PART, BATCH = 32, 512  # windows in one piece of work, and in one step of learning
 NAMES = ("wq", "wk", "wv", "place", "out", "bias")
 #: How far before each query a key stands; which keys aren't later, and their distances.
 DISTANCE = CONTEXT + np.arange(SPAN)[:, None] - np.arange(CONTEXT + SPAN)[None, :]
@@ -46,7 +46,8 @@ class Room:
     """Arrays that one piece of ``n`` windows after another is computed in; to allocate them for each takes longer than to fill them.
 
     ``load`` takes the small arrays of a network, as products need them. Values and what attention gathers have a last
-    column of ones, which brings the sums of the attention along, and the bias.
+    column of ones, which brings the sums of the attention along, and the bias. Products are taken a window at a time: so small
+    ones aren't packed anew.
     """
 
     def __init__(self, n: int, kind=np.float32):
@@ -55,10 +56,10 @@ class Room:
         self.n, self.first = n, np.arange(n * SPAN) * CLASSES
         self.e, self.kv, self.de, self.dkv = (room(n, length, w) for w in (WIDTH, 2 * WIDTH + 1, WIDTH, 2 * WIDTH))
         self.k, self.v, self.dk, self.dv = self.kv[:, :, :WIDTH], self.kv[:, :, WIDTH:], self.dkv[:, :, :WIDTH], self.dkv[:, :, WIDTH:]
-        self.late, self.q, self.dq, self.dlate, self.gathered, self.back = (room(n, SPAN, w) for w in (*[WIDTH] * 4, WIDTH + 1, WIDTH + 1))
+        self.q, self.dq, self.dlate, self.gathered, self.back = (room(n, SPAN, w) for w in (*[WIDTH] * 3, WIDTH + 1, WIDTH + 1))
         self.a, self.da = room(n, SPAN, length), room(n, SPAN, length)
-        self.h, self.dh = room(n * SPAN, WIDTH + 1), room(n * SPAN, WIDTH + 1)
-        self.z, self.follow = room(n * SPAN, CLASSES), room(n * SPAN, CLASSES)
+        self.h, self.dh = room(n, SPAN, WIDTH + 1), room(n, SPAN, WIDTH + 1)
+        self.z, self.follow = room(n, SPAN, CLASSES), room(n, SPAN, CLASSES)
         self.ones = np.ones(CLASSES, kind)
         self.v[:, :, WIDTH] = 1
 
@@ -115,19 +116,18 @@ class Net:
     def odds(self, x, inside, room: Room):
         """Odds of the classes of the next ids, and their sums; what the gradients need stays in ``room``."""
         e = np.take(self.emb, x, axis=0, out=room.e, mode="clip")
-        room.late[:] = e[:, CONTEXT:]
-        np.matmul(_flat(room.late), room.wq, out=_flat(room.q))
-        np.matmul(_flat(e), room.wkv, out=_flat(room.kv)[:, : 2 * WIDTH])
+        np.matmul(e[:, CONTEXT:], room.wq, out=room.q)
+        np.matmul(e, room.wkv, out=room.kv[:, :, : 2 * WIDTH])
         a = np.matmul(room.q, room.k.transpose(0, 2, 1), out=room.a)
         a += room.near
         outside = np.flatnonzero(~inside[:, 0])
         if len(outside):
             a[outside] += np.where(inside[outside], 0, -1e9).astype(a.dtype)[:, None, :]
-        h = _flat(np.matmul(_exp(a), room.v, out=room.gathered))
-        np.multiply(h, 1 / h[:, WIDTH:], out=room.h)
+        h = np.matmul(_exp(a), room.v, out=room.gathered)
+        np.multiply(h, 1 / h[:, :, WIDTH:], out=room.h)
         z = np.matmul(room.h, room.out, out=room.z)
-        z += np.take(self.follow, x[:, CONTEXT:].ravel(), axis=0, out=room.follow, mode="clip")
-        _exp(z)
+        z += np.take(self.follow, x[:, CONTEXT:], axis=0, out=room.follow, mode="clip")
+        z = _flat(_exp(z))
         return z, z @ room.ones
 
     def forward(self, x, inside):
@@ -142,22 +142,22 @@ class Net:
         z, total = self.odds(x, inside, room)
         share = (valid.ravel() / -total).astype(z.dtype)[:, None]
         z.ravel()[room.first + self.classes[targets.ravel()]] -= total  # now z * share are the derivatives
-        h, back, a = room.h, _flat(room.back), room.a
-        out = (h * share).T @ z
-        np.multiply(np.matmul(z, room.outt, out=room.dh), share / _flat(room.gathered)[:, WIDTH:], out=back)
-        back[:, WIDTH] = (back * h) @ -room.ones[: WIDTH + 1]
-        da = np.matmul(room.back, room.v.transpose(0, 2, 1), out=room.da)
+        h, back, a, z = room.h, room.back, room.a, room.z
+        share = share.reshape(*targets.shape, 1)
+        out = (np.multiply(h, share, out=room.dh).transpose(0, 2, 1) @ z).sum(0)
+        np.multiply(np.matmul(z, room.outt, out=room.dh), share / room.gathered[:, :, WIDTH:], out=back)
+        back[:, :, WIDTH] = (back * h) @ -room.ones[: WIDTH + 1]
+        da = np.matmul(back, room.v.transpose(0, 2, 1), out=room.da)
         da *= a
-        np.matmul(da, room.k, out=room.dq)
+        dq, dkv = np.matmul(da, room.k, out=room.dq), room.dkv
         np.matmul(da.transpose(0, 2, 1), room.q, out=room.dk)
-        np.matmul(a.transpose(0, 2, 1), room.back[:, :, :WIDTH], out=room.dv)
-        dq, dkv = _flat(room.dq), _flat(room.dkv)
-        np.matmul(dkv, room.wkvt, out=_flat(room.de))
-        np.matmul(dq, room.wqt, out=_flat(room.dlate))
-        room.de[:, CONTEXT:] += room.dlate
-        both = _flat(room.e).T @ dkv
+        np.matmul(a.transpose(0, 2, 1), back[:, :, :WIDTH], out=room.dv)
+        np.matmul(dkv, room.wkvt, out=room.de)
+        room.de[:, CONTEXT:] += np.matmul(dq, room.wqt, out=room.dlate)
+        of_wq = (room.e[:, CONTEXT:].transpose(0, 2, 1) @ dq).sum(0)
+        of_wkv = (room.e.transpose(0, 2, 1) @ dkv).sum(0)
         return {
-            "wq": _flat(room.late).T @ dq * a.dtype.type(_SCALE), "wk": both[:, :WIDTH], "wv": both[:, WIDTH:],
+            "wq": of_wq * a.dtype.type(_SCALE), "wk": of_wkv[:, :WIDTH], "wv": of_wkv[:, WIDTH:],
             "place": np.bincount(_NEAR_DISTANCE, da.reshape(room.n, -1).sum(0)[_NEAR], CONTEXT + SPAN).astype(np.float32),
             "out": out[:WIDTH], "bias": out[WIDTH], "emb": room.de,
         }
