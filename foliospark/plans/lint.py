@@ -61,7 +61,9 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = t("pages").select(F.col("page_id").alias("doc_id"))
     tables = lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.min_by("l_returnflag", "ord").alias("first"))
     same = parts.groupBy("p_brand", "p_size", "p_type").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1")
-    chains = g.chain(parts.select("p_partkey", F.when(F.col("p_partkey") % 9 == 0, F.col("p_partkey") + 1_000_000).when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)).alias("up")), "p_partkey", "up")
+    # names, so that a parent that has no row never is a key of one
+    name = F.col("p_partkey").cast("string")
+    chains = g.chain(parts.select(name.alias("style"), F.when(F.col("p_partkey") % 9 == 0, F.concat(F.lit("none:"), name)).when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2).cast("string")).alias("up")), "style", "up")
     # three rules read the numbers, which are computed once
     items = checkpointed(numbering.numbered(_list_items(spark, sf_dir), spark.sql(f"SELECT * FROM {_LISTS}")).select("doc_id", "ord", "num_id", "status", "label_status"))
     always = F.lit(True)
@@ -81,7 +83,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         some(nodes, "HIDDEN_TEXT", "Security", "Warning", at, tagged.isin("script", "style") & (F.trim("text") != "")),
         some(parts.withColumn("doc_id", F.col("p_partkey") + 7).join(lines.select("l_partkey"), F.col("doc_id") == F.col("l_partkey"), "left_anti"), "STYLE_UNUSED", "Styles", "Info", F.col("p_name")),
         some(same, "EQUIVALENT_FORMATTING", "Styles", "Info", F.concat_ws("|", "p_brand", "p_size", "p_type")),
-        some(chains.withColumnRenamed("node", "doc_id"), "STYLE_GRAPH", "Styles", "Error", F.col("status"), F.col("status") != "Resolved"),
+        some(chains.withColumn("doc_id", F.col("node").cast("long")), "STYLE_GRAPH", "Styles", "Error", F.col("status"), F.col("status") != "Resolved"),
         some(lines, "DIRECT_OVERRIDE", "Styles", "Info", at, (F.col("l_discount") > 0.05) & (F.col("l_tax") > 0.05)),
         some(unplaced, "RELATIONSHIP_UNUSED", "Core", "Info", F.lit("customer")),
         some(orphans, "ORPHAN_PART", "Core", "Error", F.lit("label")),
