@@ -11,7 +11,7 @@ import __spark_entry__
 FAR = [450, *(1_000_450 >> k for k in range(20))]
 
 
-@pytest.mark.parametrize("name", ["lint_rule_counts"])
+@pytest.mark.parametrize("name", ["lint_rule_counts", "lint_rule_findings"])
 def test_a_parent_without_a_row_stays_missing(spark, sf, same, tmp_path, name):
     con = duckdb.connect()
     for file in os.listdir(sf):
