@@ -145,14 +145,21 @@ def merge_reviews(changes: DataFrame) -> DataFrame:
 
 
 def shingle_dice(pairs: DataFrame, a: str, b: str, n: int = 3):
-    """Dice similarity of the distinct n-character shingles of two text columns, in column expressions."""
+    """Dice similarity of the distinct n-character shingles of two text columns; a shorter text has its characters, a null one a null."""
     def grams(t):
-        signs = F.filter(F.split(t, ""), lambda x: x != "")  # cells of an array are reached at once, places in a text are not
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(signs) - (n - 1))), lambda i: F.array_join(F.slice(signs, i, n), ""))
-        return F.array_distinct(F.when(F.size(signs) < n, signs).otherwise(runs))
+        if not isinstance(t, str):
+            return {None}
+        return {t[i : i + n] for i in range(len(t) - n + 1)} if len(t) >= n else set(t)
 
-    ga, gb = grams(F.col(a)), grams(F.col(b))
-    return pairs.withColumn("dice", F.when(F.size(ga) + F.size(gb) == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(ga, gb)) / (F.size(ga) + F.size(gb))))
+    def one(x, y):
+        gx, gy = grams(x), grams(y)
+        return 2.0 * len(gx & gy) / (len(gx) + len(gy)) if gx or gy else 1.0
+
+    @F.pandas_udf(DoubleType())
+    def dice(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([one(*t) for t in zip(x, y)], dtype="float64")
+
+    return pairs.withColumn("dice", dice(a, b))
 
 
 def normalise(text, ignore_case=True, collapse=True):

@@ -1,9 +1,11 @@
 """Longest common subsequences of any length: as long as the whole table says, in memory that grows with the sequences."""
 
 import random
+import time
 import tracemalloc
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.operators import diff
 
@@ -47,3 +49,16 @@ def test_equal_lines_between_edits(spark):
     rows = diff.compare_documents(spark.createDataFrame([(1, "\n".join(base), "\n".join(revised))], "doc_id long, base string, revised string")).collect()
     n = {c: sum(r.change == c for r in rows) for c in ("modified", "deleted", "inserted")}
     assert (n["modified"] + n["deleted"], n["modified"] + n["inserted"]) == (6, 1)
+
+
+def test_shingle_dice_of_odd_and_many_texts(spark):
+    pairs = [("abcd", "abce", 0.5), ("ab", "abc", 0.0), ("ab", "ac", 0.5), ("", "", 1.0), ("", "x", 0.0), (None, "x", 0.0), (None, None, 1.0), ("a😀b😀b😀", "a😀b", 0.5), ("aaaaaa", "aaa", 1.0)]
+    got = diff.shingle_dice(spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, b string"), "a", "b").orderBy("i").collect()
+    assert [r.dice for r in got] == [x for *_, x in pairs]
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(150)), lambda k: F.substring(F.sha2((F.col("id") * 1000 + k).cast("string"), 256), 1, 9)), " ")
+    many = spark.range(12_000, numPartitions=4).select("id", words.alias("a")).withColumn("b", F.col("a")).persist()
+    assert many.count() == 12_000
+    began = time.time()
+    assert diff.shingle_dice(many, "a", "b").where("dice = 1").count() == 12_000
+    assert time.time() - began < 40, "each pair takes time in proportion to its characters, a few microseconds each at most"
+    many.unpersist()
