@@ -7,7 +7,7 @@ query as their name; a rank as the apply step that the query asks for; the phras
 an apply step; query tokens closer together and in order; more query tokens in their description; the smaller name.
 
 Names and terms meet by keys: a token and its singular forms, and for parts of tokens the runs of three characters in them.
-No entry is compared with a query that shares no key with it.
+Entries that no term tells apart are compared as one.
 """
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliospark.functions.lineage import checkpointed
+
 #: At most so many results are given.
 MOST = 12
+FEATURES = ("exact", "explicit", "phrase", "name_hits", "safety", "distance")
 
 
 def search_tokens(text: Column) -> Column:
@@ -75,30 +78,79 @@ def workflow(entries: DataFrame) -> DataFrame:
     return out.withColumns({"plans": F.col("p1") | F.col("p2"), "applies": F.col("a1") | F.col("a2")}).drop("p1", "p2", "a1", "a2")
 
 
+def _token_facts(tokens: DataFrame, lists: DataFrame) -> DataFrame:
+    """(token, how, term): all that decides how a name's token meets the lists' terms; it is equal, a plural, begins, ends or holds a term.
+
+    Beginnings matter for last terms, ends for first ones, and what is inside for terms that stand alone, as a phrase takes whole tokens between.
+    """
+    one, t = F.size("terms") == 1, F.col("token")
+    term = lists.select(F.explode("terms").alias("term")).distinct()
+    keyed = tokens.select("token", F.explode(stems(t)).alias("key")).join(term.select("term", F.explode(stems(F.col("term"))).alias("key")), "key").where(same_token(t, F.col("term")))
+    places = F.sequence(F.lit(1), F.length("token"))
+    begins = tokens.select("token", F.explode(F.transform(places, lambda k: F.substring(t, F.lit(1), k))).alias("term")).join(lists.where(~one).select(F.element_at("terms", -1).alias("term")).distinct(), "term")
+    ends = tokens.select("token", F.explode(F.transform(places, lambda k: F.substring(t, k, F.length(t)))).alias("term")).join(lists.where(~one).select(F.get("terms", F.lit(0)).alias("term")).distinct(), "term")
+    holds = _holders(tokens, lists.where(one).select(F.get("terms", F.lit(0)).alias("term")).distinct())
+    says = lambda df, how: df.select("token", how.alias("how"), "term")
+    return says(keyed, F.when(t == F.col("term"), "=").otherwise("~")).unionByName(says(begins, F.lit("<"))).unionByName(says(ends, F.lit(">"))).unionByName(says(holds, F.lit("c"))).distinct()
+
+
+def _holders(tokens: DataFrame, term: DataFrame) -> DataFrame:
+    """(token, term): tokens and the terms inside them; a term's first run of characters is a run of any token that contains it."""
+    runs = tokens.select("token", F.explode(_runs(F.col("token"))).alias("run"))
+    return runs.join(term.select("term", F.substring("term", 1, 3).alias("run")), "run").where(F.contains("token", F.col("term"))).select("token", "term")
+
+
 def ranked(entries: DataFrame, queries: DataFrame, most: int = MOST) -> DataFrame:
-    """(query, rank, name) and the features of the best ``most`` entries of each query; a query without tokens is left out."""
+    """(query, rank, name) and the features of the best ``most`` entries of each query; a query without tokens is left out.
+
+    Tokens that meet all terms alike stand for each other, so entries fall into shapes: a name's tokens, its steps, and the terms that its
+    description holds. Queries of equal terms are ranked once, over shapes; only shapes that may reach the best ``most`` are joined to
+    their entries, of which each shape gives its ``most`` least names.
+    """
     if not 1 <= most <= MOST:
         raise ValueError(f"at most 1 to {MOST} results are given")
-    own = entries.select("name", search_tokens(F.col("name")).alias("tokens"), search_tokens(F.col("description")).alias("words"))
+    own = entries.where("name is not null").select("name", search_tokens(F.col("name")).alias("tokens"), search_tokens(F.col("description")).alias("words"))
     asked = queries.select("query", search_tokens(F.col("text")).alias("terms")).where(F.size("terms") > 0)
-    term = asked.select("query", F.explode(F.array_distinct("terms")).alias("term"))
-    by_name = own.select("name", F.explode(F.flatten(F.transform("tokens", stems))).alias("key")).distinct()
-    hits = by_name.join(term.select("query", F.explode(stems(F.col("term"))).alias("key")).distinct(), "key").select("query", "name")
-    # parts of tokens: a term's first run of characters is a run of any token that contains it
-    vocabulary = own.select(F.explode(F.array_union("words", "tokens")).alias("token")).distinct()
-    parts = vocabulary.select("token", F.explode(_runs(F.col("token"))).alias("run")).join(term.select("term", F.substring("term", 1, 3).alias("run")).distinct(), "run").where(F.contains("token", F.col("term"))).select("token", "term")
-    holders = own.select("name", F.explode(F.array_union("words", "tokens")).alias("token")).distinct()
-    inside = holders.join(parts, "token").select("name", "term").distinct().join(term, "term").select("query", "name")
-    pairs = hits.unionByName(inside).distinct().join(workflow(own), "name").join(asked, "query")
+    lists = checkpointed(asked.select("terms").distinct())
+    term = lists.select("terms", F.explode(F.array_distinct("terms")).alias("term"))
+    # tokens of names: the least of those with the same facts stands for them, a blank for those without any
+    vocabulary = own.select(F.explode("tokens").alias("token")).distinct()
+    facts = checkpointed(_token_facts(vocabulary, lists).groupBy("token").agg(F.sort_array(F.collect_set(F.struct("how", "term"))).alias("facts")))
+    stands = facts.groupBy("facts").agg(F.min("token").alias("stand"))
+    spread = own.select("name", F.posexplode("tokens").alias("at", "token")).distinct().join(facts.join(stands, "facts").select("token", "stand"), "token", "left")
+    shapes = spread.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("stand", F.lit(" ")).alias("stand")))).alias("shape")).select("name", F.col("shape.stand").alias("shape"))
+    # descriptions: the terms that they hold
+    words = own.select(F.explode("words").alias("token")).distinct()
+    said = own.select("words", F.explode("words").alias("token")).distinct().join(_holders(words, term.select("term").distinct()), "token").groupBy("words").agg(F.sort_array(F.collect_set("term")).alias("said"))
+    none = F.array().cast("array<string>")
+    rows = workflow(own).join(shapes, "name", "left").join(said, "words", "left").select("name", F.coalesce("shape", none).alias("tokens"), "plans", "applies", F.coalesce("said", none).alias("said"))
+    shape = ["tokens", "plans", "applies"]
+    alike = W.partitionBy(*shape, "said")
+    rows = checkpointed(rows.withColumns({"n": F.count("*").over(alike), "k": F.row_number().over(alike.orderBy("name"))}).where(F.col("k") <= most))
+    sizes = rows.where("k = 1").groupBy(*shape).agg(F.sum("n").alias("n"))
+    met = sizes.select(*shape, "n", F.explode("tokens").alias("stand")).distinct().join(stands.select("stand", F.explode("facts.term").alias("term")).distinct(), "stand").join(term, "term").select(*shape, "n", "terms").distinct()
+    rated = checkpointed(_features(met).where("exact + phrase + name_hits > 0"))
+    order = [F.desc("exact"), F.desc("explicit"), F.desc("phrase"), F.desc("name_hits"), F.desc("safety"), F.asc("distance")]
+    better = F.sum("n").over(W.partitionBy("terms").orderBy(*order).rangeBetween(W.unboundedPreceding, 0)) - F.sum("n").over(W.partitionBy("terms", *FEATURES))
+    best = rated.withColumn("better", better).where(F.col("better") < most).drop("better", "n").join(rows.drop("n", "k"), shape)
+    # where names give fewer, descriptions alone
+    enough = rated.groupBy("terms").agg(F.sum("n").alias("n")).where(F.col("n") >= most)
+    short = term.join(enough, "terms", "left_anti")
+    told = rows.drop("n", "k").withColumn("term", F.explode("said")).join(short, "term").drop("term").distinct().join(rated.select("terms", *shape), ["terms", *shape], "left_anti")
+    found = best.unionByName(_features(told)).withColumn("description_hits", F.size(F.filter("terms", lambda t: F.array_contains("said", t))))
+    place = F.row_number().over(W.partitionBy("terms").orderBy(*order, F.desc("description_hits"), "name"))
+    found = found.withColumn("rank", place).where(F.col("rank") <= most).drop(*shape, "said")
+    return asked.join(found, "terms").select("query", "name", *FEATURES, "description_hits", "rank")
+
+
+def _features(pairs: DataFrame) -> DataFrame:
+    """Pairs of a list of terms and a name's tokens with the features that the name decides."""
     terms, tokens = F.col("terms"), F.col("tokens")
     whole, phrase = F.array_join(tokens, " "), F.array_join(terms, " ")
     explicit = F.array_contains(terms, "apply") & ~F.array_contains(terms, "plan")
-    described = F.array_join("words", " ")
     flag = lambda c: c.cast("int")
-    count = lambda test: F.size(F.filter(terms, test))
-    rows = pairs.select(
-        "query", "name", flag(whole == phrase).alias("exact"), flag(explicit & F.col("applies")).alias("explicit"), flag(F.contains(whole, phrase)).alias("phrase"),
-        count(lambda t: F.exists(tokens, lambda x: same_token(x, t))).alias("name_hits"), flag(~explicit & F.col("plans")).alias("safety"), distance(tokens, terms).alias("distance"), count(lambda t: F.contains(described, t)).alias("description_hits"),
-    ).where("exact + phrase + name_hits + description_hits > 0")
-    order = W.partitionBy("query").orderBy(F.desc("exact"), F.desc("explicit"), F.desc("phrase"), F.desc("name_hits"), F.desc("safety"), "distance", F.desc("description_hits"), "name")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    hits = F.size(F.filter(terms, lambda t: F.exists(tokens, lambda x: same_token(x, t))))
+    return pairs.withColumns({
+        "exact": flag(whole == phrase), "explicit": flag(explicit & F.col("applies")), "phrase": flag(F.contains(whole, phrase)),
+        "name_hits": hits, "safety": flag(~explicit & F.col("plans")), "distance": distance(tokens, terms),
+    })

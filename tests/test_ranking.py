@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -61,3 +62,17 @@ def test_bounds(spark):
     for most in (0, 13):
         with pytest.raises(ValueError):
             ranking.ranked(empty, asked, most)
+
+
+def test_many_entries_that_no_term_tells_apart(spark):
+    from pyspark.sql import functions as F
+
+    key = F.col("id").cast("string")
+    entries = spark.range(60_000, numPartitions=4).select(F.concat(F.lit("plan_item_"), key).alias("name"), F.concat(F.lit("colour:"), (F.col("id") % 50).cast("string")).alias("description"))
+    queries = spark.range(200).select(key.alias("query"), F.when(F.col("id") % 2 == 0, "plan item").otherwise(F.concat(F.lit("items "), key)).alias("text"))
+    began = time.time()
+    got = ranking.ranked(entries, queries).collect()
+    assert time.time() - began < 90, "entries are compared by what the terms tell apart"
+    found = {(r.query, r.rank): r.name for r in got}
+    least = sorted(f"plan_item_{i}" for i in range(60_000))[:12]
+    assert [found["0", k] for k in range(1, 13)] == [found["198", k] for k in range(1, 13)] == least and found["17", 1] == "plan_item_17" and len(got) == 2400
